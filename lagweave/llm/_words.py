@@ -19,6 +19,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Lower case, ASCII punctuation as white space.
+PLAIN = np.where((LOWER >= 0x80) | np.isin(LOWER, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)), LOWER, 0x20).astype(np.uint8)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -88,15 +90,18 @@ def _cut(data: np.ndarray, low: int) -> int:
     return len(data)
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, 64-bit hashes, bounds): row r has the words bounds[r] to bounds[r + 1]."""
+def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, 64-bit hashes, bounds): row r has the words bounds[r] to bounds[r + 1].
+
+    ``table`` (LOWER or PLAIN) replaces bytes beforehand.
+    """
     starts, ends, hashes, low = [], [], [], 0
     firsts = offsets[:-1]
     while low < len(data):
         high = _cut(data, low)
         part = data[low:high]
-        if lower:
-            part = LOWER[part]
+        if table is not None:
+            part = table[part]
         solid = ~WHITE[part]
         new = np.zeros(len(part) + 1, bool)
         inside = firsts[(firsts >= low) & (firsts < high)] - low

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import langid, quality, toxicity
+from lagweave.llm import decontaminate, langid, quality, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_filters": urlfilter.op4_url_filters,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op8_language_id": langid.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,

@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Words and word beginnings get log-odds of the toxic against the clean class with an informative
-Dirichlet prior, counted over all labelled training documents. A linear-time scan finds every
-maximal-scoring run of words; scores become E-values by extreme-value theory, and one logistic
+Dirichlet prior, counted over a bounded sample of labelled training documents. A linear-time scan finds every
+maximal-scoring run of words; scores become E-values by extreme-value theory, and one rising
 curve on training documents that took no part in the counts turns them into probabilities.
 """
 
@@ -26,6 +26,8 @@ STEMS = (4, 5, 6)
 #: A word's score falls by this for each word, so that chance hits far apart don't add up.
 DRIFT = 0.15
 _FLUSH = 200_000
+#: Evidence is -ln E; a passage is significant from E = 0.05. Steps of ``STEP`` for calibration.
+SIGNIFICANT, FLOOR, CEILING, STEP = 3.0, -12.0, 60.0, 0.5
 
 
 def segments(positions: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -54,14 +56,14 @@ def segments(positions: list[int], scores: list[float], drift: float) -> list[tu
 
 @dataclass
 class Model:
-    """``weights``: log-odds by word or stem. ``slope``, ``offset``: the logistic curve."""
+    """``weights``, ``stems``: log-odds. ``knots``, ``shares``: the calibration curve."""
 
     weights: dict[str, float]
     stems: dict[str, float]
     lam: float = 1.0
     k: float = 0.1
-    slope: float = 1.0
-    offset: float = -3.0
+    knots: list[float] = field(default_factory=lambda: [0.0])
+    shares: list[float] = field(default_factory=lambda: [0.01])
     drift: float = DRIFT
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
@@ -94,15 +96,12 @@ class Model:
         base = math.log(self.k * max(len(tokens), 1))
         found = [(a, b, self.lam * s - base) for a, b, s in segments(at, [scores[i] for i in at], self.drift)]
         best = max(x for *_, x in found)
-        evidence = sum(x for *_, x in found if x > 0) if best > 0 else best
-        return max(FLOOR, min(CEILING, evidence)), [(a, b, math.exp(min(50.0, -x))) for a, b, x in found if x > 0], tokens
+        passages = [(a, b, x) for a, b, x in found if x >= SIGNIFICANT]
+        evidence = sum(x for *_, x in passages) if passages else best
+        return max(FLOOR, min(CEILING, evidence)), [(a, b, math.exp(-x)) for a, b, x in passages], tokens
 
     def probability(self, evidence: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.offset))))
-
-
-FLOOR, CEILING = -12.0, 60.0
-STEP = 0.5
+        return float(np.interp(evidence, self.knots, self.shares))
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
@@ -144,22 +143,24 @@ def _karlin(pos: list[tuple[float, float]], drift: float) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float = 0.1, z_min: float = 3.0, max_features: int = 100_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float = 0.1, z_min: float = 3.0, max_features: int = 100_000, max_rows: int = 30_000) -> Model:
     """Fit on the labelled rows of ``docs`` (id, text) that have a row with a label in ``labels``.
 
-    Documents with crc32(id) mod 10 of 8 or 9 set the curve, the others the log-odds. The model
+    At most ``max_rows`` labelled ids take part, those with the smallest hashes, so the labels can be
+    broadcast and no text is shuffled. Documents with crc32(id) mod 10 of 8 or 9 set the curve, the others the log-odds. The model
     keeps words and stems with z >= ``z_min``, at most ``max_features`` of them by z. Null labels
     are left out, a null text is empty; without labelled rows every score is the same low one.
     """
     truth = labels.select(F.col(id_col).alias("id"), F.col("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select(F.col(id_col).alias("id"), "text").join(truth, "id")
+    sample = truth.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    known = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(sample), "id")
     tenth = remainder("id", 10)
     counted = known.where(tenth < 8)
     counts = class_counts(counted)
     sizes = {int(r["toxic"] != 0): r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n1 or not n0:
-        return Model({}, {}, offset=-30.0 if not n1 else 30.0, slope=0.0)
+        return Model({}, {}, shares=[0.01 if not n1 else 0.99])
     both = F.col("toxic") + F.col("clean")
     a = prior * both
     y1, y0 = F.col("toxic") + a, F.col("clean") + a
@@ -169,11 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float
     kept = rated.orderBy(F.desc(F.col("delta") / F.col("sd")), "token").limit(max_features).collect()
     weights, stems, clean_rate = {}, {}, []
     for r in kept:
-        s = r["delta"] - r["sd"]
-        if s > 0:
-            (stems if r["token"].endswith("\t") else weights)[r["token"].rstrip("\t")] = s
-            if not r["token"].endswith("\t"):
-                clean_rate.append(((r["clean"] + prior) / (200.0 * n0), s))  # about 200 words a document
+        s = r["delta"] - 2 * r["sd"]  # a low estimate, above 0 as z_min is over 2
+        (stems if r["token"].endswith("\t") else weights)[r["token"].rstrip("\t")] = s
+        if not r["token"].endswith("\t"):
+            clean_rate.append(((r["clean"] + prior) / (200.0 * n0), s))  # about 200 words a document
     model = Model(weights, stems, lam=_karlin(clean_rate, DRIFT))
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -187,23 +187,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float
     x = np.array([r["bin"] * STEP for r in bins], float)
     y = np.array([r["toxic"] != 0 for r in bins], float)
     w = np.array([r["n"] for r in bins], float)
-    model.slope, model.offset = logistic(x, y, w)
+    model.knots, model.shares = isotonic(x, y, w)
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Weighted one-variable logistic regression with a weak Gaussian prior on slope and offset."""
-    beta = np.array([0.3, -1.0])
-    design = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (w * (y - p)) - 0.02 * (beta - [0.3, -1.0])
-        hess = (design * (w * p * (1 - p))[:, None]).T @ design + 0.02 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(max(beta[0], 0.01)), float(beta[1])
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
+    """Rising shares of label 1 by pooling adjacent violators: knots at the pools' mean evidence.
+
+    One row of either class is added far outside, so that every share lies between 0 and 1.
+    """
+    pools: list[list[float]] = []  # sum of x, of toxic rows, of rows
+    rows = sorted(zip(x.tolist(), y.tolist(), w.tolist()))
+    for at, label, n in [(FLOOR, 0.0, 1.0), *rows, (CEILING, 1.0, 1.0)]:
+        pools.append([at * n, label * n, n])
+        while len(pools) > 1 and (pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return [p[0] / p[2] for p in pools], [(p[1] + 0.01) / (p[2] + 0.02) for p in pools]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
