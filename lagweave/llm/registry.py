@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import decontaminate, langid, quality, toxicity, urlfilter
+from lagweave.llm import decontaminate, langid, ngram_join, quality, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op4_url_filters": urlfilter.op4_url_filters,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op8_language_id": langid.op8_language_id,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.SQL,
     "op10_quality_rules": quality.SQL,
 }
