@@ -7,8 +7,10 @@ subsets with one token deleted are). If the allotments add up to more than H, li
 indexed signature. Candidates are verified exactly.
 
 No group is expanded into all its pairs. Equal sets are one node. In each signature's bucket all
-nodes are first tested against one of them; only where a bucket then still spans several connected
-components are its cross pairs tested, so components are exact.
+nodes are first tested against a few of them, in rounds, while buckets span several connected
+components; the pairs across components that are left in a bucket are tested last, so components
+are exact. Before texts are compared, the parities of hashed tokens in 1024 cells bound the
+difference of two sets from below and rule most unlinked pairs out.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagweave.llm._shared import written
@@ -30,6 +32,8 @@ from lagweave.llm.components import connected
 MAX_BROADCAST_IDS = 1_000_000
 #: Segments allotted beyond H + 1, so that as many empty segments of a set need no signature.
 SLACK = 1
+#: 64-bit words of a sketch; nodes of a bucket that the others are tested against in a round; rounds.
+CELLS, CENTRES, ROUNDS = 16, 3, 8
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -119,6 +123,19 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens in 64 * CELLS cells: two sets differ in as many tokens as in cells, or more."""
+    cell = (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)) % np.uint64(64 * CELLS)
+    odd = np.bincount(cell.astype(np.int64), minlength=64 * CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(percent: int) -> Column:
+    """Whether the sketches of x and y leave room for a link."""
+    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(CELLS))
+    return F.expr(f"({differ}) * {100 + percent} <= {100 - percent} * (x.n_shingles + y.n_shingles)")
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -134,15 +151,15 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, n_shingles, key) for every row of ``docs`` (doc, text); the key of an empty set is null."""
+    """(doc, n_shingles, key, sketch) for every row of ``docs`` (doc, text); the key of an empty set is null."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, low, found in _sets(batches, width):
             keys = [set_key(s) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(found)), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.int64())], names=["doc", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(found)), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.int64()), pa.array([parity_sketch(s) for s in found], pa.list_(pa.int64()))], names=["doc", "n_shingles", "key", "sketch"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "text").mapInArrow(sets, f"doc {kind}, n_shingles long, key long")
+    return docs.select("doc", "text").mapInArrow(sets, f"doc {kind}, n_shingles long, key long, sketch array<long>")
 
 
 def buckets_of(docs: DataFrame, width: int, percent: int, populations: dict[int, int]) -> DataFrame:
@@ -219,23 +236,33 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     band = F.expr(f"size(filter(array({','.join(map(str, lows))}), x -> x <= n_shingles)) - 1")
     populations = {r["band"]: r["n"] for r in nodes.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # one row a band
     sigs = buckets_of(base.where("doc is not null"), width, percent, populations)
-    # buckets of two sets or more, each set tested against the smallest
     spans = sigs.groupBy("sig", "key").agg(F.lit(1).alias("one")).select("sig", "key", F.expr("min(key) over (partition by sig)").alias("low"), F.expr("max(key) over (partition by sig)").alias("high"))
-    shared = written(spans.where("low < high").select("sig", "key", "low"))
-    first = written(shared.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct())
-    texts = texts_of(base, nodes, first.select(F.col("a").alias("key")).union(first.select(F.col("b").alias("key"))).distinct())
-    links = written(verify(first, texts, width, percent))
-    part = connected(links)
-    # buckets that still span several components: all pairs across them, each once
-    placed = shared.join(part.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("part"))
-    open_buckets = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
-    left = written(placed.join(open_buckets, "sig"))
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, F.expr("x.sig = y.sig and x.part < y.part")).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    cross = cross.join(first, ["a", "b"], "left_anti")
-    more = written(verify(cross, texts, width, percent))
-    if more.limit(1).count():
-        part = connected(links.union(more))
+    shared = written(spans.where("low < high").select("sig", "key"))
+    sketches = nodes.join(shared.select("key").distinct(), "key").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    shared = written(shared.join(sketches, "key"))
+    texts = texts_of(base, nodes, shared.select("key").distinct())
+    links, part, tested, found = None, None, None, 0
+    for turn in range(ROUNDS + 1):
+        placed = shared.withColumn("part", F.col("key")) if part is None else shared.join(part.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+        parts = placed.select("sig", "part").distinct().groupBy("sig").agg(F.count("*").alias("parts"))
+        left = written(placed.join(parts.where("parts > 1").select("sig"), "sig"))
+        if not left.limit(1).count():
+            break
+        last = turn == ROUNDS or turn > 0 and found <= left.count() // 100  # a round that finds little more
+        by_turn = Window.partitionBy("sig").orderBy(F.xxhash64("key", F.lit(turn)))
+        centres = left if last else left.withColumn("rank", F.row_number().over(by_turn)).where(F.col("rank") <= CENTRES).drop("rank")
+        met = left.alias("x").join(centres.alias("y"), F.expr("x.sig = y.sig and x.part <> y.part") & may_link(percent))
+        pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
+        found = pairs.count()
+        new = written(verify(pairs, texts, width, percent))
+        links = new if links is None else links.union(new)
+        part = connected(links)
+        if last:
+            break
+    if part is None:
+        part = shared.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
     named = nodes.groupBy("key").agg(F.min("doc").alias("first")).join(part.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("part"))
     smallest = named.groupBy("part").agg(F.min("first").alias("component_id"))
     final = named.join(smallest, "part").select("key", "component_id")

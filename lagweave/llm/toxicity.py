@@ -25,7 +25,8 @@ TOKEN = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)
 #: A word's score falls by this for each word, so that chance hits far apart don't add up.
 DRIFT = 0.15
-_FLUSH = 200_000
+HEAD = min(STEMS)
+_FLUSH = 50_000
 #: Evidence is -ln E; a passage is significant from E = 0.05. Steps of ``STEP`` for calibration.
 SIGNIFICANT, FLOOR, CEILING, STEP = 3.0, -12.0, 60.0, 0.5
 
@@ -65,10 +66,10 @@ class Model:
     knots: list[float] = field(default_factory=lambda: [0.0])
     shares: list[float] = field(default_factory=lambda: [0.01])
     drift: float = DRIFT
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
+    heads: set[str] = field(init=False)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+    def __post_init__(self) -> None:
+        self.heads = {w[:HEAD] for w in (*self.weights, *self.stems)}  # few words begin like this
 
     def word_score(self, word: str) -> float:
         if word in self.weights:
@@ -81,20 +82,13 @@ class Model:
     def scan(self, text: str | None) -> tuple[float, list[tuple[int, int, float]], list[str]]:
         """(evidence, passages as first and last token and E-value, tokens)."""
         tokens = TOKEN.findall(text.lower()) if text else []
-        get, cache = self.cache.get, self.cache
-        scores = list(map(get, tokens))
-        if None in scores:
-            if len(cache) > _FLUSH:
-                cache.clear()
-            for i, s in enumerate(scores):
-                if s is None:
-                    w = tokens[i]
-                    scores[i] = cache[w] = self.word_score(w)
-        at = [i for i, s in enumerate(scores) if s]
-        if not at:
+        heads = self.heads
+        rated = [(i, self.word_score(tokens[i])) for i in [i for i, w in enumerate(tokens) if w[:HEAD] in heads]]
+        rated = [(i, s) for i, s in rated if s]
+        if not rated:
             return FLOOR, [], tokens
         base = math.log(self.k * max(len(tokens), 1))
-        found = [(a, b, self.lam * s - base) for a, b, s in segments(at, [scores[i] for i in at], self.drift)]
+        found = [(a, b, self.lam * s - base) for a, b, s in segments([i for i, _ in rated], [s for _, s in rated], self.drift)]
         best = max(x for *_, x in found)
         passages = [(a, b, x) for a, b, x in found if x >= SIGNIFICANT]
         evidence = sum(x for *_, x in passages) if passages else best
