@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import decontaminate, langid, ngram_join, quality, sentencepiece_scan, toxicity, urlfilter
+from lagweave.llm import decontaminate, langid, ngram_join, pii, quality, sentencepiece_scan, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_pii": pii.op2_pii,
     "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
     "op4_url_filters": urlfilter.op4_url_filters,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
