@@ -67,24 +67,25 @@ class Model:
     shares: list[float] = field(default_factory=lambda: [0.01])
     drift: float = DRIFT
     heads: set[str] = field(init=False)
+    kept: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.heads = {w[:HEAD] for w in (*self.weights, *self.stems)}  # few words begin like this
 
     def word_score(self, word: str) -> float:
-        if word in self.weights:
-            return self.weights[word]
-        for n in reversed(STEMS):
-            if len(word) > n and (s := self.stems.get(word[:n])) is not None:
-                return s
-        return 0.0
+        if (s := self.kept.get(word)) is None:
+            stems = (self.stems.get(word[:n], 0.0) for n in reversed(STEMS) if len(word) > n)
+            s = self.weights.get(word) or next(filter(None, stems), 0.0)
+            if len(self.kept) > _FLUSH:
+                self.kept.clear()
+            self.kept[word] = s
+        return s
 
     def scan(self, text: str | None) -> tuple[float, list[tuple[int, int, float]], list[str]]:
         """(evidence, passages as first and last token and E-value, tokens)."""
         tokens = TOKEN.findall(text.lower()) if text else []
         heads = self.heads
-        rated = [(i, self.word_score(tokens[i])) for i in [i for i, w in enumerate(tokens) if w[:HEAD] in heads]]
-        rated = [(i, s) for i, s in rated if s]
+        rated = [(i, s) for i, w in enumerate(tokens) if w[:HEAD] in heads and (s := self.word_score(w))]
         if not rated:
             return FLOOR, [], tokens
         base = math.log(self.k * max(len(tokens), 1))
@@ -137,7 +138,7 @@ def _karlin(pos: list[tuple[float, float]], drift: float) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float = 0.1, z_min: float = 3.0, max_features: int = 100_000, max_rows: int = 30_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float = 0.1, z_min: float = 3.0, max_features: int = 2_000, max_rows: int = 30_000) -> Model:
     """Fit on the labelled rows of ``docs`` (id, text) that have a row with a label in ``labels``.
 
     At most ``max_rows`` labelled ids take part, those with the smallest hashes, so the labels can be
