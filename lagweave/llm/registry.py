@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import chat, decontaminate, langid, ngram_join, pii, quality, sentencepiece_scan, toxicity, urlfilter
+from lagweave.llm import chat, decontaminate, langid, lm, ngram_join, pii, quality, sentencepiece_scan, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": urlfilter.op4_url_filters,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_language_id": langid.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
