@@ -169,30 +169,41 @@ def threshold(bins: list[tuple[int, float, int]], precision: float) -> float:
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans) for every row: arrays of struct(start, kind_no, end) by start, then kind.
+    """(id, text_key, base, spans) for every row: arrays of struct(start, kind_no, end) by start, then kind.
+
+    ``text_key`` is the SHA-256 of a text with proposals, else null.
 
     ``spans`` are the base and what the method adds. Null and empty texts have none; equal texts get
     equal spans; ids may repeat or be null; other columns are ignored.
     """
     found = written(scan(docs, id_col, text_col))
     more = select_more(found)
-    bare = found.where("text_key is null").select("id", "base", F.col("base").alias("spans"))
+    bare = found.where("text_key is null").select("id", "text_key", "base", F.col("base").alias("spans"))
     rich = found.where("text_key is not null").select("id", "text_key", "base").join(more, "text_key", "left")
     added = F.filter(F.coalesce("more", F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int>>)")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    out = bare.union(rich.select("id", "base", F.array_sort(F.concat("base", added)).alias("spans")))
+    out = bare.union(rich.select("id", "text_key", "base", F.array_sort(F.concat("base", added)).alias("spans")))
     return out.withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of its id replaced by [KIND]; overlapping spans are merged into the first."""
+#: Texts with spans up to this many are broadcast to the documents; more are joined by a shuffle.
+MAX_BROADCAST_TEXTS = 100_000
+
+
+def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with each span of its text replaced by [KIND]; ``found`` comes from find_private.
+
+    Overlapping spans are merged under the first one's kind. Texts without spans, nulls and all
+    other columns stay as they are.
+    """
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     merged = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind_no"].alias("kind_no"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    some = spans.where(F.size("spans") > 0).groupBy(F.col(id_col).alias("_id")).agg(F.first(merged).alias("_cuts"))
-    joined = docs.join(some, docs[id_col] == some["_id"], "left")
+    some = written(found.where(F.size("spans") > 0).groupBy(F.col("text_key").alias("_key")).agg(F.first("spans").alias("spans")).select("_key", merged.alias("_cuts")))
+    few = some.count() <= MAX_BROADCAST_TEXTS
+    joined = docs.join(F.broadcast(some) if few else some, F.sha2(docs[text_col], 256) == some["_key"], "left")
     text = F.col(text_col)
     before = F.transform("_cuts", lambda x, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"])), F.element_at(kinds, x["kind_no"] + 1)))
     clean = F.concat(F.concat_ws("", before), F.substring(text, F.element_at("_cuts", -1)["end"] + 1, F.length(text)))

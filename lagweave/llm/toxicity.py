@@ -227,6 +227,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(rate, f"`{id_col}` {kind}, score double, n_tokens long, passages array<struct<start:int,end:int,evalue:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score under ``cut``, all columns as they are, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.probability(m.scan(t.as_py())[0]) < cut for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels of rows with crc32(doc_id) mod 5 not 0 and score all rows."""
     model = fit(docs.where(remainder() != 0), labels.where(remainder() != 0))
