@@ -1,5 +1,7 @@
 """All queries over the event streams, and their SQL twins."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from lagweave.plans.queries import QUERIES, SQL
+
+FLAGSHIP = "ridge_dr2_1d"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
