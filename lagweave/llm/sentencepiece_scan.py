@@ -31,7 +31,7 @@ STAND_IN = "\U0010fffd"
 #: No piece crosses from a word into the mark of the next, so these are cut independently.
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNREACHABLE = -(1 << 50)
-_KEPT = 200_000
+_KEPT = 250_000
 
 
 def default_model() -> str:
@@ -64,18 +64,33 @@ class Vocabulary:
                 self.spelled.append(piece.replace(MARK, " ").encode())
                 rank += 1
         self.byte_cost = -round(1000 * float(np.log(rank + 2))) - 5000
-        self.known: dict[str, tuple[int, int] | bool] = {p[:n]: False for p in self.score for n in range(1, len(p))} | self.score  # False: only begins one
+        self.tree = self._tree()
         self.longest = max(map(len, self.score))
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, tuple[int, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes]] = {}
+
+    def _tree(self) -> dict:
+        """Pieces by their characters: each maps to (what may follow, score or 0, id)."""
+        nodes: dict[str, list] = {"": [{}, 0, 0]}
+        for piece, (score, k) in self.score.items():
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in nodes:
+                    nodes[piece[:n]] = [{}, 0, 0]
+            nodes[piece][1:] = [score, k]
+        for name in sorted(nodes, key=len, reverse=True):
+            if name:
+                nodes[name[:-1]][0][name[-1]] = tuple(nodes[name])
+        return nodes[""][0]
 
     def pieces_at(self, s: str, i: int) -> list[tuple[int, int, int]]:
         """(end, score, id) of the pieces that start at ``i``; a byte spelling has the id -1."""
-        out, get = [], self.known.get
-        for end in range(i + 1, min(len(s), i + self.longest) + 1):
-            if (hit := get(s[i:end])) is None:
+        out, at = [], self.tree
+        for end in range(i + 1, len(s) + 1):
+            if (hit := at.get(s[end - 1])) is None:
                 break
-            if hit:
-                out.append((end, *hit))
+            at = hit[0]
+            if hit[1]:
+                out.append((end, hit[1], hit[2]))
         if not out or out[0][0] != i + 1:
             out.insert(0, (i + 1, self.byte_cost * len(_raw(s[i])), -1))
         return out
@@ -85,19 +100,22 @@ class Vocabulary:
         end = len(s) if end is None else end
         total, back = [UNREACHABLE] * (end + 1), [(0, 0)] * (end + 1)
         total[start] = 0
-        get, longest = self.known.get, self.longest
+        chars, longest = s[start:end], self.longest
         for i in range(start, end):
             base = total[i]
             if base == UNREACHABLE:
                 continue
-            single = False
-            for to in range(i + 1, min(end, i + longest) + 1):
-                if (hit := get(s[i:to])) is None:
+            single, at, to = False, self.tree, i
+            for c in chars[i - start : i - start + longest]:
+                if (hit := at.get(c)) is None:
                     break
-                if hit:
-                    single |= to == i + 1
-                    if base + hit[0] > total[to]:
-                        total[to], back[to] = base + hit[0], (i, hit[1])
+                at, score, k = hit
+                to += 1
+                if score:
+                    if to == i + 1:
+                        single = True
+                    if base + score > total[to]:
+                        total[to], back[to] = base + score, (i, k)
             if not single and base + (cost := self.byte_cost * len(_raw(s[i]))) > total[i + 1]:
                 total[i + 1], back[i + 1] = base + cost, (i, -1)
         ids: list[int] = []
@@ -108,24 +126,27 @@ class Vocabulary:
             at = i
         return total[end], ids[::-1]
 
+    def cut(self, segment: str) -> tuple[int, bytes]:
+        """Best score and ids of one segment, remembered in two generations of a bounded size."""
+        if (got := self.kept.get(segment)) is None:
+            if (got := self.older.get(segment)) is None:
+                score, ids = self.best(segment)
+                got = score, np.array(ids, np.int32).tobytes()
+            if len(segment) < 64:
+                if len(self.kept) > _KEPT:
+                    self.older, self.kept = self.kept, {}
+                self.kept[segment] = got
+        return got
+
     def encode(self, text: str) -> bytes:
         """Piece ids of the whole text as 32-bit integers."""
         if not text:
             return b""
-        kept, cuts = self.kept, SEGMENT.findall(marked(text))
-        got = list(map(kept.get, cuts))
+        segments = SEGMENT.findall(marked(text))
+        got = list(map(self.kept.get, segments))
         if None in got:
-            if len(kept) > _KEPT:
-                kept.clear()
-            for i, ids in enumerate(got):
-                if ids is None:
-                    s = cuts[i]
-                    if (ids := kept.get(s)) is None:
-                        ids = np.array(self.best(s)[1], np.int32).tobytes()
-                        if len(s) < 64:
-                            kept[s] = ids
-                    got[i] = ids
-        return b"".join(got)
+            got = [self.cut(s) if g is None else g for s, g in zip(segments, got)]
+        return b"".join([ids for _, ids in got])
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.spelled.__getitem__, ids.tolist()))[1:].decode(errors="replace")
@@ -146,7 +167,7 @@ class Vocabulary:
         head = np.full(m, UNREACHABLE, np.int64)
         for i in range(min(m - 1, starts[0]) + 1):
             head[i] = self.best(s, i, starts[0])[0]
-        middle = sum(self.best(s[a:b])[0] for a, b in zip(starts, starts[1:]))
+        middle = sum(self.cut(s[a:b])[0] for a, b in zip(starts, starts[1:]))
         tail = self._scan(s, starts[-1], length, [0])[0]
         ok = (head[:, None] > UNREACHABLE // 2) & (tail[None, :] > UNREACHABLE // 2)
         out[ok] = (head[:, None] + middle + tail[None, :])[ok]
@@ -174,7 +195,7 @@ class Vocabulary:
         if not starts or enter > starts[0]:
             return np.array(self.best(s, enter, length + leave)[1], np.int32).tobytes()
         parts = [np.array(self.best(s, enter, starts[0])[1], np.int32).tobytes()] if starts[0] > enter else []
-        parts += [np.array(self.best(s[a:b])[1], np.int32).tobytes() for a, b in zip(starts, starts[1:])]
+        parts += [self.cut(s[a:b])[1] for a, b in zip(starts, starts[1:])]
         parts.append(np.array(self.best(s, starts[-1], length + leave)[1], np.int32).tobytes())
         return b"".join(parts)
 
