@@ -1,0 +1,406 @@
+"""The text operators against plain versions, planted cases and odd input."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from compare import connect, same
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from lagweave.llm import _words, chat, decontaminate, langid, lm, ngram_join, pii, quality, registry, toxicity, urlfilter
+from lagweave.llm import sentencepiece_scan as sp
+from lagweave.llm.components import connected
+
+MEDIUM = "/root/testdata/sf0.01"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Null, empty, white space, one word, ties, non-ASCII, a long text, and clashing extra columns.
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "Word"), (4, "Word"), (None, "no id here at all"), (5, "é\u00a0ß 天\u2581 \U0001f600"), (6, "a " * 40_000), (7, "x" * 70_000),
+    (8, "One two three. Four five six seven eight nine ten eleven.\nHome | About | Contact\nAll rights reserved."), (8, "another text under the same id"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string")
+    return df.withColumns({"key": F.lit("k"), "id": F.lit(9), "sig": F.lit(1.5), "row": F.lit(0), "n": F.lit(None).cast("int"), "spans": F.lit("s"), "score": F.lit(2)})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+# words
+
+
+def test_words_equal_the_pattern():
+    texts = [t or "" for _, t in ODD] + ["a", " b", "c ", "\x1cd\x85e\u2028f"]
+    data, offsets = _words.utf8(pa.array(texts))
+    starts, ends, hashes, bounds = _words.find_words(data, offsets, _words.LOWER)
+    raw = data.tobytes()
+    seen = {}
+    for r, t in enumerate(texts):
+        at = range(bounds[r], bounds[r + 1])
+        got = [raw[starts[i] : ends[i]].decode() for i in at]
+        assert got == WORD.findall(t)
+        for i, w in zip(at, words(t)):
+            assert seen.setdefault(w, hashes[i]) == hashes[i]
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_words_across_pieces(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000)) + " " + "z" * 9000 + " end"
+    whole = _words.find_words(*_words.utf8(pa.array([text])))
+    monkeypatch.setattr(_words, "STEP", 1000)
+    parts = _words.find_words(*_words.utf8(pa.array([text])))
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+# 1 n-gram Jaccard join
+
+
+def brute_components(rows, width, percent):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        k = min(width, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[root(i)] = min(d, low.get(root(i), d))
+    return sorted((d, len(sets[i]), low.get(root(i))) for i, (d, _) in enumerate(rows) if d is not None)
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_join_equals_all_pairs(spark, width, percent):
+    r = random.Random(width)
+    rows = []
+    for base in range(12):
+        n = r.choice([2, 4, 8, 11, 14, 25, 40, 90])
+        text = [f"t{r.randrange(500)}" for _ in range(n)]
+        for _ in range(r.randrange(1, 9)):
+            copy = list(text)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                copy[r.randrange(len(copy))] = f"e{r.randrange(99)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = ngram_join.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent)
+    assert sorted(tuple(x) for x in got.collect()) == brute_components(rows, width, percent)
+
+
+def test_join_odd_input(odd, none):
+    got = ngram_join.link_groups(odd)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    known = [x for x in ODD if x[0] is not None]
+    assert sorted(tuple(x) for x in got.where("doc_id is not null").collect()) == brute_components(known, 3, 90)
+    assert ngram_join.link_groups(none).count() == 0
+
+
+def test_signatures_meet_whenever_linked():
+    r = np.random.default_rng(0)
+    for size in (10, 13, 20, 47, 120):
+        for _ in range(60):
+            a = np.unique(r.integers(1, 1 << 60, size).astype(np.uint64))
+            b = a.copy()
+            for _ in range(r.integers(0, max(2, size // 9))):
+                b = np.delete(b, r.integers(len(b))) if r.random() < 0.5 else np.unique(np.append(b, r.integers(1, 1 << 60, 1).astype(np.uint64)))
+            if not ngram_join.linked(a, b, 90) or len(a) == 0 or ngram_join.set_key(a) == ngram_join.set_key(b):
+                continue
+            for population in (1, 10**6):
+                low = min(ngram_join.band_of(len(a), 90), ngram_join.band_of(len(b), 90))
+                s = ngram_join.plan(low, 90, population)
+                assert set(ngram_join.signatures(a, s)) & set(ngram_join.signatures(b, s))
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 99), (100, 100), (5, 4)], "a long, b long")
+    assert {(r["node"], r["component"]) for r in connected(links).collect()} == {(i, 0) for i in range(61)} | {(99, 99), (100, 99)}
+
+
+# 2 personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TRICKY = [
+    (1, "a@b@c.d x%a@b.cc%d@e.f 1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1 é mail me@x.y"), (2, "4111 1111-1111 1111, 4111111111111112 +1 (310) 555-4510. +12 3"), (3, None), (4, ""),
+    (5, "1" * 30_000 + " " + "4111111111111111 " * 50), (5, "tel: 310-555-4510 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""), (None, "😀 10.0.0.1\n+49 (30) 1234567"),
+]
+
+
+def base_spans(text):
+    def ok(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            return 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+        return kind != "phone" or 9 <= len(d) <= 15
+
+    found = [(m.start(), j, m.end(), k) for j, (k, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text or "") if ok(k, m.group())]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_private_spans_equal_the_patterns(spark):
+    rows = spark.createDataFrame(TRICKY, "doc_id long, text string").withColumn("base", F.lit(1)).union(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", F.lit(2)))
+    found = pii.find_private(rows).select("doc_id", pii.listed(F.col("base")).alias("b"), pii.listed(F.col("spans")).alias("s")).collect()
+    want = Counter((r["doc_id"], base_spans(r["text"])) for r in rows.collect())
+    assert Counter((r["doc_id"], r["b"]) for r in found) == want
+    assert all(set(filter(None, r["b"].split(","))) <= set(r["s"].split(",")) for r in found)
+
+
+def test_redaction(spark, none):
+    docs = spark.createDataFrame(TRICKY, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    out = pii.redact(docs, pii.find_private(docs))
+    got = {r["text"] for r in out.collect()}
+    assert out.columns == docs.columns and out.count() == len(TRICKY) and None in got and "" in got
+    assert any(t and t.startswith("[CARD], 4111111111111112 [PHONE]. +12 3") for t in got)
+    assert pii.redact(none, pii.find_private(none)).count() == 0
+
+
+# 3 pieces
+
+
+def test_pieces_round_trip(spark, odd, none):
+    path = sp.default_model()
+    docs = odd.select("doc_id", "text").union(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    whole = sp.encode(docs, path)
+    cut = sp.encode(docs, path, giant=300, chunk=64)
+    assert whole.where("not exact").count() == 0 and cut.where("not exact").count() == 0
+    back = sp.decode(cut, path)
+    assert Counter((r[0], r[1]) for r in back.collect()) == Counter((r[0], r[1]) for r in docs.collect())
+    assert sp.encode(none, path).count() == 0
+
+
+def test_chunks_score_as_well_as_one_scan():
+    v, r = sp.vocabulary(sp.default_model()), random.Random(1)
+    worth = {k: s for s, k in v.score.values()}
+    for _ in range(150):
+        text = "".join(r.choice(["the ", "  ", "ing", "天", "a", "tion", " ", "\u2581", "é", "\n", "abcdefgh", "0"]) for _ in range(r.randint(1, 90)))
+        s, c = sp.marked(text), r.choice([5, 17, 40])
+        at = range(0, len(s), c)
+        parts = [(s[a : a + c + v.longest - 1], min(c, len(s) - a), a == 0 or (s[a] == sp.MARK and s[a - 1] != sp.MARK)) for a in at]
+        states = sp.combine([v.matrix(*p) for p in parts])
+        ids = np.frombuffer(b"".join(v.trace(*p, *e) for p, e in zip(parts, states)), np.int32)
+        assert v.decode(ids) == text
+        assert sum(worth.get(int(k), v.byte_cost) for k in ids) == v.best(s)[0]
+
+
+# 4 urls
+
+
+def test_urls(spark):
+    urls = [
+        ("http://Example.COM/en/7x?q=1", "example.com", "/en/7x", "example.com/en/7", "allow"), ("https://m.a.com/en/5#t", "m.a.com", "/en/5", "com/en/", "block"),
+        ("x://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"), ("x://net/de/", "net", "/de/", "net/de/", "allow"), ("x://notnet/de/", "notnet", "/de/", None, "allow"),
+        ("x://org", "org", "", None, "allow"), ("x://a?b/c://d", "a", "", None, "allow"), (None, "", "", None, "allow"), ("no scheme/en/", "", "", None, "allow"), ("x://ÄB.com/EN/", "Äb.com", "/EN/", None, "allow"),
+    ]
+    pages = spark.createDataFrame([(i, u[0]) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"host": F.lit(1), "token": F.lit(2)})
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, labels).collect()}
+    assert got == {i: u[1:] for i, u in enumerate(urls)}
+
+
+def test_mined_rules_block_what_was_labelled_bad(spark):
+    rows = [(i, f"http://{'casino' if i % 4 == 0 else 'news'}.site{i % 7}.example/p/{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=())
+    assert {(r["page_id"] % 4 == 0, r["verdict"]) for r in got.collect()} == {(True, "block"), (False, "allow")}
+
+
+# 5 benchmark
+
+
+def test_tiles_are_greedy_and_disjoint():
+    doc, item = list(range(20)) + list(range(5, 12)), list(range(3, 15))
+    pairs = np.array([(i, j) for i in range(len(doc) - 4) for j in range(len(item) - 4) if doc[i : i + 5] == item[j : j + 5]])
+    assert decontaminate.tiles(pairs, len(doc), len(item)) == [(3, 0, 12)]
+
+
+def test_contamination(spark):
+    item = [f"b{i}" for i in range(40)]
+    shuffled = item[20:30] + ["x"] + item[30:] + ["y", "z"] + item[:20]
+    docs = [
+        (1, " ".join(["pad"] * 50 + item + ["pad"] * 9)), (2, "Q " + ", ".join(shuffled).upper() + "."), (3, " ".join(item[:10] + ["pad"] * 30)), (4, None), (5, ""), (6, " ".join(item[i] for i in range(0, 40, 2))),
+        (1, " ".join(item)), (None, " ".join(item * 3)), (7, "short one here"),
+    ]
+    bench = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, "short one here"), (13, " ".join(item))], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    out = decontaminate.tile_matches(df, bench)
+    got = Counter((r["doc_id"], m["item_id"]) for r in out.collect() for m in r["benchmark_matches"])
+    assert got == Counter({(1, 10): 2, (1, 13): 2, (2, 10): 1, (2, 13): 1, (None, 10): 1, (None, 13): 1})
+    assert out.count() == len(docs)
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    listed = lambda df: sorted((r["doc_id"], sorted(m["item_id"] for m in r["benchmark_matches"])) for r in df.collect())
+    whole = listed(decontaminate.tile_matches(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    assert listed(decontaminate.tile_matches(docs, bench)) == whole and any(m for _, m in whole)
+
+
+# 6 chat
+
+
+def test_quotes_are_linked_and_removed(spark):
+    rows = [
+        (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> how are  YOU?\nFine."), (1, 2, "user", "Good to know."), (1, 3, "user", "> Hello there\n> How are you?\nAlso tell me more"),
+        (1, 4, "assistant", ">> Hello there\n>> How are you?\n> Also tell me more\nSure"), (1, 5, "user", "> Fine.\nBack to that"), (2, 0, "user", "x"), (2, 1, None, None), (None, None, "user", ">q"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit(0))
+    out = chat.reply_order(df)
+    got = {(r["conv_id"], r["turn"]): (r["body"], r["parent"], r["reply_key"]) for r in out.collect()}
+    assert got[1, 1] == ("Fine.", 0, [0, 1, 1]) and got[1, 2] == ("Good to know.", 1, [0, 1, 2]) and got[1, 4] == ("Sure", 3, [0, 3, 3, 4, 4]) and got[1, 5][1:] == (1, [0, 1, 1, 5, 5])
+    assert got[2, 1] == ("", 0, [1]) and got[None, -1] == ("", None, [-1])
+    text = {r["conv_id"]: r["text"] for r in chat.conversations(out).collect()}
+    assert [text[1].index(s) for s in ("Hello", "Fine", "Back", "Good", "Also", "Sure")] == sorted(text[1].index(s) for s in ("Hello", "Fine", "Back", "Good", "Also", "Sure")) and ">" not in text[1].replace("|>", "")
+    assert chat.conversations(chat.reply_order(df.limit(0))).count() == 0
+
+
+def test_long_conversations_come_in_blocks(spark):
+    rows = [(7, i, "user", f"m{i}") for i in range(600)]
+    out = chat.conversations(chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).orderBy("block").collect()
+    assert [r["n_messages"] for r in out] == [64] * 9 + [24]
+    assert re.findall(r"m\d+", "".join(r["text"] for r in out)) == [f"m{i}" for i in range(600)]
+
+
+# 7 language model
+
+
+def test_lm_base_equals_counts(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    rows = docs.collect()
+    tokens = [words(r["text"]) + ["\nend"] for r in rows]
+    part = [zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 for r in rows]
+    c = Counter(w for t, p in zip(tokens, part) if p != 1 for w in t)
+    n, v = sum(c.values()), len(c)
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], p == 1, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 4)) for r, t, p in zip(rows, tokens, part))
+    got = lm.score(docs, sp.default_model()).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_scoring_is_one_forward_pass_over_the_text():
+    r = np.random.default_rng(0)
+    net = lm.Network(r.integers(1, 50, 101), r.integers(0, lm.CLASSES, 101), np.log(r.random(101)))
+    net.start(52, lm.CLASSES)
+    for n in (1, 31, 32, 33, 100):
+        ids = r.integers(0, 101, n).astype(np.int32)
+        before, total, done = np.concatenate([[0], net.rank[ids[:-1]]]), 0.0, 0
+        for low in range(0, max(1, n), lm.STRIDE):
+            x = before[low : low + lm.WINDOW]
+            logits = net.forward(x[None], 0)[0][0].astype(float)
+            p = logits - np.log(np.exp(logits).sum(-1, keepdims=True))
+            for k in range(done - low, len(x)):
+                total += p[k, net.group[ids[low + k]]] + net.inside[ids[low + k]]
+            done = low + len(x)
+            if done == n:
+                break
+        assert net.score(np.concatenate([ids, ids]), np.array([0, n, 2 * n])) == pytest.approx([total, total], rel=1e-4)
+
+
+def test_training_beats_uniform_classes():
+    r = np.random.default_rng(0)
+    x = r.integers(2, 22, (64, lm.WINDOW))
+    y = (x * 7) % lm.CLASSES
+    net = lm.Network(np.arange(30), np.arange(30) % lm.CLASSES, np.zeros(30))
+    net.start(30, lm.CLASSES)
+    net.fit(x, y, steps=200)
+    logits = net.forward(x, 0)[0]
+    p = logits - np.log(np.exp(logits).sum(-1, keepdims=True))
+    assert np.take_along_axis(p, y[..., None], -1).mean() > -0.5
+
+
+# 8 language, 9 toxicity
+
+
+def test_language_on_held_out_documents(spark, none):
+    got = langid.op8_language_id(spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 100 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    assert langid.identify(none, langid.fit(none)).count() == 0
+
+
+def test_language_of_odd_texts(spark):
+    docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 8)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (4, "und der hund " * 9), (4, "und der hund " * 9)], "doc_id long, text string").withColumn("score", F.lit("x"))
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in langid.identify(odd, model).collect()) == [(1, "und"), (2, "und"), (3, "und"), (4, "de"), (4, "de")]
+
+
+def slow_segments(scores):
+    """All maximal segments by definition: the best-scoring one, then those left and right of it."""
+    best = max(((sum(scores[a:b]), -(b - a), -a, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=None)
+    if best is None or best[0] <= 1e-12:
+        return []
+    *_, a, b = best
+    return [*slow_segments(scores[:a]), (a, b - 1, round(best[0], 6)), *[(x + b, y + b, s) for x, y, s in slow_segments(scores[b:])]]
+
+
+def test_segments_equal_the_definition():
+    r = random.Random(2)
+    for _ in range(200):
+        scores = [r.choice([1.3, 2.1, 0.7]) if r.random() < 0.4 else -0.5 for _ in range(r.randint(0, 25))]
+        at = [i for i, s in enumerate(scores) if s > 0]
+        assert [(a, b, round(s, 6)) for a, b, s in toxicity.segments(at, [scores[i] for i in at], 0.5)] == slow_segments(scores)
+
+
+def test_toxicity_on_held_out_documents(spark, odd, none):
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    out = toxicity.op9_toxicity(spark, MEDIUM)
+    got = out.join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["toxic"] == r["predicted"] for r in got) >= 0.93 * len(got)
+    assert not any(r["predicted"] for r in got if not r["toxic"])
+    model = toxicity.fit(spark.read.parquet(f"{MEDIUM}/documents.parquet"), labels)
+    assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(none, model).count() == 0
+    assert toxicity.keep_clean(odd, model).columns == odd.columns
+    nothing = toxicity.fit(none, labels.limit(0))
+    assert {r["score"] < 0.5 for r in toxicity.score(odd, nothing).collect()} == {True}
+
+
+# 10 quality
+
+
+def test_line_rules():
+    fails = lambda s: quality.line_fails(s.encode(), s.encode().split())
+    assert fails("Home | About | News | Contact us") and fails("Read more") and fails("BUY!! NOW!! please.") and fails("Licensed under the Apache License, Version 2.0.")
+    assert not fails("A plain sentence of prose, with a comma.") and not fails("Er.") and not fails("one line of seven words without mark")
+
+
+def test_quality_odd_input(spark, odd, none):
+    got = {(r["doc_id"], r["n_words"]): r for r in quality.clean_lines(odd).collect()}
+    assert got[1, 0]["kept"] is False and got[6, 40000]["n_repeat_words"] == 40000 and got[8, 19]["n_lines_removed"] == 2 and got[8, 19]["kept"]
+    assert quality.clean_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_equals_sql(spark, name):
+    same(registry.QUERIES[name](spark, SMALL), connect(SMALL), registry.SQL[name])
+
+
+def test_query_columns(spark):
+    got = registry.QUERIES["op2_pii"](spark, SMALL).first().asDict()
+    assert set(got) >= {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"} and len(got["base_sha256"]) == 64
+    assert hashlib.sha256(b"").hexdigest() == registry.QUERIES["op2_pii"](spark, SMALL).where("spans = ''").first()["base_sha256"]
