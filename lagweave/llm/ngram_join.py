@@ -236,8 +236,8 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     band = F.expr(f"size(filter(array({','.join(map(str, lows))}), x -> x <= n_shingles)) - 1")
     populations = {r["band"]: r["n"] for r in nodes.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # one row a band
     sigs = buckets_of(base.where("doc is not null"), width, percent, populations)
-    spans = sigs.groupBy("sig", "key").agg(F.lit(1).alias("one")).select("sig", "key", F.expr("min(key) over (partition by sig)").alias("low"), F.expr("max(key) over (partition by sig)").alias("high"))
-    shared = written(spans.where("low < high").select("sig", "key"))
+    spans = sigs.select("sig", "key", F.expr("min(key) over (partition by sig)").alias("low"), F.expr("max(key) over (partition by sig)").alias("high"))
+    shared = written(spans.where("low < high").select("sig", "key")).distinct()
     sketches = nodes.join(shared.select("key").distinct(), "key").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     shared = written(shared.join(sketches, "key"))
     texts = texts_of(base, nodes, shared.select("key").distinct())
