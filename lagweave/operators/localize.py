@@ -72,3 +72,10 @@ def llr_mask(real: DataFrame, null: DataFrame, channel: str, t_eff: float, halve
     smoothed = pooled.withColumn("score", F.greatest(*[F.avg("p").over(w.rowsBetween(-h, h)) for h in halves]))
     cut = smoothed.where("k >= 0").groupBy("k").agg(F.max("score").alias("top")).agg(F.greatest(F.percentile("top", F.lit(quantile)), F.lit(floor)).alias("threshold"))
     return smoothed.where("k = -1").crossJoin(F.broadcast(cut)).select("b", "score", "threshold", (F.col("score") > F.col("threshold")).alias("masked"))
+
+
+def masked_breakdown(rows: DataFrame, keys: Keys, value: str, mask: str) -> DataFrame:
+    """(keys, inside, outside, difference): means of ``value`` where ``mask`` holds and where not."""
+    m = F.col(mask)
+    out = rows.groupBy(*keys).agg(F.avg(F.when(m, F.col(value))).alias("inside"), F.avg(F.when(~m, F.col(value))).alias("outside"))
+    return out.withColumn("difference", F.col("inside") - F.col("outside"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
-from lagweave.operators import conditions, discovery, localize, metrics, regression, states, surrogates, temporal
+from lagweave.operators import analysis, conditions, discovery, localize, metrics, regression, selection, signals, states, surrogates, temporal
 from lagweave.sources import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -527,12 +527,8 @@ def ewls_dr2(spark, sf_dir):
 
 @query()
 def group_lasso_select(spark, sf_dir):
-    z = zgrid(spark, sf_dir)
-    lags = temporal.lag_convolution(z, M, BASIS.tolist())
-    wide = lags.groupBy("b").pivot("modality", list(_MODS)).agg(*[F.max(c).alias(c) for c in SOURCE]).na.fill(0.0)
-    columns = [f"{m}_{c}" for m in _MODS for c in SOURCE]
-    rows = wide.join(z.select(F.col("modality").alias("tgt"), "b", F.col("z").alias("y")), "b")
-    return regression.group_lasso(regression.moments(rows, ["tgt"], [*columns, "y"]), ["tgt"], [c.rsplit("_", 1)[0] for c in columns], 0.05)
+    rows, columns, groups = _wide(spark, sf_dir)
+    return regression.group_lasso(regression.moments(rows, ["tgt"], [*columns, "y"]), ["tgt"], groups, 0.05)
 
 
 @query()
@@ -570,3 +566,105 @@ def fourier_surrogates(spark, sf_dir):
 @query()
 def wavelet_power(spark, sf_dir):
     return states.morlet_power(zgrid(spark, sf_dir), M, "z", 4.0, (0.25, 0.5, 1.0))
+
+
+@query(f"WITH {Z} SELECT modality, b, {R('avg(z) OVER (PARTITION BY modality ORDER BY b ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)')} AS smooth FROM z")
+def smooth_centered(spark, sf_dir):
+    return rounded(temporal.smooth(zgrid(spark, sf_dir), M, 2, "z").select("modality", "b", "smooth"), "smooth")
+
+
+@query(f"WITH {Z}, w AS (SELECT modality, b, z, unnest(range(greatest(0, CAST(ceil((b - 11) / 4.0) AS INT)), b // 4 + 1)) AS w FROM z) SELECT modality, CAST(w AS INT) AS w, count(*) AS n, {R('avg(z)')} AS mean FROM w GROUP BY ALL")
+def sliding_windows(spark, sf_dir):
+    return rounded(signals.windows(zgrid(spark, sf_dir), 12, 4).groupBy("modality", "w").agg(F.count("*").alias("n"), F.avg("z").alias("mean")), "mean")
+
+
+BEATS = (
+    EV
+    + """, pk AS (SELECT modality, avg(x) + 0.5 * stddev_pop(x) AS cut FROM ev GROUP BY ALL),
+mk AS (SELECT modality, t, x, cut, max(x) OVER (PARTITION BY modality ORDER BY t RANGE BETWEEN 900 PRECEDING AND 900 FOLLOWING) AS top, lag(x) OVER w AS p, lead(x) OVER w AS q FROM ev JOIN pk USING (modality) WINDOW w AS (PARTITION BY modality ORDER BY t)),
+pe AS (SELECT modality, t FROM mk WHERE x >= cut AND x = top AND x > p AND x >= q), bt AS (SELECT modality, t, CASE WHEN lag(t) OVER w IS NOT NULL THEN least(greatest(t - lag(t) OVER w, 0.3), 2.0) END AS ibi FROM pe WINDOW w AS (PARTITION BY modality ORDER BY t))"""
+)
+
+
+@query(f"WITH {BEATS} SELECT modality, {R('t')} AS t, {R('ibi')} AS ibi FROM bt")
+def beats(spark, sf_dir):
+    return rounded(signals.beats(streams.samples(spark, sf_dir), M, "x", 0.5, 900.0), "t", "ibi")
+
+
+@query(f"WITH {BEATS} SELECT modality, {R('t')} AS t, {R('60 / avg(ibi) OVER (PARTITION BY modality ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)')} AS hr FROM bt")
+def heart_rate(spark, sf_dir):
+    return rounded(signals.heart_rate(signals.beats(streams.samples(spark, sf_dir), M, "x", 0.5, 900.0), M, 86400.0).select("modality", "t", "hr"), "t", "hr")
+
+
+_P = "least(greatest(p, 1e-12), 1 - 1e-12)"
+
+
+@query(f"WITH {STAT}, r AS (SELECT *, row_number() OVER (PARTITION BY tgt ORDER BY p, src) AS i, count(*) OVER (PARTITION BY tgt) AS n FROM pv) SELECT tgt, {R(f'max(sqrt(n) * (i / n - {_P}) / sqrt({_P} * (1 - {_P})))')} AS hc FROM r WHERE i <= greatest(n // 2, 1) GROUP BY ALL")
+def higher_criticism(spark, sf_dir):
+    tests = surrogates.empirical_p(*real_and_null(spark, sf_dir), ["src", "tgt"])
+    return rounded(selection.higher_criticism(tests, ["tgt"], ["src"]), "hc")
+
+
+@query(f"WITH {ACT} SELECT modality, {R('avg(z) FILTER (activity > 0.8)')} AS inside, {R('avg(z) FILTER (NOT activity > 0.8)')} AS outside, {R('avg(z) FILTER (activity > 0.8) - avg(z) FILTER (NOT activity > 0.8)')} AS difference FROM act GROUP BY ALL")
+def masked_breakdown(spark, sf_dir):
+    return rounded(localize.masked_breakdown(agrid(spark, sf_dir).withColumn("on", F.col("activity") > 0.8), M, "z", "on"), "inside", "outside", "difference")
+
+
+BANDS = {"slow": (0.0, 0.5), "fast": (0.5, 2.0)}
+
+
+@query()
+def band_power(spark, sf_dir):
+    return signals.band_power(zgrid(spark, sf_dir), M, "z", 32, 8, 4.0, BANDS)
+
+
+@query()
+def band_coherence(spark, sf_dir):
+    return signals.band_coherence(pair_rows(spark, sf_dir).where("src < tgt"), ["src", "tgt"], "x", "y", 32, 8, 4.0, BANDS)
+
+
+@query()
+def filtered_stream(spark, sf_dir):
+    return signals.filtered(zgrid(spark, sf_dir), M, "z", signals.butterworth(0.1, 1.0, 4.0), 64, 32)
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(tgt, b, lag features of every stream, y), the feature columns and their streams."""
+    z = zgrid(spark, sf_dir)
+    wide = temporal.lag_convolution(z, M, BASIS.tolist()).groupBy("b").pivot("modality", list(_MODS)).agg(*[F.max(c).alias(c) for c in SOURCE]).na.fill(0.0)
+    columns = [f"{m}_{c}" for m in _MODS for c in SOURCE]
+    return wide.join(z.select(F.col("modality").alias("tgt"), "b", F.col("z").alias("y")), "b"), columns, [c.rsplit("_", 1)[0] for c in columns]
+
+
+@query()
+def stability_selection(spark, sf_dir):
+    rows, columns, groups = _wide(spark, sf_dir)
+    return selection.stability(rows, ["tgt"], columns, groups, "y", 0.05)
+
+
+@query()
+def block_selection(spark, sf_dir):
+    rows, columns, groups = _wide(spark, sf_dir)
+    return selection.blocks(rows, ["tgt"], columns, groups, "y", 0.1, 30)
+
+
+@query()
+def pathway_decision(spark, sf_dir):
+    rows, columns, groups = _wide(spark, sf_dir)
+    return selection.decide(selection.stability(rows, ["tgt"], columns, groups, "y", 0.05), selection.blocks(rows, ["tgt"], columns, groups, "y", 0.1, 30), ["tgt"])
+
+
+@query()
+def embedding_components(spark, sf_dir):
+    vectors = streams.table(spark, sf_dir, "embeddings")
+    return signals.project(vectors, "embedding", signals.principal_components(vectors, "embedding", 16, 3)).select("vec_id", "pc0", "pc1", "pc2")
+
+
+@query()
+def block_shuffle_surrogate(spark, sf_dir):
+    return selection.block_shuffle(zgrid(spark, sf_dir).withColumn("x", F.col("z")), M, 8, 1)
+
+
+@query()
+def session_analysis(spark, sf_dir):
+    return analysis.analyze(streams.samples(spark, sf_dir), ["modality"])
