@@ -37,22 +37,27 @@ def segments(positions: list[int], scores: list[float], drift: float) -> list[tu
     ``positions`` rise and have positive ``scores``; every position between them scores -``drift``.
     This is the Ruzzo-Tompa scan with the runs of negative positions taken in one step.
     """
-    found: list[list[float]] = []  # first, last, sum before, sum after
+    done: list[tuple[int, int, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, the nearest with less before
     total, last = 0.0, None
     for p, s in zip(positions, scores):
         total -= drift * (p - last - 1) if last is not None else 0.0
-        new = [p, p, total, total + s]
+        new = (p, p, total, total + s)
         total, last = total + s, p
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+                j = found[j][4]
+            if j < 0:  # no later segment can join one that starts higher
+                done += [(a, b, after - before) for a, b, before, after, _ in found]
+                found = [(*new, -1)]
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            if found[j][3] >= new[3]:
+                found.append((*new, j))
+                break
+            new = (found[j][0], new[1], found[j][2], new[3])
             del found[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in found]
+    return done + [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 @dataclass
