@@ -322,6 +322,31 @@ def test_scoring_is_one_forward_pass_over_the_text():
         assert net.score(np.concatenate([ids, ids]), np.array([0, n, 2 * n])) == pytest.approx([total, total], rel=1e-4)
 
 
+def test_model_learns_from_all_texts_and_not_from_copies(spark):
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 300, 30)) for _ in range(1500)] + ["long " * 2000 + "tail"] + ["copy of one text " * 40] * 1000
+    splitter = lm._pieces(sp.default_model())
+    ids = [[i for w in t.split() for i in splitter.encode(w)] + [splitter.get_piece_size()] for t in texts]
+    pieces = np.bincount(np.concatenate(ids), minlength=splitter.get_piece_size() + 1)
+    rank = np.arange(len(pieces)) % 1000
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = lm.contexts(docs, rank, 1.0, sp.default_model()).cache()
+    got = Counter()
+    for row in found.where("next is not null").collect():
+        for b, n in zip(row["before"], row["n"]):
+            got[row["next"], b] += n
+    assert got == Counter((b, rank[a]) for t in ids for a, b in zip(t, t[1:]))
+    starts = {tuple(t): range(0, max(1, len(t) - lm.WINDOW + lm.STRIDE), lm.STRIDE) for t in ids}
+    want = Counter(tuple(([-1] + list(t))[k : k + lm.WINDOW + 1]) for t, at in starts.items() for k in at)
+    windows = found.where("key is not null").select("key", "ids").dropDuplicates(["key"])
+    assert Counter(tuple(w["ids"]) for w in windows.collect()) == want
+    net = lm.Network(np.minimum(rank, 1001), rank % lm.CLASSES, np.zeros(len(rank)))
+    net.start(1002, lm.CLASSES)
+    before = {k: v.copy() for k, v in net.weights.items()}
+    assert lm.fit_on_cluster(net, windows, 16) == 16  # every cell takes part
+    assert all(np.isfinite(v).all() and (v != before[k]).any() for k, v in net.weights.items())
+
+
 def test_training_beats_uniform_classes():
     r = np.random.default_rng(0)
     x = r.integers(2, 22, (64, lm.WINDOW))
