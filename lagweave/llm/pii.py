@@ -28,7 +28,7 @@ BASE = {
 MORE = (
     ("email", r"[A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,20})+", "at"),
     ("phone", r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])", None),
-    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]{15,}(?![A-Za-z0-9+/_-])", None),
+    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+", None),
 )
 CONTEXT = 24
 #: Words near personal data, by kind.
