@@ -2,7 +2,8 @@
 
 Generators of high recall propose overlapping spans. Boosted trees weigh the format of a candidate
 and what stands around it; thresholds calibrated per kind select redactions. Spans that pass the
-exact format checks (the base) always stay; selected candidates that overlap none are added.
+exact format checks (the base) always stay; of the others, candidates with evidence of format or
+context and those that the trees select are added.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagweave.llm._shared import written
@@ -38,6 +39,12 @@ HINTS = {
     "h_card": "card|visa|account|iban|payment",
     "h_secret": "token|password|passwd|secret|api.?key|credential",
 }
+#: Formats that are personal data wherever they stand: obfuscated addresses, national numbers, issued keys.
+FORMATS = {
+    "email": r"(?i)[(\[]dot[)\]]|\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|ch|uk|ru)$",
+    "phone": r"^(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-][2-9][0-9]{2}[ .-][0-9]{4}$",
+    "secret": r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$",
+}
 FEATURES = ("kind_no", "n", "digits", "letters", "uppers", "marks", "spaces", "dots", "hexes", "at", "plus", "luhn", "octets", "assigned", "quoted", "touches_left", "touches_right", *HINTS)
 
 
@@ -82,8 +89,24 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def evident(kind: str, x: Column) -> Column:
+    """Whether a candidate shows by its format, or a word before it, that it is of its kind."""
+    if kind == "ip":
+        return F.lit(False)  # beyond the exact check there is none
+    n = F.length(F.regexp_replace(x["match"], "[^0-9]", ""))
+    near = F.lower(x["left"]).rlike(HINTS[f"h_{'mail' if kind == 'email' else kind}"])
+    if kind == "card":
+        return near & n.between(12, 19)
+    if kind == "phone":
+        near = near & n.between(7, 15)
+    return near | x["match"].rlike(FORMATS[kind])
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, base, candidates): spans by exact format, and all proposals with a label.
+    """(id, text_key, base, candidates): spans by exact format, and all proposals.
+
+    A proposal is ``over`` where it overlaps a base span, and ``ok`` where that span is of its kind
+    or its format or context is evidence.
 
     A text without any proposal has a null ``text_key``.
     """
@@ -93,11 +116,11 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     out = out.withColumns({f"f_{k}": F.when(needs[k], located(F.col("text"), p)).otherwise(F.expr(NONE)) for k, p in BASE.items()})
     out = out.withColumns({f"m_{i}": F.when(F.instr("text", need) > 0 if need else F.col("figures"), located(F.col("text"), p)).otherwise(F.expr(NONE)) for i, (_, p, need) in enumerate(MORE)})
 
-    def span(kind: str, x: Column, ok: Column) -> Column:
-        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), x["end"].alias("end"), x["match"].alias("match"), x["left"].alias("left"), x["right"].alias("right"), ok.alias("ok"))
+    def span(kind: str, x: Column, ok: Column, over: Column) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), x["end"].alias("end"), x["match"].alias("match"), x["left"].alias("left"), x["right"].alias("right"), ok.alias("ok"), over.alias("over"))
 
-    def spans(name: str, kind: str, keep=lambda x: F.lit(True), ok=lambda x: F.lit(True)) -> Column:
-        return F.transform(F.filter(name, keep), lambda x: span(kind, x, ok(x)))
+    def spans(name: str, kind: str, keep=lambda x: F.lit(True), ok=lambda x: F.lit(True), over=lambda x: F.lit(True)) -> Column:
+        return F.transform(F.filter(name, keep), lambda x: span(kind, x, ok(x), over(x)))
 
     def passing(kind: str):
         return lambda x: passes(kind, x["match"])
@@ -105,8 +128,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = F.concat(*(spans(f"f_{k}", k, keep=passing(k)) for k in BASE))
     out = out.withColumn("valid", base)
     hit = lambda x: F.exists("valid", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    near = lambda x: F.lower(x["left"]).rlike(HINTS["h_secret"])
-    loose = [spans(f"f_{k}", k, ok=hit) for k in BASE] + [spans(f"m_{i}", k, ok=near if k == "secret" else hit) for i, (k, *_) in enumerate(MORE)]
+    own = lambda k: lambda x: evident(k, x) | F.exists("valid", lambda b: (b["kind_no"] == KINDS.index(k)) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    loose = [spans(f"f_{k}", k, ok=own(k), over=hit) for k in BASE] + [spans(f"m_{i}", k, ok=own(k), over=hit) for i, (k, *_) in enumerate(MORE)]
     out = out.withColumn("candidates", F.concat(*loose))
     plain = F.transform("valid", lambda x: F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end")))
     return out.select("id", F.when(F.size("candidates") > 0, F.sha2("text", 256)).alias("text_key"), F.array_sort(plain).alias("base"), "candidates")
@@ -130,28 +153,50 @@ def featured(candidates: DataFrame) -> DataFrame:
 
 
 def select_more(found: DataFrame, max_rows: int = 20_000, precision: float = 0.95, trees: int = 8, depth: int = 3) -> DataFrame:
-    """(text_key, more): candidates that the trees select, for texts that have any.
-
-    The trees are fitted on at most ``max_rows`` candidates, those with the smallest hashes; labels
-    are the exact checks, and for secrets a telling word before them. A kind's threshold is the
-    lowest probability from which, over all held-out candidates, the share of label 1 is at least
-    ``precision``. With one class only nothing is selected.
+    """(text_key, more): candidates with evidence and those that the trees find like them, for texts that have any.
+
+    The trees are fitted on at most ``max_rows`` candidates of each kind and label, those with the
+    smallest hashes, all groups weighing the same. Labels are evidence of format or context; what
+    overlaps the base counts only where it is of the base span's kind, never as a negative. A kind's
+    threshold is the lowest probability from which, over all held-out candidates that could be added,
+    the share of label 1 is at least ``precision``; a kind with no label 1 there uses all candidates.
+    With one class only the evidence selects.
     """
     each = found.where("text_key is not null").groupBy("text_key").agg(F.first("candidates").alias("cs")).select("text_key", F.explode("cs").alias("c"))
     rows = written(featured(each))
     half = F.pmod(F.xxhash64("text_key"), F.lit(2))
-    sample = written(rows.where(half == 0).orderBy(F.xxhash64("text_key", "c.start", "c.kind_no")).limit(max_rows).select("label", *FEATURES))
-    if sample.select("label").distinct().count() < 2:
-        return rows.select("text_key", F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int>>)").alias("more")).limit(0)
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, labelCol="label").fit(assemble.transform(sample))
-    scored = model.transform(assemble.transform(rows)).select("text_key", "c", "kind_no", "label", vector_to_array("probability")[1].alias("p"))
+
+    def drawn(some: DataFrame) -> tuple[DataFrame, dict[tuple[float, float], int]]:
+        by = Window.partitionBy("kind_no", "label").orderBy(F.xxhash64("text_key", "c.start", "c.kind_no"), "text_key", "c.start", "c.end")
+        few = written(some.where("not c.over or label = 1").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_rows).select("label", *FEATURES))
+        return few, {(r["kind_no"], r["label"]): r["n"] for r in few.groupBy("kind_no", "label").agg(F.count("*").alias("n")).collect()}
+
+    sample, sizes = drawn(rows.where(half == 0))
+    if len({y for _, y in sizes}) < 2:
+        sample, sizes = drawn(rows)
+    open_rows = rows.where("not c.over")
+    if len({y for _, y in sizes}) < 2:
+        scored = open_rows.select("text_key", "c", "kind_no", "label", F.col("label").alias("p"))
+    else:
+        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        mean = sum(sizes.values()) / len(sizes)
+        weight = F.coalesce(*[F.when((F.col("kind_no") == k) & (F.col("label") == y), F.lit(mean / n)) for (k, y), n in sorted(sizes.items())])
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, labelCol="label", weightCol="weight").fit(assemble.transform(sample.withColumn("weight", weight)))
+        scored = model.transform(assemble.transform(open_rows)).select("text_key", "c", "kind_no", "label", vector_to_array("probability")[1].alias("p"))
     scored = written(scored)
-    bins = scored.where(half == 1).groupBy("kind_no", F.floor(F.col("p") * 50).alias("bin")).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()  # at most 51 a kind
-    cut = {k: threshold([(r["bin"], r["yes"], r["n"]) for r in bins if r["kind_no"] == k], precision) for k in range(len(KINDS))}
+    bins = scored.groupBy("kind_no", (half == 1).alias("held"), F.floor(F.col("p") * 50).alias("bin")).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()  # at most 102 a kind
+    cut = {}
+    for k in range(len(KINDS)):
+        mine = [r for r in bins if r["kind_no"] == k]
+        held = [r for r in mine if r["held"]]
+        merged: dict[int, tuple[float, int]] = {}
+        for r in held if any(r["yes"] for r in held) else mine:
+            yes, n = merged.get(r["bin"], (0.0, 0))
+            merged[r["bin"]] = (yes + r["yes"], n + r["n"])
+        cut[k] = threshold([(b, yes, n) for b, (yes, n) in merged.items()], precision)
     limit = F.element_at(F.array(*[F.lit(cut[k]) for k in range(len(KINDS))]), F.col("kind_no").cast("int") + 1)
     span = F.struct(F.col("c.start").alias("start"), F.col("c.kind_no").alias("kind_no"), F.col("c.end").alias("end"), F.col("p"))
-    chosen = scored.where(F.col("p") >= limit).groupBy("text_key").agg(F.collect_list(span).alias("cs"))  # spans of one text
+    chosen = scored.where((F.col("p") >= limit) | (F.col("label") == 1)).groupBy("text_key").agg(F.collect_list(span).alias("cs"))  # spans of one text
     better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (F.struct(y["p"], y["end"] - y["start"], -y["start"], -y["kind_no"]) > F.struct(x["p"], x["end"] - x["start"], -x["start"], -x["kind_no"]))
     lone = F.array_distinct(F.filter("cs", lambda x: ~F.exists("cs", lambda y: better(x, y))))
     return chosen.select("text_key", F.transform(lone, lambda x: F.struct(x["start"], x["kind_no"], x["end"])).cast("array<struct<start:int,kind_no:int,end:int>>").alias("more"))
