@@ -6,10 +6,11 @@ shared out by (stream, window) or (stream, chunk with halo), never one task a re
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,13 +163,35 @@ def angle(a: Column, b: Column, c: Column) -> Column:
 
 
 def principal_components(vectors: DataFrame, vector: str, n_channels: int, k: int) -> np.ndarray:
-    """(k, channels) loadings from one aggregate of second moments; the largest loading of each is positive."""
-    x = [F.col(vector)[c].cast("double") for c in range(n_channels)]
-    pairs = F.array(*[F.covar_pop(x[i], x[j]) for i in range(n_channels) for j in range(i, n_channels)])
-    flat = vectors.agg(pairs.alias("c")).first()["c"]
-    cov = np.zeros((n_channels, n_channels))
-    cov[np.triu_indices(n_channels)] = [v or 0.0 for v in flat]
-    cov = cov + np.triu(cov, 1).T
+    """(k, channels) loadings from second moments summed per task; the largest loading of each is positive.
+
+    A covariance is over the rows that have both channels.
+    """
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    some = rows.first()
+    near = np.zeros(n_channels)  # any row of the data as origin keeps the moments small
+    if some is not None:
+        near[: len(some["v"])] = [x or 0.0 for x in some["v"][:n_channels]]
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, p = (np.zeros((n_channels, n_channels)) for _ in range(3))
+        for batch in batches:
+            sizes = batch.column(0).value_lengths().to_numpy()
+            at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            x = np.full((len(sizes), n_channels), np.nan)
+            row, inside = np.repeat(np.arange(len(sizes)), sizes), at < n_channels
+            x[row[inside], at[inside]] = batch.column(0).flatten().to_numpy(zero_copy_only=False)[inside]
+            have = (~np.isnan(x)).astype(float)
+            x = np.where(have > 0, x - near, 0.0)
+            n, s, p = n + have.T @ have, s + x.T @ have, p + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_channels**2)), *(pa.array(m.ravel()) for m in (n, s, p))], names=["at", "n", "s", "p"])
+
+    cov = np.zeros(n_channels**2)
+    n, s, p = cov.copy(), cov.copy(), cov.copy()
+    for r in rows.mapInArrow(moments, "at long, n double, s double, p double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("p").alias("p")).collect():  # a row a pair of channels
+        n[r["at"]], s[r["at"]], p[r["at"]] = r["n"], r["s"], r["p"]
+    n, s, p = (m.reshape(n_channels, n_channels) for m in (np.maximum(n, 1), s, p))
+    cov = p / n - s * s.T / n**2
     load = np.linalg.eigh(cov)[1][:, ::-1][:, :k].T
     return load * np.sign(load[np.arange(len(load)), np.abs(load).argmax(1)])[:, None]
 

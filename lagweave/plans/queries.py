@@ -657,7 +657,7 @@ def pathway_decision(spark, sf_dir):
 @query()
 def embedding_components(spark, sf_dir):
     vectors = streams.table(spark, sf_dir, "embeddings")
-    return signals.project(vectors, "embedding", signals.principal_components(vectors, "embedding", 16, 3)).select("vec_id", "pc0", "pc1", "pc2")
+    return signals.project(vectors, "embedding", signals.principal_components(vectors, "embedding", 64, 3)).select("vec_id", "pc0", "pc1", "pc2")
 
 
 @query()

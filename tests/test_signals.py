@@ -7,6 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from lagweave.operators import analysis, selection, signals
+from lagweave.plans import queries
 from lagweave.sources import streams
 
 RATE = 64.0
@@ -78,3 +79,13 @@ def test_selection_agrees_on_planted_groups(spark):
 def test_whole_analysis(spark):
     out = analysis.analyze(streams.samples(spark, SMALL), ["modality"], analysis.Config().merged(excluded=("view",)))
     assert out.count() == 12 and {"dr2", "p_adjusted", "significant"} <= set(out.columns)
+
+
+def test_embedding_components_are_those_of_all_channels(spark):
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    x = np.array(vectors["embedding"].tolist(), float)
+    assert x.shape[1] == 64
+    load = np.linalg.eigh(np.cov(x.T, bias=True))[1][:, ::-1][:, :3]
+    load *= np.sign(load[np.abs(load).argmax(0), range(3)])
+    got = queries.QUERIES["embedding_components"](spark, SMALL).toPandas().sort_values("vec_id")[["pc0", "pc1", "pc2"]].to_numpy()
+    assert got == pytest.approx(x @ load, abs=1e-5)
