@@ -1,4 +1,4 @@
-"""Tables written once and read again, in the folder that all executors share."""
+"""Tables written once and read again, in the folder that all executors share, and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -6,12 +6,22 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot with over this many rows and over a thousandth of all; its rows are dealt to so many pieces.
+HOT_ROWS, PIECES = 200, 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a new local folder."""
+    """spark.checkpoint.dir of the session; where it is unset, as in tests, a new local folder.
+
+    Only a local session may have it unset: executors elsewhere don't see the driver's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -21,4 +31,30 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table: read again without its lineage, and there when executors are lost."""
     path = f"{shared_folder(df.sparkSession)}/lagweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has each ``key`` once, so that a hot key is no hot task.
+
+    At most a thousand keys can be hot by their definition, so these are broadcast; rows of ``many``
+    with such a key are dealt to ``PIECES`` pieces by their column ``spread``, and the row of ``one`` is
+    copied to each piece.
+    """
+    total = many.agg(F.count("*").alias("_total"))
+    counts = many.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = F.broadcast(counts.join(F.broadcast(total), F.expr("_n * 1000 > _total")).select("_hot"))
+    columns = [F.col(c) for c in many.columns]
+    left = many.join(hot, many[key] == F.col("_hot"), "left").select(*columns, F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(PIECES)).cast("int") + 1).otherwise(0).alias("_piece"))
+    right = one.join(hot, one[key] == F.col("_hot"), "left").select(*[one[c] for c in one.columns], F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(1), F.lit(PIECES))).otherwise(F.array(F.lit(0)))).alias("_piece"))
+    return left.join(right, [key, "_piece"], how).drop("_piece")

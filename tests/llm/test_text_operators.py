@@ -109,12 +109,11 @@ def test_join_equals_all_pairs(spark, width, percent):
                 copy[r.randrange(len(copy))] = f"e{r.randrange(99)}"
             rows.append((len(rows), " ".join(copy)))
     got = ngram_join.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent)
-    assert sorted(tuple(x) for x in got.collect()) == brute_components(rows, width, percent)
+    assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == brute_components(rows, width, percent)
 
 
 def test_join_odd_input(odd, none):
-    got = ngram_join.link_groups(odd)
-    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    got = ngram_join.link_groups(odd).select("doc_id", "n_shingles", "component_id")
     known = [x for x in ODD if x[0] is not None]
     assert sorted(tuple(x) for x in got.where("doc_id is not null").collect()) == brute_components(known, 3, 90)
     assert ngram_join.link_groups(none).count() == 0
@@ -122,18 +121,58 @@ def test_join_odd_input(odd, none):
 
 def test_signatures_meet_whenever_linked():
     r = np.random.default_rng(0)
-    for size in (10, 13, 20, 47, 120):
-        for _ in range(60):
+    met = 0
+    for size in (4, 5, 7, 10, 13, 20, 47, 120):
+        for n in range(120):
+            percent = (90, 80)[n % 2]
             a = np.unique(r.integers(1, 1 << 60, size).astype(np.uint64))
             b = a.copy()
-            for _ in range(r.integers(0, max(2, size // 9))):
+            for _ in range(r.integers(0, max(2, size // 4))):
                 b = np.delete(b, r.integers(len(b))) if r.random() < 0.5 else np.unique(np.append(b, r.integers(1, 1 << 60, 1).astype(np.uint64)))
-            if not ngram_join.linked(a, b, 90) or len(a) == 0 or ngram_join.set_key(a) == ngram_join.set_key(b):
+            if len(b) == 0 or not ngram_join.linked(a, b, percent) or ngram_join.set_key(a) == ngram_join.set_key(b):
                 continue
+            met += 1
+            common = np.unique(r.choice(np.concatenate([a, b]), int(len(a) * r.choice([0, 0.3, 0.9, 1.0]))))
             for population in (1, 10**6):
-                low = min(ngram_join.band_of(len(a), 90), ngram_join.band_of(len(b), 90))
-                s = ngram_join.plan(low, 90, population)
-                assert set(ngram_join.signatures(a, s)) & set(ngram_join.signatures(b, s))
+                for shared in (0.001, 0.9):
+                    low = min(ngram_join.band_of(len(a), percent), ngram_join.band_of(len(b), percent))
+                    s = ngram_join.plan(low, percent, population, shared)
+                    x, y = (ngram_join.signatures(t, s, np.isin(t, common))[0] for t in (a, b))
+                    assert set(x.tolist()) & set(y.tolist())
+    assert met > 200
+
+
+def test_common_tokens_bring_no_crowd_together():
+    r = np.random.default_rng(1)
+    passage = r.integers(1, 1 << 60, 60).astype(np.uint64)
+    scheme = ngram_join.plan(ngram_join.band_of(300, 80), 80, 1000, 1e-4)
+    own, with_common = [], []
+    for _ in range(50):
+        tokens = np.unique(np.concatenate([passage, r.integers(1, 1 << 60, 240).astype(np.uint64)]))
+        own.append(set(ngram_join.signatures(tokens, scheme)[0].tolist()))
+        sigs, hot = ngram_join.signatures(tokens, scheme, np.isin(tokens, passage))
+        with_common.append(set(sigs[~hot].tolist()))
+    shared = lambda sets: len(set.union(*sets)) < sum(map(len, sets))
+    assert shared(own) and not shared(with_common)
+
+
+def test_join_of_crowds(spark, monkeypatch):
+    """A crowd of near copies, one of copies, and documents of which a passage of many is the larger part."""
+    r = random.Random(5)
+    monkeypatch.setattr(ngram_join, "COMMON_FROM", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    passage, base = [f"p{i}" for i in range(30)], [f"b{i}" for i in range(40)]
+    rows = []
+    for _ in range(60):
+        copy = list(base)
+        copy[r.randrange(40)] = f"x{r.randrange(999)}"
+        rows.append(" ".join(copy))
+    rows += ["the same text again and again and again"] * 50
+    rows += [" ".join([f"u{r.randrange(9999)}" for _ in range(r.choice([1, 3, 8, 20]))] + passage) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    for width, percent in ((3, 90), (5, 80)):
+        got = ngram_join.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent)
+        assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == brute_components(rows, width, percent)
 
 
 def test_components_of_a_chain(spark):
