@@ -24,16 +24,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of the smallest id.
 
-    Groups link word five-grams at a similarity of 0.8. Rows without an id stay; of rows with the
-    same id and the same text one stays.
+    Groups link word five-grams at a similarity of 0.8. Rows are told apart by id and text: where an id
+    has several texts each is judged on its own, and of rows with the same id and text one stays. Rows
+    without words stay.
     """
     groups = written(ngram_join.link_groups(docs, width=5, percent=80))
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    copies = groups.where("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
     few = copies.count() <= MAX_BROADCAST_IDS
-    kept = docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))
-    return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    kept = docs.join(F.broadcast(copies) if few else copies, same, "left_anti")
+    again = groups.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= MAX_BROADCAST_IDS else again
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
