@@ -8,13 +8,15 @@ context and those that the trees select are added.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagweave.llm._shared import written
+from lagweave.llm._shared import dropped, salted_join, written
 
 #: Kinds in the order of the base, then those that only the method finds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -25,12 +27,14 @@ BASE = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Further generators: (kind, pattern, a text that it needs or None).
+#: Further generators of high recall.
 MORE = (
-    ("email", r"[A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,20})+", "at"),
-    ("phone", r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])", None),
-    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+", None),
+    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,20})+"),
+    ("phone", r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"),
 )
+#: What a text with a match of each generator has, found sooner than the match: a character, or a short pattern.
+NEEDS = ("@", r"[0-9]\.[0-9]++\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){11}", "+", r"(?i)[(\[]at[)\]]", r"[0-9]\)?[ .-][0-9]{3,4}[ .-][0-9]{3}", "[0-9]")
 CONTEXT = 24
 #: Words near personal data, by kind.
 HINTS = {
@@ -45,31 +49,12 @@ FORMATS = {
     "phone": r"^(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-][2-9][0-9]{2}[ .-][0-9]{4}$",
     "secret": r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$",
 }
-FEATURES = ("kind_no", "n", "digits", "letters", "uppers", "marks", "spaces", "dots", "hexes", "at", "plus", "luhn", "octets", "assigned", "quoted", "touches_left", "touches_right", *HINTS)
-
-
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, left, right>> of all leftmost non-overlapping matches.
-
-    The pieces between matches give the offsets, in code points, and the context.
-    """
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("h"))
-    starts = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.length(p["g"]))).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    return F.zip_with(
-        pairs,
-        starts,
-        lambda p, s: F.struct(s.alias("start"), (s + F.length(p["m"])).alias("end"), p["m"].alias("match"), F.right(p["g"], F.lit(CONTEXT)).alias("left"), F.left(p["h"], F.lit(CONTEXT)).alias("right")),
-    )
+FEATURES = ("kind", "n", "digits", "letters", "uppers", "marks", "spaces", "dots", "hexes", "at", "plus", "luhn", "octets", "assigned", "quoted", "touches_left", "touches_right", *HINTS)
 
 
-NONE = "cast(array() as array<struct<start:int,end:int,match:string,left:string,right:string>>)"
+HIT = "struct<gen:int,nth:int,gap:int,size:int,match:string,left:string,right:string>"
+SPAN = "struct<start:int,kind_no:int,end:int>"
+NONE = f"cast(array() as array<{SPAN}>)"
 
 
 def luhn(digits: Column) -> Column:
@@ -89,100 +74,114 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def evident(kind: str, x: Column) -> Column:
-    """Whether a candidate shows by its format, or a word before it, that it is of its kind."""
+def evident(kind: str, x: Callable[[str], Column]) -> Column:
+    """Whether a candidate, given by its columns, shows by its format or a word before it that it is of its kind."""
     if kind == "ip":
         return F.lit(False)  # beyond the exact check there is none
-    n = F.length(F.regexp_replace(x["match"], "[^0-9]", ""))
-    near = F.lower(x["left"]).rlike(HINTS[f"h_{'mail' if kind == 'email' else kind}"])
+    n = F.length(F.regexp_replace(x("match"), "[^0-9]", ""))
+    near = F.lower(x("left")).rlike(HINTS[f"h_{'mail' if kind == 'email' else kind}"])
     if kind == "card":
         return near & n.between(12, 19)
     if kind == "phone":
         near = near & n.between(7, 15)
-    return near | x["match"].rlike(FORMATS[kind])
+    return near | x("match").rlike(FORMATS[kind])
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, base, candidates): spans by exact format, and all proposals.
+    """(id, text_key, hits): the leftmost non-overlapping matches of all generators, in one pass over the texts.
 
-    A proposal is ``over`` where it overlaps a base span, and ``ok`` where that span is of its kind
-    or its format or context is evidence.
-
-    A text without any proposal has a null ``text_key``.
+    A hit has its generator and number, the code points from the match before it (``gap``), its own
+    (``size``), and what stands around it. A text without any has a null ``text_key``.
     """
+    patterns = [*BASE.values(), *(p for _, p in MORE)]
+    text = F.col("text")
+    has = [F.instr(text, need) > 0 if len(need) == 1 else text.rlike(need) for need in NEEDS]
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = out.withColumn("figures", F.col("text").rlike("[0-9]"))
-    needs = {"email": F.instr("text", "@") > 0, "ip": F.col("figures"), "card": F.col("figures"), "phone": F.col("figures") & (F.instr("text", "+") > 0)}
-    out = out.withColumns({f"f_{k}": F.when(needs[k], located(F.col("text"), p)).otherwise(F.expr(NONE)) for k, p in BASE.items()})
-    out = out.withColumns({f"m_{i}": F.when(F.instr("text", need) > 0 if need else F.col("figures"), located(F.col("text"), p)).otherwise(F.expr(NONE)) for i, (_, p, need) in enumerate(MORE)})
+    out = out.withColumns({f"f_{i}": F.when(has[i], F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))) for i, p in enumerate(patterns)})
+
+    def hits(i: int, pattern: str) -> Column:
+        found, gaps = F.col(f"f_{i}"), F.split(text, pattern, -1)
+        around = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("h"))
+        each = F.transform(around, lambda x, n: F.struct(F.lit(i).alias("gen"), n.alias("nth"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), x["m"].alias("match"), F.right(x["g"], F.lit(CONTEXT)).alias("left"), F.left(x["h"], F.lit(CONTEXT)).alias("right")))
+        return F.when(F.size(found) > 0, each).otherwise(F.expr(f"cast(array() as array<{HIT}>)"))
+
+    some = F.greatest(*[F.coalesce(F.size(f"f_{i}"), F.lit(0)) for i in range(len(patterns))]) > 0
+    every = F.concat(*[hits(i, p) for i, p in enumerate(patterns)])
+    return out.select("id", F.when(some, F.sha2("text", 256)).alias("text_key"), F.when(some, every).alias("hits"))
+
 
-    def span(kind: str, x: Column, ok: Column, over: Column) -> Column:
-        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), x["end"].alias("end"), x["match"].alias("match"), x["left"].alias("left"), x["right"].alias("right"), ok.alias("ok"), over.alias("over"))
+def candidates(found: DataFrame) -> DataFrame:
+    """(text_key, gen, kind_no, start, end, match, left, right, valid, over, ok), one row a hit of each distinct text.
 
-    def spans(name: str, kind: str, keep=lambda x: F.lit(True), ok=lambda x: F.lit(True), over=lambda x: F.lit(True)) -> Column:
-        return F.transform(F.filter(name, keep), lambda x: span(kind, x, ok(x), over(x)))
+    ``valid`` hits are the base. Others are ``over`` where they overlap a base span, and ``ok`` where
+    that span is of their kind or their format or context is evidence. Places are running sums and
+    overlaps are running extremes in order of the start, so the work is linear in a text's hits.
+    """
+    kinds = [*BASE, *(k for k, _ in MORE)]
+    each = found.where("text_key is not null").groupBy("text_key").agg(F.first("hits").alias("hits")).select("text_key", F.explode("hits").alias("h")).select("text_key", "h.*")
+    so_far = Window.partitionBy("text_key", "gen").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    by_gen = lambda columns: F.coalesce(*[F.when(F.col("gen") == i, c) for i, c in enumerate(columns)])
+    each = each.withColumns({"kind_no": by_gen([F.lit(KINDS.index(k)) for k in kinds]), "valid": by_gen([passes(k, F.col("match")) for k in BASE] + [F.lit(False)] * len(MORE)), "shown": by_gen([evident(k, F.col) for k in kinds])})
 
-    def passing(kind: str):
-        return lambda x: passes(kind, x["match"])
+    def meets(*keys: str) -> Column:
+        before = Window.partitionBy(*keys).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+        after = Window.partitionBy(*keys).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+        return F.coalesce(F.max(F.when(F.col("valid"), F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(F.col("valid"), F.col("start"))).over(after) < F.col("end"), F.lit(False))
 
-    base = F.concat(*(spans(f"f_{k}", k, keep=passing(k)) for k in BASE))
-    out = out.withColumn("valid", base)
-    hit = lambda x: F.exists("valid", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    own = lambda k: lambda x: evident(k, x) | F.exists("valid", lambda b: (b["kind_no"] == KINDS.index(k)) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    loose = [spans(f"f_{k}", k, ok=own(k), over=hit) for k in BASE] + [spans(f"m_{i}", k, ok=own(k), over=hit) for i, (k, *_) in enumerate(MORE)]
-    out = out.withColumn("candidates", F.concat(*loose))
-    plain = F.transform("valid", lambda x: F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end")))
-    return out.select("id", F.when(F.size("candidates") > 0, F.sha2("text", 256)).alias("text_key"), F.array_sort(plain).alias("base"), "candidates")
+    each = each.withColumn("over", meets("text_key")).withColumn("ok", F.col("shown") | meets("text_key", "kind_no"))
+    return each.select("text_key", "gen", "kind_no", "start", "end", "match", "left", "right", "valid", "over", "ok")
 
 
-def featured(candidates: DataFrame) -> DataFrame:
-    """(text_key, c) with the columns FEATURES and ``label``."""
-    m, left = F.col("c.match"), F.lower(F.col("c.left"))
+def featured(rows: DataFrame) -> DataFrame:
+    """``candidates`` with the columns FEATURES and ``label``."""
+    m, left = F.col("match"), F.lower("left")
     count = lambda pattern: F.length(F.regexp_replace(m, f"[^{pattern}]", "")).cast("double")
     digits = F.regexp_replace(m, "[^0-9]", "")
     columns = {
-        "kind_no": F.col("c.kind_no").cast("double"), "n": F.length(m).cast("double"), "digits": count("0-9"), "letters": count("A-Za-z"), "uppers": count("A-Z"),
+        "kind": F.col("kind_no").cast("double"), "n": F.length(m).cast("double"), "digits": count("0-9"), "letters": count("A-Za-z"), "uppers": count("A-Z"),
         "marks": count("()/_-"), "spaces": count(" "), "dots": count("."), "hexes": count("a-f"), "at": count("@"), "plus": count("+"),
         "luhn": F.when(F.length(digits).between(12, 19), luhn(digits).cast("double")).otherwise(-1.0),
         "octets": F.when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), passes("ip", m).cast("double")).otherwise(-1.0),
         "assigned": left.rlike("[=:] ?[\"']?$").cast("double"), "quoted": left.rlike("[\"']$").cast("double"),
-        "touches_left": left.rlike("[a-z0-9]$").cast("double"), "touches_right": F.lower("c.right").rlike("^[a-z0-9]").cast("double"),
-        "label": F.col("c.ok").cast("double"),
+        "touches_left": left.rlike("[a-z0-9]$").cast("double"), "touches_right": F.lower("right").rlike("^[a-z0-9]").cast("double"),
+        "label": F.col("ok").cast("double"),
     }
-    return candidates.withColumns(columns | {k: left.rlike(v).cast("double") for k, v in HINTS.items()})
+    return rows.withColumns(columns | {k: left.rlike(v).cast("double") for k, v in HINTS.items()})
 
 
-def select_more(found: DataFrame, max_rows: int = 20_000, precision: float = 0.95, trees: int = 8, depth: int = 3) -> DataFrame:
-    """(text_key, more): candidates with evidence and those that the trees find like them, for texts that have any.
+def select_more(rows: DataFrame, max_rows: int = 20_000, precision: float = 0.95, trees: int = 8, depth: int = 3) -> DataFrame:
+    """(text_key, start, kind_no, end): of ``featured`` candidates off the base, those with evidence and those that the trees find like them.
 
     The trees are fitted on at most ``max_rows`` candidates of each kind and label, those with the
     smallest hashes, all groups weighing the same. Labels are evidence of format or context; what
     overlaps the base counts only where it is of the base span's kind, never as a negative. A kind's
     threshold is the lowest probability from which, over all held-out candidates that could be added,
     the share of label 1 is at least ``precision``; a kind with no label 1 there uses all candidates.
-    With one class only the evidence selects.
+    With one class only the evidence selects. Of overlapping ones the likeliest of their run stays,
+    and what doesn't touch it.
     """
-    each = found.where("text_key is not null").groupBy("text_key").agg(F.first("candidates").alias("cs")).select("text_key", F.explode("cs").alias("c"))
-    rows = written(featured(each))
     half = F.pmod(F.xxhash64("text_key"), F.lit(2))
 
     def drawn(some: DataFrame) -> tuple[DataFrame, dict[tuple[float, float], int]]:
-        by = Window.partitionBy("kind_no", "label").orderBy(F.xxhash64("text_key", "c.start", "c.kind_no"), "text_key", "c.start", "c.end")
-        few = written(some.where("not c.over or label = 1").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_rows).select("label", *FEATURES))
-        return few, {(r["kind_no"], r["label"]): r["n"] for r in few.groupBy("kind_no", "label").agg(F.count("*").alias("n")).collect()}
+        by = Window.partitionBy("kind_no", "label").orderBy(F.xxhash64("text_key", "start", "kind_no"), "text_key", "start", "end")
+        few = written(some.where("not over or label = 1").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_rows).select("label", *FEATURES))
+        return few, {(r["kind"], r["label"]): r["n"] for r in few.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
 
     sample, sizes = drawn(rows.where(half == 0))
     if len({y for _, y in sizes}) < 2:
+        dropped(sample)
         sample, sizes = drawn(rows)
-    open_rows = rows.where("not c.over")
+    open_rows = rows.where("not over")
+    kept = ["text_key", "start", "kind_no", "end", "label"]
     if len({y for _, y in sizes}) < 2:
-        scored = open_rows.select("text_key", "c", "kind_no", "label", F.col("label").alias("p"))
+        scored = open_rows.select(*kept, F.col("label").alias("p"))
     else:
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         mean = sum(sizes.values()) / len(sizes)
-        weight = F.coalesce(*[F.when((F.col("kind_no") == k) & (F.col("label") == y), F.lit(mean / n)) for (k, y), n in sorted(sizes.items())])
+        weight = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("label") == y), F.lit(mean / n)) for (k, y), n in sorted(sizes.items())])
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, labelCol="label", weightCol="weight").fit(assemble.transform(sample.withColumn("weight", weight)))
-        scored = model.transform(assemble.transform(open_rows)).select("text_key", "c", "kind_no", "label", vector_to_array("probability")[1].alias("p"))
+        scored = model.transform(assemble.transform(open_rows)).select(*kept, vector_to_array("probability")[1].alias("p"))
     scored = written(scored)
     bins = scored.groupBy("kind_no", (half == 1).alias("held"), F.floor(F.col("p") * 50).alias("bin")).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()  # at most 102 a kind
     cut = {}
@@ -194,12 +193,20 @@ def select_more(found: DataFrame, max_rows: int = 20_000, precision: float = 0.9
             yes, n = merged.get(r["bin"], (0.0, 0))
             merged[r["bin"]] = (yes + r["yes"], n + r["n"])
         cut[k] = threshold([(b, yes, n) for b, (yes, n) in merged.items()], precision)
-    limit = F.element_at(F.array(*[F.lit(cut[k]) for k in range(len(KINDS))]), F.col("kind_no").cast("int") + 1)
-    span = F.struct(F.col("c.start").alias("start"), F.col("c.kind_no").alias("kind_no"), F.col("c.end").alias("end"), F.col("p"))
-    chosen = scored.where((F.col("p") >= limit) | (F.col("label") == 1)).groupBy("text_key").agg(F.collect_list(span).alias("cs"))  # spans of one text
-    better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (F.struct(y["p"], y["end"] - y["start"], -y["start"], -y["kind_no"]) > F.struct(x["p"], x["end"] - x["start"], -x["start"], -x["kind_no"]))
-    lone = F.array_distinct(F.filter("cs", lambda x: ~F.exists("cs", lambda y: better(x, y))))
-    return chosen.select("text_key", F.transform(lone, lambda x: F.struct(x["start"], x["kind_no"], x["end"])).cast("array<struct<start:int,kind_no:int,end:int>>").alias("more"))
+    limit = F.element_at(F.array(*[F.lit(cut[k]) for k in range(len(KINDS))]), F.col("kind_no") + 1)
+    chosen = runs(scored.where((F.col("p") >= limit) | (F.col("label") == 1)).groupBy("text_key", "start", "kind_no", "end").agg(F.max("p").alias("p")))
+    rank = F.struct("p", F.col("end") - F.col("start"), -F.col("start"), -F.col("kind_no"))
+    best = F.max(F.struct(rank.alias("rank"), "start", "end", "kind_no")).over(Window.partitionBy("text_key", "run"))
+    chosen = chosen.withColumn("best", best)
+    apart = (F.col("start") >= F.col("best.end")) | (F.col("end") <= F.col("best.start"))
+    return chosen.where(apart | (rank == F.col("best.rank"))).select("text_key", "start", "kind_no", "end")
+
+
+def runs(spans: DataFrame) -> DataFrame:
+    """``spans`` (text_key, start, end, ...) with ``run``: the number of the chain of overlaps that each lies in."""
+    order = Window.partitionBy("text_key").orderBy("start", "end", "kind_no")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("new", F.when(reach > F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
 def threshold(bins: list[tuple[int, float, int]], precision: float) -> float:
@@ -222,16 +229,43 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal spans; ids may repeat or be null; other columns are ignored.
     """
     found = written(scan(docs, id_col, text_col))
-    more = select_more(found)
-    bare = found.where("text_key is null").select("id", "text_key", "base", F.col("base").alias("spans"))
-    rich = found.where("text_key is not null").select("id", "text_key", "base").join(more, "text_key", "left")
-    added = F.filter(F.coalesce("more", F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int>>)")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    out = bare.union(rich.select("id", "text_key", "base", F.array_sort(F.concat("base", added)).alias("spans")))
-    return out.withColumnRenamed("id", id_col)
+    rows = written(featured(candidates(found)))
+    more = select_more(rows)
+    base = rows.where("valid").select("text_key", "start", "kind_no", "end", F.lit(True).alias("valid"))
+    span = F.struct(F.col("start"), F.col("kind_no"), F.col("end"))
+    spans = base.union(more.withColumn("valid", F.lit(False))).groupBy("text_key").agg(F.sort_array(F.collect_list(F.when(F.col("valid"), span))).alias("base"), F.sort_array(F.collect_list(span)).alias("spans"))  # of one text
+    lists = [F.coalesce(c, F.expr(NONE)).cast(f"array<{SPAN}>").alias(c) for c in ("base", "spans")]
+    bare = found.where("text_key is null").select("id", "text_key", F.expr(NONE).alias("base"), F.expr(NONE).alias("spans"))
+    rich = salted_join(found.where("text_key is not null").select("id", "text_key"), spans, "text_key", "id", "left").select("id", "text_key", *lists)
+    return bare.union(rich).withColumnRenamed("id", id_col)
 
 
 #: Texts with spans up to this many are broadcast to the documents; more are joined by a shuffle.
 MAX_BROADCAST_TEXTS = 100_000
+#: Spans of a text beyond which, and code points by which, it is rewritten in parts.
+MANY_SPANS, PART = 64, 4096
+
+
+def rewritten(text: Column, cuts: str) -> Column:
+    """``text`` with each of its ``cuts`` (start, end, mark), which don't overlap, replaced by the mark."""
+    ends = F.transform(cuts, lambda x: x["end"])
+    begins = F.concat(F.array(F.lit(0)), ends)
+    parts = F.transform(F.arrays_zip(F.col(cuts).alias("c"), F.slice(begins, 1, F.size(cuts)).alias("b")), lambda x: F.concat(F.substring(text, x["b"] + 1, x["c"]["start"] - x["b"]), x["c"]["mark"]))
+    return F.concat(F.concat_ws("", parts), F.substring(text, F.element_at(cuts, -1)["end"] + 1, F.length(text)))
+
+
+def in_parts(texts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(_key, _clean): ``texts`` (_key, text) with their ``cuts`` (_key, start, end, mark) replaced, part by part.
+
+    A substring is searched from the text's start, so many cuts in a long text would take time by its square.
+    """
+    pieces = texts.select("_key", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{PART}}})"), F.lit(1))).alias("part", "piece"))
+    spread = cuts.select("*", F.explode(F.sequence(F.floor(F.col("start") / PART), F.floor((F.col("end") - 1) / PART))).alias("part"))
+    low, high = F.greatest(F.col("start") - F.col("part") * PART, F.lit(0)), F.least(F.col("end") - F.col("part") * PART, F.lit(PART))
+    clipped = spread.select("_key", F.col("part").cast("int").alias("part"), low.cast("int").alias("start"), high.cast("int").alias("end"), F.when(F.col("start") >= F.col("part") * PART, F.col("mark")).otherwise("").alias("mark"))
+    lists = clipped.groupBy("_key", "part").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("cuts"))  # of one part
+    done = pieces.join(lists, ["_key", "part"], "left").select("_key", "part", F.when(F.col("cuts").isNull(), F.col("piece")).otherwise(rewritten(F.col("piece"), "cuts")).alias("piece"))
+    return done.groupBy("_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("_clean"))
 
 
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
@@ -241,18 +275,23 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFra
     other columns stay as they are.
     """
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind_no"].alias("kind_no"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    some = written(found.where(F.size("spans") > 0).groupBy(F.col("text_key").alias("_key")).agg(F.first("spans").alias("spans")).select("_key", merged.alias("_cuts")))
-    few = some.count() <= MAX_BROADCAST_TEXTS
-    joined = docs.join(F.broadcast(some) if few else some, F.sha2(docs[text_col], 256) == some["_key"], "left")
-    text = F.col(text_col)
-    before = F.transform("_cuts", lambda x, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"])), F.element_at(kinds, x["kind_no"] + 1)))
-    clean = F.concat(F.concat_ws("", before), F.substring(text, F.element_at("_cuts", -1)["end"] + 1, F.length(text)))
-    return joined.withColumn(text_col, F.when(F.col("_cuts").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    some = found.where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("spans"))
+    merged = runs(some.select("text_key", F.explode("spans").alias("s")).select("text_key", "s.*")).groupBy("text_key", "run").agg(F.min(F.struct("start", "end", "kind_no")).alias("first"), F.max("end").alias("end"))
+    cuts = written(merged.select(F.col("text_key").alias("_key"), F.col("first.start").alias("start"), "end", F.element_at(kinds, F.col("first.kind_no") + 1).alias("mark")))
+    lists = written(cuts.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("_cuts")))  # of one text
+    many = lists.where(F.size("_cuts") > MANY_SPANS).select("_key")
+    few = lists.where(F.size("_cuts") <= MANY_SPANS)
+    n_many, n_few = many.count(), few.count()
+    near = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST_TEXTS else df
+    key = F.sha2(docs[text_col], 256)
+    rest = docs.join(near(many, n_many), key == many["_key"], "left_anti") if n_many else docs
+    out = rest.join(near(few, n_few), key == few["_key"], "left")
+    out = out.withColumn(text_col, F.when(F.col("_cuts").isNotNull(), rewritten(F.col(text_col), "_cuts")).otherwise(F.col(text_col))).select(*docs.columns)
+    if n_many:
+        those = docs.withColumn("_key", key).join(near(many, n_many), "_key", "left_semi").withColumn("_row", F.monotonically_increasing_id())
+        texts = those.groupBy("_key").agg(F.first(text_col).alias("text"))
+        out = out.union(salted_join(those, in_parts(texts, cuts.join(many, "_key")), "_key", "_row").withColumn(text_col, F.col("_clean")).select(*docs.columns))
+    return out
 
 
 def listed(spans: Column) -> Column:
@@ -264,5 +303,6 @@ def listed(spans: Column) -> Column:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base counts and digest, and all spans."""
     out = find_private(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = {f"n_{k}": F.size(F.array_remove(F.transform("base", lambda x: x["kind_no"] == KINDS.index(k)), False)).cast("long") for k in KINDS[:4]}
+    counts = {f"n_{k}": F.size(F.filter("base", lambda x, k=k: x["kind_no"] == KINDS.index(k))).cast("long") for k in KINDS[:4]}
+    counts |= {"n_spans": F.size("spans").cast("long"), "n_added": (F.size("spans") - F.size("base")).cast("long")}
     return out.withColumns(counts).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
