@@ -3,12 +3,13 @@
 A text is cut into vocabulary pieces so that the sum of their scores is largest (Viterbi). A
 giant document is split into chunks: each gives a max-plus matrix from the boundary state it is
 entered with (how many of its first characters a piece begun earlier covers) to the one it leaves.
-The matrices are combined associatively per document, which fixes the states at every boundary,
-and each chunk is then traced back on its own, on any executor.
+The matrices are combined associatively in a tree over runs of chunks, which fixes the states at every
+boundary, and each chunk is then traced back on its own, on any executor.
 
-The vocabulary file is a parameter and is only read. Pieces are scored by Zipf's law of their rank.
-White space becomes the mark U+2581, one is put in front, and characters outside the vocabulary are
-spelled in byte pieces, so decoding gives back the exact text.
+The vocabulary file is a parameter and is only read. Pieces are scored by Zipf's law of their rank. To
+each score belongs a far smaller number of the piece and its place in its word, so that the best cut is
+one and the same however the text is chunked. Spaces become the mark U+2581, one is put in front, and
+characters outside the vocabulary are spelled in byte pieces, so decoding gives back the exact text.
 """
 
 from __future__ import annotations
@@ -24,14 +25,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagweave.llm._shared import salted_join, written
+
 GIANT, CHUNK = 32_768, 8_192
+#: Chunks beyond this could overflow 64 bits.
+MAX_CHUNK = 16_384
+#: Matrices that one step of the tree combines.
+FAN = 64
 MARK = "\u2581"
-#: Stands for a U+2581 of the text, and is spelled in the bytes of that; a private code point.
-STAND_IN = "\U0010fffd"
+#: Stands for a U+2581 of the text, and is spelled in the bytes of that; no text has a lone surrogate.
+STAND_IN = "\udc00"
 #: No piece crosses from a word into the mark of the next, so these are cut independently.
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-UNREACHABLE = -(1 << 50)
+UNREACHABLE = -(1 << 61)
 _KEPT = 250_000
+#: A score is so many times the unit of what settles ties.
+_UNIT = 1 << 30
+_PLACES = [int(x) for x in np.random.default_rng(17).integers(0, _UNIT, 1024)]
 
 
 def default_model() -> str:
@@ -42,7 +52,7 @@ def default_model() -> str:
 
 
 class Vocabulary:
-    """Pieces with integer scores (thousandths of the log of rank + 2), and byte pieces."""
+    """Pieces with integer scores (thousandths of the log of rank + 2, and a tie-breaker), and byte pieces."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -60,14 +70,17 @@ class Vocabulary:
             elif file.is_control(k) or file.is_unknown(k):
                 self.spelled.append(b"")
             else:
+                if re.search(f"[^{MARK}]{MARK}", piece):
+                    raise ValueError(f"piece {piece!r} crosses from a word into the next")
                 self.score[piece] = (-round(1000 * float(np.log(rank + 2))), k)
                 self.spelled.append(piece.replace(MARK, " ").encode())
                 rank += 1
         self.byte_cost = -round(1000 * float(np.log(rank + 2))) - 5000
+        self.own = [int(x) for x in np.random.default_rng(23).integers(0, _UNIT, len(self.spelled) + 1)]  # the last is for spelled bytes
         self.tree = self._tree()
         self.longest = max(map(len, self.score))
-        self.kept: dict[str, tuple[int, bytes]] = {}
-        self.older: dict[str, tuple[int, bytes]] = {}
+        self.kept: dict[str, tuple[int, bytes, bool]] = {}
+        self.older: dict[str, tuple[int, bytes, bool]] = {}
 
     def _tree(self) -> dict:
         """Pieces by their characters: each maps to (what may follow, score or 0, id)."""
@@ -82,30 +95,30 @@ class Vocabulary:
                 nodes[name[:-1]][0][name[-1]] = tuple(nodes[name])
         return nodes[""][0]
 
-    def pieces_at(self, s: str, i: int) -> list[tuple[int, int, int]]:
-        """(end, score, id) of the pieces that start at ``i``; a byte spelling has the id -1."""
-        out, at = [], self.tree
+    def pieces_at(self, s: str, i: int, place: int) -> list[tuple[int, int, int]]:
+        """(end, value, id) of the pieces that start at ``i``, ``place`` in their word; a byte spelling has the id -1."""
+        out, at, tie = [], self.tree, _PLACES[place & 1023]
         for end in range(i + 1, len(s) + 1):
             if (hit := at.get(s[end - 1])) is None:
                 break
             at = hit[0]
             if hit[1]:
-                out.append((end, hit[1], hit[2]))
+                out.append((end, hit[1] * _UNIT + (tie ^ self.own[hit[2]]), hit[2]))
         if not out or out[0][0] != i + 1:
-            out.insert(0, (i + 1, self.byte_cost * len(_raw(s[i])), -1))
+            out.insert(0, (i + 1, self.byte_cost * len(_raw(s[i])) * _UNIT + (tie ^ self.own[-1]), -1))
         return out
 
-    def best(self, s: str, start: int = 0, end: int | None = None) -> tuple[int, list[int]]:
-        """The best score and pieces of s[start:end]; of equal cuts, the longer piece last."""
+    def best(self, s: str, start: int = 0, end: int | None = None, shift: int = 0) -> tuple[int, list[int]]:
+        """The best value and pieces of s[start:end]; s[0] has the place ``shift`` in its word."""
         end = len(s) if end is None else end
         total, back = [UNREACHABLE] * (end + 1), [(0, 0)] * (end + 1)
         total[start] = 0
-        chars, longest = s[start:end], self.longest
+        chars, longest, own = s[start:end], self.longest, self.own
         for i in range(start, end):
             base = total[i]
             if base == UNREACHABLE:
                 continue
-            single, at, to = False, self.tree, i
+            single, at, to, tie = False, self.tree, i, _PLACES[(i + shift) & 1023]
             for c in chars[i - start : i - start + longest]:
                 if (hit := at.get(c)) is None:
                     break
@@ -114,10 +127,10 @@ class Vocabulary:
                 if score:
                     if to == i + 1:
                         single = True
-                    if base + score > total[to]:
-                        total[to], back[to] = base + score, (i, k)
-            if not single and base + (cost := self.byte_cost * len(_raw(s[i]))) > total[i + 1]:
-                total[i + 1], back[i + 1] = base + cost, (i, -1)
+                    if (value := base + score * _UNIT + (tie ^ own[k])) > total[to]:
+                        total[to], back[to] = value, (i, k)
+            if not single and (value := base + self.byte_cost * len(_raw(s[i])) * _UNIT + (tie ^ own[-1])) > total[i + 1]:
+                total[i + 1], back[i + 1] = value, (i, -1)
         ids: list[int] = []
         at = end
         while at > start:
@@ -126,54 +139,55 @@ class Vocabulary:
             at = i
         return total[end], ids[::-1]
 
-    def cut(self, segment: str) -> tuple[int, bytes]:
-        """Best score and ids of one segment, remembered in two generations of a bounded size."""
+    def cut(self, segment: str) -> tuple[int, bytes, bool]:
+        """Best value and ids of one segment, and whether they spell it; remembered in two generations of a bounded size."""
         if (got := self.kept.get(segment)) is None:
             if (got := self.older.get(segment)) is None:
-                score, ids = self.best(segment)
-                got = score, np.array(ids, np.int32).tobytes()
+                value, ids = self.best(segment)
+                spelled = b"".join(map(self.spelled.__getitem__, ids))
+                got = value, np.array(ids, np.int32).tobytes(), spelled == plain(segment)
             if len(segment) < 64:
                 if len(self.kept) > _KEPT:
                     self.older, self.kept = self.kept, {}
                 self.kept[segment] = got
         return got
 
-    def encode(self, text: str) -> bytes:
-        """Piece ids of the whole text as 32-bit integers."""
+    def encode(self, text: str) -> tuple[bytes, bool]:
+        """Piece ids of the whole text as 32-bit integers, and whether they spell it."""
         if not text:
-            return b""
+            return b"", True
         segments = SEGMENT.findall(marked(text))
         got = list(map(self.kept.get, segments))
         if None in got:
             got = [self.cut(s) if g is None else g for s, g in zip(segments, got)]
-        return b"".join([ids for _, ids in got])
+        return b"".join([ids for _, ids, _ in got]), all([ok for _, _, ok in got])
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.spelled.__getitem__, ids.tolist()))[1:].decode(errors="replace")
 
-    # chunks: characters low..high of the marked text, with what follows up to the longest piece
+    # chunks: ``length`` characters of the marked text, with what follows up to the longest piece;
+    # ``place``: how far into its word the first one is
 
-    def matrix(self, s: str, length: int, begins: bool) -> np.ndarray:
-        """Best score from entering ``s`` with i characters covered to leaving it with j over the end.
+    def matrix(self, s: str, length: int, place: int) -> np.ndarray:
+        """Best value from entering ``s`` with i characters covered to leaving it with j over the end.
 
-        ``length``: how much of ``s`` is the chunk; ``begins``: whether a segment starts at its start.
         Segments between the first and the last start are cut alone, so only the ends are scanned.
         """
         m = self.longest
-        starts = segment_starts(s[:length], begins)
+        starts = segment_starts(s[:length], place == 0)
         if not starts:
-            return self._scan(s, 0, length, range(m))
+            return self._scan(s, 0, length, range(m), place)
         out = np.full((m, m), UNREACHABLE, np.int64)
         head = np.full(m, UNREACHABLE, np.int64)
         for i in range(min(m - 1, starts[0]) + 1):
-            head[i] = self.best(s, i, starts[0])[0]
+            head[i] = self.best(s, i, starts[0], place)[0]
         middle = sum(self.cut(s[a:b])[0] for a, b in zip(starts, starts[1:]))
-        tail = self._scan(s, starts[-1], length, [0])[0]
-        ok = (head[:, None] > UNREACHABLE // 2) & (tail[None, :] > UNREACHABLE // 2)
-        out[ok] = (head[:, None] + middle + tail[None, :])[ok]
+        tail = self._scan(s, starts[-1], length, [0], -starts[-1])[0]
+        ok = (head[:, None] > UNREACHABLE) & (tail[None, :] > UNREACHABLE)
+        out[ok] = (np.where(ok, head[:, None], 0) + middle + np.where(ok, tail[None, :], 0))[ok]
         return out
 
-    def _scan(self, s: str, start: int, length: int, entries) -> np.ndarray:
+    def _scan(self, s: str, start: int, length: int, entries, shift: int) -> np.ndarray:
         m = self.longest
         total = np.full((len(s) + m + 1, len(entries)), UNREACHABLE, np.int64)
         for k, i in enumerate(entries):
@@ -181,22 +195,23 @@ class Vocabulary:
                 total[start + i, k] = 0
         reach = np.full((len(entries), m), UNREACHABLE, np.int64)
         for i in range(start, length):
-            if total[i].max() <= UNREACHABLE // 2:
+            known = total[i] > UNREACHABLE
+            if not known.any():
                 continue
-            for to, score, _ in self.pieces_at(s, i):
-                total[to] = np.maximum(total[to], np.where(total[i] > UNREACHABLE // 2, total[i] + score, UNREACHABLE))
+            for to, value, _ in self.pieces_at(s, i, i + shift):
+                np.maximum(total[to], np.where(known, total[i] + value, UNREACHABLE), out=total[to])
         for j in range(m):
             reach[:, j] = total[length + j]
         return reach
 
-    def trace(self, s: str, length: int, begins: bool, enter: int, leave: int) -> bytes:
+    def trace(self, s: str, length: int, place: int, enter: int, leave: int) -> bytes:
         """Ids of the pieces that start in the chunk, for its two boundary states."""
-        starts = segment_starts(s[:length], begins)
+        starts = segment_starts(s[:length], place == 0)
         if not starts or enter > starts[0]:
-            return np.array(self.best(s, enter, length + leave)[1], np.int32).tobytes()
-        parts = [np.array(self.best(s, enter, starts[0])[1], np.int32).tobytes()] if starts[0] > enter else []
+            return np.array(self.best(s, enter, length + leave, place)[1], np.int32).tobytes()
+        parts = [np.array(self.best(s, enter, starts[0], place)[1], np.int32).tobytes()] if starts[0] > enter else []
         parts += [self.cut(s[a:b])[1] for a, b in zip(starts, starts[1:])]
-        parts.append(np.array(self.best(s, starts[-1], length + leave)[1], np.int32).tobytes())
+        parts.append(np.array(self.best(s, starts[-1], length + leave, -starts[-1])[1], np.int32).tobytes())
         return b"".join(parts)
 
 
@@ -204,13 +219,14 @@ def _raw(char: str) -> bytes:
     return (MARK if char == STAND_IN else char).encode()
 
 
-def marked(text: str) -> str:
-    """With marks for spaces and one in front.
+def plain(segment: str) -> bytes:
+    """The bytes that the pieces of a segment should spell."""
+    return segment.replace(MARK, " ").replace(STAND_IN, MARK).encode()
 
-    A mark of the text itself gets a stand-in, spelled in the mark's bytes, so it decodes exactly; a
-    text that has the private code point U+10FFFD decodes to a mark there and is not exact.
-    """
-    return MARK + text.replace(MARK, STAND_IN).replace(" ", MARK)
+
+def marked(text: str, first: bool = True) -> str:
+    """With marks for spaces and one in front of a ``first`` part; a mark of the text gets a stand-in, spelled in its bytes."""
+    return (MARK if first else "") + text.replace(MARK, STAND_IN).replace(" ", MARK)
 
 
 def segment_starts(s: str, begins: bool) -> list[int]:
@@ -223,17 +239,40 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def combine(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(entered, left) for each chunk of a document, from its max-plus matrices in order."""
-    ahead = [np.where(np.arange(len(matrices[0])) == 0, 0, UNREACHABLE)]
+# max-plus combination; values are taken relative to the best of a vector or matrix, so they stay small
+
+
+def settled(x: np.ndarray) -> np.ndarray:
+    """``x`` less its largest value; unreachable ones stay so."""
+    return np.where(x > UNREACHABLE, x - x.max(), UNREACHABLE)
+
+
+def through(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product of a vector or matrix and a matrix or vector."""
+    right = b if b.ndim > 1 else b[:, None]
+    out = plus(a[..., :, None], right[(None,) * (a.ndim - 1)]).max(-2)
+    return settled(out if b.ndim > 1 else out[..., 0])
+
+
+def around(matrices: list[np.ndarray], ahead: np.ndarray, behind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(before each, after each): best values up to the start and from the end of each of a run of matrices."""
+    before, after = [ahead], [behind]
     for m in matrices:
-        ahead.append(np.maximum((ahead[-1][:, None] + m).max(0), UNREACHABLE))
-    out, leave = [], 0
-    for v, m in zip(reversed(ahead[:-1]), reversed(matrices)):
-        enter = int(np.argmax(v + m[:, leave]))
-        out.append((enter, leave))
-        leave = enter
-    return out[::-1]
+        before.append(through(before[-1], m))
+    for m in reversed(matrices):
+        after.append(through(m, after[-1]))
+    return before[:-1], after[::-1][1:]
+
+
+def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Element by element; what either doesn't reach the sum doesn't."""
+    both = (a > UNREACHABLE) & (b > UNREACHABLE)
+    return np.where(both, np.where(both, a, 0) + np.where(both, b, 0), UNREACHABLE)
+
+
+def states(matrix: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[int, int]:
+    """(entered, left) of a chunk on the best way through the whole text."""
+    return int(np.argmax(plus(before, through(matrix, after)))), int(np.argmax(plus(through(before, matrix), after)))
 
 
 def _lists(values: list[bytes | None]) -> pa.Array:
@@ -246,10 +285,10 @@ def _lists(values: list[bytes | None]) -> pa.Array:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(id, pieces array<int>, n_pieces, exact) for every row of ``docs``.
 
-    ``exact``: decoding the pieces gives the text again. Texts of over ``giant`` characters are split
-    into chunks of ``chunk`` and shared out; equal ones are encoded once. A null text has null pieces,
-    0 of them, and counts as exact; an empty one has none. Equal and null ids stay as they are, other
-    columns are ignored, an empty table gives an empty result.
+    ``exact``: the bytes of the pieces, in order, are the text's. Texts of over ``giant`` characters are
+    split into chunks of ``chunk`` and shared out; equal ones are encoded once, and no result depends on
+    the two. A null text has null pieces, 0 of them, and counts as exact; an empty one has none. Equal
+    and null ids stay as they are, other columns are ignored, an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -260,9 +299,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 texts = part.column(1).to_pylist()
-                ids = [None if t is None else v.encode(t) for t in texts]
-                exact = [t is None or v.decode(np.frombuffer(i, np.int32)) == t for t, i in zip(texts, ids)]
-                lists = _lists(ids)
+                got = [(None, True) if t is None else v.encode(t) for t in texts]
+                exact = [ok for _, ok in got]
+                lists = _lists([ids for ids, _ in got])
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64()), pa.array(exact)], names=["id", "pieces", "n_pieces", "exact"])
 
     schema = f"id {kind}, pieces array<int>, n_pieces long, exact boolean"
@@ -271,55 +310,95 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     named = base.where(is_giant).withColumn("key", F.sha2("text", 256))
     large = encode_giant(named.groupBy("key").agg(F.first("text").alias("text")), model_path, chunk)
-    back = named.join(large, "key").select("id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.col("hash") == F.col("key")).alias("exact"))
+    back = salted_join(named.select("id", "key"), large, "key", "id").select("id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.col("hash") == F.col("key")).alias("exact"))
     return few.union(back).withColumnRenamed("id", id_col)
 
 
 def encode_giant(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
-    """(key, pieces, hash) of (key, text); hash is the SHA-256 of the decoded pieces."""
+    """(key, pieces, hash) of (key, text), whose keys differ; hash is the SHA-256 of what the pieces spell.
+
+    Matrices go up a tree, ``FAN`` of a text at a step, and the best values before and after each go
+    down it again, so that no step holds more than ``FAN`` of them.
+    """
+    chunk = min(chunk, MAX_CHUNK)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = vocabulary(model_path).longest
         for batch in batches:
             for key, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = marked(cell.as_py())
-                for low in range(0, len(s), 64 * chunk):
-                    at = range(low, min(len(s), low + 64 * chunk), chunk)
-                    starts = [a == 0 or (s[a] == MARK and s[a - 1] != MARK) for a in at]
+                text = " " + cell.as_py()  # the first space is the mark in front
+                word = 0  # where the word of a chunk's first character starts
+                for low in range(0, len(text), 64 * chunk):
+                    at = range(low, min(len(text), low + 64 * chunk), chunk)
+                    places = []
+                    for a in at:
+                        for hit in re.finditer("(?<! ) ", text[max(0, a - chunk) : a + 1]):
+                            start = max(0, a - chunk) + hit.start()
+                            if start == max(0, a - chunk) and start > 0 and text[start - 1] == " ":
+                                continue
+                            word = start
+                        places.append(a - word)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(at)), pa.array([a // chunk for a in at], pa.int64()), pa.array([s[a : a + chunk + m - 1] for a in at], pa.string()), pa.array([min(chunk, len(s) - a) for a in at], pa.int32()), pa.array(starts)],
-                        names=["key", "no", "s", "length", "begins"],
+                        [pa.array([key] * len(at)), pa.array([a // chunk for a in at], pa.int64()), pa.array([text[a : a + chunk + m - 1] for a in at], pa.string()), pa.array([min(chunk, len(text) - a) for a in at], pa.int32()), pa.array(places, pa.int64())],
+                        names=["key", "no", "s", "length", "place"],
                     )
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for batch in batches:
-            got = [v.matrix(s, n, b).tobytes() for s, n, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            got = [settled(v.matrix(marked(s, False), n, p)).tobytes() for s, n, p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["key", "no", "matrix"])
 
-    def states(rows: pd.DataFrame) -> pd.DataFrame:
+    def product(rows: pd.DataFrame) -> pd.DataFrame:
+        found = _squares(rows.sort_values("no")["matrix"])
+        whole = found[0]
+        for m in found[1:]:
+            whole = through(whole, m)
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "no": [rows["no"].iloc[0] // FAN], "matrix": [whole.tobytes()]})
+
+    def spread(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("no")
-        flat = [np.frombuffer(x, np.int64) for x in rows["matrix"]]
-        side = int(len(flat[0]) ** 0.5)
-        found = combine([f.reshape(side, side) for f in flat])
-        return pd.DataFrame({"key": rows["key"].to_numpy(), "no": rows["no"].to_numpy(), "enter": [e for e, _ in found], "leave": [o for _, o in found]})
+        found = _squares(rows["matrix"])
+        edge = np.where(np.arange(len(found[0])) == 0, 0, UNREACHABLE)
+        given = [edge if x is None else np.frombuffer(x, np.int64) for x in (rows["before"].iloc[0], rows["after"].iloc[0])]
+        before, after = around(found, *given)
+        both = [states(*x) for x in zip(found, before, after)]
+        return pd.DataFrame({"key": rows["key"].to_numpy(), "no": rows["no"].to_numpy(), "before": [x.tobytes() for x in before], "after": [x.tobytes() for x in after], "enter": [e for e, _ in both], "leave": [o for _, o in both]})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(2, 7)]
-            ids = [v.trace(s, n, b, e, o) for s, n, b, e, o in zip(*cols)]
+            ids = [v.trace(marked(s, False), n, p, e, o) for s, n, p, e, o in zip(*cols)]
             words = [b"".join(map(v.spelled.__getitem__, np.frombuffer(i, np.int32).tolist())) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids), pa.array(words, pa.binary())], names=["key", "no", "ids", "raw"])
 
-    chunks = texts.mapInArrow(split, "key string, no long, s string, length int, begins boolean").repartition("key", "no")
-    known = chunks.mapInArrow(transfer, "key string, no long, matrix binary").groupBy("key").applyInPandas(states, "key string, no long, enter int, leave int")
-    traced = chunks.join(known, ["key", "no"]).select("key", "no", "s", "length", "begins", "enter", "leave").mapInArrow(trace, "key string, no long, ids array<int>, raw binary")
+    kept = written(texts)
+    chunks = kept.mapInArrow(split, "key string, no long, s string, length int, place long").repartition("key", "no")
+    levels = [written(chunks.mapInArrow(transfer, "key string, no long, matrix binary"))]
+    most = kept.agg(F.max(F.length("text"))).first()[0] or 0
+    n = most // chunk + 1
+    run = F.floor(F.col("no") / FAN)
+    while n > FAN:
+        levels.append(written(levels[-1].groupBy("key", run.alias("run")).applyInPandas(product, "key string, no long, matrix binary")))
+        n = -(-n // FAN)
+    known = levels[-1].select(F.col("key"), F.floor(F.col("no") / FAN).alias("up")).distinct().select("key", "up", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
+    for level in reversed(levels):
+        placed = level.withColumn("up", run).join(known, ["key", "up"])
+        known = written(placed.groupBy("key", "up").applyInPandas(spread, "key string, no long, before binary, after binary, enter int, leave int"))
+        found, known = known, known.select("key", F.col("no").alias("up"), "before", "after")
+    traced = chunks.join(found.select("key", "no", "enter", "leave"), ["key", "no"]).select("key", "no", "s", "length", "place", "enter", "leave").mapInArrow(trace, "key string, no long, ids array<int>, raw binary")
     whole = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "ids", "raw"))).alias("parts"))  # the parts of one text
     raw = F.aggregate("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["raw"]))
     return whole.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("pieces"), F.sha2(F.substring(raw, 2, 2147483647), 256).alias("hash"))
 
 
+def _squares(matrices) -> list[np.ndarray]:
+    flat = [np.frombuffer(x, np.int64) for x in matrices]
+    side = int(len(flat[0]) ** 0.5)
+    return [f.reshape(side, side) for f in flat]
+
+
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
     """(id, text) of rows with piece ids; null pieces give a null text, none an empty one."""
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -334,5 +413,8 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", pieces_c
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with whether decoding gives its text again."""
+    """Piece ids of every document, with whether they spell its text.
+
+    Pieces are scored by their rank in the vocabulary, so ids are not those of the file's own merges.
+    """
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model())
