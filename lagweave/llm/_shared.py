@@ -45,7 +45,7 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one``, which has each ``key`` once, so that a hot key is no hot task.
+    """``many`` joined with ``one``, which has each ``key`` few times, so that a hot key is no hot task.
 
     At most a thousand keys can be hot by their definition, so these are broadcast; rows of ``many``
     with such a key are dealt to ``PIECES`` pieces by their column ``spread``, and the row of ``one`` is
