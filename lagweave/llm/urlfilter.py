@@ -8,11 +8,14 @@ A short list of explicit host and path rules comes first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagweave.llm._shared import salted_join, written
+
 #: Fixed rules: host, path and verdict.
 RULES = (
     ("com", "/en/", "block"),
@@ -62,15 +65,36 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5, max_length: int = 4) -> DataFrame:
-    """(antecedent, confidence, support) of rules for blocking, from rows (tokens, bad).
+def distinct_tokens(labelled: DataFrame, least: int) -> DataFrame:
+    """The (id, tokens, bad) rows of ``labelled``, without tokens that can add no rule.
+
+    Those on under ``least`` bad pages make no rule of that support; of tokens that stand on exactly the
+    same pages (equal counts and sums of page hashes) the first one stays, so a page with many tokens of
+    its own brings no powers of their number.
+    """
+    each = labelled.select("id", "bad", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
+    kept = counts.where(F.col("n_bad") >= least).groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token")
+    found = each.join(kept, "token").groupBy("id").agg(F.collect_set("token").alias("tokens"))  # tokens of one page
+    return labelled.select("id", "bad").join(found, "id", "left").select("id", "bad", F.coalesce("tokens", F.expr("cast(array() as array<string>)")).alias("tokens"))
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, z: float = 1.96, min_count: int = 10) -> DataFrame:
+    """(antecedent, confidence, support) of rules for blocking, from rows (id, tokens, bad), an id a row.
 
-    Rules of over ``max_length`` tokens, and those with a part that is as confident, are pruned.
+    A rule holds for ``min_support`` of the pages, and for ``min_count``; at least ``min_confidence`` of
+    them are bad, and so many that the lower bound of that share (Wilson's, ``z`` deviations) is over the
+    share of bad pages in all.
     """
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift) & (F.size("antecedent") <= max_length))
-    return found.select("antecedent", "confidence", "support")
+    n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    least = max(min_support, min(1.0, min_count / max(n, 1))) * max(n, 1)
+    rows = distinct_tokens(labelled, max(1, int(least * min_confidence)))
+    baskets = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(1e-12, least * min_confidence / max(n, 1)), minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
+    share, pages = F.col("confidence"), F.col("support") * F.lit(float(rows.count())) / F.col("confidence")
+    low = (share + z * z / (2 * pages) - z * F.sqrt(share * (1 - share) / pages + z * z / (4 * pages * pages))) / (1 + z * z / pages)
+    return found.where((pages >= least - 0.5) & (low > bad / max(n, 1))).select("antecedent", "confidence", "support")
 
 
 def prune(rules: list) -> list:
@@ -78,51 +102,50 @@ def prune(rules: list) -> list:
     best: dict[frozenset, float] = {}
     for r in sorted(rules, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"]))):
         mine = frozenset(r["antecedent"])
-        if not any(conf >= r["confidence"] for part, conf in best.items() if part < mine):
+        if len(mine) <= 12:
+            parts = (best.get(frozenset(c)) for k in range(1, len(mine)) for c in combinations(mine, k))
+        else:
+            parts = (conf for part, conf in best.items() if part < mine)
+        if not any(conf is not None and conf >= r["confidence"] for conf in parts):
             best[mine] = r["confidence"]
     return [(sorted(k), v) for k, v in best.items()]
 
 
-def match_rules(urls: DataFrame, rules: DataFrame, frequency: dict[str, int], broadcast: bool) -> DataFrame:
-    """(url, confidence): the urls of (url, tokens) that have all tokens of a rule of (antecedent, confidence).
+def match_rules(urls: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
+    """(url, confidence): the urls of (url, tokens), each once, that have all tokens of a rule of (antecedent, confidence).
 
-    The index has each rule once, under its rarest token, so common tokens bring few candidates.
+    The index has each rule once, under the token that the fewest urls have, so common tokens bring few
+    candidates. ``small`` rules are broadcast.
     """
-    rank = F.create_map(*[F.lit(x) for kv in sorted(frequency.items()) for x in kv]) if frequency else None
-    key = F.array_min(F.transform("antecedent", lambda t: F.struct(F.coalesce(F.element_at(rank, t), F.lit(0)).alias("n"), t.alias("t"))))["t"] if rank is not None else F.array_min("antecedent")
-    index = rules.select(key.alias("token"), "antecedent", "confidence")
+    near = F.broadcast if small else lambda df: df
     each = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    met = each.join(F.broadcast(index) if broadcast else index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    named = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
+    seen = each.join(near(named.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    index = named.join(seen, "token").groupBy("antecedent", "confidence").agg(F.count("*").alias("known"), F.min(F.struct("n", "token"))["token"].alias("token")).where(F.col("known") == F.size("antecedent"))
+    met = each.join(near(index.select("token", "antecedent", "confidence")), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 10) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 10) -> DataFrame:
     """(id, host, path, rule, verdict, confidence) for every row of ``pages``.
 
     ``labels`` (doc_id, quality, toxic) label the pages of the same id: low quality or toxic is bad.
     The longest explicit rule decides; else a mined rule blocks and everything else is allowed. A
     null url, or one without ``://``, has an empty host and path and is allowed. Rows stay as they
     are, equal ones too; unlabelled pages take no part in mining; with no labels nothing is mined.
-    A rule needs the support ``min_support`` and ``min_count`` pages.
+    ``confidence`` is that of the surest mined rule that fits, null if none does.
     """
     host, path = split_url(F.col("url"))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     known = base.where("url is not null and host <> ''").withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     truth = labels.select(F.col("doc_id").alias("id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad")).where("id is not null").groupBy("id").agg(F.max("bad").alias("bad"))
-    labelled = known.join(truth, "id").select("tokens", "bad")
-    n = labelled.count()
-    mined = mine_rules(labelled, max(min_support, min(1.0, min_count / max(n, 1))), min_confidence)
-    some = mined.limit(MAX_BROADCAST_RULES + 1).collect()
-    spark = pages.sparkSession
-    if len(some) <= MAX_BROADCAST_RULES:
-        local = prune(some)
-        names = sorted({t for r, _ in local for t in r})
-        seen = {r["t"]: r["n"] for r in known.select(F.explode("tokens").alias("t")).where(F.col("t").isin(names)).groupBy("t").agg(F.count("*").alias("n")).collect()} if names else {}
-        hits = match_rules(known, spark.createDataFrame(local, "antecedent array<string>, confidence double"), seen, True)
-    else:
-        hits = match_rules(known, mined, {}, False)
-    verdict = explicit_rule(F.col("host"), F.col("path"), rules)
-    out = base.join(hits, "url", "left").withColumn("r", verdict)
+    labelled = written(known.join(truth, "id").groupBy("id", "bad").agg(F.min(F.struct("url", "tokens"))["tokens"].alias("tokens")))
+    mined = written(mine_rules(labelled, min_support, min_confidence, min_count=min_count))
+    small = mined.count() <= MAX_BROADCAST_RULES
+    if small:  # fewer rules with the same verdicts
+        mined = pages.sparkSession.createDataFrame(prune(mined.collect()), "antecedent array<string>, confidence double")
+    hits = match_rules(known.groupBy("url").agg(F.first("tokens").alias("tokens")), mined, small)
+    out = salted_join(base, hits, "url", "id", "left").withColumn("r", explicit_rule(F.col("host"), F.col("path"), rules))
     return out.select(
         F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce("r.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence",
