@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagweave.llm._shared import dropped, written
 from lagweave.llm._split import remainder
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -60,6 +61,12 @@ def segments(positions: list[int], scores: list[float], drift: float) -> list[tu
     return done + [(a, b, after - before) for a, b, before, after, _ in found]
 
 
+def lowered(text: str) -> str:
+    """Lower case with as many code points, so that places are those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 @dataclass
 class Model:
     """``weights``, ``stems``: log-odds. ``knots``, ``shares``: the calibration curve."""
@@ -86,9 +93,15 @@ class Model:
             self.kept[word] = s
         return s
 
+    def best(self, text: str | None) -> tuple[float, int]:
+        """(score of the best passage, 0 if there is none; words)."""
+        tokens = TOKEN.findall(lowered(text)) if text else []
+        rated = [(i, s) for i, w in enumerate(tokens) if w[:HEAD] in self.heads and (s := self.word_score(w))]
+        return max((s for *_, s in segments([i for i, _ in rated], [s for _, s in rated], self.drift)), default=0.0), len(tokens)
+
     def scan(self, text: str | None) -> tuple[float, list[tuple[int, int, float]], list[str]]:
         """(evidence, passages as first and last token and E-value, tokens)."""
-        tokens = TOKEN.findall(text.lower()) if text else []
+        tokens = TOKEN.findall(lowered(text)) if text else []
         heads = self.heads
         rated = [(i, s) for i, w in enumerate(tokens) if w[:HEAD] in heads and (s := self.word_score(w))]
         if not rated:
@@ -105,10 +118,14 @@ class Model:
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """(token, stem, toxic, clean): documents of each class that have each word or word beginning."""
+    """(token, toxic, clean): documents of each class that have each word, or word beginning (with a tab).
+
+    The token of one line end has the numbers of words of each class.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+        length = [0, 0]
 
         def out() -> pa.RecordBatch:
             words = list(seen[0].keys() | seen[1].keys())
@@ -118,10 +135,13 @@ def class_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1)):
-                words = set(TOKEN.findall((text.as_py() or "").lower()))
+                tokens = TOKEN.findall(lowered(text.as_py() or ""))
+                words = set(tokens)
+                length[1 if y.as_py() else 0] += len(tokens)
                 seen[1 if y.as_py() else 0].update(words | {f"{w[:n]}\t" for w in words for n in STEMS if len(w) > n})  # a tab marks stems
                 if len(seen[0]) + len(seen[1]) > _FLUSH:
                     yield out()
+        seen[0]["\n"], seen[1]["\n"] = length
         yield out()
 
     return labelled.select("text", "toxic").mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -143,13 +163,14 @@ def _karlin(pos: list[tuple[float, float]], drift: float) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float = 0.1, z_min: float = 3.0, max_features: int = 2_000, max_rows: int = 30_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float = 0.1, z_min: float = 3.0, max_rows: int = 30_000) -> Model:
     """Fit on the labelled rows of ``docs`` (id, text) that have a row with a label in ``labels``.
 
     At most ``max_rows`` labelled ids take part, those with the smallest hashes, so the labels can be
     broadcast and no text is shuffled. Documents with crc32(id) mod 10 of 8 or 9 set the curve, the others the log-odds. The model
-    keeps words and stems with z >= ``z_min``, at most ``max_features`` of them by z. Null labels
-    are left out, a null text is empty; without labelled rows every score is the same low one.
+    keeps all words and stems with z >= ``z_min``. lambda solves the equation of Karlin and Altschul for
+    the clean class, K is the likeliest for its best passages. Null labels are left out, a null text is
+    empty; without labelled rows every score is the same low one.
     """
     truth = labels.select(F.col(id_col).alias("id"), F.col("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = truth.orderBy(F.xxhash64("id"), "id").limit(max_rows)
@@ -166,16 +187,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float
     y1, y0 = F.col("toxic") + a, F.col("clean") + a
     delta = F.log(y1 / ((1 + prior) * (n1 + 1) - y1 + prior * n0)) - F.log(y0 / ((1 + prior) * (n0 + 1) - y0 + prior * n1))
     sd = F.sqrt(1 / y1 + 1 / y0)
-    rated = counts.withColumns({"delta": delta, "sd": sd}).where(F.col("delta") >= z_min * F.col("sd"))
-    kept = rated.orderBy(F.desc(F.col("delta") / F.col("sd")), "token").limit(max_features).collect()
+    counts = table = written(counts)
+    lengths = {int(k): r[k] for r in counts.where(F.col("token") == "\n").selectExpr("toxic as `1`", "clean as `0`").collect() for k in ("0", "1")}
+    counts = counts.where(F.col("token") != "\n")
+    kept = counts.withColumns({"delta": delta, "sd": sd}).where(F.col("delta") >= z_min * F.col("sd")).orderBy("token").collect()  # words of the bounded sample
+    dropped(table)
     weights, stems, clean_rate = {}, {}, []
     for r in kept:
         s = r["delta"] - 2 * r["sd"]  # a low estimate, above 0 as z_min is over 2
         (stems if r["token"].endswith("\t") else weights)[r["token"].rstrip("\t")] = s
         if not r["token"].endswith("\t"):
-            clean_rate.append(((r["clean"] + prior) / (200.0 * n0), s))  # about 200 words a document
+            clean_rate.append(((r["clean"] + prior) / max(lengths.get(0, 0), n0), s))
     model = Model(weights, stems, lam=_karlin(clean_rate, DRIFT))
 
+    first = docs.sparkSession.sparkContext.broadcast(model)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(documents with a passage, sum of words * exp(-lambda * best score)), one row a task."""
+        hit, total = 0, 0.0
+        for batch in batches:
+            for t in batch.column(0):
+                s, n = first.value.best(t.as_py())
+                hit, total = hit + (s > 0), total + n * math.exp(-first.value.lam * s)
+        yield pa.RecordBatch.from_arrays([pa.array([hit], pa.int64()), pa.array([total], pa.float64())], names=["hit", "total"])
+
+    hit, total = known.where((tenth >= 8) & (F.col("toxic") == 0)).select("text").mapInArrow(best, "hit long, total double").agg(F.sum("hit"), F.sum("total")).first()
+    model.k = min(1.0, max(1e-4, (hit or 0) / total)) if total else model.k
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +249,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``passages``: the significant toxic passages as code-point spans with E-values. Null and empty
     texts have no passage and the score of no evidence. Equal and null ids stay as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many numbers as words of a bounded sample
     kind = docs.schema[id_col].dataType.simpleString()
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evalue", pa.float64())]))
 
@@ -225,7 +262,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 ev, found, tokens = m.scan(text)
                 probs.append(m.probability(ev))
                 sizes.append(len(tokens))
-                at = [x.span() for x in TOKEN.finditer(text.lower())] if found else []
+                at = [x.span() for x in TOKEN.finditer(lowered(text))] if found else []
                 spans.append([{"start": at[a][0], "end": at[b][1], "evalue": e} for a, b, e in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probs, pa.float64()), pa.array(sizes, pa.int64()), pa.array(spans, passage)], names=[id_col, "score", "n_tokens", "passages"])
 
