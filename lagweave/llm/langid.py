@@ -34,7 +34,10 @@ def gram_counts(text: str) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     for low in range(0, len(text), _PART):
         codes = np.frombuffer(text[low : low + _PART + 2].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        codes = np.where(_LETTERS[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF), codes, 32).astype(np.uint32)
+        letters = _LETTERS[np.minimum(codes, 0xFFFF)]
+        for k in np.flatnonzero(codes > 0xFFFF).tolist():
+            letters[k] = chr(codes[k]).isalpha()
+        codes = np.where(letters, codes, 32).astype(np.uint32)
         mixed = np.zeros(0, np.uint32)
         last = low + _PART >= len(text)
         for n, odd in enumerate(_ODD):
@@ -131,12 +134,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on the rows of ``docs`` that have a language.
 
     The classifier sees at most ``per_lang`` documents of each language, those with the smallest
-    hashes of their ids (whole texts); document frequencies cover all rows. Null or letterless
+    hashes of their id and text (whole texts); document frequencies cover all rows. Null or letterless
     texts are left out; no usable row gives a model that answers 'und'.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = [r["id"] for r in known.where("text is not null").select("id", "lang").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_lang).select("id").collect()]
+    mark = F.xxhash64("id", "text").alias("mark")
+    by_hash = Window.partitionBy("lang").orderBy("mark")
+    drawn = F.broadcast(known.where("text is not null").select("lang", mark).distinct().withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_lang).select("mark").distinct())
     total, df = document_frequencies(known, "text")
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
@@ -151,7 +155,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             langs, ats, counts = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ats, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "at", "n"])
 
-    sample = known.where(F.col("id").isin(ids)).dropDuplicates(["id"]).select("text", "lang").mapInArrow(vectors, "lang string, at array<int>, n array<int>").collect() if ids else []
+    sample = known.withColumn("mark", mark).join(drawn, "mark", "left_semi").dropDuplicates(["mark", "lang"]).select("text", "lang").mapInArrow(vectors, "lang string, at array<int>, n array<int>").collect()  # per_lang texts a language
     sample.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     langs = sorted({r["lang"] for r in sample})
     if not langs:
