@@ -79,17 +79,19 @@ class Vocabulary:
         self.own = [int(x) for x in np.random.default_rng(23).integers(0, _UNIT, len(self.spelled) + 1)]  # the last is for spelled bytes
         self.tree = self._tree()
         self.longest = max(map(len, self.score))
-        self.kept: dict[str, tuple[int, bytes, bool]] = {}
-        self.older: dict[str, tuple[int, bytes, bool]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.values: dict[str, int] = {}
+        self.misspelled: set[str] = set()
 
     def _tree(self) -> dict:
-        """Pieces by their characters: each maps to (what may follow, score or 0, id)."""
-        nodes: dict[str, list] = {"": [{}, 0, 0]}
+        """Pieces by their characters: each maps to (what may follow, scaled score or 0, id, own number)."""
+        nodes: dict[str, list] = {"": [{}, 0, 0, 0]}
         for piece, (score, k) in self.score.items():
             for n in range(1, len(piece) + 1):
                 if piece[:n] not in nodes:
-                    nodes[piece[:n]] = [{}, 0, 0]
-            nodes[piece][1:] = [score, k]
+                    nodes[piece[:n]] = [{}, 0, 0, 0]
+            nodes[piece][1:] = [score * _UNIT, k, self.own[k]]
         for name in sorted(nodes, key=len, reverse=True):
             if name:
                 nodes[name[:-1]][0][name[-1]] = tuple(nodes[name])
@@ -103,7 +105,7 @@ class Vocabulary:
                 break
             at = hit[0]
             if hit[1]:
-                out.append((end, hit[1] * _UNIT + (tie ^ self.own[hit[2]]), hit[2]))
+                out.append((end, hit[1] + (tie ^ hit[3]), hit[2]))
         if not out or out[0][0] != i + 1:
             out.insert(0, (i + 1, self.byte_cost * len(_raw(s[i])) * _UNIT + (tie ^ self.own[-1]), -1))
         return out
@@ -113,7 +115,7 @@ class Vocabulary:
         end = len(s) if end is None else end
         total, back = [UNREACHABLE] * (end + 1), [(0, 0)] * (end + 1)
         total[start] = 0
-        chars, longest, own = s[start:end], self.longest, self.own
+        chars, longest = s[start:end], self.longest
         for i in range(start, end):
             base = total[i]
             if base == UNREACHABLE:
@@ -122,14 +124,14 @@ class Vocabulary:
             for c in chars[i - start : i - start + longest]:
                 if (hit := at.get(c)) is None:
                     break
-                at, score, k = hit
+                at, score, k, own = hit
                 to += 1
                 if score:
                     if to == i + 1:
                         single = True
-                    if (value := base + score * _UNIT + (tie ^ own[k])) > total[to]:
+                    if (value := base + score + (tie ^ own)) > total[to]:
                         total[to], back[to] = value, (i, k)
-            if not single and (value := base + self.byte_cost * len(_raw(s[i])) * _UNIT + (tie ^ own[-1])) > total[i + 1]:
+            if not single and (value := base + self.byte_cost * len(_raw(s[i])) * _UNIT + (tie ^ self.own[-1])) > total[i + 1]:
                 total[i + 1], back[i + 1] = value, (i, -1)
         ids: list[int] = []
         at = end
@@ -139,19 +141,30 @@ class Vocabulary:
             at = i
         return total[end], ids[::-1]
 
-    def cut(self, segment: str) -> tuple[int, bytes, bool]:
-        """Best value and ids of one segment, and whether they spell it; remembered in two generations of a bounded size."""
+    def cut(self, segment: str) -> bytes:
+        """Best ids of one segment, remembered in two generations of a bounded size."""
         if (got := self.kept.get(segment)) is None:
             if (got := self.older.get(segment)) is None:
-                value, ids = self.best(segment)
-                spelled = b"".join(map(self.spelled.__getitem__, ids))
-                got = value, np.array(ids, np.int32).tobytes(), spelled == plain(segment)
+                ids = self.best(segment)[1]
+                got = np.array(ids, np.int32).tobytes()
+                if b"".join(map(self.spelled.__getitem__, ids)) != plain(segment):
+                    self.misspelled.add(segment)
             if len(segment) < 64:
                 if len(self.kept) > _KEPT:
                     self.older, self.kept = self.kept, {}
                 self.kept[segment] = got
         return got
 
+    def value(self, segment: str) -> int:
+        """Best value of one segment, remembered in a bounded number."""
+        if (got := self.values.get(segment)) is None:
+            got = self.best(segment)[0]
+            if len(segment) < 64:
+                if len(self.values) > _KEPT:
+                    self.values.clear()
+                self.values[segment] = got
+        return got
+
     def encode(self, text: str) -> tuple[bytes, bool]:
         """Piece ids of the whole text as 32-bit integers, and whether they spell it."""
         if not text:
@@ -160,7 +173,7 @@ class Vocabulary:
         got = list(map(self.kept.get, segments))
         if None in got:
             got = [self.cut(s) if g is None else g for s, g in zip(segments, got)]
-        return b"".join([ids for _, ids, _ in got]), all([ok for _, _, ok in got])
+        return b"".join(got), not (self.misspelled and any(s in self.misspelled for s in segments))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.spelled.__getitem__, ids.tolist()))[1:].decode(errors="replace")
@@ -181,7 +194,7 @@ class Vocabulary:
         head = np.full(m, UNREACHABLE, np.int64)
         for i in range(min(m - 1, starts[0]) + 1):
             head[i] = self.best(s, i, starts[0], place)[0]
-        middle = sum(self.cut(s[a:b])[0] for a, b in zip(starts, starts[1:]))
+        middle = sum(self.value(s[a:b]) for a, b in zip(starts, starts[1:]))
         tail = self._scan(s, starts[-1], length, [0], -starts[-1])[0]
         ok = (head[:, None] > UNREACHABLE) & (tail[None, :] > UNREACHABLE)
         out[ok] = (np.where(ok, head[:, None], 0) + middle + np.where(ok, tail[None, :], 0))[ok]
@@ -210,7 +223,7 @@ class Vocabulary:
         if not starts or enter > starts[0]:
             return np.array(self.best(s, enter, length + leave, place)[1], np.int32).tobytes()
         parts = [np.array(self.best(s, enter, starts[0], place)[1], np.int32).tobytes()] if starts[0] > enter else []
-        parts += [self.cut(s[a:b])[1] for a, b in zip(starts, starts[1:])]
+        parts += [self.cut(s[a:b]) for a, b in zip(starts, starts[1:])]
         parts.append(np.array(self.best(s, starts[-1], length + leave, -starts[-1])[1], np.int32).tobytes())
         return b"".join(parts)
 
