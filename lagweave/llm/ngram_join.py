@@ -39,7 +39,7 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Tokens of at least so many sets are common; at most so many (8 bytes each) are, those of the most sets.
 COMMON_FROM, MAX_COMMON = 64, 1_000_000
 #: A task reports tokens of at least so many of its sets, and holds about so many distinct ones.
-SEEN_FROM, _HELD = 4, 1_000_000
+SEEN_FROM, _HELD = 4, 400_000
 #: Partitions by all tokens that are tried before empty segments are indexed too.
 SALTS = 3
 #: 64-bit words of a sketch; nodes of a bucket that the others are tested against by round; nodes of a block.

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -324,6 +325,34 @@ def test_mined_rules_block_what_was_labelled_bad(spark):
     assert {(r["page_id"] % 4 == 0, r["verdict"]) for r in got.collect()} == {(True, "block"), (False, "allow")}
 
 
+def test_rules_equal_brute_force(spark):
+    r = random.Random(6)
+    pages = [(i, f"http://{r.choice('abc')}.{r.choice(['x', 'y'])}.org/{r.choice('pqr')}/{r.choice('uvw')}/{r.randrange(99)}") for i in range(300)]
+    bad = {i: ("//a." in u and "/p/" in u) or r.random() < 0.1 for i, u in pages}
+    labels = spark.createDataFrame([(i, int(not bad[i]), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    host, path = urlfilter.split_url(F.col("url"))
+    tokens = {x["page_id"]: frozenset(x["t"]) for x in df.select("page_id", urlfilter.tokens(F.col("url"), host, path).alias("t")).collect()}
+    base = sum(bad[i] for i in range(200)) / 200
+    sets = {frozenset(c) for i in range(200) for k in range(1, len(tokens[i]) + 1) for c in combinations(sorted(tokens[i]), k)}
+    rules = {}
+    for rule in sets:
+        fits = [i for i in range(200) if rule <= tokens[i]]
+        n, p = len(fits), sum(bad[i] for i in fits) / len(fits)
+        z = 1.96
+        low = (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+        if n >= 10 and p >= 0.5 and low > base:
+            rules[rule] = p
+    want = {i: max((p for rule, p in rules.items() if rule <= tokens[i]), default=None) for i, _ in pages}
+    got = {x["page_id"]: x["confidence"] for x in urlfilter.judge(df, labels, rules=()).collect()}
+    assert got == pytest.approx(want) and any(want.values()) and not all(want.values())
+
+
+def test_urls_of_an_empty_table(spark):
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string"), labels).count() == 0
+
+
 # 5 benchmark
 
 
@@ -513,15 +542,16 @@ def test_model_learns_from_all_texts_and_not_from_copies(spark):
     pieces = np.bincount(np.concatenate(ids), minlength=splitter.get_piece_size() + 1)
     rank = np.arange(len(pieces)) % 1000
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    found = lm.contexts(docs, rank, 1.0, sp.default_model()).cache()
+    found = lm.gathered(docs, 1.0, sp.default_model()).cache()
     got = Counter()
-    for row in found.where("next is not null").collect():
-        for b, n in zip(row["before"], row["n"]):
-            got[row["next"], b] += n
-    assert got == Counter((b, rank[a]) for t in ids for a, b in zip(t, t[1:]))
+    for row in found.where(F.col("kind") == lm.PAIR).collect():
+        for b, n in zip(row["before"], row["ns"]):
+            got[row["id"], b] += n
+    assert got == Counter((b, a) for t in ids for a, b in zip(t, t[1:]))
+    assert {r["id"]: r["n"] for r in found.where(F.col("kind") == lm.PIECE).groupBy("id").agg(F.sum("n").alias("n")).collect()} == {k: n for k, n in enumerate(pieces.tolist()) if n}
     starts = {tuple(t): range(0, max(1, len(t) - lm.WINDOW + lm.STRIDE), lm.STRIDE) for t in ids}
     want = Counter(tuple(([-1] + list(t))[k : k + lm.WINDOW + 1]) for t, at in starts.items() for k in at)
-    windows = found.where("key is not null").select("key", "ids").dropDuplicates(["key"])
+    windows = found.where(F.col("kind") == lm.DRAWN).select(F.col("id").alias("key"), "ids").dropDuplicates(["key"])
     assert Counter(tuple(w["ids"]) for w in windows.collect()) == want
     net = lm.Network(np.minimum(rank, 1001), rank % lm.CLASSES, np.zeros(len(rank)))
     net.start(1002, lm.CLASSES)
@@ -588,6 +618,12 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert {r["score"] < 0.5 for r in toxicity.score(odd, nothing).collect()} == {True}
 
 
+def test_passages_are_places_of_the_text(spark):
+    model = toxicity.Model({"bad": 9.0}, {})
+    docs = spark.createDataFrame([(1, "\u0130\u0130 bad thing")], "doc_id long, text string")
+    assert [(p["start"], p["end"]) for p in toxicity.score(docs, model).first()["passages"]] == [(3, 6)]
+
+
 # 10 quality
 
 
