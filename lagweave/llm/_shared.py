@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot with over this many rows and over a thousandth of all; its rows are dealt to so many pieces.
-HOT_ROWS, PIECES = 200, 32
+#: So many keys at most are hot, those with over this many rows; their rows are dealt to so many pieces.
+HOT_KEYS, HOT_ROWS, PIECES = 1000, 200, 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,13 +47,12 @@ def dropped(*tables: DataFrame) -> None:
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """``many`` joined with ``one``, which has each ``key`` few times, so that a hot key is no hot task.
 
-    At most a thousand keys can be hot by their definition, so these are broadcast; rows of ``many``
-    with such a key are dealt to ``PIECES`` pieces by their column ``spread``, and the row of ``one`` is
-    copied to each piece.
+    The ``HOT_KEYS`` most frequent keys, if they have many rows, are broadcast; rows of ``many`` with such
+    a key are dealt to ``PIECES`` pieces by their column ``spread``, and the row of ``one`` is copied to
+    each piece. No other key has more than a ``HOT_KEYS``-th of the rows.
     """
-    total = many.agg(F.count("*").alias("_total"))
-    counts = many.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
-    hot = F.broadcast(counts.join(F.broadcast(total), F.expr("_n * 1000 > _total")).select("_hot"))
+    counts = many.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where((F.col("_n") > HOT_ROWS) & F.col("_hot").isNotNull())
+    hot = F.broadcast(counts.orderBy(F.desc("_n"), "_hot").limit(HOT_KEYS).select("_hot"))
     columns = [F.col(c) for c in many.columns]
     left = many.join(hot, many[key] == F.col("_hot"), "left").select(*columns, F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(PIECES)).cast("int") + 1).otherwise(0).alias("_piece"))
     right = one.join(hot, one[key] == F.col("_hot"), "left").select(*[one[c] for c in one.columns], F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(1), F.lit(PIECES))).otherwise(F.array(F.lit(0)))).alias("_piece"))

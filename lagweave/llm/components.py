@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm._shared import dropped, salted_join, written
+from lagweave.llm._shared import dropped, written
 
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); component is the smallest node reachable.
 
     Each round takes the smallest label among neighbours and then the label's own label. Minima are
-    taken before the shuffle and hot nodes are dealt out, so a node with very many links is no hot
-    spot; every round is written to the shared folder in place of the one before. Nulls link nothing,
-    repeated links and loops are harmless. The result is a table of ``written``.
+    taken before the shuffle, and a node with very many links has one row of labels to be joined with, so
+    Spark splits its side where it is skewed; every round is written to the shared folder in place of the
+    one before. Nulls link nothing, repeated links and loops are harmless. The result is a table of
+    ``written``.
     """
     both = written(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     edges = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = salted_join(edges, labels.select(F.col("node").alias("b"), "component"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
-        after = written(salted_join(low, jump, "low", "node", "left").select("node", F.least("low", "next").alias("component"), "was"))
+        after = written(low.join(jump, "low", "left").select("node", F.least("low", "next").alias("component"), "was"))
         changed = after.where("component <> was").limit(1).count()
         dropped(labels)
         labels = after.select("node", "component")
