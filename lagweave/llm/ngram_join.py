@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lagweave.llm._shared import dropped, salted_join, written
 from lagweave.llm._words import LOWER, find_words, mix, row_blocks, utf8, window_hashes
-from lagweave.llm.components import connected
+from lagweave.llm.components import MAX_BROADCAST_LABELS, connected
 
 #: Row ids up to this many (8 bytes each) are broadcast as a filter; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -347,6 +347,20 @@ def dealt(buckets: DataFrame) -> DataFrame:
     return buckets.select("*", F.explode(F.when(F.col("hot"), F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))).alias("spread")).drop("hot")
 
 
+def spanning(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (sig, spread, key, part) whose bucket has several parts."""
+    each = Window.partitionBy("sig", "spread")
+    cold = placed.where("spread = 0").withColumns({"low": F.min("part").over(each), "high": F.max("part").over(each)}).where("low < high")  # no more than a token's sets
+    hot = placed.where("spread > 0")
+    many = hot.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig", F.lit(True).alias("hot"))
+    return cold.select("sig", "spread", "key", "part").union(hot.join(dealt(many), ["sig", "spread"]).select("sig", "spread", "key", "part"))
+
+
+def near(parts: DataFrame) -> DataFrame:
+    """Components to be broadcast if they are few."""
+    return F.broadcast(parts) if parts.n_rows <= MAX_BROADCAST_LABELS else parts
+
+
 def across(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all nodes of ``left`` (sig, spread, key, part) that share a bucket across parts and may link.
 
@@ -380,9 +394,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     texts = texts_of(base, sets, shared.select("key").distinct())
     links, parts, found = [], None, 0
     for turn in range(len(CENTRES) + 1):
-        placed = shared.withColumn("part", F.col("key")) if parts is None else shared.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
-        many = placed.select("sig", (F.col("spread") > 0).alias("hot"), "part").distinct().groupBy("sig", "hot").agg(F.count("*").alias("parts")).where("parts > 1").select("sig", "hot")
-        left = written(placed.join(dealt(many), ["sig", "spread"]).select("sig", "spread", "key", "part"))
+        placed = shared.withColumn("part", F.col("key")) if parts is None else shared.join(near(parts).withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+        left = written(spanning(placed))
         n_left = left.count()
         dropped(shared)
         shared = left.select("sig", "spread", "key")
@@ -415,7 +428,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     dropped(shared, texts, *links)
     if parts is None:
         return rows, sets.select("key", "first", F.col("key").alias("part"))
-    return rows, sets.select("key", "first").join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("part"))
+    return rows, sets.select("key", "first").join(near(parts).withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("part"))
 
 
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
