@@ -11,7 +11,7 @@ def condition_intervals(markers: DataFrame, durations: DataFrame) -> DataFrame:
 
     Sorted by time, then label. A start before the stop replaces an earlier open one, a stop without
     a start is dropped, an open interval ends with the session; times are clamped to 0 and the
-    duration (session_id, duration).
+    duration (session_id, duration), and an interval that then doesn't end after its start is dropped.
     """
     parts = markers.where(F.col("label").rlike("_(start|stop)$")).select(
         "session_id", "t", "label", F.regexp_replace("label", "_(start|stop)$", "").alias("condition"), F.col("label").endswith("_start").alias("starts")
@@ -22,7 +22,16 @@ def condition_intervals(markers: DataFrame, durations: DataFrame) -> DataFrame:
     open_ = chained.where(F.col("starts") & F.col("after").isNull()).select("session_id", "condition", F.col("t").alias("t_start"), F.lit(None).cast("double").alias("t_stop"))
     out = closed.union(open_).join(durations, "session_id")
     stop = F.least(F.coalesce("t_stop", "duration"), F.col("duration"))
-    return out.select("session_id", "condition", F.greatest("t_start", F.lit(0.0)).alias("t_start"), stop.alias("t_stop"))
+    return out.select("session_id", "condition", F.greatest("t_start", F.lit(0.0)).alias("t_start"), stop.alias("t_stop")).where("t_stop > t_start")
+
+
+def merged(intervals: DataFrame) -> DataFrame:
+    """(session_id, condition, t_start, t_stop) with overlapping intervals of one condition made one."""
+    w = Window.partitionBy("session_id", "condition").orderBy("t_start", "t_stop")
+    reach = F.max("t_stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = intervals.withColumn("_new", F.when(reach >= F.col("t_start"), 0).otherwise(1))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("session_id", "condition", "_run").agg(F.min("t_start").alias("t_start"), F.max("t_stop").alias("t_stop")).drop("_run")
 
 
 def classify(a: Column, b: Column, cut_a: Column, cut_b: Column) -> Column:
@@ -34,13 +43,14 @@ def with_conditions(rows: DataFrame, intervals: DataFrame, width: float) -> Data
     """``rows`` (session_id, t, ...) once for each condition they lie in, ends included.
 
     Intervals are dealt into buckets of ``width`` seconds and joined on session and bucket, so the
-    range join is an equi-join; a row in two intervals of one condition counts once.
+    range join is an equi-join; a row in two intervals of one condition counts once, equal rows each.
     """
+    intervals = merged(intervals)
     first, last = F.floor(F.col("t_start") / width).cast("long"), F.floor(F.col("t_stop") / width).cast("long")
     dealt = intervals.withColumn("_k", F.explode(F.sequence(first, last)))
     keyed = rows.withColumn("_k", F.floor(F.col("t") / width).cast("long"))
     met = keyed.join(dealt, ["session_id", "_k"]).where(F.col("t").between(F.col("t_start"), F.col("t_stop")))
-    return met.drop("_k", "t_start", "t_stop").distinct()
+    return met.drop("_k", "t_start", "t_stop")
 
 
 def condition_stats(rows: DataFrame, intervals: DataFrame, dt: float, width: float) -> DataFrame:

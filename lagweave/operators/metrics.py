@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagweave.operators import spans
+
+#: Ranges of the scores of a ROC curve.
+PARTS = 200
+
 
 def roc_auc(scored: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums with tied ranks; null if one class is missing.
 
-    Scores are counted first and cumulated by distinct value, so the ordered pass is over values.
+    Scores are counted first and cumulated by distinct value, in ranges of ``PARTS`` quantiles with the
+    counts of lower ranges carried over, so no task orders all values.
     """
     per = scored.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    before = per.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(w), F.lit(0)))
+    edges = per.agg(F.percentile_approx(score, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])).alias("_edges"))
+    part = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(score))), F.lit(0))
+    per = per.crossJoin(F.broadcast(edges)).withColumn("_part", part).drop("_edges")  # one row of edges
+    before = spans.running(per, keys, ["_part", score], {"below": ("sum", F.col("n") - F.col("p"))}, 1, "_part", inclusive=False).withColumn("below", F.coalesce("below", F.lit(0)))
     sums = before.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + 0.5 * (F.col("n") - F.col("p")))).alias("u"), F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"))
     return sums.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagweave.operators import spans
 from lagweave.operators.temporal import Keys
 
 
@@ -127,27 +128,32 @@ def band_coherence(rows: DataFrame, keys: Keys, x: str, y: str, width: int, step
     return spectra(rows, keys, [x, y], width, step, rate, work, [f"{b}_{n}" for b in bands for n in ("msc", "imcoh")])
 
 
-def beats(rows: DataFrame, keys: Keys, value: str, height_sd: float = 0.5, distance_s: float = 0.4) -> DataFrame:
+def beats(rows: DataFrame, keys: Keys, value: str, height_sd: float = 0.5, distance_s: float = 0.4, span_s: float = 86400.0) -> DataFrame:
     """(keys, t, ibi): R peaks and the interval since the peak before, clipped to 0.3 to 2 s.
 
     A peak is a local maximum over ``height_sd`` deviations and the highest within ``distance_s`` on
-    either side; rows (keys, t, value).
+    either side; rows (keys, t, value). Samples are worked by span of ``span_s`` with what surrounds it.
     """
-    by = Window.partitionBy(*keys).orderBy("t")
-    near = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN {distance_s!r}D PRECEDING AND {distance_s!r}D FOLLOWING)"
+    by = Window.partitionBy(*keys, "_span").orderBy("t")
+    around = f"OVER (PARTITION BY {', '.join(keys)}, _span ORDER BY t RANGE BETWEEN {distance_s!r}D PRECEDING AND {distance_s!r}D FOLLOWING)"
     stats = rows.groupBy(*keys).agg((F.avg(value) + height_sd * F.stddev_pop(value)).alias("_cut"))
-    marked = rows.join(stats, list(keys)).withColumns({"_top": F.expr(f"max({value}) {near}"), "_b": F.lag(value).over(by), "_a": F.lead(value).over(by)})
-    peaks = marked.where((F.col(value) >= F.col("_cut")) & (F.col(value) == F.col("_top")) & (F.col(value) > F.col("_b")) & (F.col(value) >= F.col("_a"))).select(*keys, "t")
-    gap = F.col("t") - F.lag("t").over(by)
-    return peaks.withColumn("ibi", F.when(gap.isNotNull(), F.least(F.greatest(gap, F.lit(0.3)), F.lit(2.0))))
+    place = F.struct("t", value)
+    neighbours = spans.running(rows.select(*keys, "t", value), keys, ["t"], {"_p": ("max", place)}, span_s, "t", inclusive=False)
+    neighbours = spans.running(neighbours, keys, ["t"], {"_n": ("min", place)}, span_s, "t", inclusive=False, later=True)
+    marked = spans.own(spans.haloed(neighbours, distance_s, distance_s, span_s, "t").withColumn("_top", F.expr(f"max({value}) {around}"))).join(stats, list(keys))
+    peaks = marked.where((F.col(value) >= F.col("_cut")) & (F.col(value) == F.col("_top")) & (F.col(value) > F.col(f"_p.{value}")) & (F.col(value) >= F.col(f"_n.{value}"))).select(*keys, "t")
+    gap = F.col("t") - F.col("_before")
+    found = spans.running(peaks, keys, ["t"], {"_before": ("max", F.col("t"))}, span_s, "t", inclusive=False)
+    return found.select(*keys, "t", F.when(gap.isNotNull(), F.least(F.greatest(gap, F.lit(0.3)), F.lit(2.0))).alias("ibi"))
 
 
 def heart_rate(peaks: DataFrame, keys: Keys, window_s: float) -> DataFrame:
-    """(keys, t, hr, rmssd, sdnn) over the trailing ``window_s`` at each beat."""
-    by = Window.partitionBy(*keys).orderBy("t")
-    back = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY t RANGE BETWEEN {window_s!r}D PRECEDING AND CURRENT ROW)"
-    step = peaks.withColumn("_d", F.col("ibi") - F.lag("ibi").over(by))
-    return step.select(*keys, "t", F.expr(f"60 / avg(ibi) {back}").alias("hr"), F.expr(f"sqrt(avg(_d * _d) {back})").alias("rmssd"), F.expr(f"stddev_pop(ibi) {back}").alias("sdnn"))
+    """(keys, t, hr, rmssd, sdnn) over the trailing ``window_s`` at each beat, by span with what lies before it."""
+    span_s = max(10 * window_s, 86400.0)
+    back = f"OVER (PARTITION BY {', '.join(keys)}, _span ORDER BY t RANGE BETWEEN {window_s!r}D PRECEDING AND CURRENT ROW)"
+    step = spans.running(peaks.select(*keys, "t", "ibi"), keys, ["t"], {"_p": ("max", F.struct("t", "ibi"))}, span_s, "t", inclusive=False).withColumn("_d", F.col("ibi") - F.col("_p.ibi"))
+    step = spans.haloed(step, window_s, 0, span_s, "t")
+    return spans.own(step.withColumns({"hr": F.expr(f"60 / avg(ibi) {back}"), "rmssd": F.expr(f"sqrt(avg(_d * _d) {back})"), "sdnn": F.expr(f"stddev_pop(ibi) {back}")})).select(*keys, "t", "hr", "rmssd", "sdnn")
 
 
 def distance(a: Column, b: Column) -> Column:

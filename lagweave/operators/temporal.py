@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagweave.operators import spans
+
 Keys = Sequence[str]
 
 
@@ -42,11 +44,15 @@ def grid(samples: DataFrame, keys: Keys, width: float) -> DataFrame:
     return streams.join(binned, [*keys, "b"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("valid", F.col("n") > 0)
 
 
-def bin_validity(samples: DataFrame, keys: Keys, n_bins: int, width: float = 1.0) -> DataFrame:
-    """(keys, b, frac): share of valid samples in each of ``n_bins`` bins, later ones counted in the last, empty 0."""
-    b = F.least(F.floor(F.col("t") / width), F.lit(n_bins - 1)).cast("int")
-    got = samples.groupBy(*keys, b.alias("b")).agg(F.avg(F.col("valid").cast("double")).alias("frac"))
-    streams = samples.select(*keys).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+def bin_validity(samples: DataFrame, keys: Keys, n_bins: int | None = None, width: float = 1.0) -> DataFrame:
+    """(keys, b, frac): share of valid samples in each bin, empty 0.
+
+    ``n_bins`` bins, later samples counted in the last; without it as many as reach the last sample of all.
+    """
+    b = F.floor(F.col("t") / width).cast("int")
+    got = samples.groupBy(*keys, (b if n_bins is None else F.least(b, F.lit(n_bins - 1))).alias("b")).agg(F.avg(F.col("valid").cast("double")).alias("frac"))
+    last = samples.agg((F.max(b) if n_bins is None else F.lit(n_bins - 1)).alias("last"))
+    streams = samples.select(*keys).distinct().crossJoin(F.broadcast(last)).select(*keys, F.explode(F.expr("sequence(0, last)")).alias("b"))
     return streams.join(got, [*keys, "b"], "left").withColumn("frac", F.coalesce("frac", F.lit(0.0)))
 
 
@@ -62,18 +68,20 @@ def zscore_clip(rows: DataFrame, keys: Keys, value: str = "x", clip: float = 10.
 
 def activity(rows: DataFrame, keys: Keys, width: int, value: str = "z") -> DataFrame:
     """``activity``: mean of the absolute value over the trailing ``width`` rows."""
-    w = Window.partitionBy(*keys).orderBy("b").rowsBetween(-(width - 1), 0)
-    return rows.withColumn("activity", F.avg(F.abs(value)).over(w))
+    w = Window.partitionBy(*keys, "_span").orderBy("b").rowsBetween(-(width - 1), 0)
+    return spans.own(spans.haloed(rows, width - 1, 0).withColumn("activity", F.avg(F.abs(value)).over(w)))
 
 
 def derivative(rows: DataFrame, keys: Keys, value: str = "x") -> DataFrame:
     """``dx``: difference from the row before, 0 at the start."""
-    return rows.withColumn("dx", F.coalesce(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy("b")), F.lit(0.0)))
+    w = Window.partitionBy(*keys, "_span").orderBy("b")
+    return spans.own(spans.haloed(rows, 1, 0).withColumn("dx", F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0))))
 
 
 def smooth(rows: DataFrame, keys: Keys, half: int, value: str = "x", out: str = "smooth") -> DataFrame:
     """Centred moving mean over 2 * ``half`` + 1 rows, shorter at the ends."""
-    return rows.withColumn(out, F.avg(value).over(Window.partitionBy(*keys).orderBy("b").rowsBetween(-half, half)))
+    w = Window.partitionBy(*keys, "_span").orderBy("b").rowsBetween(-half, half)
+    return spans.own(spans.haloed(rows, half, half).withColumn(out, F.avg(value).over(w)))
 
 
 def runs(rows: DataFrame, keys: Keys, flag: str) -> DataFrame:
@@ -101,18 +109,18 @@ def fill_short_gaps(rows: DataFrame, keys: Keys, longest: int, value: str = "x")
     return out.withColumn("filled", F.when(F.col("valid"), F.col(value)).when(gap <= longest, line)).drop("_p", "_q")
 
 
-def asof(times: DataFrame, samples: DataFrame, keys: Keys, value: str = "x") -> DataFrame:
+def asof(times: DataFrame, samples: DataFrame, keys: Keys, value: str = "x", width: float = 86400.0) -> DataFrame:
     """``times`` (keys, t) with the samples before (or at) and after (or at) each, as t0, x0, t1, x1.
 
-    One sorted pass over the union of both sides per stream: linear, and without a range join. Of
-    samples at one time the one of the largest value counts.
+    One sorted pass over the union of both sides by span of ``width``, with the nearest samples of other
+    spans carried over: linear, without a range join, and no task orders a stream. Of samples at one
+    time the one of the largest value counts.
     """
     keyed = samples.groupBy(*keys, "t").agg(F.max(value).alias("_x"))
     both = keyed.select(*keys, "t", F.col("_x"), F.lit(1).alias("_own")).union(times.select(*keys, "t").distinct().select(*keys, "t", F.lit(None).cast("double"), F.lit(0)))
     at = F.when(F.col("_own") == 1, F.struct(F.col("t").alias("t"), F.col("_x").alias("x")))
-    past = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(*keys).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
-    found = both.withColumns({"_p": F.max(at).over(past), "_q": F.min(at).over(future)}).where("_own = 0")
+    past = spans.running(both.withColumn("_turn", 1 - F.col("_own")), keys, ["t", "_turn"], {"_p": ("max", at)}, width, "t")
+    found = spans.running(past.withColumn("_turn", F.col("_own")), keys, ["t", "_turn"], {"_q": ("min", at)}, width, "t", later=True).where("_own = 0")
     return found.select(*keys, "t", F.col("_p.t").alias("t0"), F.col("_p.x").alias("x0"), F.col("_q.t").alias("t1"), F.col("_q.x").alias("x1"))
 
 
@@ -138,16 +146,14 @@ def asof_lerp(found: DataFrame) -> DataFrame:
 def lag_convolution(rows: DataFrame, keys: Keys, basis: Sequence[Sequence[float]], value: str = "z") -> DataFrame:
     """(keys, b, c0, c1, ...): causal convolution with each basis column, zero before the start.
 
-    One sorted window a stream; each lag is a ``lag`` of the same window, so there is one shuffle.
+    Each lag is a ``lag`` of one window over spans with a halo, so there is one shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy("b")
-    lagged = [F.coalesce(F.lag(value, s).over(w), F.lit(0.0)) if s else F.col(value) for s in range(len(basis))]
-    out = rows.withColumns({f"_l{s}": c for s, c in enumerate(lagged)})
-    columns = {f"c{j}": sum((F.col(f"_l{s}") * F.lit(float(basis[s][j])) for s in range(1, len(basis))), F.col("_l0") * F.lit(float(basis[0][j]))) for j in range(len(basis[0]))}
-    return out.select(*keys, "b", *[c.alias(n) for n, c in columns.items()])
+    weights = {f"c{j}": {s: float(basis[s][j]) for s in range(len(basis))} for j in range(len(basis[0]))}
+    return spans.lag_sums(rows, keys, value, weights).select(*keys, "b", *weights)
 
 
 def ar_terms(rows: DataFrame, keys: Keys, order: int, value: str = "z") -> DataFrame:
     """(keys, b, value, ar1, ar2, ...): the values before, 0 before the start."""
-    w = Window.partitionBy(*keys).orderBy("b")
-    return rows.select(*keys, "b", value, *[F.coalesce(F.lag(value, k).over(w), F.lit(0.0)).alias(f"ar{k}") for k in range(1, order + 1)])
+    w = Window.partitionBy(*keys, "_span").orderBy("b")
+    lagged = {f"ar{k}": F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) for k in range(1, order + 1)}
+    return spans.own(spans.haloed(rows, order, 0).withColumns(lagged)).select(*keys, "b", value, *lagged)

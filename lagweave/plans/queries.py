@@ -93,12 +93,12 @@ def grid_bins(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EV}, k AS (SELECT modality, least(CAST(floor(t / 86400) AS INT), 24) AS b, avg(CASE WHEN x > 10 THEN 1.0 ELSE 0.0 END) AS frac FROM ev GROUP BY ALL)
-SELECT s.modality, s.b, {R("coalesce(frac, 0.0)")} AS frac FROM (SELECT DISTINCT modality, CAST(unnest(range(25)) AS INT) AS b FROM ev) s LEFT JOIN k ON k.modality = s.modality AND k.b = s.b"""
+    f"""WITH {EV}, k AS (SELECT modality, CAST(floor(t / 86400) AS INT) AS b, avg(CASE WHEN x > 10 THEN 1.0 ELSE 0.0 END) AS frac FROM ev GROUP BY ALL)
+SELECT s.modality, s.b, {R("coalesce(frac, 0.0)")} AS frac FROM (SELECT DISTINCT modality, CAST(unnest(range((SELECT CAST(floor(max(t) / 86400) AS INT) + 1 FROM ev))) AS INT) AS b FROM ev) s LEFT JOIN k ON k.modality = s.modality AND k.b = s.b"""
 )
 def bin_validity(spark, sf_dir):
     rows = streams.samples(spark, sf_dir).withColumn("valid", F.col("x") > 10)
-    return rounded(temporal.bin_validity(rows, M, 25, 86400.0), "frac")
+    return rounded(temporal.bin_validity(rows, M, None, 86400.0), "frac")
 
 
 @query(f"WITH {Z} SELECT modality, b, {R('z')} AS z FROM z")
@@ -134,7 +134,7 @@ def gap_fill_short(spark, sf_dir):
 
 ASOF = (
     EV
-    + """, src AS (SELECT modality, t, max(x) AS x FROM ev GROUP BY ALL), q AS (SELECT modality, unnest(range(0, 2592000, 10800))::DOUBLE AS t FROM (SELECT DISTINCT modality FROM ev)),
+    + """, src AS (SELECT modality, t, max(x) AS x FROM ev GROUP BY ALL), q AS (SELECT modality, unnest(range(0, (SELECT CAST(max(t) AS BIGINT) + 10800 FROM ev), 10800))::DOUBLE AS t FROM (SELECT DISTINCT modality FROM ev)),
 a AS (SELECT q.modality, q.t, p.t AS t0, p.x AS x0 FROM q ASOF LEFT JOIN src p ON p.modality = q.modality AND q.t >= p.t),
 f AS (SELECT a.*, n.t AS t1, n.x AS x1 FROM a ASOF LEFT JOIN src n ON n.modality = a.modality AND a.t <= n.t)"""
 )
@@ -142,7 +142,8 @@ f AS (SELECT a.*, n.t AS t1, n.x AS x1 FROM a ASOF LEFT JOIN src n ON n.modality
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = streams.samples(spark, sf_dir)
-    times = s.select("modality").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(2592000 - 10800), F.lit(10800)))).withColumn("t", F.col("t").cast("double"))
+    last = s.agg(F.max("t").cast("long").alias("last"))
+    times = s.select("modality").distinct().crossJoin(F.broadcast(last)).select("modality", F.explode(F.expr("cast(sequence(0l, last + 10799, 10800l) as array<double>)")).alias("t"))
     return temporal.asof(times, s, M)
 
 
@@ -396,7 +397,7 @@ IV = (
     EV
     + """, du AS (SELECT user_id AS session_id, max(t) AS duration FROM ev GROUP BY ALL), mk AS (SELECT user_id AS session_id, t, modality = 'signup' AS st, CASE WHEN modality = 'signup' THEN 'active_start' ELSE 'active_stop' END AS label FROM ev WHERE modality IN ('signup', 'purchase')),
 ch AS (SELECT *, lag(st) OVER w AS bs, lag(t) OVER w AS bt, lead(t) OVER w AS nxt FROM mk WINDOW w AS (PARTITION BY session_id ORDER BY t, label)),
-iv AS (SELECT session_id, 'active' AS condition, greatest(t0, 0.0) AS t_start, least(coalesce(t1, duration), duration) AS t_stop FROM (SELECT session_id, bt AS t0, t AS t1 FROM ch WHERE NOT st AND coalesce(bs, false) UNION ALL SELECT session_id, t, NULL FROM ch WHERE st AND nxt IS NULL) JOIN du USING (session_id))"""
+iv AS (SELECT session_id, 'active' AS condition, greatest(t0, 0.0) AS t_start, least(coalesce(t1, duration), duration) AS t_stop FROM (SELECT session_id, bt AS t0, t AS t1 FROM ch WHERE NOT st AND coalesce(bs, false) UNION ALL SELECT session_id, t, NULL FROM ch WHERE st AND nxt IS NULL) JOIN du USING (session_id) WHERE least(coalesce(t1, duration), duration) > greatest(t0, 0.0))"""
 )
 
 
