@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 
@@ -22,3 +24,18 @@ def raised_cosine(n_basis: int, max_lag: float, min_lag: float = 0.0, rate: floa
         widths = np.concatenate([gaps[:1], (gaps[:-1] + gaps[1:]) / 2, gaps[-1:]])
     z = (lags[:, None] - centres[None]) / np.maximum(widths, 0.5 / rate)[None]
     return np.where(np.abs(z) <= 1, 0.5 * (1 + np.cos(np.pi * z)), 0.0), lags
+
+
+def multi_band(bands: Sequence[tuple[int, float, float]], rate: float = 2.0, log: bool = True) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """(basis, lag times, columns of each band): bases of (functions, least lag, greatest lag) on one grid of lags.
+
+    Each band's functions are interpolated linearly onto the common lags and are 0 outside the band.
+    """
+    most = max(high for _, _, high in bands)
+    lags = np.linspace(0.0, most, max(1, int(most * rate)))
+    columns, cuts = [], []
+    for n, low, high in bands:
+        phi, at = raised_cosine(n, high, low, rate, log)
+        cuts.append(slice(sum(c.shape[1] for c in columns), sum(c.shape[1] for c in columns) + n))
+        columns.append(np.stack([np.interp(lags, at, phi[:, j], left=0.0, right=0.0) for j in range(n)], 1))
+    return np.concatenate(columns, 1), lags, cuts

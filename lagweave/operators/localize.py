@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagweave.operators.temporal import Keys, run_lengths, runs
+from lagweave.operators.temporal import Keys, min_event, runs
 
 
 def cusum(rows: DataFrame, keys: Keys, value: str, centre: str, slack: float = 0.0) -> DataFrame:
@@ -33,7 +33,7 @@ def cluster_mass(rows: DataFrame, keys: Keys, value: str, threshold: float) -> D
 
 def min_event_filter(rows: DataFrame, keys: Keys, flag: str, least: int) -> DataFrame:
     """``kept``: the flag without runs of fewer than ``least`` rows."""
-    return run_lengths(rows, keys, flag, "_len").withColumn("kept", F.col(flag) & (F.col("_len") >= least)).drop("_len")
+    return min_event(rows, keys, flag, least)
 
 
 def valid_window(rows: DataFrame, keys: Keys, flag: str, least: int) -> DataFrame:

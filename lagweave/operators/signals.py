@@ -156,6 +156,46 @@ def heart_rate(peaks: DataFrame, keys: Keys, window_s: float) -> DataFrame:
     return spans.own(step.withColumns({"hr": F.expr(f"60 / avg(ibi) {back}"), "rmssd": F.expr(f"sqrt(avg(_d * _d) {back})"), "sdnn": F.expr(f"stddev_pop(ibi) {back}")})).select(*keys, "t", "hr", "rmssd", "sdnn")
 
 
+def engagement(rows: DataFrame, keys: Keys, value: str, width: int, step: int, theta: tuple[int, int], alpha: tuple[int, int], beta: tuple[int, int]) -> DataFrame:
+    """(keys, w, engagement): power in ``beta`` over that in ``alpha`` and ``theta``, ranges of cycles a window.
+
+    The Fourier sums of whole windows are map-side combined aggregates.
+    """
+    i = F.col("b") - F.col("w") * step
+
+    def power(k: int) -> Column:
+        turn = F.lit(2 * np.pi * k / width) * i
+        return F.pow(F.sum(F.col(value) * F.cos(turn)), 2) + F.pow(F.sum(F.col(value) * F.sin(turn)), 2)
+
+    band = lambda r: sum((F.col(f"_p{k}") for k in range(r[0], r[1] + 1)), F.lit(0.0))
+    every = sorted({k for r in (theta, alpha, beta) for k in range(r[0], r[1] + 1)})
+    sums = windows(rows.select(*keys, "b", value), width, step).groupBy(*keys, "w").agg(F.count("*").alias("_n"), *[power(k).alias(f"_p{k}") for k in every]).where(F.col("_n") == width)
+    return sums.select(*keys, "w", (band(beta) / (band(alpha) + band(theta) + 1e-20)).alias("engagement"))
+
+
+def phase_and_bursts(rows: DataFrame, keys: Keys, re: str, im: str, width: int, step: int, expected: float) -> DataFrame:
+    """(keys, w, cos, sin, burst): circular mean phase of an analytic signal by window, and its share of bursts.
+
+    A burst is power over the 95 % point of noise of the ``expected`` power, -2 ln 0.05 times it.
+    """
+    size = F.greatest(F.sqrt(F.col(re) * F.col(re) + F.col(im) * F.col(im)), F.lit(1e-30))
+    burst = (F.col(re) * F.col(re) + F.col(im) * F.col(im) > expected * -2 * float(np.log(0.05))).cast("int")
+    out = windows(rows.select(*keys, "b", re, im), width, step).groupBy(*keys, "w").agg(F.atan2(F.avg(F.col(im) / size), F.avg(F.col(re) / size)).alias("_phase"), F.avg(burst).alias("burst"))
+    return out.select(*keys, "w", F.cos("_phase").alias("cos"), F.sin("_phase").alias("sin"), "burst")
+
+
+def centroid(points: Column, axes: int) -> Column:
+    """Mean of an array of points."""
+    total = lambda k: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[k])
+    return F.array(*[total(k) / F.size(points) for k in range(axes)])
+
+
+def extent(points: Column, axes: int) -> Column:
+    """Length of the diagonal of the box around an array of points."""
+    side = lambda k: F.array_max(F.transform(points, lambda p: p[k])) - F.array_min(F.transform(points, lambda p: p[k]))
+    return F.sqrt(sum((side(k) * side(k) for k in range(axes)), F.lit(0.0)))
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))

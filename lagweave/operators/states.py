@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lagweave.functions.tails import gpd_fit, gpd_sf
+from lagweave.operators import spans
 
 
 def per_stream(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], out: str, work: Callable[[pd.DataFrame], dict]) -> DataFrame:
@@ -22,6 +23,17 @@ def per_stream(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], out
     return rows.select(*keys, "b", *columns).groupBy(*keys).applyInPandas(run, f"{schema}, b int, {out}")
 
 
+def own_rows(spread: DataFrame, keys: Sequence[str], columns: Sequence[str], out: str, work: Callable[[pd.DataFrame], dict]) -> DataFrame:
+    """``work`` on each span of ``spans.haloed`` rows, halo included; the span's own rows are returned."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.select(*keys).schema)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("b").reset_index(drop=True)
+        return pd.DataFrame({**{k: frame[k] for k in keys}, "b": frame["b"], **work(frame)})[frame["_own"]]
+
+    return spread.select(*keys, "b", "_span", "_own", *columns).groupBy(*keys, "_span").applyInPandas(run, f"{schema}, b int, {out}")
+
+
 def _normal(x: np.ndarray, m: float, s: float) -> np.ndarray:
     return -0.5 * ((x - m) / s) ** 2 - np.log(s)
 
@@ -220,7 +232,7 @@ def gpd_pvalues(rows: DataFrame, keys: Sequence[str], real: str, nulls: str, hal
 
     def work(frame: pd.DataFrame) -> dict:
         x, draws = frame[real].to_numpy(float), np.stack(frame[nulls].to_numpy())
-        h = max(half, len(x) // 4, 2) if len(x) < 10 else half
+        h = half
         p = np.ones(len(x))
         for t, v in enumerate(x):
             pool = draws[max(0, t - h) : t + h + 1].ravel()
@@ -233,7 +245,8 @@ def gpd_pvalues(rows: DataFrame, keys: Sequence[str], real: str, nulls: str, hal
             p[t] = max(p[t], 1 / (10 * draws.shape[1]))
         return {"p": p}
 
-    return per_stream(rows, keys, [real, nulls], "p double", work)
+    spread = spans.haloed(rows.select(*keys, "b", real, nulls), half, half, 1024)
+    return own_rows(spread, keys, [real, nulls], "p double", work)
 
 
 def fourier_surrogates(rows: DataFrame, keys: Sequence[str], value: str, draws: int, seed: int = 42) -> DataFrame:
@@ -249,22 +262,3 @@ def fourier_surrogates(rows: DataFrame, keys: Sequence[str], value: str, draws:
         return {"surrogates": list(np.fft.irfft(f[None] * np.exp(1j * phase), len(x), 1).T)}
 
     return per_stream(rows, keys, [value], "surrogates array<double>", work)
-
-
-def morlet_power(rows: DataFrame, keys: Sequence[str], value: str, rate: float, freqs: Sequence[float], cycles: float = 5.0) -> DataFrame:
-    """(keys, b, power array<double>): power of the complex Morlet transform at each frequency."""
-
-    def work(frame: pd.DataFrame) -> dict:
-        x = np.nan_to_num(frame[value].to_numpy(float))
-        size = 1 << (2 * len(x) - 1).bit_length()
-        out = []
-        for f in freqs:
-            sd = cycles / (2 * np.pi * f)
-            t = np.arange(-len(x) + 1, len(x)) / rate
-            w = np.exp(2j * np.pi * f * t - t**2 / (2 * sd**2))
-            w = w / np.abs(w).sum()
-            full = np.fft.ifft(np.fft.fft(x, size * 2) * np.fft.fft(w, size * 2))
-            out.append(np.abs(full[len(x) - 1 : 2 * len(x) - 1]) ** 2)
-        return {"power": list(np.stack(out, 1))}
-
-    return per_stream(rows, keys, [value], "power array<double>", work)

@@ -66,3 +66,21 @@ def max_t(real: DataFrame, null: DataFrame, family: Sequence[str], draw: str, va
     top = real.groupBy(*family).agg(F.max(value).alias("max_stat"))
     tops = null.groupBy(*family, draw).agg(F.max(value).alias("_null"))
     return top.join(tops, list(family)).groupBy(*family, "max_stat").agg(((F.sum((F.col("_null") >= F.col("max_stat")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def ragged_shuffle(rows: DataFrame, key: str, value: str, sizes: tuple[int, int], seed: int) -> DataFrame:
+    """(key, b, x_shuffled): blocks of a size between ``sizes``, drawn by hash, in an order drawn by hash.
+
+    Each stream has the rows 0 to n - 1. Blocks are one row each while they are cut and ordered, then
+    every row moves to its new place.
+    """
+    low, high = sizes
+    drawn = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), F.col(key), F.lit(":"), F.col("_block").cast("string"))), 1, 6), 16, 10).cast("int")
+    blocks = rows.groupBy(key).agg(F.count("*").alias("_n")).select(key, "_n", F.explode(F.expr(f"sequence(0, cast(floor(_n / {low}) as int))")).alias("_block"))
+    blocks = blocks.withColumn("_size", low + drawn(seed) % (high - low + 1))
+    by = Window.partitionBy(key).orderBy("_block")
+    blocks = blocks.withColumn("_start", F.sum("_size").over(by) - F.col("_size")).where("_start < _n").withColumn("_len", F.least("_size", F.col("_n") - F.col("_start"))).withColumn("_turn", drawn(seed + 1))
+    blocks = blocks.withColumn("_dest", F.sum("_len").over(Window.partitionBy(key).orderBy("_turn", "_block")) - F.col("_len"))
+    places = blocks.select(key, "_start", "_dest", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_len") - 1)).alias("_b"))
+    moved = rows.select(key, F.col("b").cast("long").alias("_b"), value).join(places, [key, "_b"])
+    return moved.select(key, (F.col("_dest") + F.col("_b") - F.col("_start")).cast("int").alias("b"), F.col(value).alias("x_shuffled"))

@@ -98,6 +98,18 @@ def run_lengths(rows: DataFrame, keys: Keys, flag: str, out: str = "run_length")
     return marked.withColumn(out, F.count("*").over(Window.partitionBy(*keys, "_run"))).drop("_turn", "_run")
 
 
+def min_event(rows: DataFrame, keys: Keys, flag: str, least: int) -> DataFrame:
+    """``kept``: the flag without runs of fewer than ``least`` rows, by spans with ``least`` rows around.
+
+    A row stays if any ``least`` consecutive rows that hold it all have the flag. ``b`` has no gaps.
+    """
+    w = Window.partitionBy(*keys, "_span").orderBy("b")
+    ahead = F.min(F.coalesce(F.col(flag), F.lit(False)).cast("int")).over(w.rowsBetween(0, least - 1))
+    whole = F.count("*").over(w.rowsBetween(0, least - 1)) == least
+    out = spans.haloed(rows, least - 1, least - 1).withColumn("_begins", F.when(whole & (ahead == 1), 1).otherwise(0))
+    return spans.own(out.withColumn("kept", F.max("_begins").over(w.rowsBetween(-(least - 1), 0)) == 1)).drop("_begins")
+
+
 def fill_short_gaps(rows: DataFrame, keys: Keys, longest: int, value: str = "x") -> DataFrame:
     """``filled``: in gaps of at most ``longest`` rows between two valid rows, the line between those."""
     past, future = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy("b").rowsBetween(0, Window.unboundedFollowing)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
-from lagweave.operators import analysis, conditions, discovery, localize, metrics, regression, selection, signals, states, surrogates, temporal
+from lagweave.operators import analysis, conditions, discovery, localize, metrics, regression, selection, signals, states, surrogates, temporal, wavelets
 from lagweave.sources import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,7 +566,7 @@ def fourier_surrogates(spark, sf_dir):
 
 @query()
 def wavelet_power(spark, sf_dir):
-    return states.morlet_power(zgrid(spark, sf_dir), M, "z", 4.0, (0.25, 0.5, 1.0))
+    return wavelets.morlet_power(zgrid(spark, sf_dir), M, "z", 4.0, (0.25, 0.5, 1.0))
 
 
 @query(f"WITH {Z} SELECT modality, b, {R('avg(z) OVER (PARTITION BY modality ORDER BY b ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)')} AS smooth FROM z")
