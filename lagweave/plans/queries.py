@@ -614,14 +614,32 @@ def masked_breakdown(spark, sf_dir):
 BANDS = {"slow": (0.0, 0.5), "fast": (0.5, 2.0)}
 
 
-@query()
+_FT = """, se AS (SELECT {keys}, w, s, b - 8 * w - s AS j, {cols} FROM wn, (SELECT unnest([0, 8, 16]) AS s) WHERE b - 8 * w - s BETWEEN 0 AND 15),
+hn AS (SELECT {keys}, w, s, j, 0.5 - 0.5 * cos(2 * pi() * j / 16) AS h, {centred} FROM se),
+ft AS (SELECT {keys}, w, s, k, {sums} FROM hn, (SELECT unnest(range(9)) AS k) GROUP BY ALL)"""
+_WN = "wn AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {keys}, w) AS nw FROM (SELECT *, CAST(unnest(range(greatest(0, CAST(ceil((b - 31) / 8.0) AS INT)), b // 8 + 1)) AS INT) AS w FROM {source})) WHERE nw = 32)"
+
+
+def _fourier(keys: str, source: str, values: dict[str, str]) -> str:
+    """CTEs of the Fourier sums of Welch segments: 16 rows, half overlap, means out, Hann window."""
+    cols = ", ".join(f"{v} AS {c}" for c, v in values.items())
+    centred = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {keys}, w, s) AS {c}" for c in values)
+    sums = ", ".join(f"sum(h * {c} * cos(2 * pi() * k * j / 16)) AS {c}r, -sum(h * {c} * sin(2 * pi() * k * j / 16)) AS {c}i" for c in values)
+    return ", " + _WN.format(keys=keys, source=source) + _FT.format(keys=keys, cols=cols, centred=centred, sums=sums)
+
+
+@query(f"WITH {Z}{_fourier('modality', 'z', {'z': 'z'})}, p AS (SELECT modality, w, k, avg(zr * zr + zi * zi) AS p FROM ft GROUP BY ALL) SELECT modality, w, {R('sum(p) FILTER (k <= 2)')} AS slow, {R('sum(p) FILTER (k >= 2)')} AS fast FROM p GROUP BY ALL")
 def band_power(spark, sf_dir):
-    return signals.band_power(zgrid(spark, sf_dir), M, "z", 32, 8, 4.0, BANDS)
+    return rounded(signals.band_power(zgrid(spark, sf_dir), M, "z", 32, 8, 4.0, BANDS), "slow", "fast")
 
 
-@query()
+@query(
+    f"""WITH {PAIRS}, pp AS (SELECT * FROM pr WHERE src < tgt){_fourier("src, tgt", "pp", {"x": "x", "y": "y"})}, c AS (SELECT src, tgt, w, k, avg(xr * yr + xi * yi) AS cr, avg(xr * yi - xi * yr) AS ci, greatest(avg(xr * xr + xi * xi) * avg(yr * yr + yi * yi), 1e-20) AS p FROM ft GROUP BY ALL)
+SELECT src, tgt, w, {R("avg((cr * cr + ci * ci) / p) FILTER (k <= 2)")} AS slow_msc, {R("avg(abs(ci) / sqrt(p)) FILTER (k <= 2)")} AS slow_imcoh, {R("avg((cr * cr + ci * ci) / p) FILTER (k >= 2)")} AS fast_msc, {R("avg(abs(ci) / sqrt(p)) FILTER (k >= 2)")} AS fast_imcoh FROM c GROUP BY ALL"""
+)
 def band_coherence(spark, sf_dir):
-    return signals.band_coherence(pair_rows(spark, sf_dir).where("src < tgt"), ["src", "tgt"], "x", "y", 32, 8, 4.0, BANDS)
+    out = signals.band_coherence(pair_rows(spark, sf_dir).where("src < tgt"), ["src", "tgt"], "x", "y", 32, 8, 4.0, BANDS)
+    return rounded(out, "slow_msc", "slow_imcoh", "fast_msc", "fast_imcoh")
 
 
 @query()
