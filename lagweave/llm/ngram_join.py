@@ -44,6 +44,8 @@ SEEN_FROM, _HELD = 4, 400_000
 SALTS = 3
 #: 64-bit words of a sketch; nodes of a bucket that the others are tested against by round; nodes of a block.
 CELLS, CENTRES, BLOCK = 16, (1, 1, 2, 3, 3, 3), 2048
+#: Bytes of text that are worked at once.
+WORKED = 1 << 18
 #: Pieces that a bucket of common tokens alone is dealt to.
 SPREAD = 32
 
@@ -194,10 +196,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        for low, high in row_blocks(offsets):
+        for low, high in row_blocks(offsets, WORKED):
             part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             _, _, words, bounds = find_words(part, at, LOWER)
             yield batch, low, [shingles(words[a:b], width) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        del data, offsets
+        pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
