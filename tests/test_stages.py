@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import multi_band, raised_cosine
-from lagweave.operators import conditions, pairs, regression, screening, spans, stage2, temporal, wavelets
+from lagweave.operators import conditions, pairs, regression, screening, spans, stage2, states, temporal, wavelets
 from lagweave.sources import results
 
 
@@ -188,3 +188,23 @@ def test_result_store(spark, tmp_path):
     assert len(made) == 1 and out["sig"].count() == 1
     names = spark.createDataFrame([("y_02", "x"), ("y_01", "x"), ("z", "x")], "name string, path string")
     assert results.find_sessions(names, "y_").first()["name"] == "y_01" and results.missing(names, names.where("name = 'z'"), ["name"]).count() == 2
+
+
+def test_long_hidden_states_equal_one_pass(spark):
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(3):
+        up = np.zeros(150) if k < 2 else None
+        if up is not None:
+            up[40:70] = up[100:125] = 2.5
+            x = r.standard_normal(150) + up
+        else:
+            x = np.ones(150)
+        rows += [(k, b, float(v)) for b, v in enumerate(x)]
+        low = x[x <= np.median(x)]
+        want[k] = states.hmm(x, float(low.mean()), float(low.std()), 1.0, rounds=5) if k < 2 else np.zeros(150)
+    df = spark.createDataFrame(rows, "k int, b int, x double")
+    for chunk in (1000, 32):
+        out = states.hmm_posterior(df, ["k"], "x", 1.0, chunk, rounds=5).orderBy("k", "b").toPandas()
+        for k, post in want.items():
+            assert np.allclose(out["posterior"][out["k"] == k].to_numpy(), post, atol=1e-6)
