@@ -1,47 +1,16 @@
-"""Tables written once and read again, in the folder that all executors share, and joins with hot keys."""
+"""Tables of the shared folder, and joins with hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: So many keys at most are hot, those with over this many rows; their rows are dealt to so many pieces.
-HOT_KEYS, HOT_ROWS, PIECES = 1000, 200, 32
-
+from lagweave.sources.shared import dropped, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a new local folder.
+__all__ = ["dropped", "salted_join", "shared_folder", "written"]
 
-    Only a local session may have it unset: executors elsewhere don't see the driver's folders.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table: read again without its lineage, and there when executors are lost."""
-    path = f"{shared_folder(df.sparkSession)}/lagweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: So many keys at most are hot, those with over this many rows; their rows are dealt to so many pieces.
+HOT_KEYS, HOT_ROWS, PIECES = 1000, 200, 32
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
