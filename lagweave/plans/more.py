@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lagweave.operators import discovery, pairs, regression, screening, signals, stage2, surrogates, temporal, wavelets
 from lagweave.plans.queries import ACT, ASOF, BASIS, CH, EV, M, PAIRS, R, SHIFTED, STAT, Z, _MODS, _VALUES, _wide, design, pair_rows, query, r6, rounded, shifted, zgrid
 from lagweave.sources import streams
+from lagweave.streaming import causal
 
 
 def values(name: str, weights: dict) -> str:
@@ -413,3 +414,13 @@ def coherence_surrogates(spark, sf_dir):
     moved = shifted(z.where("modality = 'click'"), spark).select("k", "b", F.col("x_shifted").alias("x"))
     rows = moved.join(z.where("modality = 'view'").select("b", F.col("z").alias("y")), "b")
     return signals.band_coherence(rows, ["k"], "x", "y", 32, 8, 4.0, {"slow": (0.0, 0.5), "fast": (0.5, 2.0)})
+
+
+@query(
+    f"""WITH {EV}, bi AS (SELECT modality, CAST(floor(t / 21600) AS INT) AS b, avg(x) AS x, count(*) AS n FROM ev GROUP BY ALL)
+SELECT modality, b, {R("x")} AS x, n FROM bi WHERE (b + 1) * 21600 <= (SELECT floor((max(t) - 3600) * 1000) / 1000 FROM ev)"""
+)
+def stream_grid(spark, sf_dir):
+    out = causal.replayed(spark, f"{sf_dir}/events.parquet", lambda rows: causal.grid_bins(rows, "6 hours", "1 hour"))
+    at = (F.unix_seconds("start") - F.unix_seconds(F.lit(streams.EPOCH).cast("timestamp"))) / streams.BIN_S
+    return out.select("modality", at.cast("int").alias("b"), r6("x").alias("x"), "n")
