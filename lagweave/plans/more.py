@@ -343,12 +343,12 @@ def cross_pairs(spark, sf_dir):
 @query(
     f"""WITH {EV}, {CROSS}, s0 AS (SELECT user_id, min(t) AS t0 FROM ev GROUP BY ALL), sm AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'p1' ELSE 'p2' END AS person, t - t0 AS t, x FROM ev JOIN s0 USING (user_id)),
 ps AS (SELECT a || '+' || b AS pair, person, t, x FROM cp JOIN sm ON sm.user_id = a WHERE person = 'p1' UNION ALL SELECT a || '+' || b, person, t, x FROM cp JOIN sm ON sm.user_id = b WHERE person = 'p2')
-SELECT pair, person, count(*) AS n, {R("max(t)")} AS last, {R("avg(x)")} AS mean FROM ps GROUP BY ALL"""
+SELECT pair, person, count(*) AS n, {R("max(t)")} AS last, {R("sum(x)")} AS total FROM ps GROUP BY ALL"""
 )
 def pseudo_sessions(spark, sf_dir):
     s = streams.samples(spark, sf_dir).withColumn("person", F.when(F.col("event_id") % 2 == 0, "p1").otherwise("p2"))
     out = pairs.pseudo_sessions(s, pairs.cross_pairs(s, "user_id"), "user_id", "person", "p1", "p2")
-    return rounded(out.groupBy("pair", "person").agg(F.count("*").alias("n"), F.max("t").alias("last"), F.avg("x").alias("mean")), "last", "mean")
+    return rounded(out.groupBy("pair", "person").agg(F.count("*").alias("n"), F.max("t").alias("last"), F.sum("x").alias("total")), "last", "total")
 
 
 SETS = """co AS (SELECT l_partkey AS feature, c_mktsegment AS pathway FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL HAVING count(DISTINCT c_custkey) >= 10),
