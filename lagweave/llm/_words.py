@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, STEP + 1)
+        size = 1 << max(16, n.bit_length())
         both = []
         for base in (_BASE, _BASE_INV):
             step = np.full(size, base)

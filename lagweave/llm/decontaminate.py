@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lagweave.llm._memory import modest_batches, only
 from lagweave.llm._shared import dropped, salted_join, written
 from lagweave.llm._words import PLAIN, find_words, inside_rows, row_blocks, utf8, window_hashes
 
 SEED = 5
 THRESHOLD = 0.6
+#: Bytes of text that are worked at once.
+WORKED = 1 << 18
 #: Benchmark text up to this is broadcast, with indexes of some eight times its size.
 BROADCAST_BYTES = 4 << 20
 #: log2 of the bits of the table of seeds of a larger benchmark (16 MB).
@@ -155,9 +158,10 @@ class Index:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    only("tiles")
     for batch in batches:
         data, offsets = utf8(batch.column(text_at))
-        for low, high in row_blocks(offsets):
+        for low, high in row_blocks(offsets, WORKED):
             _, _, words, bounds = find_words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], PLAIN)
             yield batch, low, high, words, bounds
 
@@ -247,6 +251,7 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     stands whole; null and empty texts match nothing; equal items are each reported. A benchmark of up to
     ``BROADCAST_BYTES`` is broadcast and documents are not shuffled; a larger one meets them in joins.
     """
+    modest_batches(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).select(F.col(item_col).alias("item_id"), "text")
     kind = items.schema["item_id"].dataType.simpleString()
     none = F.expr(f"cast(array() as array<struct<item_id:{kind},coverage:double,n_tiles:int,item_words:int>>)")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lagweave.llm._memory import modest_batches, only
 from lagweave.llm._shared import dropped, salted_join, written
 from lagweave.llm._words import LOWER, find_words, mix, row_blocks, utf8, window_hashes
 from lagweave.llm.components import MAX_BROADCAST_LABELS, connected
@@ -194,6 +195,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+    only("shingles")
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         for low, high in row_blocks(offsets, WORKED):
@@ -339,6 +341,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                     last, tokens = text, shingles(find_words(data, offsets, LOWER)[2], width)
                 yield tokens
 
+        only("shingles")
         for batch in batches:
             keep = [linked(x, y, percent) for x, y in zip(sets(batch.column(2)), sets(batch.column(3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -380,6 +383,7 @@ def across(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc, mark, n_shingles, key) of ``docs``, and (key, part) of its distinct sets; linked ones have one part."""
+    modest_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     first_pass = written(nodes_of(base, width))
     rows = first_pass.where("token is null and among is null").select("doc", "mark", "n_shingles", "key")

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagweave.llm._memory import modest_batches, only, remembers
 from lagweave.llm._shared import salted_join, written
 
 GIANT, CHUNK = 32_768, 8_192
@@ -155,6 +156,11 @@ class Vocabulary:
                 self.kept[segment] = got
         return got
 
+    def forget(self) -> None:
+        """Drops what is remembered of segments."""
+        for held in (self.kept, self.older, self.values):
+            held.clear()
+
     def value(self, segment: str) -> int:
         """Best value of one segment, remembered in a bounded number."""
         if (got := self.values.get(segment)) is None:
@@ -248,10 +254,18 @@ def segment_starts(s: str, begins: bool) -> list[int]:
 
 
 @cache
-def vocabulary(path: str) -> Vocabulary:
+def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once in a worker; other operators' caches there are dropped."""
+    only("pieces")
+    v = _vocabulary(path)
+    remembers("pieces", v.forget)
+    return v
+
+
 # max-plus combination; values are taken relative to the best of a vector or matrix, so they stay small
 
 
@@ -303,6 +317,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     the two. A null text has null pieces, 0 of them, and counts as exact; an empty one has none. Equal
     and null ids stay as they are, other columns are ignored, an empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 

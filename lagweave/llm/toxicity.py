@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagweave.llm._memory import modest_batches, only
 from lagweave.llm._shared import dropped, written
 from lagweave.llm._split import remainder
 
@@ -126,6 +127,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         length = [0, 0]
+        only("toxicity")
 
         def out() -> pa.RecordBatch:
             words = list(seen[0].keys() | seen[1].keys())
@@ -172,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", prior: float
     the clean class, K is the likeliest for its best passages. Null labels are left out, a null text is
     empty; without labelled rows every score is the same low one.
     """
+    modest_batches(docs.sparkSession)
     truth = labels.select(F.col(id_col).alias("id"), F.col("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = truth.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     known = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(sample), "id")
@@ -254,6 +257,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evalue", pa.float64())]))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         m = shared.value
         for batch in batches:
             probs, sizes, spans = [], [], []
@@ -275,6 +279,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", cut: float
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([m.probability(m.scan(t.as_py())[0]) < cut for t in batch.column(at)], pa.bool_()))
