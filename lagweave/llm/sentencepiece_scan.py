@@ -39,7 +39,7 @@ STAND_IN = "\udc00"
 #: No piece crosses from a word into the mark of the next, so these are cut independently.
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNREACHABLE = -(1 << 61)
-_KEPT = 250_000
+_KEPT = 150_000
 #: A score is so many times the unit of what settles ties.
 _UNIT = 1 << 30
 _PLACES = [int(x) for x in np.random.default_rng(17).integers(0, _UNIT, 1024)]
