@@ -3,9 +3,10 @@
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
+from test_text_operators import brute_components
 
 import corpus_pipeline
-from lagweave.llm import ngram_join, toxicity
+from lagweave.llm import decontaminate, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def planted(spark):
     more = [
         (900001, " ".join(word), "en", "s", 5), (900002, " ".join([*word[:59], "new"]), "en", "s", 5), (900003, f"Before it. {item} After it.", "en", "s", 5), (900004, None, "en", "s", None),
         (900005, "", None, None, 0), (900006, "call +1 (310) 555-4510 or mail a.b@c.example now please", "en", "s", 5), (900007, "twice the same row", "en", "s", 5), (900007, "twice the same row", "en", "s", 5),
-        (None, "a text without an id", "en", "s", 5),
+        (None, "a text without an id", "en", "s", 5), (900008, " ".join(word), "en", "s", 5), (900008, "a wholly different text of the same id", "en", "s", 5),
     ]
     return docs.union(spark.createDataFrame(more, docs.schema))
 
@@ -34,8 +35,9 @@ def test_stages_in_order(spark, planted):
             assert sorted(map(str, ids)) == sorted({str(r["doc_id"]) for r in clean.collect()})
         if name == "ngram_jaccard_join":
             assert 900001 in ids and 900002 not in ids and None in ids and docs.where("doc_id = 900007").count() == 1
-            assert ngram_join.link_groups(docs, width=5, percent=80).where("doc_id <> component_id").count() == 0
-            assert {r["component_id"] for r in ngram_join.link_groups(before, width=5, percent=80).where("doc_id is not null").collect()} == ids - {None}
+            assert docs.where("doc_id = 900008").select("text").collect() == [("a wholly different text of the same id",)]
+            rows = [(r["doc_id"], r["text"]) for r in before.where("doc_id <> 900008").collect()]
+            assert {c for _, _, c in brute_components(rows, 5, 80)} == ids - {None, 900008}
         if name == "benchmark_decontamination":
             assert 900003 not in ids and {900001, 900004, 900005, 900006, 900007, None} <= ids
         if name == "pii":
@@ -50,3 +52,13 @@ def test_run_on_an_empty_table(spark, planted):
     empty = planted.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_run_keeps_what_its_stages_keep(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    clean = {r["doc_id"] for r in toxicity.train_and_score(docs, labels).where("score < 0.5").collect()}
+    groups = brute_components([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in clean], 5, 80)
+    leaked = {r["doc_id"] for r in decontaminate.tile_matches(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).where(F.size("benchmark_matches") > 0).collect()}
+    out = corpus_pipeline.run(spark, SMALL)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted({c for _, _, c in groups} - leaked)
+    assert out.where("not exact or n_pieces <> size(pieces)").count() == 0
