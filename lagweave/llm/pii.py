@@ -303,6 +303,7 @@ def listed(spans: Column) -> Column:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base counts and digest, and all spans."""
     out = find_private(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = {f"n_{k}": F.size(F.filter("base", lambda x, k=k: x["kind_no"] == KINDS.index(k))).cast("long") for k in KINDS[:4]}
+    of_kind = lambda no: F.size(F.filter("base", lambda x: x["kind_no"] == no)).cast("long")
+    counts = {f"n_{k}": of_kind(no) for no, k in enumerate(KINDS[:4])}
     counts |= {"n_spans": F.size("spans").cast("long"), "n_added": (F.size("spans") - F.size("base")).cast("long")}
     return out.withColumns(counts).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
