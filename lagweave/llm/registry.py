@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import chat, decontaminate, langid, lm, ngram_join, pii, quality, sentencepiece_scan, toxicity, urlfilter
+from lagweave.llm import chat, decontaminate, langid, lm, ngram_join, pii, quality, sentencepiece_scan, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op13_warc": warc.op13_warc,
 }
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.SQL,
     "op10_quality_rules": quality.SQL,
+    "op13_warc": warc.SQL,
 }
