@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import chat, decontaminate, divergence, langid, lm, ngram_join, pii, quality, sentencepiece_scan, toxicity, urlfilter, warc
+from lagweave.llm import chat, decontaminate, divergence, langid, lm, ngram_join, pii, quality, search, sentencepiece_scan, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.op8_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_lexical_search": search.op11_lexical_search,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_warc": warc.op13_warc,
 }
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.SQL,
     "op10_quality_rules": quality.SQL,
+    "op11_lexical_search": search.SQL,
     "op12_source_divergence": divergence.SQL,
     "op13_warc": warc.SQL,
 }
