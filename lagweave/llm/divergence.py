@@ -29,7 +29,7 @@ LETTERS = np.where((LOWER >= 0x80) | np.isin(LOWER, np.frombuffer(b"abcdefghijkl
 #: Terms of one transducer, and bytes of transducers that are sent to the tasks at a time; more go in rounds.
 SHARD_TERMS, ROUND_BYTES = 1 << 15, 64 << 20
 #: Distinct terms that a task adds up before it hands them on.
-HELD = 200_000
+HELD = 400_000
 #: Ordinals and sources of one tile of the comparison of sources.
 TILE_TERMS, TILE_SOURCES = 1024, 256
 
@@ -156,14 +156,27 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield low, high, part, starts, ends, hashes, np.repeat(np.arange(high - low), np.diff(bounds))
 
 
-def distinct(group: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of one, number) of each distinct pair."""
-    if not len(hashes):
+def added_up(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one, sum of ``n``) of each distinct combination of keys, in their order."""
+    if not len(n):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((hashes, group))
-    g, h = group[order], hashes[order]
-    new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))
-    return order[new], np.diff(np.append(new, len(order)))
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(n), bool)
+    new[0] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    return order[at], np.add.reduceat(n[order], at)
+
+
+def strings(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words text[start:end] as an Arrow column."""
+    lengths = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    data = text[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data.astype(np.uint8).tobytes()))
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -173,26 +186,36 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes], int] = {}
+        names: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        size = 0
+
+        def added() -> list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+            lang, hashes, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            first, total = added_up(n, lang, hashes)
+            return [(lang[first], hashes[first], total, pa.concat_arrays([x[3] for x in held]).take(pa.array(first)))]
+
+        def rows_of() -> pa.RecordBatch:
+            ((lang, _, n, terms),) = added()
+            return pa.RecordBatch.from_arrays([pa.array(list(names)).take(pa.array(lang)), terms, pa.array(n)], names=["lang", "term", "df"])
+
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            codes = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
             for low, high, part, starts, ends, hashes, rows in _blocks(batch):
-                codes, names = pd.factorize(np.array(langs[low:high], object))
-                one, _ = distinct(rows, hashes)  # a word counts once a document
-                at, n = distinct(codes[rows[one]], hashes[one])
-                raw = part.tobytes()
-                for i, c in zip(one[at].tolist(), n.tolist()):
-                    key = (names[codes[rows[i]]], raw[starts[i] : ends[i]])
-                    held[key] = held.get(key, 0) + c
-                if len(held) >= HELD:
-                    yield rows_of(held)
-                    held = {}
+                one, _ = added_up(np.ones(len(rows), np.int64), rows, hashes)  # a word counts once a document
+                lang = codes[low:high][rows[one]]
+                at, n = added_up(np.ones(len(one), np.int64), lang, hashes[one])
+                at, lang = one[at], lang[at]
+                held.append((lang, hashes[at], n, strings(part, starts[at], ends[at])))
+                size += len(at)
+                if size >= HELD:
+                    held = added()
+                    size = len(held[0][0])
+                    if size >= HELD // 2:
+                        yield rows_of()
+                        held, size = [], 0
         if held:
-            yield rows_of(held)
-
-    def rows_of(held: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
-        langs, terms = zip(*held)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([t.decode() for t in terms], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "term", "df"])
+            yield rows_of()
 
     return docs.select("lang", "text").mapInArrow(count, "lang string, term string, df long").groupBy("lang", "term").agg(F.sum("df").alias("df"))
 
@@ -246,19 +269,54 @@ def rounds(spark: SparkSession, vocabulary: DataFrame, size: int) -> Iterator:
         yield spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["lang"], r["base"], bytes(r["transducer"])) for r in vocabulary.where(between).collect()]))
 
 
-_LOADED: dict[str, dict[str, list[tuple[int, Transducer]]]] = {}
+@dataclass
+class Shards:
+    """Transducers of one language in order, with the first eight bytes of the first term of each."""
 
+    bases: list[int]
+    parts: list[Transducer]
+    heads: np.ndarray
 
-def loaded(sent) -> dict[str, list[tuple[int, Transducer]]]:  # noqa: ANN001
-    """(base, transducer) of each language's shards of a broadcast; a worker unpacks one broadcast once."""
+    def ordinals(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Of each word its ordinal in the language, or -1; a word goes to the shards that its first bytes allow, mostly one."""
+        head = np.zeros(len(starts), np.uint64)
+        for i in range(8):
+            inside = lengths > i
+            letter = np.zeros(len(starts), np.uint64)
+            letter[inside] = text[starts[inside] + i]
+            head = head << np.uint64(8) | letter
+        high, low = np.searchsorted(self.heads, head, side="right") - 1, np.searchsorted(self.heads, head, side="left") - 1
+        out = np.full(len(starts), -1, np.int64)
+        order = np.argsort(high, kind="stable")
+        edges = np.searchsorted(high[order], np.arange(len(self.parts) + 1))
+        wide = np.flatnonzero(low < high)
+        for j, (base, part) in enumerate(zip(self.bases, self.parts)):
+            mine = np.concatenate([order[edges[j] : edges[j + 1]], wide[(low[wide] <= j) & (j < high[wide])]])
+            place = part.ordinals(text, starts[mine], lengths[mine])
+            out[mine[place >= 0]] = place[place >= 0] + base
+        return out
+
+    def term(self, ordinal: int) -> str | None:
+        for base, part in zip(self.bases, self.parts):
+            if base <= ordinal < base + part.size:
+                return part.term(ordinal - base).decode()
+        return None
+
+
+_LOADED: dict[str, dict[str, Shards]] = {}
+
+
+def loaded(sent) -> dict[str, Shards]:  # noqa: ANN001
+    """Each language's shards of a broadcast; a worker unpacks one broadcast once."""
     only("divergence")
-    name, shards = sent.value
+    name, rows = sent.value
     if name not in _LOADED:
         _LOADED.clear()
-        out: dict[str, list[tuple[int, Transducer]]] = {}
-        for lang, base, data in shards:
-            out.setdefault(lang, []).append((base, Transducer.loads(data)))
-        _LOADED[name] = out
+        by_lang: dict[str, list] = {}
+        for lang, base, data in sorted(rows):
+            by_lang.setdefault(lang, []).append((base, Transducer.loads(data)))
+        heads = lambda parts: np.array([int.from_bytes(t.term(0)[:8].ljust(8, b"\0"), "big") for _, t in parts], np.uint64)
+        _LOADED[name] = {lang: Shards([b for b, _ in parts], [t for _, t in parts], heads(parts)) for lang, parts in by_lang.items()}
         remembers("divergence", _LOADED.clear)
     return _LOADED[name]
 
@@ -266,36 +324,52 @@ def loaded(sent) -> dict[str, list[tuple[int, Transducer]]]:  # noqa: ANN001
 def recounted(docs: DataFrame, sent) -> DataFrame:  # noqa: ANN001
     """(lang, source, ordinal, n): occurrences of the terms of a broadcast; ``docs`` (lang, source, text).
 
-    Equal words of a block go through the transducers once, with their number.
+    Equal words of a block go through their language's transducers once, with their number in each source.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = loaded(sent)
-        held: dict[tuple[str, str], dict[int, int]] = {}
+        names: dict[tuple[str, str], int] = {}
+        langs: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def added() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            group, ordinal, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            first, total = added_up(n, group, ordinal)
+            return [(group[first], ordinal[first], total)]
+
+        def rows_of() -> pa.RecordBatch:
+            ((group, ordinal, n),) = added()
+            both = [pa.array([g[i] for g in names]).take(pa.array(group)) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*both, pa.array(ordinal), pa.array(n)], names=["lang", "source", "ordinal", "n"])
+
         for batch in batches:
-            groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            groups = np.array([names.setdefault(g, len(names)) for g in pairs], np.int64)
+            spoken = np.array([langs.setdefault(g[0], len(langs)) for g in pairs], np.int64)
             for low, high, part, starts, ends, hashes, rows in _blocks(batch):
-                names = {g: i for i, g in enumerate(dict.fromkeys(groups[low:high]))}
-                codes = np.array([names[g] for g in groups[low:high]], np.int64)[rows]
-                at, n = distinct(codes, hashes)
-                for (lang, source), i in names.items():
-                    mine = np.flatnonzero(codes[at] == i)
-                    into = held.setdefault((lang, source), {})
-                    for base, transducer in shards.get(lang, ()):
-                        places = transducer.ordinals(part, starts[at[mine]], ends[at[mine]] - starts[at[mine]])
-                        hit = places >= 0
-                        for p, k in zip((places[hit] + base).tolist(), n[mine][hit].tolist()):
-                            into[p] = into.get(p, 0) + k
-            if sum(map(len, held.values())) >= HELD:
-                yield rows_of(held)
-                held = {}
-        yield rows_of(held)
-
-    def rows_of(held: dict[tuple[str, str], dict[int, int]]) -> pa.RecordBatch:
-        flat = [(lang, source, p, n) for (lang, source), mine in held.items() for p, n in mine.items()]
-        columns = list(zip(*flat)) or [(), (), (), ()]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "ordinal", "n"])
+                at, n = added_up(np.ones(len(rows), np.int64), spoken[low:high][rows], hashes, groups[low:high][rows])
+                lang, word = spoken[low:high][rows[at]], hashes[at]
+                new = np.concatenate([[True], (lang[1:] != lang[:-1]) | (word[1:] != word[:-1])]) if len(at) else np.zeros(0, bool)
+                one, which = at[new], np.cumsum(new) - 1
+                place = np.full(len(one), -1, np.int64)
+                edges = np.searchsorted(lang[new], np.arange(len(langs) + 1))
+                for name, i in langs.items():
+                    if name in shards and edges[i] < edges[i + 1]:
+                        mine = one[edges[i] : edges[i + 1]]
+                        place[edges[i] : edges[i + 1]] = shards[name].ordinals(part, starts[mine], ends[mine] - starts[mine])
+                hit = place[which] >= 0
+                held.append((groups[low:high][rows[at]][hit], place[which][hit], n[hit]))
+                size += int(hit.sum())
+                if size >= 4 * HELD:
+                    held = added()
+                    size = len(held[0][0])
+                    if size >= 2 * HELD:
+                        yield rows_of()
+                        held, size = [], 0
+        if held:
+            yield rows_of()
 
     return docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, ordinal long, n long")
 
@@ -310,8 +384,7 @@ def decoded(rows: DataFrame, sent) -> DataFrame:  # noqa: ANN001
         for batch in batches:
             items = []
             for lang, p in zip(batch.column(batch.schema.get_field_index("lang")).to_pylist(), batch.column(at).to_pylist()):
-                one = next(((b, t) for b, t in shards.get(lang, ()) if b <= p < b + t.size), None)
-                items.append(one[1].term(p - one[0]).decode() if one else None)
+                items.append(shards[lang].term(p) if lang in shards else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(items, pa.string())], names=schema.names)
 
     return rows.mapInArrow(decode, schema).where("item is not null")
