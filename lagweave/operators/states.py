@@ -1,4 +1,4 @@
-"""Operators with sequential state: one stream of the grid is one group, worked in order in its task."""
+"""Hidden Markov states, tails and phase surrogates of streams of the grid."""
 
 from __future__ import annotations
 
@@ -209,135 +209,6 @@ def _long_hmm(rows: DataFrame, keys: Sequence[str], value: str, rate: float, chu
     return known.union(flat)
 
 
-def hsmm(x: np.ndarray, null_mean: float, null_sd: float, rate: float, shortest: float = 0.5, longest: float = 30.0, mean_s: float = 8.0, sd_s: float = 5.0, rounds: int = 10) -> np.ndarray:
-    """Posterior of the upper state, whose stays have a truncated normal length; stays below are geometric."""
-    n, d_max = len(x), max(2, min(int(longest * rate), len(x)))
-    d = np.arange(1, d_max + 1)
-    pmf = np.where(d >= max(1, int(shortest * rate)), np.exp(-0.5 * ((d - mean_s * rate) / (sd_s * rate)) ** 2), 0.0)
-    pmf = pmf / pmf.sum() if pmf.sum() > 0 else np.full(d_max, 1 / d_max)
-    s0 = max(null_sd, 1e-8)
-    m1, s1 = max(float(np.quantile(x, 0.85)), null_mean + 0.3 * s0), s0
-    p_exit = float(np.clip(1 / (10 * rate), 0.001, 0.3))
-    post = np.zeros(n)
-    for _ in range(rounds):
-        e = np.stack([_normal(x, null_mean, s0), _normal(x, m1, s1)], 1)
-        like = np.exp(e - e.max(1, keepdims=True))
-        f0, f1 = np.zeros(n), np.zeros((n, d_max))  # f1[t, k]: k + 1 rows of the stay are left, this one included
-        for t in range(n):
-            if t == 0:
-                f0[0], f1[0] = 0.9 * like[0, 0], 0.1 * pmf * like[0, 1]
-            else:
-                f0[t] = (f0[t - 1] * (1 - p_exit) + f1[t - 1, 0]) * like[t, 0]
-                f1[t] = (np.append(f1[t - 1, 1:], 0) + f0[t - 1] * p_exit * pmf) * like[t, 1]
-            c = f0[t] + f1[t].sum()
-            f0[t] /= c
-            f1[t] /= c
-        b0, b1 = np.ones(n), np.ones((n, d_max))
-        for t in range(n - 2, -1, -1):
-            up = like[t + 1, 1] * b1[t + 1]
-            stay = like[t + 1, 0] * b0[t + 1]
-            b0[t] = (1 - p_exit) * stay + p_exit * (pmf @ up)
-            b1[t] = np.append(stay, up[:-1])
-            c = max(b0[t], b1[t].max())
-            b0[t] /= c
-            b1[t] /= c
-        g0, g1 = f0 * b0, (f1 * b1).sum(1)
-        post = g1 / np.maximum(g0 + g1, 1e-300)
-        w = post.sum()
-        m1 = max(float((post * x).sum() / max(w, 1e-9)), null_mean + 0.3 * s0)
-        s1 = max(float(np.sqrt((post * (x - m1) ** 2).sum() / max(w, 1e-9))), 0.3 * s0)
-        p_exit = float(np.clip(np.maximum(np.diff(post), 0).sum() / max((1 - post).sum(), 1e-9), 0.001, 0.3))
-    return post
-
-
-def hsmm_posterior(rows: DataFrame, keys: Sequence[str], value: str, rate: float) -> DataFrame:
-    """(keys, b, posterior) of an aggregate statistic against its own lower half."""
-
-    def work(frame: pd.DataFrame) -> dict:
-        x = np.nan_to_num(frame[value].to_numpy(float))
-        low = x[x <= np.median(x)]
-        return {"posterior": hsmm(x, float(low.mean()), float(low.std()), rate) if len(x) >= 20 else np.zeros(len(x))}
-
-    return per_stream(rows, keys, [value], "posterior double", work)
-
-
-def kim_posterior(rows: DataFrame, keys: Sequence[str], target: str, basis: Sequence[str], ar: int = 3, stay: float = 0.95, drift: float = 1e-5, rounds: int = 5) -> DataFrame:
-    """(keys, b, posterior): two regimes, one in which ``basis`` predicts the target's AR residual.
-
-    Regime 1 has Kalman-filtered coefficients; states are collapsed from saved copies at each step
-    and smoothed backwards; noise and stay probabilities are re-estimated ``rounds`` times.
-    """
-
-    def work(frame: pd.DataFrame) -> dict:
-        y = np.nan_to_num(frame[target].to_numpy(float))
-        z = np.nan_to_num(frame[list(basis)].to_numpy(float))
-        z = z / np.maximum(np.sqrt((z**2).mean(0)), 1e-8)
-        n, nb = z.shape
-        past = np.stack([np.concatenate([np.zeros(k), y[:-k]]) for k in range(1, ar + 1)], 1)
-        r = y - past @ np.linalg.solve(past.T @ past + 1e-6 * np.eye(ar), past.T @ y)
-        r[:ar] = 0
-        a = np.array([[stay, 1 - stay], [1 - stay, stay]])
-        v = np.full(2, max(float(r.var()), 1e-8))
-        smoothed = np.zeros((n, 2))
-        for _ in range(rounds):
-            coef, cov = np.zeros((2, nb)), np.stack([np.eye(nb) * v.mean() / nb] * 2)
-            xi, kept, errs = np.array([0.5, 0.5]), np.zeros((n, 2)), np.zeros((n, 2))
-            for t in range(n):
-                ahead = a.T @ xi
-                like, upd, upc = np.zeros(2), coef.copy(), cov + drift * np.eye(nb)
-                errs[t, 0] = r[t]
-                like[0] = np.exp(_normal(r[t : t + 1], 0.0, np.sqrt(v[0]))[0])
-                f = float(z[t] @ upc[1] @ z[t]) + v[1]
-                errs[t, 1] = r[t] - z[t] @ coef[1]
-                like[1] = np.exp(_normal(errs[t, 1:], 0.0, np.sqrt(f))[0])
-                gain = upc[1] @ z[t] / f
-                upd[1] = coef[1] + gain * errs[t, 1]
-                upc[1] = upc[1] - np.outer(gain, z[t] @ upc[1])
-                np.einsum("ijj->ij", upc)[:] = np.minimum(np.einsum("ijj->ij", upc), 10 * v.mean() / nb)
-                w = a * xi[:, None]
-                w = w / np.maximum(w.sum(0), 1e-300)
-                xi = ahead * like + 1e-300
-                xi = xi / xi.sum()
-                kept[t] = xi
-                mean = np.stack([w[:, j] @ upd for j in (0, 1)])
-                cov = np.stack([sum(w[i, j] * (upc[i] + np.outer(upd[i] - mean[j], upd[i] - mean[j])) for i in (0, 1)) for j in (0, 1)])
-                coef = mean
-            smoothed[-1] = kept[-1]
-            for t in range(n - 2, -1, -1):
-                smoothed[t] = kept[t] * (a @ (smoothed[t + 1] / np.maximum(a.T @ kept[t], 1e-300)))
-                smoothed[t] /= smoothed[t].sum()
-            v = np.maximum((smoothed * errs**2).sum(0) / np.maximum(smoothed.sum(0), 1e-9), 1e-8)
-            both = smoothed[:-1] * smoothed[1:]
-            keep = np.clip(both.sum(0) / np.maximum(smoothed[:-1].sum(0), 1e-9), 0.5, 0.999)
-            a = np.array([[keep[0], 1 - keep[0]], [1 - keep[1], keep[1]]])
-        return {"posterior": smoothed[:, 1]}
-
-    return per_stream(rows, keys, [target, *basis], "posterior double", work)
-
-
-def pelt_segments(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, b, segment, mean): change points of least squared error with a penalty of 2 ln n times the variance."""
-
-    def work(frame: pd.DataFrame) -> dict:
-        x = np.nan_to_num(frame[value].to_numpy(float))
-        n = len(x)
-        s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-        penalty = 2 * np.log(max(n, 2)) * max(float(x.var()), 1e-12)
-        best, cut, live = np.full(n + 1, -penalty), np.zeros(n + 1, int), np.array([0])
-        for t in range(1, n + 1):
-            cost = best[live] + (q[t] - q[live]) - (s[t] - s[live]) ** 2 / (t - live)
-            k = int(np.argmin(cost))
-            best[t], cut[t] = cost[k] + penalty, live[k]
-            live = np.append(live[cost <= best[t]], t)
-        seg, mean, t, k = np.zeros(n, int), np.zeros(n), n, 0
-        while t > 0:
-            seg[cut[t] : t], mean[cut[t] : t] = k, (s[t] - s[cut[t]]) / (t - cut[t])
-            t, k = cut[t], k + 1
-        return {"segment": (k - 1 - seg).astype(np.int32), "mean": mean}
-
-    return per_stream(rows, keys, [value], "segment int, mean double", work)
-
-
 def gpd_pvalues(rows: DataFrame, keys: Sequence[str], real: str, nulls: str, half: int = 50, quantile: float = 0.9) -> DataFrame:
     """(keys, b, p): each value against the null draws (an array column) of the rows around it.
 

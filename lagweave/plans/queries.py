@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
-from lagweave.operators import analysis, conditions, discovery, localize, metrics, regression, selection, signals, states, surrogates, temporal, wavelets
+from lagweave.operators import analysis, conditions, discovery, episodes, localize, metrics, regression, selection, signals, states, switching, surrogates, temporal, wavelets
 from lagweave.sources import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,17 +539,26 @@ def hmm_coupling(spark, sf_dir):
 
 @query()
 def hsmm_posterior(spark, sf_dir):
-    return states.hsmm_posterior(agrid(spark, sf_dir), M, "activity", 0.5)
+    return episodes.hsmm_posterior(agrid(spark, sf_dir), M, "activity", 0.5)
 
 
 @query()
 def kim_posterior(spark, sf_dir):
-    return states.kim_posterior(design(spark, sf_dir), ["src", "tgt"], "y", SOURCE)
+    return switching.switching(design(spark, sf_dir), ["src"], "tgt", "y", SOURCE, valid="valid")[0]
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ACT}, sq AS (SELECT modality, list(activity ORDER BY b) AS x, count(*) AS n, 2 * ln(greatest(count(*), 2)) * greatest(var_pop(activity), 1e-12) AS pen FROM act GROUP BY ALL),
+pf AS (SELECT modality, n, pen, list_prepend(0.0::DOUBLE, list_transform(range(1, n + 1), lambda i: list_sum(x[1:i]))) AS s, list_prepend(0.0::DOUBLE, list_transform(range(1, n + 1), lambda i: list_sum(list_transform(x[1:i], lambda v: v * v)))) AS q FROM sq),
+dp AS (SELECT modality, 0 AS t, [-pen] AS best, []::INT[] AS cut FROM pf UNION ALL
+SELECT modality, t + 1, list_append(best, list_min(c) + pen), list_append(cut, CAST(list_position(c, list_min(c)) - 1 AS INT)) FROM (
+  SELECT dp.modality, t, best, cut, pen, list_transform(range(0, t + 1), lambda a: best[a + 1] + (q[t + 2] - q[a + 1]) - (s[t + 2] - s[a + 1]) * (s[t + 2] - s[a + 1]) / (t + 1 - a)) AS c FROM dp JOIN pf USING (modality) WHERE t < n)),
+bt AS (SELECT modality, cut, cut[n] AS p FROM dp JOIN pf USING (modality) WHERE t = n UNION ALL SELECT modality, cut, cut[p] FROM bt WHERE p > 0),
+sg AS (SELECT act.modality, act.b, activity, CAST(count(*) FILTER (bt.p <= act.b) - 1 AS INT) AS segment FROM act JOIN bt ON bt.modality = act.modality GROUP BY ALL)
+SELECT modality, b, segment, {R("avg(activity) OVER (PARTITION BY modality, segment)")} AS mean FROM sg"""
+)
 def pelt_segments(spark, sf_dir):
-    return states.pelt_segments(agrid(spark, sf_dir), M, "activity")
+    return rounded(episodes.pelt_segments(agrid(spark, sf_dir), M, "activity"), "mean")
 
 
 @query()

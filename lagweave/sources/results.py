@@ -24,6 +24,13 @@ def save_result(tables: Mapping[str, DataFrame], path: str, session: str, direct
         df.write.mode("overwrite").parquet(f"{path}/{name}/session_id={session}/direction={direction}")
 
 
+def save_all(df: DataFrame, path: str, name: str) -> None:
+    """Writes one of the ``TABLES`` of many runs (session_id, direction, ...): those that are in it are replaced, others stay."""
+    if name not in TABLES:
+        raise ValueError(f"{name} is none of {TABLES}")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "direction").parquet(f"{path}/{name}")
+
+
 def load_result(spark: SparkSession, path: str, name: str, session: str | None = None, direction: str | None = None) -> DataFrame:
     """A table of all runs, or of some: partition filters, other files stay unread."""
     out = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/session_id=*/direction=*")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lagweave.operators import episodes, states, switching
+from lagweave.operators import episodes, switching
 
 
 def kim(y, z, valid, order, rounds, stay=0.95, drift=1e-5):
@@ -75,7 +75,7 @@ def coupled(spark):
     return spark.createDataFrame(rows, "s string, c string, b int, y double, x0 double, x1 double, ok boolean").repartition(3), y, x, valid, on
 
 
-@pytest.mark.parametrize(("chunk", "run_in"), [(4096, 256), (100, 40), (64, 1)])
+@pytest.mark.parametrize(("chunk", "run_in"), [(4096, 256), (100, 10)])
 def test_switching_is_one_pass(coupled, chunk, run_in):
     rows, y, x, valid, on = coupled
     post, fits = switching.switching(rows, ["s"], "c", "y", ["x0", "x1"], order=2, rounds=2, valid="ok", chunk=chunk, run_in=run_in)
@@ -88,6 +88,51 @@ def test_switching_is_one_pass(coupled, chunk, run_in):
     assert post.where("s = 'short'").count() == 9
 
 
+def normal(x, m, s):
+    return -0.5 * ((x - m) / s) ** 2 - np.log(s)
+
+
+def hsmm(x, null_mean, null_sd, rate, shortest=0.5, longest=30.0, mean_s=8.0, sd_s=5.0, rounds=10):
+    """Posterior of the upper state, whose stays have a truncated normal length; stays below are geometric."""
+    n, d_max = len(x), max(2, min(int(longest * rate), len(x)))
+    d = np.arange(1, d_max + 1)
+    pmf = np.where(d >= max(1, int(shortest * rate)), np.exp(-0.5 * ((d - mean_s * rate) / (sd_s * rate)) ** 2), 0.0)
+    pmf = pmf / pmf.sum() if pmf.sum() > 0 else np.full(d_max, 1 / d_max)
+    s0 = max(null_sd, 1e-8)
+    m1, s1 = max(float(np.quantile(x, 0.85)), null_mean + 0.3 * s0), s0
+    p_exit = float(np.clip(1 / (10 * rate), 0.001, 0.3))
+    post = np.zeros(n)
+    for _ in range(rounds):
+        e = np.stack([normal(x, null_mean, s0), normal(x, m1, s1)], 1)
+        like = np.exp(e - e.max(1, keepdims=True))
+        f0, f1 = np.zeros(n), np.zeros((n, d_max))  # f1[t, k]: k + 1 rows of the stay are left, this one included
+        for t in range(n):
+            if t == 0:
+                f0[0], f1[0] = 0.9 * like[0, 0], 0.1 * pmf * like[0, 1]
+            else:
+                f0[t] = (f0[t - 1] * (1 - p_exit) + f1[t - 1, 0]) * like[t, 0]
+                f1[t] = (np.append(f1[t - 1, 1:], 0) + f0[t - 1] * p_exit * pmf) * like[t, 1]
+            c = f0[t] + f1[t].sum()
+            f0[t] /= c
+            f1[t] /= c
+        b0, b1 = np.ones(n), np.ones((n, d_max))
+        for t in range(n - 2, -1, -1):
+            up = like[t + 1, 1] * b1[t + 1]
+            stay = like[t + 1, 0] * b0[t + 1]
+            b0[t] = (1 - p_exit) * stay + p_exit * (pmf @ up)
+            b1[t] = np.append(stay, up[:-1])
+            c = max(b0[t], b1[t].max())
+            b0[t] /= c
+            b1[t] /= c
+        g0, g1 = f0 * b0, (f1 * b1).sum(1)
+        post = g1 / np.maximum(g0 + g1, 1e-300)
+        w = post.sum()
+        m1 = max(float((post * x).sum() / max(w, 1e-9)), null_mean + 0.3 * s0)
+        s1 = max(float(np.sqrt((post * (x - m1) ** 2).sum() / max(w, 1e-9))), 0.3 * s0)
+        p_exit = float(np.clip(np.maximum(np.diff(post), 0).sum() / max((1 - post).sum(), 1e-9), 0.001, 0.3))
+    return post
+
+
 def stream(spark, seed=3, n=300):
     r = np.random.default_rng(seed)
     x = r.normal(0, 1, n)
@@ -97,12 +142,12 @@ def stream(spark, seed=3, n=300):
     return spark.createDataFrame(rows, "k string, b int, x double").repartition(3), x
 
 
-@pytest.mark.parametrize(("chunk", "run_in"), [(4096, 256), (90, 40), (50, 1)])
+@pytest.mark.parametrize(("chunk", "run_in"), [(4096, 256), (90, 20)])
 def test_hsmm_is_one_pass(spark, chunk, run_in):
     rows, x = stream(spark)
-    got = episodes.hsmm_posterior(rows, ["k"], "x", 1.0, rounds=3, chunk=chunk, run_in=run_in).toPandas()
+    got = episodes.hsmm_posterior(rows, ["k"], "x", 1.0, rounds=2, chunk=chunk, run_in=run_in).toPandas()
     low = x[x <= np.median(x)]
-    plain = states.hsmm(x, float(low.mean()), float(low.std()), 1.0, rounds=3)
+    plain = hsmm(x, float(low.mean()), float(low.std()), 1.0, rounds=2)
     p = got[got["k"] == "k"].sort_values("b")["posterior"].to_numpy()
     assert np.allclose(p, plain, atol=1e-6) and p[85:125].mean() > 0.8
     assert len(got) == len(x) + 45 and set(got[got["k"] == "few"]["posterior"]) == {0.0}
@@ -124,7 +169,7 @@ def optimal(x):
     return out[::-1]
 
 
-@pytest.mark.parametrize(("chunk", "run_in"), [(4096, 1024), (70, 30), (25, 1)])
+@pytest.mark.parametrize(("chunk", "run_in"), [(4096, 1024), (50, 10)])
 def test_pelt_is_optimal_partitioning(spark, chunk, run_in):
     rows, x = stream(spark)
     got = episodes.pelt_segments(rows, ["k"], "x", chunk=chunk, run_in=run_in).toPandas()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
 from lagweave.functions.tails import beta_inc, binom_sf, f_sf, gpd_fit, hypergeom_sf, norm_sf
-from lagweave.operators import conditions, discovery, localize, metrics, regression, states, surrogates, temporal, wavelets
+from lagweave.operators import conditions, discovery, episodes, localize, metrics, regression, states, surrogates, temporal, wavelets
 from lagweave.sources import streams
 
 
@@ -68,23 +68,13 @@ def test_states_find_the_planted_episode(spark):
     x = r.normal(0, 1, 200)
     x[80:130] += 4
     rows = series(spark, x=x)
-    for posterior in (states.hmm_posterior(rows, ["k"], "x", 1.0), states.hsmm_posterior(rows, ["k"], "x", 1.0)):
+    for posterior in (states.hmm_posterior(rows, ["k"], "x", 1.0), episodes.hsmm_posterior(rows, ["k"], "x", 1.0, rounds=3)):
         p = posterior.toPandas().sort_values("b")["posterior"].to_numpy()
         assert p[90:120].mean() > 0.8 and p[:60].mean() < 0.3
-    seg = states.pelt_segments(rows, ["k"], "x").toPandas().sort_values("b")
+    seg = episodes.pelt_segments(rows, ["k"], "x").toPandas().sort_values("b")
     assert abs(int((seg["segment"] == 0).sum()) - 80) <= 3 and seg["segment"].nunique() == 3
 
 
-def test_kim_follows_a_switched_regression(spark):
-    r = np.random.default_rng(4)
-    x = r.normal(size=300)
-    on = np.zeros(300)
-    on[100:200] = 1
-    y = 2 * on * x + r.normal(0, 0.5, 300)
-    p = states.kim_posterior(series(spark, y=y, x=x), ["k"], "y", ["x"]).toPandas().sort_values("b")["posterior"].to_numpy()
-    assert p[120:190].mean() > p[:90].mean() + 0.2
-
-
 def test_spectrum_and_power(spark):
     t = np.arange(256) / 32
     rows = series(spark, x=np.sin(2 * np.pi * 4 * t))
