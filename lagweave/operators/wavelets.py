@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lagweave.operators import spans
 from lagweave.operators.temporal import Keys, min_event
+from lagweave.sources.shared import written
 
 
 def morlet(freq: float, rate: float, cycles: float) -> dict[int, complex]:
@@ -88,6 +89,30 @@ def phase_features(re1: Column, im1: Column, re2: Column, im2: Column) -> tuple[
     return (re1 * re2 + im1 * im2) / size, (im1 * re2 - re1 * im2) / size
 
 
+def _centred(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The convolution, as long as ``x`` and without delay."""
+    return np.convolve(x, w)[len(w) // 2 : len(w) // 2 + len(x)]
+
+
+def _canonical(t: np.ndarray, bell: np.ndarray, p: int, regular: float, every: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Largest canonical coherence of the first ``p`` rows of transforms ``t`` (channel, time) and the others, at some times."""
+    n = len(t)
+    s = np.empty((len(t[0][every]), n, n), complex)
+    for a in range(n):
+        for b in range(a, n):
+            s[:, a, b] = _centred(np.conj(t[a]) * t[b], bell)[every]
+            s[:, b, a] = np.conj(s[:, a, b])
+    if n == 2:
+        return np.abs(s[:, 0, 1]) / np.sqrt(np.maximum((s[:, 0, 0] * s[:, 1, 1]).real, 1e-20))
+
+    def root(s: np.ndarray) -> np.ndarray:
+        s = s + regular * (np.trace(s, axis1=1, axis2=2).real / s.shape[1])[:, None, None] * np.eye(s.shape[1])
+        size, vectors = np.linalg.eigh(s)
+        return (vectors / np.sqrt(np.maximum(size, 1e-20))[:, None, :]) @ vectors.conj().transpose(0, 2, 1)
+
+    return np.minimum(np.linalg.svd(root(s[:, :p, :p]) @ s[:, :p, p:] @ root(s[:, p:, p:]), compute_uv=False)[:, 0], 1.0)
+
+
 def canonical_coherence(rows: DataFrame, keys: Keys, left: Sequence[str], right: Sequence[str], rate: float, freqs: Sequence[float], cycles: float = 5.0, smooth_cycles: float = 5.0, regular: float = 1e-4) -> DataFrame:
     """(keys, b, coherence): mean over ``freqs`` of the largest canonical coherence of two sets of channels.
 
@@ -99,30 +124,12 @@ def canonical_coherence(rows: DataFrame, keys: Keys, left: Sequence[str], right:
     waves = [np.array(list(morlet(f, rate, cycles).values())) for f in freqs]
     bells = [np.array(list(gaussian(smooth_cycles * rate / f / 6).values())) for f in freqs]
     halo = max(len(w) // 2 + len(g) // 2 for w, g in zip(waves, bells))
-    n, p = len(channels), len(left)
-
-    def centred(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return np.convolve(x, w)[len(w) // 2 : len(w) // 2 + len(x)]
-
-    def root(s: np.ndarray) -> np.ndarray:
-        s = s + regular * (np.trace(s, axis1=1, axis2=2).real / s.shape[1])[:, None, None] * np.eye(s.shape[1])
-        size, vectors = np.linalg.eigh(s)
-        return (vectors / np.sqrt(np.maximum(size, 1e-20))[:, None, :]) @ vectors.conj().transpose(0, 2, 1)
+    p = len(left)
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("b")
-        total = np.zeros(len(frame))
-        for w, g in zip(waves, bells):
-            t = [centred(np.nan_to_num(frame[c].to_numpy(float)), w) for c in channels]
-            s = np.zeros((len(frame), n, n), complex)
-            for a in range(n):
-                for b in range(a, n):
-                    s[:, a, b] = centred(np.conj(t[a]) * t[b], g)
-                    s[:, b, a] = np.conj(s[:, a, b])
-            if n == 2:
-                total += np.abs(s[:, 0, 1]) / np.sqrt(np.maximum((s[:, 0, 0] * s[:, 1, 1]).real, 1e-20))
-            else:
-                total += np.minimum(np.linalg.svd(root(s[:, :p, :p]) @ s[:, :p, p:] @ root(s[:, p:, p:]), compute_uv=False)[:, 0], 1.0)
+        x = np.nan_to_num(frame[channels].to_numpy(float)).T
+        total = sum(_canonical(np.stack([_centred(v, w) for v in x]), g, p, regular) for w, g in zip(waves, bells))
         return frame[[*keys, "b"]].assign(coherence=total / len(freqs))[frame["_own"]]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "b").schema)
@@ -143,3 +150,73 @@ def coherence_mask(real: DataFrame, null: DataFrame, keys: Keys, value: str, sha
     out = real.join(stats, list(keys)).join(tops, list(keys)).withColumn("z", z)
     out = out.withColumns({"posterior": 1 / (1 + F.exp(-2 * (F.col("z") - F.col("_cut")))), "_up": F.col("z") > F.col("_cut")})
     return min_event(out, keys, "_up", least).select(*keys, "b", "z", "posterior", F.col("kept").alias("masked"))
+
+
+def transformed(rows: DataFrame, keys: Keys, channels: Sequence[str], rate: float, freqs: Sequence[float], cycles: float = 5.0) -> DataFrame:
+    """(keys, b, w): wavelet transforms of the channels at all frequencies, real and imaginary parts by frequency and channel."""
+    waves = [np.array(list(morlet(f, rate, cycles).values())) for f in freqs]
+    halo = max(len(w) // 2 for w in waves)
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("b")
+        x = np.nan_to_num(frame[list(channels)].to_numpy(float)).T
+        t = np.stack([_centred(v, w) for w in waves for v in x], 1)[frame["_own"].to_numpy()]
+        out = frame.loc[frame["_own"], [*keys, "b"]]
+        return out.assign(w=pd.Series(list(np.concatenate([t.real, t.imag], 1)), out.index, object))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "b").schema)
+    return spans.haloed(rows.select(*keys, "b", *channels), halo, halo).groupBy(*keys, "_span").applyInPandas(work, f"{kinds}, w array<double>")
+
+
+def coherence_localization(
+    rows: DataFrame, keys: Keys, left: Sequence[str], right: Sequence[str], rate: float, freqs: Sequence[float], n_shifts: int = 100, every: int = 1, cycles: float = 5.0, smooth_cycles: float = 5.0,
+    regular: float = 1e-4, share: float = 0.1, least: int = 2, min_shift: float = 0.1, size: int = 512,
+) -> DataFrame:
+    """(keys, b, z, posterior, masked): when two people's channels are coherent, on every ``every``-th row.
+
+    ``rows`` (keys, b from 0 without gaps, channels). Each side is transformed once and stored. The left transform
+    moves round by ``n_shifts`` even shifts, ``min_shift`` of the stream at least, against the still right one: as
+    shifting the signal does, but for the reach of a wavelet at the seam. A span meets all its draws, so each time
+    is scored against them where it stands, and of the nulls only the largest score of a span and draw leaves it.
+    The mask is that of ``coherence_mask``.
+    """
+    bells = [np.array(list(gaussian(smooth_cycles * rate / f / 6).values())) for f in freqs]
+    halo, p, n_freqs = max(len(g) // 2 for g in bells), len(left), len(freqs)
+    ends = rows.groupBy(*keys).agg((F.max("b") + 1).cast("int").alias("_n"))
+    one, two = (written(transformed(rows, keys, side, rate, freqs, cycles)) for side in (left, right))
+    low = F.greatest(F.floor(F.col("_n") * min_shift), F.lit(1))
+    step = F.greatest(F.floor((F.col("_n") - 2 * low) / max(1, n_shifts)), F.lit(1))
+    moved = one.join(ends, list(keys)).withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(n_shifts - 1))))
+    moved = moved.select(*keys, "k", F.pmod(F.col("b") + F.when(F.col("k") < 0, 0).otherwise(low + F.col("k") * step), F.col("_n")).cast("int").alias("b"), "w")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[*keys, "b", "k", "v"])
+        b = b.sort_values("b")
+        times, mine = b["b"].to_numpy(), b["_own"].to_numpy() & (b["b"].to_numpy() % every == 0)
+        still, values = unpacked(b["w"], len(right)), {}
+        for k, part in a.groupby("k"):
+            turned = unpacked(part.sort_values("b")["w"], p)
+            values[k] = sum(_canonical(np.concatenate([turned[f], still[f]]), bells[f], p, regular, mine) for f in range(n_freqs)) / n_freqs
+        null = np.stack([v for k, v in sorted(values.items()) if k >= 0])
+        mean, spread = null.mean(0), np.maximum(null.std(0), 1e-8)
+        out = pd.DataFrame({"b": times[mine], "k": -1, "v": (values[-1] - mean) / spread})
+        if len(out):
+            tops = pd.DataFrame({"b": -1, "k": np.arange(len(null)), "v": ((null - mean) / spread).max(1)})
+            out = pd.concat([out, tops])
+        return out.assign(**{c: a[c].iloc[0] for c in keys})[[*keys, "b", "k", "v"]]
+
+    def unpacked(w: pd.Series, n: int) -> np.ndarray:
+        """(frequency, channel, time)."""
+        t = np.stack(w.to_numpy())
+        half = t.shape[1] // 2
+        return (t[:, :half] + 1j * t[:, half:]).T.reshape(n_freqs, n, len(t))
+
+    by = [*keys, "_span"]
+    parts = spans.haloed(moved, halo, halo, size).groupBy(*by).cogroup(spans.haloed(two, halo, halo, size).groupBy(*by)).applyInPandas(work, f"{kinds}, b int, k int, v double")
+    parts = written(parts)
+    tops = parts.where("k >= 0").groupBy(*keys, "k").agg(F.max("v").alias("top")).groupBy(*keys).agg(F.greatest(F.percentile("top", F.lit(1 - share)), F.lit(1.0)).alias("_cut"))
+    out = parts.where("k < 0").join(tops, list(keys)).select(*keys, (F.col("b") / every).cast("int").alias("b"), F.col("v").alias("z"), "_cut")
+    out = out.withColumns({"posterior": 1 / (1 + F.exp(-2 * (F.col("z") - F.col("_cut")))), "_up": F.col("z") > F.col("_cut")})
+    return min_event(out, keys, "_up", least).select(*keys, (F.col("b") * every).cast("int").alias("b"), "z", "posterior", F.col("kept").alias("masked"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
-from lagweave.operators import coupling, switching
-from lagweave.plans.queries import EV, PAIRS, R, pair_rows, query, rounded
+from lagweave.operators import coupling, switching, wavelets
+from lagweave.plans.more import ANALYTIC, values
+from lagweave.plans.queries import _MODS, EV, PAIRS, R, pair_rows, query, rounded, zgrid
 from lagweave.sources import streams
 from lagweave.sources.shared import shared_folder
 
@@ -108,3 +109,30 @@ def kim_one_round(spark, sf_dir):
     """One channel a pathway and one round, in chunks of 40 rows."""
     rows = pair_rows(spark, sf_dir).where("src <> tgt").withColumn("channel", F.lit("y"))
     return rounded(switching.switching(rows, ["src", "tgt"], "channel", "y", ["x"], order=1, rounds=1, chunk=40, run_in=20)[0], "posterior")
+
+
+def beside(spark: SparkSession, sf_dir: str, modalities: tuple[str, ...]) -> DataFrame:
+    return zgrid(spark, sf_dir).where(F.col("modality").isin(*modalities)).groupBy("b").pivot("modality", list(modalities)).agg(F.max("z")).withColumn("pair", F.lit("all"))
+
+
+_CK = 6
+LOCAL = f"""{ANALYTIC}, {values("g", wavelets.gaussian(5.0 * 4.0 / 0.5 / 6))}, nn AS (SELECT max(b) + 1 AS n FROM an),
+sh AS (SELECT k, n, CASE WHEN k < 0 THEN 0 ELSE greatest(CAST(floor(n * 0.1) AS INT), 1) + k * greatest(CAST(floor((n - 2 * greatest(CAST(floor(n * 0.1) AS INT), 1)) / {_CK}.0) AS INT), 1) END AS s FROM nn, range(-1, {_CK}) r(k)),
+pq AS (SELECT k, c.b, a.re * a.re + a.im * a.im AS xx, c.re * c.re + c.im * c.im AS yy, a.re * c.re + a.im * c.im AS sr, a.re * c.im - a.im * c.re AS si FROM an a CROSS JOIN sh JOIN an c ON c.b = (a.b + s) % n WHERE a.modality = 'click' AND c.modality = 'view'),
+sm AS (SELECT p.k, p.b, sum(w * coalesce(q.xx, 0.0)) AS xx, sum(w * coalesce(q.yy, 0.0)) AS yy, sum(w * coalesce(q.sr, 0.0)) AS sr, sum(w * coalesce(q.si, 0.0)) AS si FROM pq p CROSS JOIN g LEFT JOIN pq q ON q.k = p.k AND q.b = p.b - lag WHERE p.b % 2 = 0 GROUP BY ALL),
+co AS (SELECT k, b, sqrt((sr * sr + si * si) / greatest(xx * yy, 1e-20)) AS v FROM sm), cs AS (SELECT b, avg(v) AS m, greatest(stddev_pop(v), 1e-8) AS s FROM co WHERE k >= 0 GROUP BY ALL),
+cz AS (SELECT k, b, (v - m) / s AS z FROM co JOIN cs USING (b)), ct AS (SELECT greatest(quantile_cont(top, 0.9), 1.0) AS cut FROM (SELECT k, max(z) AS top FROM cz WHERE k >= 0 GROUP BY ALL)),
+up AS (SELECT b // 2 AS i, b, z, cut, z > cut AS u FROM cz, ct WHERE k < 0), ur AS (SELECT *, i - row_number() OVER (PARTITION BY u ORDER BY i) AS r FROM up), un AS (SELECT *, count(*) OVER (PARTITION BY u, r) AS len FROM ur)"""
+
+
+@query(f"WITH {LOCAL} SELECT b, {R('z')} AS z, {R('1 / (1 + exp(-2 * (z - cut)))')} AS posterior, u AND len >= 2 AS masked FROM un")
+def coherence_localization(spark, sf_dir):
+    """Two streams, one frequency, every second bin, in spans of 32 rows."""
+    out = wavelets.coherence_localization(beside(spark, sf_dir, ("click", "view")), ["pair"], ["click"], ["view"], 4.0, (0.5,), n_shifts=_CK, every=2, size=32)
+    return rounded(out.select("b", "z", "posterior", "masked"), "z", "posterior")
+
+
+@query()
+def canonical_localization(spark, sf_dir):
+    """Two sets of two streams at three frequencies."""
+    return wavelets.coherence_localization(beside(spark, sf_dir, _MODS), ["pair"], ["click", "error"], ["purchase", "view"], 4.0, (0.25, 0.5, 1.0), n_shifts=20)
