@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.operators import chunks, spans
@@ -80,29 +80,99 @@ class Episodes:
         return out, at
 
 
+    def sums(self, x: np.ndarray, post: np.ndarray) -> list[float]:
+        """What a round needs of some rows: weight, sums and squares above, steps up and steps that stay below."""
+        return [post.sum(), (post * x).sum(), (post * x * x).sum(), ((1 - post[:-1]) * post[1:]).sum(), ((1 - post[:-1]) * (1 - post[1:])).sum()]
+
+    def posterior(self, x: np.ndarray, ahead: np.ndarray, first: bool, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(posterior of the upper state by row, ``backward``'s state for the row before)."""
+        like = self.likelihoods(x)
+        b, before = self.backward(like, behind)
+        g = self.forward(like, ahead, first) * b
+        return g[:, 1:].sum(1) / np.maximum(g.sum(1), 1e-300), before
+
+    def refit(self, got: list[float]) -> None:
+        w, wx, wxx, up, stay = got
+        if w > 5:
+            self.m1 = max(wx / w, self.m0 + 0.3 * self.s0)
+            self.s1 = max(float(np.sqrt(max(wxx - 2 * self.m1 * wx + self.m1**2 * w, 0.0) / w)), 0.3 * self.s0)
+        if up + stay > 1:
+            self.leave = float(np.clip(up / (up + stay), 0.001, 0.3))
+
+
 def lengths(n: int, rate: float, shortest: float, longest: float, mean_s: float, sd_s: float) -> np.ndarray:
-    """Chances of 1, 2, ... rows: a normal length between ``shortest`` and ``longest`` seconds."""
-    most = max(2, min(int(longest * rate), n))
+    """Chances of 1, 2, ... rows: a normal length between ``shortest`` and ``longest`` seconds; short streams end at a third of theirs."""
+    least = max(1, round(shortest * rate))
+    most = max(least + 1, round(longest * rate))
+    most = max(least + 1, n // 3) if n < 2 * most else most
     d = np.arange(1, most + 1)
-    p = np.where(d >= max(1, int(shortest * rate)), np.exp(-0.5 * ((d - mean_s * rate) / (sd_s * rate)) ** 2), 0.0)
-    return p / p.sum() if p.sum() > 0 else np.full(most, 1 / most)
+    log_p = np.where(d >= least, -0.5 * ((d - mean_s * rate) / max(sd_s * rate, 0.5)) ** 2, -np.inf)
+    p = np.exp(log_p - log_p.max())
+    return p / p.sum()
 
 
-def hsmm_posterior(rows: DataFrame, keys: Sequence[str], value: str, rate: float, shortest: float = 0.5, longest: float = 30.0, mean_s: float = 8.0, sd_s: float = 5.0, rounds: int = 10, chunk: int = chunks.CHUNK, run_in: int = chunks.RUN_IN) -> DataFrame:
-    """(keys, b, posterior) of the upper of two states, whose stays have a truncated normal length, against the stream's own lower half.
+def hsmm(
+    rows: DataFrame, keys: Sequence[str], value: str, rate: float, null: DataFrame | None = None, fitted: DataFrame | None = None, shortest: float = 0.5, longest: float = 30.0, mean_s: float = 8.0,
+    sd_s: float = 5.0, rounds: int = 10, chunk: int = chunks.CHUNK, run_in: int = chunks.RUN_IN,
+) -> tuple[DataFrame, DataFrame]:
+    """((keys, b, posterior), (keys, m0, s0, m1, s1, leave)): the upper of two states, whose stays have a truncated normal length.
 
-    Missing values are 0; streams of under 20 rows give 0. Any number of streams goes at once, so draws of a null
-    are streams of their own. A round sums by chunk what the next parameters need.
+    The lower state's mean and deviation stay: those of ``null`` (keys, m0, s0), else of the stream's own lower half.
+    The upper one's and the chance to leave are fitted in ``rounds`` from the upper quarter on; with ``fitted``
+    (such parameters) nothing is. Missing values are 0; streams of under 20 rows give 0. Any number of streams goes
+    at once, so draws of a null are streams of their own. A round sums by chunk what the next parameters need.
     """
     by, kind, run_in = [*keys, "_span"], kinds(rows, keys), min(run_in, chunk)
     data = written(rows.select(*keys, F.col("b").cast("int").alias("b"), clean(value).alias("x")))
-    streams = data.groupBy(*keys).agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("mid"), F.percentile("x", F.lit(0.85)).alias("upper"))
-    half = data.join(streams, list(keys)).where("n >= 20 and x <= mid").groupBy(*keys).agg(F.avg("x").alias("m0"), F.greatest(F.stddev_pop("x"), F.lit(1e-8)).alias("s0"))
-    streams = written(streams.join(half, list(keys)))
-    params = streams.select(*keys, "n", "m0", "s0", F.greatest("upper", F.col("m0") + 0.3 * F.col("s0")).alias("m1"), F.col("s0").alias("s1"), F.lit(float(np.clip(1 / (10 * rate), 0.001, 0.3))).alias("leave"))
+    streams = data.groupBy(*keys).agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("mid"), F.percentile("x", F.lit(0.75)).alias("upper")).where("n >= 20")
+    names = ["m0", "s0", "m1", "s1", "leave"]
+    if fitted is not None:
+        params = streams.select(*keys, "n").join(fitted.select(*keys, *names), list(keys))
+    else:
+        met = data.join(streams, list(keys))
+        if null is None:
+            null = met.where("x <= mid").groupBy(*keys).agg(F.avg("x").alias("m0"), F.stddev_pop("x").alias("s0"))
+        null = null.select(*keys, "m0", F.greatest("s0", F.lit(1e-8)).alias("s0"))
+        above = lambda c: [F.count(F.when(F.col("x") > F.col(c), 1)).alias(f"n_{c}"), F.avg(F.when(F.col("x") > F.col(c), F.col("x"))).alias(f"m_{c}"), F.stddev_pop(F.when(F.col("x") > F.col(c), F.col("x"))).alias(f"s_{c}")]
+        start = met.groupBy(*keys, "n").agg(*above("upper"), *above("mid")).join(null, list(keys))
+        pick = lambda c, other: F.when(F.col("n_upper") >= 5, F.col(f"{c}_upper")).when(F.col("n_mid") >= 3, F.col(f"{c}_mid")).otherwise(other)
+        m1 = F.greatest(pick("m", F.col("m0") + 2 * F.col("s0")), F.col("m0") + 0.3 * F.col("s0"))
+        s1 = F.greatest(pick("s", F.col("s0")), 0.5 * F.col("s0"))
+        params = start.select(*keys, "n", "m0", "s0", m1.alias("m1"), s1.alias("s1"), F.lit(float(np.clip(1 / (10 * rate), 0.001, 0.3))).alias("leave"))
+    params = written(params)
+    streams = written(streams.select(*keys, "low", "high").join(params.select(*keys), list(keys), "left_semi"))
+    fit, shape = fitted is None, (rate, shortest, longest, mean_s, sd_s)
+    turns = rounds if fit else 1
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        r = frame.iloc[0]
+        p, low = Episodes.row(r, *shape), int(r["low"])
+        x = np.zeros(int(r["high"]) - low + 1)
+        x[frame["b"].to_numpy() - low] = frame["x"].to_numpy()
+        for _ in range(turns):
+            post, _ = p.posterior(x, p.start(), True, np.ones(len(p.length) + 1))
+            if fit:
+                p.refit(p.sums(x, post))
+        return pd.DataFrame({**{k: [r[k]] for k in keys}, "begin": [low], "posterior": [post], "m0": [p.m0], "s0": [p.s0], "m1": [p.m1], "s1": [p.s1], "leave": [p.leave]})
+
+    size = F.col("high") - F.col("low") + 1
+    some = data.join(streams.where(size <= chunk), list(keys)).join(params, list(keys))
+    short = written(some.groupBy(*keys).applyInPandas(whole, f"{kind}, begin int, posterior array<double>, m0 double, s0 double, m1 double, s1 double, leave double"))
+    parts, fits = short.select(*keys, "begin", "posterior"), short.select(*keys, *names)
+    if streams.where(size > chunk).limit(1).count():
+        more, found = _long(data, streams.where(size > chunk), params, keys, shape, turns, fit, chunk, run_in)
+        parts, fits = parts.union(more), fits.union(found)
+    at = parts.select(*keys, "begin", F.posexplode("posterior").alias("_i", "posterior"))
+    known = at.select(*keys, (F.col("begin") + F.col("_i")).cast("int").alias("b"), "posterior")
+    # only rows that the stream has, and those of streams that are too short
+    return data.select(*keys, "b").join(known, [*keys, "b"], "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.0))), fits
+
+
+def _long(data: DataFrame, streams: DataFrame, params: DataFrame, keys: Sequence[str], shape: tuple, turns: int, fit: bool, chunk: int, run_in: int) -> tuple[DataFrame, DataFrame]:
+    """((keys, begin, posterior of a chunk), parameters) of streams of more than a chunk."""
+    by, kind = [*keys, "_span"], kinds(data, keys)
     cut = written(spans.haloed(data.join(streams.select(*keys), list(keys), "left_semi"), run_in, run_in, chunk).drop("_own"))
     per = written(chunks.of(streams.select(*keys, "low", "high"), keys, chunk))
-    shape = (rate, shortest, longest, mean_s, sd_s)
 
     def own(r) -> tuple[int, int, int, int]:  # noqa: ANN001
         """(first and last row of a stream, first and last of a chunk)."""
@@ -139,13 +209,8 @@ def hsmm_posterior(rows: DataFrame, keys: Sequence[str], value: str, rate: float
         if r["start"] is None and end < high:
             _, state = p.backward(p.likelihoods(dense(frame, end + 1, min(high, end + run_in))), state)
         x = dense(frame, begin, end)
-        like = p.likelihoods(x)
-        f = p.forward(like, np.asarray(r["forward"], float), begin == low)
-        b, before = p.backward(like, state)
-        g = f * b
-        post = g[:, 1:].sum(1) / np.maximum(g.sum(1), 1e-300)
-        got = [post.sum(), (post * x).sum(), (post * x * x).sum(), np.maximum(np.diff(post), 0).sum(), (1 - post).sum()]
-        return pd.DataFrame({**{k: [r[k]] for k in keys}, "_span": [r["_span"]], "begin": [begin], "start": [state], "end": [before], "posterior": [post], "sums": [got]})
+        post, before = p.posterior(x, np.asarray(r["forward"], float), begin == low, state)
+        return pd.DataFrame({**{k: [r[k]] for k in keys}, "_span": [r["_span"]], "begin": [begin], "start": [state], "end": [before], "posterior": [post], "sums": [p.sums(x, post)]})
 
     def runner(work, kind_, extra):  # noqa: ANN001, ANN202
         def run(starts: DataFrame) -> DataFrame:
@@ -156,24 +221,55 @@ def hsmm_posterior(rows: DataFrame, keys: Sequence[str], value: str, rate: float
         return run
 
     done = None
-    for _ in range(rounds):
+    for _ in range(turns):
         first = chunks.agreed(per, keys, runner(ahead, ahead_kind, None))
         before, done = done, chunks.agreed(per, keys, runner(back, back_kind, first.select(*by, F.col("start").alias("forward"))), later=True)
-        # rises of the posterior over the borders of chunks
-        ends = done.select(*keys, (F.col("_span") + 1).alias("_span"), F.element_at("posterior", -1).alias("before"))
-        rises = done.select(*by, F.col("posterior")[0].alias("after")).join(ends, by).groupBy(*keys).agg(F.sum(F.greatest(F.col("after") - F.col("before"), F.lit(0.0))).alias("rise"))
-        got = done.groupBy(*keys).agg(*[F.sum(F.col("sums")[i]).alias(c) for i, c in enumerate(("w", "wx", "wxx", "up", "down"))]).join(rises, list(keys), "left")
-        both = params.join(got, list(keys))
-        w = F.greatest("w", F.lit(1e-9))
-        m1 = F.greatest(F.col("wx") / w, F.col("m0") + 0.3 * F.col("s0"))
-        spread = F.sqrt(F.greatest(F.col("wxx") - 2 * m1 * F.col("wx") + m1 * m1 * F.col("w"), F.lit(0.0)) / w)
-        leave = F.least(F.greatest((F.col("up") + F.coalesce("rise", F.lit(0.0))) / F.greatest("down", F.lit(1e-9)), F.lit(0.001)), F.lit(0.3))
-        params = written(both.select(*keys, "n", "m0", "s0", m1.alias("m1"), F.greatest(spread, 0.3 * F.col("s0")).alias("s1"), leave.alias("leave")))
         dropped(first, *([before] if before is not None else []))
-    at = done.select(*keys, "begin", F.posexplode("posterior").alias("_i", "posterior"))
-    known = at.select(*keys, (F.col("begin") + F.col("_i")).cast("int").alias("b"), "posterior")
-    # only rows that the stream has, and those of streams that are too short
-    return data.select(*keys, "b").join(known, [*keys, "b"], "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.0)))
+        if not fit:
+            break
+        # steps over the borders of chunks
+        ends = done.select(*keys, (F.col("_span") + 1).alias("_span"), (1 - F.element_at("posterior", -1)).alias("low"))
+        steps = done.select(*by, F.col("posterior")[0].alias("high")).join(ends, by).groupBy(*keys).agg(F.sum(F.col("low") * F.col("high")).alias("_up"), F.sum(F.col("low") * (1 - F.col("high"))).alias("_stay"))
+        got = done.groupBy(*keys).agg(*[F.sum(F.col("sums")[i]).alias(c) for i, c in enumerate(("w", "wx", "wxx", "up", "stay"))]).join(steps, list(keys), "left")
+        both = params.join(got, list(keys))
+        up, stay = F.col("up") + F.coalesce("_up", F.lit(0.0)), F.col("stay") + F.coalesce("_stay", F.lit(0.0))
+        m1 = F.when(F.col("w") > 5, F.greatest(F.col("wx") / F.col("w"), F.col("m0") + 0.3 * F.col("s0"))).otherwise(F.col("m1"))
+        spread = F.sqrt(F.greatest(F.col("wxx") - 2 * m1 * F.col("wx") + m1 * m1 * F.col("w"), F.lit(0.0)) / F.col("w"))
+        s1 = F.when(F.col("w") > 5, F.greatest(spread, 0.3 * F.col("s0"))).otherwise(F.col("s1"))
+        leave = F.when(up + stay > 1, F.least(F.greatest(up / (up + stay), F.lit(0.001)), F.lit(0.3))).otherwise(F.col("leave"))
+        after = written(both.select(*keys, "n", "m0", "s0", m1.alias("m1"), s1.alias("s1"), leave.alias("leave")))
+        params = after
+    return done.select(*keys, "begin", "posterior"), params.join(streams.select(*keys), list(keys), "left_semi").select(*keys, "m0", "s0", "m1", "s1", "leave")
+
+
+def hsmm_posterior(rows: DataFrame, keys: Sequence[str], value: str, rate: float, **options) -> DataFrame:
+    """(keys, b, posterior) of ``hsmm``."""
+    return hsmm(rows, keys, value, rate, **options)[0]
+
+
+def hsmm_localization(rows: DataFrame, null: DataFrame, keys: Sequence[str], channel: str, value: str, rate: float, share: float = 0.1, smooth_s: float = 3.0, **options) -> tuple[DataFrame, DataFrame]:
+    """((keys, b, z, posterior), (keys, m0, s0, m1, s1, leave, fraction, threshold, detected)): episodes in scores pooled over channels.
+
+    ``rows`` (keys, channel, b, value), ``null`` with the draw ``k``. Values are scored by their draws' mean and
+    deviation at their time, both smoothed over ``smooth_s``, and added up over the root of the number of channels.
+    The lower state is what the draws' scores are. Draws then go through the fitted states in one pass, each a stream:
+    ``detected`` if the fraction over 0.5 exceeds the 1 - ``share`` quantile of theirs.
+    """
+    by, half = [*keys, channel], max(1, int(smooth_s * rate)) // 2
+    number = rows.select(*by, "b", clean(value).alias("v"))
+    draws = null.select(*by, "k", "b", clean(value).alias("v"))
+    stats = draws.groupBy(*by, "b").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    w = Window.partitionBy(*by, "_span").orderBy("b").rowsBetween(-half, half)
+    flat = spans.own(spans.haloed(stats, half, half).withColumns({"_m": F.avg("_m").over(w), "_s": F.greatest(F.avg("_s").over(w), F.lit(1e-8))}))
+    scored = lambda df, *more: df.join(flat, [*by, "b"]).groupBy(*keys, *more, "b").agg((F.sum((F.col("v") - F.col("_m")) / F.col("_s")) / F.sqrt(F.count("*"))).alias("z"))
+    real, nulls = written(scored(number)), written(scored(draws, "k"))
+    lower = nulls.groupBy(*keys).agg(F.avg("z").alias("m0"), F.greatest(F.stddev_pop("z"), F.lit(1e-6)).alias("s0"))
+    post, params = hsmm(real, keys, "z", rate, null=lower, **options)
+    chance = hsmm_posterior(nulls, [*keys, "k"], "z", rate, fitted=nulls.select(*keys, "k").distinct().join(params, list(keys)), **options)
+    over = F.avg((F.col("posterior") > 0.5).cast("double")).alias("fraction")
+    cut = chance.groupBy(*keys, "k").agg(over).groupBy(*keys).agg(F.percentile("fraction", F.lit(1 - share)).alias("threshold"))
+    found = params.join(post.groupBy(*keys).agg(over), list(keys)).join(cut, list(keys)).withColumn("detected", F.col("fraction") > F.col("threshold"))
+    return real.join(post, [*keys, "b"]), found
 
 
 # Change points

@@ -7,27 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagweave.operators.temporal import Keys, min_event, runs
+from lagweave.operators import spans
+from lagweave.operators.temporal import Keys, min_event, run_starts, runs
 
 
 def cusum(rows: DataFrame, keys: Keys, value: str, centre: str, slack: float = 0.0) -> DataFrame:
     """``forward`` and ``backward``: C[t] = max(0, C[t-1] + x - centre - slack), C[0] = 0, and mirrored.
 
-    In closed form: the running sum less its running minimum, so two sorted windows and no recursion.
+    In closed form: the running sum less its running minimum, both carried over spans.
     """
-    ahead = Window.partitionBy(*keys).orderBy("b")
-    back = Window.partitionBy(*keys).orderBy(F.desc("b"))
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*keys).agg(F.min("b").alias("_a"), F.max("b").alias("_z"))
     gain = F.col(value) - F.col(centre) - slack
-    out = rows.withColumns({"_f": F.when(F.lag("b").over(ahead).isNull(), 0.0).otherwise(gain), "_g": F.when(F.lag("b").over(back).isNull(), 0.0).otherwise(gain)})
-    out = out.withColumns({"_f": F.sum("_f").over(upto(ahead)), "_g": F.sum("_g").over(upto(back))})
-    return out.withColumns({"forward": F.col("_f") - F.min("_f").over(upto(ahead)), "backward": F.col("_g") - F.min("_g").over(upto(back))}).drop("_f", "_g")
+    out = rows.join(ends, list(keys))
+    for name, edge, later in (("forward", "_a", False), ("backward", "_z", True)):
+        out = spans.running(out, keys, ["b"], {"_sum": ("sum", F.when(F.col("b") == F.col(edge), 0.0).otherwise(gain))}, later=later)
+        out = spans.running(out, keys, ["b"], {"_min": ("min", F.col("_sum"))}, later=later)
+        out = out.withColumn(name, F.col("_sum") - F.col("_min")).drop("_sum", "_min")
+    return out.drop("_a", "_z")
 
 
 def cluster_mass(rows: DataFrame, keys: Keys, value: str, threshold: float) -> DataFrame:
     """(keys, max_mass): the largest sum over a run of what lies over ``threshold``; 0 without a run."""
-    over = rows.where(F.col(value) > threshold).withColumn("_run", F.col("b") - F.row_number().over(Window.partitionBy(*keys).orderBy("b")))
-    mass = over.groupBy(*keys, "_run").agg(F.sum(F.col(value) - threshold).alias("mass")).groupBy(*keys).agg(F.max("mass").alias("max_mass"))
+    over = run_starts(rows.where(F.col(value) > threshold).select(*keys, "b", value), keys)
+    mass = over.groupBy(*keys, "start").agg(F.sum(F.col(value) - threshold).alias("mass")).groupBy(*keys).agg(F.max("mass").alias("max_mass"))
     return rows.select(*keys).distinct().join(mass, list(keys), "left").withColumn("max_mass", F.coalesce("max_mass", F.lit(0.0)))
 
 
@@ -45,9 +47,9 @@ def valid_window(rows: DataFrame, keys: Keys, flag: str, least: int) -> DataFram
 
 def scan_max(rows: DataFrame, keys: Keys, value: str, widths: Sequence[int]) -> DataFrame:
     """(keys, scan_max): the largest root-width-scaled sum over trailing windows of any of ``widths``, whole ones only."""
-    w = Window.partitionBy(*keys).orderBy("b")
-    whole = lambda n: F.when(F.row_number().over(w) >= n, F.sum(value).over(w.rowsBetween(-(n - 1), 0)) / F.sqrt(F.lit(float(n))))
-    out = rows.withColumns({f"_w{n}": whole(n) for n in widths})
+    w = Window.partitionBy(*keys, "_span").orderBy("b")
+    whole = lambda n: F.when(F.count("*").over(w.rowsBetween(-(n - 1), 0)) == n, F.sum(value).over(w.rowsBetween(-(n - 1), 0)) / F.sqrt(F.lit(float(n))))
+    out = spans.own(spans.haloed(rows.select(*keys, "b", value), max(widths) - 1, 0).withColumns({f"_w{n}": whole(n) for n in widths}))
     return out.groupBy(*keys).agg(F.greatest(*[F.max(f"_w{n}") for n in widths]).alias("scan_max"))
 
 
@@ -68,12 +70,24 @@ def llr_mask(real: DataFrame, null: DataFrame, channel: str, t_eff: float, halve
     weight = rz.groupBy(channel).agg((F.greatest(F.avg("z"), F.lit(0.0)) / F.greatest(F.var_pop("z"), F.lit(1e-12))).alias("w"))
     total = weight.agg(F.sum("w").alias("total"))
     pooled = rz.union(nz).join(weight, channel).crossJoin(F.broadcast(total)).groupBy("k", "b").agg(F.sum(F.when(F.col("total") > 0, F.col("w") / F.col("total") * F.col("z")).otherwise(0.0)).alias("p"))
-    w = Window.partitionBy("k").orderBy("b")
-    smoothed = pooled.withColumn("score", F.greatest(*[F.avg("p").over(w.rowsBetween(-h, h)) for h in halves]))
+    w = Window.partitionBy("k", "_span").orderBy("b")
+    smoothed = spans.own(spans.haloed(pooled, max(halves), max(halves)).withColumn("score", F.greatest(*[F.avg("p").over(w.rowsBetween(-h, h)) for h in halves])))
     cut = smoothed.where("k >= 0").groupBy("k").agg(F.max("score").alias("top")).agg(F.greatest(F.percentile("top", F.lit(quantile)), F.lit(floor)).alias("threshold"))
     return smoothed.where("k = -1").crossJoin(F.broadcast(cut)).select("b", "score", "threshold", (F.col("score") > F.col("threshold")).alias("masked"))
 
 
+def llr_localization(real: DataFrame, null: DataFrame, channel: str, t_eff: float, halves: Sequence[int], least: int, quantile: float = 0.9, floor: float = 1.0, enough: tuple[int, int] = (20, 5)) -> DataFrame:
+    """(b, score, threshold, masked, posterior): ``llr_mask`` without events of under ``least`` rows; the posterior is 1 inside.
+
+    With fewer rows or draws than ``enough``, or no channel above its nulls, nothing is masked.
+    """
+    n = real.select("b").distinct().count(), null.select("k").distinct().count()
+    out = llr_mask(real, null, channel, t_eff, halves, quantile, floor)
+    held = F.col("masked") & F.lit(n[0] >= enough[0] and n[1] >= enough[1])
+    kept = min_event(out.withColumns({"_one": F.lit(0), "_up": held}), ["_one"], "_up", least)
+    return kept.select("b", "score", "threshold", F.col("kept").alias("masked"), F.col("kept").cast("double").alias("posterior"))
+
+
 def masked_breakdown(rows: DataFrame, keys: Keys, value: str, mask: str) -> DataFrame:
     """(keys, inside, outside, difference): means of ``value`` where ``mask`` holds and where not."""
     m = F.col(mask)

@@ -69,7 +69,13 @@ def higher_criticism(tests: DataFrame, family: Sequence[str], order: Sequence[st
 
 
 def block_shuffle(rows: DataFrame, keys: Sequence[str], block: int, draw: int) -> DataFrame:
-    """(keys, b, x_shuffled): whole blocks of rows in an order drawn by hash."""
-    cut = rows.withColumn("block", F.floor(F.col("b") / block))
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64("block", F.lit(draw)), "block", "b")
-    return cut.select(*keys, (F.row_number().over(w) - 1).alias("b"), F.col("x").alias("x_shuffled"))
+    """(keys, b, x_shuffled): whole blocks of rows in an order drawn by the MD5 of draw and block, the same for all streams.
+
+    Blocks are ordered as one row each, then every row moves to its new place.
+    """
+    cut = rows.select(*keys, "b", "x").withColumn("_block", F.floor(F.col("b") / block))
+    turn = F.md5(F.concat(F.lit(f"{draw}:"), F.col("_block").cast("string")))
+    sizes = cut.groupBy(*keys, "_block").agg(F.count("*").alias("_n"), F.min("b").alias("_low"))
+    w = Window.partitionBy(*keys).orderBy(turn, "_block")  # a row a block
+    placed = sizes.select(*keys, "_block", "_low", (F.sum("_n").over(w) - F.col("_n")).alias("_dest"))
+    return cut.join(placed, [*keys, "_block"]).select(*keys, (F.col("_dest") + F.col("b") - F.col("_low")).cast("int").alias("b"), F.col("x").alias("x_shuffled"))

@@ -84,18 +84,26 @@ def smooth(rows: DataFrame, keys: Keys, half: int, value: str = "x", out: str =
     return spans.own(spans.haloed(rows, half, half).withColumn(out, F.avg(value).over(w)))
 
 
+def run_starts(rows: DataFrame, keys: Keys) -> DataFrame:
+    """``rows`` with ``start``: the first ``b`` of the run of consecutive ones that each lies in, carried over spans."""
+    w = Window.partitionBy(*keys, "_span").orderBy("b")
+    new = F.when(F.lag("b").over(w) == F.col("b") - 1, None).otherwise(F.col("b"))
+    begun = spans.own(spans.haloed(rows, 1, 0).withColumn("_new", new))
+    return spans.running(begun, keys, ["b"], {"start": ("max", F.col("_new"))}).drop("_new")
+
+
 def runs(rows: DataFrame, keys: Keys, flag: str) -> DataFrame:
     """(keys, start, length) of the maximal runs of consecutive ``b`` on which ``flag`` holds."""
-    on = rows.where(flag).withColumn("_run", F.col("b") - F.row_number().over(Window.partitionBy(*keys).orderBy("b")))
-    return on.groupBy(*keys, "_run").agg(F.min("b").alias("start"), F.count("*").alias("length")).drop("_run")
+    return run_starts(rows.where(flag).select(*keys, "b"), keys).groupBy(*keys, "start").agg(F.count("*").alias("length"))
 
 
 def run_lengths(rows: DataFrame, keys: Keys, flag: str, out: str = "run_length") -> DataFrame:
     """Each row with the length of the run of equal ``flag`` that it lies in."""
-    by = Window.partitionBy(*keys).orderBy("b")
-    turned = F.when(F.col(flag) == F.lag(flag).over(by), 0).otherwise(1)
-    marked = rows.withColumn("_turn", turned).withColumn("_run", F.sum("_turn").over(by))
-    return marked.withColumn(out, F.count("*").over(Window.partitionBy(*keys, "_run"))).drop("_turn", "_run")
+    w = Window.partitionBy(*keys, "_span").orderBy("b")
+    turned = F.when(F.col(flag) == F.lag(flag).over(w), 0).otherwise(1)
+    marked = spans.own(spans.haloed(rows, 1, 0).withColumn("_turn", turned))
+    marked = spans.running(marked, keys, ["b"], {"_run": ("sum", F.col("_turn"))})
+    return marked.join(marked.groupBy(*keys, "_run").agg(F.count("*").alias(out)), [*keys, "_run"]).drop("_turn", "_run")
 
 
 def min_event(rows: DataFrame, keys: Keys, flag: str, least: int) -> DataFrame:
@@ -112,9 +120,10 @@ def min_event(rows: DataFrame, keys: Keys, flag: str, least: int) -> DataFrame:
 
 def fill_short_gaps(rows: DataFrame, keys: Keys, longest: int, value: str = "x") -> DataFrame:
     """``filled``: in gaps of at most ``longest`` rows between two valid rows, the line between those."""
-    past, future = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy("b").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys, "_span").orderBy("b")
+    past, future = w.rowsBetween(-longest, 0), w.rowsBetween(0, longest)  # as far as a short gap reaches
     at = F.when(F.col("valid"), F.struct(F.col("b").alias("b"), F.col(value).alias("x")))
-    out = rows.withColumns({"_p": F.last(at, True).over(past), "_q": F.first(at, True).over(future)})
+    out = spans.own(spans.haloed(rows, longest, longest).withColumns({"_p": F.last(at, True).over(past), "_q": F.first(at, True).over(future)}))
     part = (F.col("b") - F.col("_p.b")) / (F.col("_q.b") - F.col("_p.b"))
     line = F.col("_p.x") + part * (F.col("_q.x") - F.col("_p.x"))
     gap = F.col("_q.b") - F.col("_p.b") - 1

@@ -385,12 +385,24 @@ cut AS (SELECT greatest(quantile_cont(t, 0.9), 0.5) AS threshold FROM (SELECT k,
 )
 
 
-@query(f"WITH {LLR} SELECT b, {R('score')} AS score, {R('threshold')} AS threshold, score > threshold AS masked FROM sm, cut WHERE k = -1")
-def llr_mrc_mask(spark, sf_dir):
+def squares(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(channel, b, r2) and (channel, k, b, r2): squares of the streams in place of explained variance, real and shifted."""
     z = zgrid(spark, sf_dir)
     real = z.select(F.col("modality").alias("channel"), "b", (F.col("z") * F.col("z") / 40).alias("r2"))
-    null = shifted(z, spark).select(F.col("modality").alias("channel"), "k", "b", (F.col("x_shifted") * F.col("x_shifted") / 40).alias("r2"))
-    return rounded(localize.llr_mask(real, null, "channel", 20.0, (1, 3), floor=0.5), "score", "threshold")
+    return real, shifted(z, spark).select(F.col("modality").alias("channel"), "k", "b", (F.col("x_shifted") * F.col("x_shifted") / 40).alias("r2"))
+
+
+@query(f"WITH {LLR} SELECT b, {R('score')} AS score, {R('threshold')} AS threshold, score > threshold AS masked FROM sm, cut WHERE k = -1")
+def llr_mrc_mask(spark, sf_dir):
+    return rounded(localize.llr_mask(*squares(spark, sf_dir), "channel", 20.0, (1, 3), floor=0.5), "score", "threshold")
+
+
+@query(
+    f"""WITH {LLR}, u AS (SELECT b, score, threshold, score > threshold AS u FROM sm, cut WHERE k = -1), r AS (SELECT *, b - row_number() OVER (PARTITION BY u ORDER BY b) AS r FROM u), n AS (SELECT *, u AND count(*) OVER (PARTITION BY u, r) >= 2 AS kept FROM r)
+SELECT b, {R("score")} AS score, {R("threshold")} AS threshold, kept AS masked, kept::INT::DOUBLE AS posterior FROM n"""
+)
+def llr_localization(spark, sf_dir):
+    return rounded(localize.llr_localization(*squares(spark, sf_dir), "channel", 20.0, (1, 3), 2, floor=0.5), "score", "threshold")
 
 
 IV = (
@@ -688,9 +700,12 @@ def embedding_components(spark, sf_dir):
     return signals.project(vectors, "embedding", signals.principal_components(vectors, "embedding", 64, 3)).select("vec_id", "pc0", "pc1", "pc2")
 
 
-@query()
+@query(
+    f"""WITH {Z}, bk AS (SELECT modality, b // 8 AS k, count(*) AS n, min(b) AS low FROM z GROUP BY ALL), de AS (SELECT *, sum(n) OVER (PARTITION BY modality ORDER BY md5('1:' || k), k) - n AS dest FROM bk)
+SELECT z.modality, CAST(dest + b - low AS INT) AS b, {R("z.z")} AS x_shuffled FROM z JOIN de ON de.modality = z.modality AND de.k = z.b // 8"""
+)
 def block_shuffle_surrogate(spark, sf_dir):
-    return selection.block_shuffle(zgrid(spark, sf_dir).withColumn("x", F.col("z")), M, 8, 1)
+    return rounded(selection.block_shuffle(zgrid(spark, sf_dir).withColumn("x", F.col("z")), M, 8, 1), "x_shuffled")
 
 
 @query()

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
-from lagweave.operators import coupling, switching, wavelets
+from lagweave.operators import coupling, episodes, switching, wavelets
 from lagweave.plans.more import ANALYTIC, values
-from lagweave.plans.queries import _MODS, EV, PAIRS, R, pair_rows, query, rounded, zgrid
+from lagweave.plans.queries import _MODS, EV, PAIRS, R, pair_rows, query, rounded, squares, zgrid
 from lagweave.sources import streams
 from lagweave.sources.shared import shared_folder
 
@@ -136,3 +136,11 @@ def coherence_localization(spark, sf_dir):
 def canonical_localization(spark, sf_dir):
     """Two sets of two streams at three frequencies."""
     return wavelets.coherence_localization(beside(spark, sf_dir, _MODS), ["pair"], ["click", "error"], ["purchase", "view"], 4.0, (0.25, 0.5, 1.0), n_shifts=20)
+
+
+@query()
+def hsmm_localization(spark, sf_dir):
+    """Episodes in the pooled scores of all streams against their shifts, and whether they outlast those of the shifts."""
+    real, null = (df.withColumn("pair", F.lit("all")) for df in squares(spark, sf_dir))
+    post, found = episodes.hsmm_localization(real, null, ["pair"], "channel", "r2", 0.5, rounds=3)
+    return post.join(found.select("pair", "threshold", "detected"), "pair")

@@ -92,44 +92,36 @@ def normal(x, m, s):
     return -0.5 * ((x - m) / s) ** 2 - np.log(s)
 
 
-def hsmm(x, null_mean, null_sd, rate, shortest=0.5, longest=30.0, mean_s=8.0, sd_s=5.0, rounds=10):
-    """Posterior of the upper state, whose stays have a truncated normal length; stays below are geometric."""
-    n, d_max = len(x), max(2, min(int(longest * rate), len(x)))
-    d = np.arange(1, d_max + 1)
-    pmf = np.where(d >= max(1, int(shortest * rate)), np.exp(-0.5 * ((d - mean_s * rate) / (sd_s * rate)) ** 2), 0.0)
-    pmf = pmf / pmf.sum() if pmf.sum() > 0 else np.full(d_max, 1 / d_max)
-    s0 = max(null_sd, 1e-8)
-    m1, s1 = max(float(np.quantile(x, 0.85)), null_mean + 0.3 * s0), s0
-    p_exit = float(np.clip(1 / (10 * rate), 0.001, 0.3))
-    post = np.zeros(n)
+def hsmm(x, m0, s0, rate, shortest=0.5, longest=30.0, mean_s=8.0, sd_s=5.0, rounds=10):
+    """Posterior of the upper state, a matrix of (rows left) for each row, written out."""
+    n = len(x)
+    least = max(1, round(shortest * rate))
+    most = max(least + 1, round(longest * rate))
+    most = max(least + 1, n // 3) if n < 2 * most else most
+    d = np.arange(1, most + 1)
+    pmf = np.where(d >= least, np.exp(-0.5 * ((d - mean_s * rate) / (sd_s * rate)) ** 2), 0.0)
+    pmf = pmf / pmf.sum()
+    top = x[x > np.percentile(x, 75)]
+    m1, s1, leave = max(top.mean(), m0 + 0.3 * s0), max(top.std(), 0.5 * s0), np.clip(1 / (10 * rate), 0.001, 0.3)
     for _ in range(rounds):
-        e = np.stack([normal(x, null_mean, s0), normal(x, m1, s1)], 1)
-        like = np.exp(e - e.max(1, keepdims=True))
-        f0, f1 = np.zeros(n), np.zeros((n, d_max))  # f1[t, k]: k + 1 rows of the stay are left, this one included
-        for t in range(n):
-            if t == 0:
-                f0[0], f1[0] = 0.9 * like[0, 0], 0.1 * pmf * like[0, 1]
-            else:
-                f0[t] = (f0[t - 1] * (1 - p_exit) + f1[t - 1, 0]) * like[t, 0]
-                f1[t] = (np.append(f1[t - 1, 1:], 0) + f0[t - 1] * p_exit * pmf) * like[t, 1]
-            c = f0[t] + f1[t].sum()
-            f0[t] /= c
-            f1[t] /= c
-        b0, b1 = np.ones(n), np.ones((n, d_max))
+        like = np.exp(np.stack([normal(x, m0, s0), normal(x, m1, s1)], 1))
+        f, b = np.zeros((n, most + 1)), np.ones((n, most + 1))
+        f[0] = np.concatenate([[0.9 * like[0, 0]], 0.1 * pmf * like[0, 1]])
+        for t in range(1, n):
+            f[t, 0] = (f[t - 1, 0] * (1 - leave) + f[t - 1, 1]) * like[t, 0]
+            f[t, 1:] = (np.append(f[t - 1, 2:], 0) + f[t - 1, 0] * leave * pmf) * like[t, 1]
+            f[t] /= f[t].sum()
         for t in range(n - 2, -1, -1):
-            up = like[t + 1, 1] * b1[t + 1]
-            stay = like[t + 1, 0] * b0[t + 1]
-            b0[t] = (1 - p_exit) * stay + p_exit * (pmf @ up)
-            b1[t] = np.append(stay, up[:-1])
-            c = max(b0[t], b1[t].max())
-            b0[t] /= c
-            b1[t] /= c
-        g0, g1 = f0 * b0, (f1 * b1).sum(1)
-        post = g1 / np.maximum(g0 + g1, 1e-300)
-        w = post.sum()
-        m1 = max(float((post * x).sum() / max(w, 1e-9)), null_mean + 0.3 * s0)
-        s1 = max(float(np.sqrt((post * (x - m1) ** 2).sum() / max(w, 1e-9))), 0.3 * s0)
-        p_exit = float(np.clip(np.maximum(np.diff(post), 0).sum() / max((1 - post).sum(), 1e-9), 0.001, 0.3))
+            b[t, 0] = (1 - leave) * like[t + 1, 0] * b[t + 1, 0] + leave * (pmf * like[t + 1, 1] * b[t + 1, 1:]).sum()
+            b[t, 1] = like[t + 1, 0] * b[t + 1, 0]
+            b[t, 2:] = like[t + 1, 1] * b[t + 1, 1:-1]
+            b[t] /= b[t].max()
+        g = f * b
+        post = g[:, 1:].sum(1) / g.sum(1)
+        m1 = max((post * x).sum() / post.sum(), m0 + 0.3 * s0)
+        s1 = max(np.sqrt((post * (x - m1) ** 2).sum() / post.sum()), 0.3 * s0)
+        up, stay = ((1 - post[:-1]) * post[1:]).sum(), ((1 - post[:-1]) * (1 - post[1:])).sum()
+        leave = np.clip(up / (up + stay), 0.001, 0.3)
     return post
 
 
@@ -150,7 +142,7 @@ def test_hsmm_is_one_pass(spark, chunk, run_in):
     plain = hsmm(x, float(low.mean()), float(low.std()), 1.0, rounds=2)
     p = got[got["k"] == "k"].sort_values("b")["posterior"].to_numpy()
     assert np.allclose(p, plain, atol=1e-6) and p[85:125].mean() > 0.8
-    assert len(got) == len(x) + 45 and set(got[got["k"] == "few"]["posterior"]) == {0.0}
+    assert len(got) == len(x) + 45 and len(set(got["k"])) == 3 and set(got[got["k"] == "few"]["posterior"]) == {0.0}
 
 
 def optimal(x):
@@ -178,3 +170,17 @@ def test_pelt_is_optimal_partitioning(spark, chunk, run_in):
     assert starts == optimal(x)
     assert np.allclose(mine.groupby("segment")["mean"].first(), [x[a:b].mean() for a, b in zip(starts, [*starts[1:], len(x)])])
     assert got[got["k"] == "flat"]["segment"].nunique() == 1
+
+
+def test_episodes_are_calibrated_on_draws(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2, 160))
+    x[:, 60:100] += 2.5
+    null = r.normal(size=(6, 2, 160))
+    rows = spark.createDataFrame([("a", c, t, float(x[c, t])) for c in range(2) for t in range(160)], "s string, c int, b int, v double")
+    draws = spark.createDataFrame([("a", c, k, t, float(null[k, c, t])) for k in range(6) for c in range(2) for t in range(160)], "s string, c int, k int, b int, v double")
+    post, found = episodes.hsmm_localization(rows, draws, ["s"], "c", "v", 1.0, rounds=1)
+    f = found.first()
+    assert f["detected"] and f["fraction"] > f["threshold"] and abs(f["m0"]) < 0.3
+    p = post.toPandas().sort_values("b")["posterior"].to_numpy()
+    assert p[65:95].mean() > 0.8 and p[:50].mean() < 0.3
