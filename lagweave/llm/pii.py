@@ -163,9 +163,22 @@ def select_more(rows: DataFrame, max_rows: int = 20_000, precision: float = 0.95
     """
     half = F.pmod(F.xxhash64("text_key"), F.lit(2))
 
+    place = F.xxhash64("text_key", "start", "kind_no")
+    part = F.shiftrightunsigned(place, 54).cast("int")
+
     def drawn(some: DataFrame) -> tuple[DataFrame, dict[tuple[float, float], int]]:
-        by = Window.partitionBy("kind_no", "label").orderBy(F.xxhash64("text_key", "start", "kind_no"), "text_key", "start", "end")
-        few = written(some.where("not over or label = 1").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_rows).select("label", *FEATURES))
+        some = some.where("not over or label = 1")
+        # parts of the hashes from below until a group has enough: only so many rows meet in a group's sort
+        sizes = some.groupBy("kind_no", "label", part.alias("part")).agg(F.count("*").alias("n")).collect()  # at most 1,024 a kind and label
+        last: dict[tuple[int, float], tuple[int, int]] = {}
+        for r in sorted(sizes, key=lambda r: r["part"]):
+            top, n = last.get((r["kind_no"], r["label"]), (-1, 0))
+            if n < max_rows:
+                last[r["kind_no"], r["label"]] = (r["part"], n + r["n"])
+        low = F.coalesce(*[F.when((F.col("kind_no") == k) & (F.col("label") == y), top) for (k, y), (top, _) in sorted(last.items())], F.lit(-1))
+        by = Window.partitionBy("kind_no", "label").orderBy("part", place, "text_key", "start", "end")
+        few = some.withColumn("part", part).where(F.col("part") <= low).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_rows)
+        few = written(few.select("label", *FEATURES))
         return few, {(r["kind"], r["label"]): r["n"] for r in few.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
 
     sample, sizes = drawn(rows.where(half == 0))
