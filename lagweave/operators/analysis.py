@@ -25,7 +25,7 @@ class Config:
     excluded: tuple[str, ...] = field(default=())
 
     def merged(self, **changes) -> Config:
-        return Config(**(self.__dict__ | changes))
+        return type(self)(**(self.__dict__ | changes))
 
 
 def analyze(samples: DataFrame, keys: list[str], config: Config = Config()) -> DataFrame:

@@ -105,8 +105,8 @@ def by_channel(source: DataFrame, channels: Sequence, c: RunConfig, keys: Sequen
 
 
 def channels_of(source: DataFrame) -> list:
-    """The channel names that occur: the columns of a design, so a few tens at most."""
-    return [r[0] for r in source.select("src_channel").distinct().orderBy("src_channel").collect()]
+    """The channel names that occur: the columns of a design, so a few tens at most; without any, one that doesn't."""
+    return [r[0] for r in source.select("src_channel").distinct().orderBy("src_channel").collect()] or [0]
 
 
 def sparse(source: DataFrame, y: DataFrame, c: RunConfig) -> DataFrame:
