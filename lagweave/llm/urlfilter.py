@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from statistics import NormalDist
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,18 +80,22 @@ def distinct_tokens(labelled: DataFrame, least: int) -> DataFrame:
     return labelled.select("id", "bad").join(found, "id", "left").select("id", "bad", F.coalesce("tokens", F.expr("cast(array() as array<string>)")).alias("tokens"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, z: float = 1.96, min_count: int = 10) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, z: float = 1.96, min_count: int = 10, chance: float | None = None) -> DataFrame:
     """(antecedent, confidence, support) of rules for blocking, from rows (id, tokens, bad), an id a row.
 
     A rule holds for ``min_support`` of the pages, and for ``min_count``; at least ``min_confidence`` of
     them are bad, and so many that the lower bound of that share (Wilson's, ``z`` deviations) is over the
-    share of bad pages in all.
+    share of bad pages in all. With ``chance``, z is such that labels without any pattern give a rule by
+    no more than this chance over all sets of tokens that were tried (Bonferroni).
     """
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
     least = max(min_support, min(1.0, min_count / max(n, 1))) * max(n, 1)
     rows = distinct_tokens(labelled, max(1, int(least * min_confidence)))
     baskets = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(1e-12, least * min_confidence / max(n, 1)), minConfidence=min_confidence).fit(baskets)
+    if chance is not None:
+        tried = model.freqItemsets.where(~F.array_contains("items", BLOCK)).count()
+        z = NormalDist().inv_cdf(1 - chance / 2 / max(tried, 1))
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     share, pages = F.col("confidence"), F.col("support") * F.lit(float(rows.count())) / F.col("confidence")
     low = (share + z * z / (2 * pages) - z * F.sqrt(share * (1 - share) / pages + z * z / (4 * pages * pages))) / (1 + z * z / pages)
@@ -126,21 +131,22 @@ def match_rules(urls: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
     return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 10) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 10, chance: float | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, confidence) for every row of ``pages``.
 
     ``labels`` (doc_id, quality, toxic) label the pages of the same id: low quality or toxic is bad.
     The longest explicit rule decides; else a mined rule blocks and everything else is allowed. A
     null url, or one without ``://``, has an empty host and path and is allowed. Rows stay as they
     are, equal ones too; unlabelled pages take no part in mining; with no labels nothing is mined.
-    ``confidence`` is that of the surest mined rule that fits, null if none does.
+    ``confidence`` is that of the surest mined rule that fits, null if none does. ``chance`` is that of
+    any rule from labels that have nothing to do with urls; None tests each rule on its own.
     """
     host, path = split_url(F.col("url"))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     known = base.where("url is not null and host <> ''").withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     truth = labels.select(F.col("doc_id").alias("id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad")).where("id is not null").groupBy("id").agg(F.max("bad").alias("bad"))
     labelled = written(known.join(truth, "id").groupBy("id", "bad").agg(F.min(F.struct("url", "tokens"))["tokens"].alias("tokens")))
-    mined = written(mine_rules(labelled, min_support, min_confidence, min_count=min_count))
+    mined = written(mine_rules(labelled, min_support, min_confidence, min_count=min_count, chance=chance))
     small = mined.count() <= MAX_BROADCAST_RULES
     if small:  # fewer rules with the same verdicts
         mined = pages.sparkSession.createDataFrame(prune(mined.collect()), "antecedent array<string>, confidence double")
@@ -154,5 +160,5 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the fixed rules, then by mined ones."""
-    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), chance=0.05)
     return out.select("page_id", "host", "path", "rule", "verdict")

@@ -348,6 +348,17 @@ def test_rules_equal_brute_force(spark):
     assert got == pytest.approx(want) and any(want.values()) and not all(want.values())
 
 
+@pytest.mark.parametrize("signal", [False, True])
+def test_labels_without_pattern_make_no_rule(spark, signal):
+    r = random.Random(8)
+    rows = [(i, f"http://{r.choice('abcdefgh')}.site{r.randrange(12)}.example/{r.choice(['en', 'de', 'fr'])}/{r.randrange(9)}/x{r.randrange(40)}.html?q={r.randrange(5)}") for i in range(1500)]
+    bad = {i: (signal and "//a." in u and r.random() < 0.9) or r.random() < 0.25 for i, u in rows}
+    labels = spark.createDataFrame([(i, int(not bad[i]), 0) for i in range(0, 1500, 2)], "doc_id long, quality int, toxic int")
+    out = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=(), chance=0.05)
+    blocked = {x["page_id"] for x in out.where("verdict = 'block'").collect()}
+    assert blocked == ({i for i, u in rows if "//a." in u} if signal else set())
+
+
 def test_urls_of_an_empty_table(spark):
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string"), labels).count() == 0
