@@ -1,4 +1,4 @@
-"""Hidden Markov states, tails and phase surrogates of streams of the grid."""
+"""Hidden Markov states and tails of streams of the grid."""
 
 from __future__ import annotations
 
@@ -233,18 +233,3 @@ def gpd_pvalues(rows: DataFrame, keys: Sequence[str], real: str, nulls: str, hal
 
     spread = spans.haloed(rows.select(*keys, "b", real, nulls), half, half, 1024)
     return own_rows(spread, keys, [real, nulls], "p double", work)
-
-
-def fourier_surrogates(rows: DataFrame, keys: Sequence[str], value: str, draws: int, seed: int = 42) -> DataFrame:
-    """(keys, b, surrogates array<double>): same spectrum, random phases; mean and Nyquist terms stay."""
-
-    def work(frame: pd.DataFrame) -> dict:
-        x = np.nan_to_num(frame[value].to_numpy(float))
-        f = np.fft.rfft(x)
-        phase = np.random.default_rng(seed).uniform(0, 2 * np.pi, (draws, len(f)))
-        phase[:, 0] = 0
-        if len(x) % 2 == 0:
-            phase[:, -1] = 0
-        return {"surrogates": list(np.fft.irfft(f[None] * np.exp(1j * phase), len(x), 1).T)}
-
-    return per_stream(rows, keys, [value], "surrogates array<double>", work)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
-from lagweave.operators import analysis, conditions, discovery, episodes, localize, metrics, regression, selection, signals, states, switching, surrogates, temporal, wavelets
+from lagweave.operators import analysis, conditions, discovery, episodes, localize, metrics, regression, selection, signals, spectra, states, switching, surrogates, temporal, wavelets
 from lagweave.sources import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -580,9 +580,41 @@ def gpd_pvalue(spark, sf_dir):
     return states.gpd_pvalues(z.join(draws, ["modality", "b"]), M, "activity", "nulls")
 
 
-@query()
+_PH = "(2 * pi() * CAST('0x' || substr(md5(k || ':' || f), 1, 8) AS BIGINT) / pow(2, 32))"
+
+
+@query(
+    f"""WITH {Z}, n AS (SELECT max(b) + 1 AS n FROM z), ff AS (SELECT CAST(unnest(range(0, (SELECT n // 2 + 1 FROM n))) AS BIGINT) AS f),
+sp AS (SELECT modality, f, sum(z * cos(2 * pi() * f * b / n)) AS re, -sum(z * sin(2 * pi() * f * b / n)) AS im FROM z, ff, n GROUP BY ALL),
+ph AS (SELECT k, f, CASE WHEN f = 0 OR 2 * f = n THEN 0.0 ELSE {_PH} END AS a, CASE WHEN f = 0 OR 2 * f = n THEN 1.0 ELSE 2.0 END AS m FROM ff, n, range(3) r(k))
+SELECT z.modality, CAST(k AS INT) AS k, z.b, {R("sum(m * (re * cos(a + 2 * pi() * f * z.b / n) - im * sin(a + 2 * pi() * f * z.b / n)) / n)")} AS surrogate FROM z JOIN sp USING (modality) JOIN ph USING (f), n GROUP BY z.modality, k, z.b"""
+)
 def fourier_surrogates(spark, sf_dir):
-    return states.fourier_surrogates(zgrid(spark, sf_dir), M, "z", 4)
+    """By two passes each way where a stream has over 50 rows."""
+    return rounded(spectra.fourier_surrogates(zgrid(spark, sf_dir), M, "z", 3, whole=50), "surrogate")
+
+
+_SH = (7, 20, 45, 60)
+
+
+@query(
+    f"""WITH {PAIRS}, la AS (SELECT modality, b, coalesce(lag(z) OVER (PARTITION BY modality ORDER BY b), 0.0) AS o FROM z), dd AS (SELECT pr.src, pr.tgt, pr.b, pr.x, la.o, pr.y FROM pr JOIN la ON la.modality = pr.tgt AND la.b = pr.b WHERE pr.src <> pr.tgt), n AS (SELECT max(b) + 1 AS n FROM z),
+mo AS (SELECT t.src, t.tgt, s, sum(h.x * h.x) AS xx, sum(h.x * t.o) AS xo, sum(t.o * t.o) AS oo, sum(h.x * t.y) AS xy, sum(t.o * t.y) AS oy, sum(t.y * t.y) AS yy, sum(t.y * t.y) - pow(sum(t.y), 2) / count(*) AS tot FROM dd t CROSS JOIN (SELECT unnest([0, {', '.join(map(str, _SH))}]) AS s) CROSS JOIN n JOIN dd h ON h.src = t.src AND h.tgt = t.tgt AND h.b = (t.b - s + n) % n GROUP BY ALL),
+be AS (SELECT *, ((oo + 0.001) * xy - xo * oy) / ((xx + 0.001) * (oo + 0.001) - xo * xo) AS b1, ((xx + 0.001) * oy - xo * xy) / ((xx + 0.001) * (oo + 0.001) - xo * xo) AS b2, oy / (oo + 0.001) AS b0 FROM mo),
+st AS (SELECT src, tgt, s, round(CASE WHEN tot > 1e-10 THEN least(greatest(1 - (yy - 2 * (b1 * xy + b2 * oy) + b1 * b1 * xx + 2 * b1 * b2 * xo + b2 * b2 * oo) / tot, -1), 1) - least(greatest(1 - (yy - 2 * b0 * oy + b0 * b0 * oo) / tot, -1), 1) ELSE 0.0 END, 9) AS stat FROM be)
+SELECT r.src, r.tgt, {R("r.stat")} AS stat, count(*) AS n_null, {R("(sum((v.stat >= r.stat)::INT) + 1) / (count(*) + 1)")} AS p FROM st r JOIN st v ON v.src = r.src AND v.tgt = r.tgt AND v.s <> 0 WHERE r.s = 0 GROUP BY r.src, r.tgt, r.stat"""
+)
+def design_shift_pvalue(spark, sf_dir):
+    z = zgrid(spark, sf_dir)
+    own = temporal.ar_terms(z, M, 1).select(F.col("modality").alias("tgt"), "b", F.col("ar1").alias("o"))
+    rows = pair_rows(spark, sf_dir).where("src <> tgt").join(own, ["tgt", "b"])
+    return rounded(spectra.shift_test(rows, ["src", "tgt"], ["x"], ["o"], "y", _SH), "stat", "p")
+
+
+@query()
+def channel_shift_pvalue(spark, sf_dir):
+    """Three lag features and a past of three against thirty shifts, each pathway on its own."""
+    return spectra.shift_test(design(spark, sf_dir), ["src", "tgt"], SOURCE, OWN, "y", range(15, 105, 3))
 
 
 @query()
