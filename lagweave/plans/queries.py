@@ -584,10 +584,10 @@ _PH = "(2 * pi() * CAST('0x' || substr(md5(k || ':' || f), 1, 8) AS BIGINT) / po
 
 
 @query(
-    f"""WITH {Z}, n AS (SELECT max(b) + 1 AS n FROM z), ff AS (SELECT CAST(unnest(range(0, (SELECT n // 2 + 1 FROM n))) AS BIGINT) AS f),
-sp AS (SELECT modality, f, sum(z * cos(2 * pi() * f * b / n)) AS re, -sum(z * sin(2 * pi() * f * b / n)) AS im FROM z, ff, n GROUP BY ALL),
-ph AS (SELECT k, f, CASE WHEN f = 0 OR 2 * f = n THEN 0.0 ELSE {_PH} END AS a, CASE WHEN f = 0 OR 2 * f = n THEN 1.0 ELSE 2.0 END AS m FROM ff, n, range(3) r(k))
-SELECT z.modality, CAST(k AS INT) AS k, z.b, {R("sum(m * (re * cos(a + 2 * pi() * f * z.b / n) - im * sin(a + 2 * pi() * f * z.b / n)) / n)")} AS surrogate FROM z JOIN sp USING (modality) JOIN ph USING (f), n GROUP BY z.modality, k, z.b"""
+    f"""WITH {Z}, le AS (SELECT max(b) + 1 AS le FROM z), ff AS (SELECT CAST(unnest(range(0, (SELECT le // 2 + 1 FROM le))) AS BIGINT) AS f),
+sp AS (SELECT modality, f, sum(z * cos(2 * pi() * f * b / le)) AS re, -sum(z * sin(2 * pi() * f * b / le)) AS im FROM z, ff, le GROUP BY ALL),
+ph AS (SELECT k, f, CASE WHEN f = 0 OR 2 * f = le THEN 0.0 ELSE {_PH} END AS a, CASE WHEN f = 0 OR 2 * f = le THEN 1.0 ELSE 2.0 END AS m FROM ff, le, range(3) r(k))
+SELECT z.modality, CAST(k AS INT) AS k, z.b, {R("sum(m * (re * cos(a + 2 * pi() * f * z.b / le) - im * sin(a + 2 * pi() * f * z.b / le)) / le)")} AS surrogate FROM z JOIN sp USING (modality) JOIN ph USING (f), le GROUP BY z.modality, k, z.b"""
 )
 def fourier_surrogates(spark, sf_dir):
     """By two passes each way where a stream has over 50 rows."""
