@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import raised_cosine
-from lagweave.operators import coupling, episodes, switching, wavelets
+from lagweave.operators import coupling, episodes, reports, switching, wavelets
 from lagweave.plans.more import ANALYTIC, values
 from lagweave.plans.queries import _MODS, EV, PAIRS, R, pair_rows, query, rounded, squares, zgrid
 from lagweave.sources import streams
@@ -144,3 +144,54 @@ def hsmm_localization(spark, sf_dir):
     real, null = (df.withColumn("pair", F.lit("all")) for df in squares(spark, sf_dir))
     post, found = episodes.hsmm_localization(real, null, ["pair"], "channel", "r2", 0.5, rounds=3)
     return post.join(found.select("pair", "threshold", "detected"), "pair")
+
+
+RESULTS = """re AS (SELECT source AS sub, doc_id AS session, coalesce(lang, '-') AS modality, CAST(least(n_chars // 400, 9) AS DOUBLE) / 10 AS kappa, source AS pattern, toxic = 1 AS truth, quality = 0 AS found,
+CASE WHEN toxic = 1 THEN n_chars / (n_chars + 1000.0) END AS auc, quality = 0 AND n_chars % 2 = 0 AS recovered FROM labels JOIN documents USING (doc_id)),
+se AS (SELECT sub, modality, kappa, pattern, session, max((truth AND found)::INT) AS detected, max(coalesce(recovered, false)::INT) AS recovered, sum(auc) AS auc_sum, count(auc) AS auc_n FROM re GROUP BY ALL)"""
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as results of a validation run: languages are modalities, lengths strengths, low quality is what was found."""
+    docs = streams.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    at = streams.table(spark, sf_dir, "labels").join(docs, "doc_id")
+    low = F.col("quality") == 0
+    return at.select(
+        F.col("source").alias("sub"), F.col("doc_id").alias("session"), F.coalesce("lang", F.lit("-")).alias("modality"), (F.least(F.floor(F.col("n_chars") / 400), F.lit(9)).cast("double") / 10).alias("kappa"),
+        F.col("source").alias("pattern"), (F.col("toxic") == 1).alias("truth"), low.alias("found"), F.when(F.col("toxic") == 1, F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("auc"), (low & (F.col("n_chars") % 2 == 0)).alias("recovered"),
+    )
+
+
+@query(f"WITH {RESULTS} SELECT sub, sum((found AND NOT truth)::INT)::BIGINT AS n_alarms, count(*) AS n_pathways, {R('sum((found AND NOT truth)::INT) / count(*)')} AS rate, sum((found AND NOT truth)::INT) / count(*) <= 0.1 AS passed FROM re GROUP BY ALL")
+def report_false_alarms(spark, sf_dir):
+    return rounded(reports.false_alarms(outcomes(spark, sf_dir)), "rate")
+
+
+@query(
+    f"""WITH {RESULTS}, gs AS (SELECT modality, kappa, grouping(modality, kappa) AS g, count(*) AS n, avg(detected) AS rate, sum(auc_sum) / nullif(sum(auc_n), 0) AS auc FROM se GROUP BY GROUPING SETS ((modality, kappa), (modality), ())),
+lk AS (SELECT modality, min(kappa) AS least_kappa FROM gs WHERE g = 0 AND rate >= 0.1 GROUP BY ALL) SELECT modality, kappa, n, {R("rate")} AS rate, {R("auc")} AS auc, CASE WHEN g < 3 THEN least_kappa END AS least_kappa FROM gs LEFT JOIN lk USING (modality)"""
+)
+def report_power_curve(spark, sf_dir):
+    return rounded(reports.power_curve(outcomes(spark, sf_dir), 0.1), "rate", "auc")
+
+
+@query(
+    f"""WITH {RESULTS} SELECT modality, count(*) AS n, sum(detected)::BIGINT AS n_detected, sum(recovered)::BIGINT AS n_recovered, {R("sum(detected) / count(*)")} AS rate, sum(detected) / count(*) >= 0.1 AS passed FROM se GROUP BY ALL"""
+)
+def report_specificity(spark, sf_dir):
+    return rounded(reports.specificity(outcomes(spark, sf_dir), ["modality"], 0.1), "rate")
+
+
+@query(
+    f"""WITH {RESULTS}, f AS (SELECT pattern, count(*) AS n, avg(detected) AS rate FROM se GROUP BY ALL) SELECT pattern, n, {R("rate")} AS rate, {R("avg(auc)")} AS auc, {R("min(auc)")} AS auc_least, {R("max(auc)")} AS auc_most, rate >= 0.1 AS passed FROM f JOIN re USING (pattern) GROUP BY pattern, n, rate"""
+)
+def report_patterns(spark, sf_dir):
+    return rounded(reports.patterns(outcomes(spark, sf_dir), 0.1), "rate", "auc", "auc_least", "auc_most")
+
+
+@query(
+    f"""WITH {RESULTS} SELECT (SELECT count(*) FROM se WHERE sub = 'src0') AS n_forward, (SELECT coalesce(sum(detected), 0)::BIGINT FROM se WHERE sub = 'src0') AS n_detected,
+(SELECT coalesce(sum((found AND NOT truth)::INT), 0)::BIGINT FROM re WHERE sub = 'src1') AS n_reverse_alarms, (SELECT coalesce(sum((found AND NOT truth)::INT), 0) FROM re WHERE sub = 'src1') <= 1 AS passed"""
+)
+def report_directionality(spark, sf_dir):
+    return reports.directionality(outcomes(spark, sf_dir), "src0", "src1")
