@@ -13,6 +13,7 @@ from lagweave.plans.more import ANALYTIC, values
 from lagweave.plans.queries import _MODS, EV, PAIRS, R, pair_rows, query, rounded, squares, zgrid
 from lagweave.sources import streams
 from lagweave.sources.shared import shared_folder
+from lagweave.streaming import causal, ordered
 
 
 def people(spark: SparkSession, sf_dir: str, channels: int) -> DataFrame:
@@ -195,3 +196,14 @@ def report_patterns(spark, sf_dir):
 )
 def report_directionality(spark, sf_dir):
     return reports.directionality(outcomes(spark, sf_dir), "src0", "src1")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END AS mark FROM events), f AS (SELECT *, last_value(CASE WHEN mark <> 0 THEN mark END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, mark ROWS UNBOUNDED PRECEDING) AS m FROM e)
+SELECT user_id, count(*) AS n, sum((coalesce(m, 0) > 0)::INT)::BIGINT AS n_active FROM f WHERE mark = 0 AND epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events) GROUP BY ALL"""
+)
+def stream_conditions(spark, sf_dir):
+    """Events between a sign-up and a purchase of their user, as the stream is replayed."""
+    work = lambda rows: ordered.condition(rows.select(F.col("x").cast("long").alias("user_id"), "ts", F.when(F.col("modality") == "signup", 1).when(F.col("modality") == "purchase", -1).otherwise(0).alias("mark")), "user_id", "1 hour")
+    out = causal.replayed(spark, f"{sf_dir}/events.parquet", work, "user_id")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("active").cast("long")).alias("n_active"))

@@ -1,8 +1,8 @@
 """Causal operators on Structured Streaming: what the batch operators give without the future.
 
 Rows are (modality, ts, x). A micro-batch is worked in order of time for each key; a row earlier than
-the last one of the batches before is late and left out, so states never go back. Replaying a bounded
-input in order gives the batch operator's causal result.
+the last one of the batches before is late and left out, so states never go back (``ordered`` waits for
+such rows). Replaying a bounded input in order gives the batch operator's causal result.
 """
 
 from __future__ import annotations
@@ -80,15 +80,15 @@ def ewma(rows: DataFrame, gamma: float) -> DataFrame:
     return _stateful(rows, "mean", "n double, s double", (0.0, 0.0), step)
 
 
-def replayed(spark: SparkSession, path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``work`` on an events table read as a stream, (modality, ts, x), run to its end into a table of the shared folder."""
+def replayed(spark: SparkSession, path: str, work: Callable[[DataFrame], DataFrame], value: str = "value") -> DataFrame:
+    """``work`` on an events table read as a stream, (modality, ts, x: its column ``value``), run to its end into a table of the shared folder."""
     out = f"{shared_folder(spark)}/lagweave-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():  # a stream reads folders
         reader, path = reader.option("pathGlobFilter", where.getName()), where.getParent().toString()
-    events = reader.parquet(path).select(F.col("event_type").alias("modality"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"))
+    events = reader.parquet(path).select(F.col("event_type").alias("modality"), F.col("ts").cast("timestamp").alias("ts"), F.col(value).alias("x"))
     made = work(events)
     made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
