@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.operators.regression import moments, square
-from lagweave.operators.surrogates import null_z
+from lagweave.operators.surrogates import empirical_p, null_z
+from lagweave.sources.shared import written
 
 
 def _kinds(rows: DataFrame, keys: Sequence[str]) -> str:
@@ -99,6 +100,59 @@ def svd_screen(cross: DataFrame, keys: Sequence[str], row: str, column: str, val
     return met.groupBy(*keys, "sigma").agg(((F.sum((F.col("_s") >= F.col("sigma")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
+def leading_value(cross: DataFrame, keys: Sequence[str], row: str, column: str, value: str, rank: int = 8, turns: int = 2) -> DataFrame:
+    """(keys, sigma): the leading singular value of each key's table (row, column, value), by a randomised range finder.
+
+    Random signs by hash mix the columns into ``rank`` ones; products with the table and its transpose, ``turns`` times
+    each, are grouped sums, and only Gram matrices of ``rank`` columns leave them. Exact where a side has no more than
+    ``rank`` entries; absent cells are 0.
+    """
+    kinds = _kinds(cross, keys)
+
+    def times(vectors: DataFrame, by: str, to: str) -> DataFrame:
+        """(keys, to, v): the table times (keys, by, v)."""
+        return cross.join(vectors, [*keys, by]).groupBy(*keys, to).agg(F.array(*[F.sum(F.col(value) * F.col("v")[i]) for i in range(rank)]).alias("v"))
+
+    def grams(vectors: DataFrame) -> DataFrame:
+        return vectors.groupBy(*keys).agg(F.array(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(rank) for j in range(i, rank)]).alias("gram"))
+
+    def turns_of(frames):
+        for frame in frames:
+            out = []
+            for g in frame["gram"]:
+                size, vectors = np.linalg.eigh(square(g, rank))
+                keep = size > max(size[-1], 0.0) * 1e-12
+                out.append((vectors * np.where(keep, 1 / np.sqrt(np.where(keep, size, 1.0)), 0.0)).ravel())
+            yield frame[list(keys)].assign(_t=out)
+
+    def orthonormal(vectors: DataFrame, by: str) -> DataFrame:
+        vectors = written(vectors)  # it is read twice
+        turned = vectors.join(grams(vectors).mapInPandas(turns_of, f"{kinds}, _t array<double>"), list(keys))
+        return turned.select(*keys, by, F.array(*[sum((F.col("v")[i] * F.col("_t")[i * rank + j] for i in range(rank)), F.lit(0.0)) for j in range(rank)]).alias("v"))
+
+    signs = F.array(*[F.when(F.shiftright(F.xxhash64(column), i) % 2 == 0, 1.0).otherwise(-1.0) for i in range(rank)])
+    start = cross.select(*keys, column).distinct().withColumn("v", signs)
+    basis = orthonormal(times(start, column, row), row)
+    for _ in range(turns):
+        basis = orthonormal(times(orthonormal(times(basis, row, column), column), column, row), row)
+
+    def largest(frames):
+        for frame in frames:
+            yield frame[list(keys)].assign(sigma=[float(np.sqrt(max(np.linalg.eigvalsh(square(g, rank))[-1], 0.0))) for g in frame["gram"]])
+
+    return grams(times(basis, row, column)).mapInPandas(largest, f"{kinds}, sigma double")
+
+
+def targeted_svd(cross: DataFrame, candidates: DataFrame, keys: Sequence[str], row: str, column: str, value: str, draw: str = "k", **options) -> DataFrame:
+    """(keys, sigma, n_null, p): the leading singular value of the candidates' cross-covariances against those of their shifts.
+
+    ``cross`` (keys, draw, row, column, value), draw -1 is real; ``candidates`` (keys, row).
+    """
+    some = written(cross.join(candidates.select(*keys, row).distinct(), [*keys, row], "left_semi"))
+    sigma = leading_value(some, [*keys, draw], row, column, value, **options).withColumn("sigma", F.round("sigma", 9))
+    return empirical_p(sigma.where(F.col(draw) < 0).drop(draw), sigma.where(F.col(draw) >= 0).drop(draw), keys, "sigma")
+
+
 def gradient_screen(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], groups: Sequence[str], residual: str) -> DataFrame:
     """(keys, grp, gradient, rank): the groups of largest mean product with the residual: half of them, 5 to 20."""
     sums = rows.groupBy(*keys).agg(*[F.avg(F.col(c) * F.col(residual)).alias(c) for c in columns])

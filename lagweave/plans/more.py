@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.operators import discovery, pairs, regression, screening, signals, stage2, surrogates, temporal, wavelets
-from lagweave.plans.queries import ACT, ASOF, BASIS, CH, EV, M, PAIRS, R, SHIFTED, STAT, Z, _MODS, _VALUES, _wide, design, pair_rows, query, r6, rounded, shifted, zgrid
+from lagweave.plans.queries import ACT, ASOF, BASIS, CH, EV, M, PAIRS, R, SHIFTED, STAT, Z, _MODS, _VALUES, _fourier, _wide, design, pair_rows, query, r6, rounded, shifted, zgrid
 from lagweave.sources import streams
 from lagweave.streaming import causal
 
@@ -147,6 +147,23 @@ def svd_screen(spark, sf_dir):
     return screening.svd_screen(rows.groupBy("k", "src", "tgt").agg(F.avg(F.col("x") * F.col("y")).alias("c")).withColumn("pathway", F.lit("all")), ["pathway"], "src", "tgt", "c")
 
 
+@query(
+    f"""WITH {SHIFTED}, d AS (SELECT a.modality AS src, c.modality AS tgt, -1 AS k, a.z AS x, c.z AS y FROM z a JOIN z c ON a.b = c.b AND a.modality <> c.modality UNION ALL SELECT a.modality, c.modality, a.k, a.x_shifted, c.z FROM su a JOIN z c ON a.b = c.b AND a.modality <> c.modality),
+cc AS (SELECT k, src, tgt, avg(x * y) AS c FROM d GROUP BY ALL), ca AS (SELECT src, row_number() OVER (ORDER BY src DESC) AS r FROM (SELECT src FROM cc WHERE k = -1 GROUP BY src ORDER BY round(sum(c * c), 9) DESC, src LIMIT 2)),
+pr AS (SELECT k, tgt, coalesce(max(c) FILTER (r = 1), 0.0) AS u, coalesce(max(c) FILTER (r = 2), 0.0) AS v FROM cc JOIN ca USING (src) GROUP BY ALL), gr AS (SELECT k, sum(u * u) AS a, sum(u * v) AS b, sum(v * v) AS d FROM pr GROUP BY ALL),
+sg AS (SELECT k, round(sqrt((a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2), 9) AS sigma FROM gr)
+SELECT 'all' AS pathway, {R("r.sigma")} AS sigma, count(*) AS n_null, {R("(sum((n.sigma >= r.sigma)::INT) + 1) / (count(*) + 1)")} AS p FROM sg r JOIN sg n ON n.k >= 0 WHERE r.k = -1 GROUP BY r.sigma"""
+)
+def targeted_svd(spark, sf_dir):
+    """The two sources of the largest cross-covariances, all their targets together."""
+    z = zgrid(spark, sf_dir)
+    moved = z.select("modality", F.lit(-1).alias("k"), "b", F.col("z").alias("x")).union(shifted(z, spark).select("modality", "k", "b", "x_shifted"))
+    rows = moved.withColumnRenamed("modality", "src").join(z.select(F.col("modality").alias("tgt"), "b", F.col("z").alias("y")), "b").where("src <> tgt")
+    cross = rows.groupBy("k", "src", "tgt").agg(F.avg(F.col("x") * F.col("y")).alias("c")).withColumn("pathway", F.lit("all"))
+    best = cross.where("k = -1").groupBy("pathway", "src").agg(F.round(F.sum(F.col("c") * F.col("c")), 9).alias("s")).orderBy(F.desc("s"), "src").limit(2)
+    return rounded(screening.targeted_svd(cross, best, ["pathway"], "src", "tgt", "c", rank=4), "sigma", "p")
+
+
 FEATURES = Z + f""", bas(s, j, v) AS (VALUES {_VALUES}), c AS (SELECT g.modality, g.b, j, sum(v * coalesce(h.z, 0.0)) AS c FROM z g CROSS JOIN bas LEFT JOIN z h ON h.modality = g.modality AND h.b = g.b - s GROUP BY ALL),
 cy AS (SELECT t.modality AS tgt, c.modality AS grp, c.j, avg(c.c * t.z) AS q FROM c JOIN z t ON t.b = c.b GROUP BY ALL)"""
 
@@ -408,12 +425,15 @@ def pose_geometry(spark, sf_dir):
     return v.select("vec_id", r6(c[0]).alias("cx"), r6(c[1]).alias("cy"), r6(c[2]).alias("cz"), r6(signals.extent(F.col("points"), 3)).alias("extent"))
 
 
-@query()
+@query(
+    f"""WITH {SHIFTED}, pp AS (SELECT a.k AS dr, a.b, a.x_shifted AS x, c.z AS y FROM su a JOIN z c ON a.b = c.b WHERE a.modality = 'click' AND c.modality = 'view'){_fourier("dr", "pp", {"x": "x", "y": "y"})}, c AS (SELECT dr, w, k, avg(xr * yr + xi * yi) AS cr, avg(xr * yi - xi * yr) AS ci, greatest(avg(xr * xr + xi * xi) * avg(yr * yr + yi * yi), 1e-20) AS p FROM ft GROUP BY ALL)
+SELECT dr AS k, w, {R("avg((cr * cr + ci * ci) / p) FILTER (k <= 2)")} AS slow_msc, {R("avg(abs(ci) / sqrt(p)) FILTER (k <= 2)")} AS slow_imcoh, {R("avg((cr * cr + ci * ci) / p) FILTER (k >= 2)")} AS fast_msc, {R("avg(abs(ci) / sqrt(p)) FILTER (k >= 2)")} AS fast_imcoh FROM c GROUP BY ALL"""
+)
 def coherence_surrogates(spark, sf_dir):
     z = zgrid(spark, sf_dir)
     moved = shifted(z.where("modality = 'click'"), spark).select("k", "b", F.col("x_shifted").alias("x"))
     rows = moved.join(z.where("modality = 'view'").select("b", F.col("z").alias("y")), "b")
-    return signals.band_coherence(rows, ["k"], "x", "y", 32, 8, 4.0, {"slow": (0.0, 0.5), "fast": (0.5, 2.0)})
+    return rounded(signals.band_coherence(rows, ["k"], "x", "y", 32, 8, 4.0, {"slow": (0.0, 0.5), "fast": (0.5, 2.0)}), "slow_msc", "slow_imcoh", "fast_msc", "fast_imcoh")
 
 
 @query(
