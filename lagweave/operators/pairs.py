@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.operators import spans
+from lagweave.operators.localize import valid_window
 from lagweave.operators.temporal import Keys, asof, asof_lerp
 
 
@@ -35,6 +36,20 @@ def cross_pairs(sessions: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return ahead.join(nxt, "_at").select(F.col(key).alias("a"), "b").where("a <> b")
 
 
+def valid_pairs(pairs_: DataFrame, rows: DataFrame, session: str, person: str, first: str, second: str, least: int) -> DataFrame:
+    """(a, b, start, length) of the pairs whose people have a common valid window of ``least`` rows: the longest, earliest one.
+
+    ``rows`` (session, person, b, valid) count from each session's own start: the first person of session a
+    beside the second of session b.
+    """
+    good = rows.where("valid")
+    one = good.where(F.col(person) == first).select(F.col(session).alias("_one"), "b").distinct()
+    two = good.where(F.col(person) == second).select(F.col(session).alias("_two"), "b").distinct()
+    both = pairs_.select(F.col("a").alias("_one"), F.col("b").alias("_two")).join(one, "_one").join(two, ["_two", "b"])
+    found = valid_window(both.withColumn("_ok", F.lit(True)), ["_one", "_two"], "_ok", least)
+    return found.select(F.col("_one").alias("a"), F.col("_two").alias("b"), "start", "length")
+
+
 def pseudo_sessions(samples: DataFrame, pairs: DataFrame, session: str, person: str, first: str, second: str) -> DataFrame:
     """``samples`` of pairs (a, b) with ``pair``: the first person of session a beside the second of session b, on one clock from 0."""
     start = samples.groupBy(F.col(session).alias("_s")).agg(F.min("t").alias("_t0"))

@@ -204,6 +204,16 @@ def per_target_selection(spark, sf_dir):
     return screening.over_targets(found, ["grp"], "tgt", "share", "stable")
 
 
+@query()
+def per_target_blocks(spark, sf_dir):
+    """Groups that blocks of rows select for each target on its own, joined over targets."""
+    from lagweave.operators import selection
+
+    rows, columns, groups = _wide(spark, sf_dir)
+    found = selection.blocks(rows, ["tgt"], columns, groups, "y", 0.1, 30).withColumns({"hit": F.col("p") < 0.2, "share": F.col("hits") / F.col("n_blocks")})
+    return screening.over_targets(found, ["grp"], "tgt", "share", "hit")
+
+
 TIMES = Z + """, l AS (SELECT modality, b, z, coalesce(lag(z, 1) OVER w, 0.0) AS a, coalesce(lag(z, 2) OVER w, 0.0) AS c FROM z WINDOW w AS (PARTITION BY modality ORDER BY b)),
 wi AS (SELECT *, unnest(range(greatest(0, CAST(ceil((b - 15) / 8.0) AS INT)), b // 8 + 1)) AS w FROM l), co AS (SELECT modality, CAST(w AS INT) AS b, count(*) AS n, corr(z, a) AS r1, corr(z, c) AS r2, corr(a, c) AS q FROM wi GROUP BY ALL),
 rr AS (SELECT modality, b, n, 0.0 AS r2_restricted, CASE WHEN n >= 8 AND q * q < 0.999 THEN (r1 * r1 + r2 * r2 - 2 * r1 * r2 * q) / (1 - q * q) END AS r2_full FROM co),
@@ -357,6 +367,19 @@ def cross_pairs(spark, sf_dir):
     return pairs.cross_pairs(streams.table(spark, sf_dir, "events").select("user_id"), "user_id")
 
 
+@query(
+    f"""WITH {EV}, {CROSS}, s0 AS (SELECT user_id, min(t) AS t0 FROM ev GROUP BY ALL), bi AS (SELECT DISTINCT user_id, CASE WHEN event_id % 2 = 0 THEN 'p1' ELSE 'p2' END AS person, CAST(floor((t - t0) / 172800) AS INT) AS k FROM ev JOIN s0 USING (user_id)),
+bo AS (SELECT a, cp.b, x.k FROM cp JOIN bi x ON x.user_id = a AND x.person = 'p1' JOIN bi y ON y.user_id = cp.b AND y.person = 'p2' AND y.k = x.k), ru AS (SELECT *, k - row_number() OVER (PARTITION BY a, b ORDER BY k) AS r FROM bo),
+le AS (SELECT a, b, CAST(min(k) AS INT) AS start, count(*) AS length FROM ru GROUP BY a, b, r HAVING count(*) >= 2) SELECT a, b, start, length FROM le QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY length DESC, start) = 1"""
+)
+def valid_cross_pairs(spark, sf_dir):
+    """Pairs of users whose events share two days of their own time, twice in a row."""
+    e = streams.samples(spark, sf_dir)
+    begun = e.groupBy("user_id").agg(F.min("t").alias("t0"))
+    rows = e.join(begun, "user_id").select("user_id", F.when(F.col("event_id") % 2 == 0, "p1").otherwise("p2").alias("person"), F.floor((F.col("t") - F.col("t0")) / 172800).cast("int").alias("b"), F.lit(True).alias("valid"))
+    return pairs.valid_pairs(pairs.cross_pairs(e, "user_id"), rows, "user_id", "person", "p1", "p2", 2)
+
+
 @query(
     f"""WITH {EV}, {CROSS}, s0 AS (SELECT user_id, min(t) AS t0 FROM ev GROUP BY ALL), sm AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'p1' ELSE 'p2' END AS person, t - t0 AS t, x FROM ev JOIN s0 USING (user_id)),
 ps AS (SELECT a || '+' || b AS pair, person, t, x FROM cp JOIN sm ON sm.user_id = a WHERE person = 'p1' UNION ALL SELECT a || '+' || b, person, t, x FROM cp JOIN sm ON sm.user_id = b WHERE person = 'p2')

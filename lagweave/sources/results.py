@@ -66,6 +66,20 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(path)
 
 
+def ensure_all(spark: SparkSession, path: str, makers: Mapping[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(tables by name, errors by name): each session's table at ``path``/name, made where it is missing.
+
+    One that can't be made doesn't keep the others from it; what it had begun to write isn't taken for done.
+    """
+    done, failed = {}, {}
+    for name, make in makers.items():
+        try:
+            done[name] = cached(spark, f"{path}/{name}", make)
+        except Exception as e:  # of whatever kind: it is reported
+            failed[name] = f"{type(e).__name__}: {e}"[:500]
+    return done, failed
+
+
 def missing(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """What is wanted and not there yet, by key."""
     return wanted.join(present.select(*keys).distinct(), keys, "left_anti")

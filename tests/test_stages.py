@@ -208,3 +208,14 @@ def test_long_hidden_states_equal_one_pass(spark):
         out = states.hmm_posterior(df, ["k"], "x", 1.0, chunk, rounds=5).orderBy("k", "b").toPandas()
         for k, post in want.items():
             assert np.allclose(out["posterior"][out["k"] == k].to_numpy(), post, atol=1e-6)
+
+
+def test_one_failure_keeps_no_other_session_back(spark, tmp_path):
+    def broken():
+        raise ValueError("no such recording")
+
+    makers = {"a": lambda: spark.range(3), "b": broken, "c": lambda: spark.range(2).selectExpr("assert_true(id < 1)"), "d": lambda: spark.range(4)}
+    done, failed = results.ensure_all(spark, str(tmp_path), makers)
+    assert {n: df.count() for n, df in done.items()} == {"a": 3, "d": 4} and set(failed) == {"b", "c"} and "no such recording" in failed["b"]
+    done, failed = results.ensure_all(spark, str(tmp_path), {**makers, "a": broken, "b": lambda: spark.range(1)})  # a is there
+    assert set(done) == {"a", "b", "d"} and set(failed) == {"c"}
