@@ -12,7 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HIT, ALARM = F.col("truth") & F.col("found"), ~F.col("truth") & F.col("found")
+
+def _hit():  # noqa: ANN202
+    return F.col("truth") & F.col("found")
+
+
+def _alarm():  # noqa: ANN202
+    return ~F.col("truth") & F.col("found")
 
 
 def _n(condition):  # noqa: ANN001, ANN202
@@ -25,12 +31,12 @@ def _aucs() -> list:
 
 def sessions(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, session, detected, recovered, aucs): one row a session, its means weighed by their number."""
-    return results.groupBy(*keys, "session").agg(F.max(HIT.cast("int")).alias("detected"), F.max(F.coalesce(F.col("recovered"), F.lit(False)).cast("int")).alias("recovered"), F.sum("auc").alias("auc_sum"), F.count("auc").alias("auc_n"))
+    return results.groupBy(*keys, "session").agg(F.max(_hit().cast("int")).alias("detected"), F.max(F.coalesce(F.col("recovered"), F.lit(False)).cast("int")).alias("recovered"), F.sum("auc").alias("auc_sum"), F.count("auc").alias("auc_n"))
 
 
 def false_alarms(results: DataFrame, most: float = 0.1) -> DataFrame:
     """(sub, n_alarms, n_pathways, rate, passed) of null controls: the share of pathways found among all tested."""
-    out = results.groupBy("sub").agg(_n(ALARM).alias("n_alarms"), F.count("*").alias("n_pathways"))
+    out = results.groupBy("sub").agg(_n(_alarm()).alias("n_alarms"), F.count("*").alias("n_pathways"))
     return out.withColumn("rate", F.col("n_alarms") / F.col("n_pathways")).withColumn("passed", F.col("rate") <= most)
 
 
@@ -63,5 +69,5 @@ def directionality(results: DataFrame, forward: str, reverse: str, most: int = 1
     """One row (n_forward, n_detected, n_reverse_alarms, passed): planted directions found, and alarms the other way."""
     here = F.col("sub") == forward
     rows = sessions(results, ["sub"]).agg(F.count(F.when(here, 1)).alias("n_forward"), F.coalesce(F.sum(F.when(here, F.col("detected"))), F.lit(0)).cast("long").alias("n_detected"))
-    alarms = results.agg(F.coalesce(_n(ALARM & (F.col("sub") == reverse)), F.lit(0)).alias("n_reverse_alarms"))
+    alarms = results.agg(F.coalesce(_n(_alarm() & (F.col("sub") == reverse)), F.lit(0)).alias("n_reverse_alarms"))
     return rows.crossJoin(F.broadcast(alarms)).withColumn("passed", F.col("n_reverse_alarms") <= most)
