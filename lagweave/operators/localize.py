@@ -14,16 +14,24 @@ from lagweave.operators.temporal import Keys, min_event, run_starts, runs
 def cusum(rows: DataFrame, keys: Keys, value: str, centre: str, slack: float = 0.0) -> DataFrame:
     """``forward`` and ``backward``: C[t] = max(0, C[t-1] + x - centre - slack), C[0] = 0, and mirrored.
 
-    In closed form: the running sum less its running minimum, both carried over spans.
+    In closed form: the running sum less its running minimum. Both directions are windows of one span; a span's
+    total and least sum are carried over the others, one row each.
     """
     ends = rows.groupBy(*keys).agg(F.min("b").alias("_a"), F.max("b").alias("_z"))
     gain = F.col(value) - F.col(centre) - slack
-    out = rows.join(ends, list(keys))
-    for name, edge, later in (("forward", "_a", False), ("backward", "_z", True)):
-        out = spans.running(out, keys, ["b"], {"_sum": ("sum", F.when(F.col("b") == F.col(edge), 0.0).otherwise(gain))}, later=later)
-        out = spans.running(out, keys, ["b"], {"_min": ("min", F.col("_sum"))}, later=later)
-        out = out.withColumn(name, F.col("_sum") - F.col("_min")).drop("_sum", "_min")
-    return out.drop("_a", "_z")
+    sides = {"forward": ("_a", F.asc), "backward": ("_z", F.desc)}
+    out = rows.join(ends, list(keys)).withColumn("_span", F.floor(F.col("b") / spans.SPAN))
+    upto = lambda turn: Window.partitionBy(*keys, "_span").orderBy(turn("b")).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({f"_s_{n}": F.sum(F.when(F.col("b") == F.col(edge), 0.0).otherwise(gain)).over(upto(turn)) for n, (edge, turn) in sides.items()})
+    out = out.withColumns({f"_m_{n}": F.min(f"_s_{n}").over(upto(turn)) for n, (_, turn) in sides.items()})
+    per = out.groupBy(*keys, "_span").agg(*[f for n, (edge, _) in sides.items() for f in (F.sum(F.when(F.col("b") == F.col(edge), 0.0).otherwise(gain)).alias(f"_t_{n}"), F.min(f"_s_{n}").alias(f"_l_{n}"))])
+    before = lambda turn: Window.partitionBy(*keys).orderBy(turn("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({f"_t_{n}": F.coalesce(F.sum(f"_t_{n}").over(before(turn)), F.lit(0.0)) for n, (_, turn) in sides.items()})
+    per = per.withColumns({f"_l_{n}": F.min(F.col(f"_t_{n}") + F.col(f"_l_{n}")).over(before(turn)) for n, (_, turn) in sides.items()})
+    out = out.join(per, [*keys, "_span"])
+    total = lambda n: F.col(f"_t_{n}") + F.col(f"_s_{n}")
+    out = out.withColumns({n: total(n) - F.least(F.col(f"_l_{n}"), F.col(f"_t_{n}") + F.col(f"_m_{n}")) for n in sides})
+    return out.drop("_a", "_z", "_span", *[f"_{c}_{n}" for c in "smtl" for n in sides])
 
 
 def cluster_mass(rows: DataFrame, keys: Keys, value: str, threshold: float) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.functions.basis import multi_band, raised_cosine
-from lagweave.operators import conditions, pairs, regression, screening, spans, stage2, states, temporal, wavelets
+from lagweave.operators import conditions, localize, pairs, regression, screening, spans, stage2, states, temporal, wavelets
 from lagweave.sources import results
 
 
@@ -219,3 +219,17 @@ def test_one_failure_keeps_no_other_session_back(spark, tmp_path):
     assert {n: df.count() for n, df in done.items()} == {"a": 3, "d": 4} and set(failed) == {"b", "c"} and "no such recording" in failed["b"]
     done, failed = results.ensure_all(spark, str(tmp_path), {**makers, "a": broken, "b": lambda: spark.range(1)})  # a is there
     assert set(done) == {"a", "b", "d"} and set(failed) == {"c"}
+
+
+@pytest.mark.parametrize("size", [1, 7, 4096])
+def test_cusum_by_spans(spark, monkeypatch, size):
+    monkeypatch.setattr(spans, "SPAN", size)
+    x = np.random.default_rng(1).normal(size=60)
+    ahead, back = np.zeros(60), np.zeros(60)
+    for t in range(1, 60):
+        ahead[t] = max(0, ahead[t - 1] + x[t] - 0.1)
+    for t in range(58, -1, -1):
+        back[t] = max(0, back[t + 1] + x[t] - 0.1)
+    df = spark.createDataFrame([("k", t, float(v)) for t, v in enumerate(x)], "k string, b int, x double").withColumn("c", F.lit(0.1))
+    out = localize.cusum(df, ["k"], "x", "c").toPandas().sort_values("b")
+    assert np.allclose(out["forward"], ahead) and np.allclose(out["backward"], back)
