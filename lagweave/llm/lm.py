@@ -2,9 +2,9 @@
 
 Words, subword pieces and which piece follows which are counted over all training documents on the
 cluster. The model gives the class of the next piece (pieces that follow alike share a class); a piece
-within its class has its share of the corpus counts. The attention layer is trained on a fixed share of
-all windows of distinct texts, in rounds on the cluster. Texts are scored whole, in overlapping context windows that score
-each piece once, with batched masked attention.
+within its class has its share of the corpus counts. The attention layer is trained on every piece of all
+distinct training texts, in rounds on the cluster. Texts are scored whole, in overlapping context windows that
+score each piece once, with batched masked attention.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ DIM, WINDOW, STRIDE, CLASSES, EMBEDDED = 16, 32, 16, 48, 2000
 #: Words whose counts are shared with every task; the others are joined.
 SHARED_WORDS = 200_000
 _KEPT = 300_000
-#: One of so many windows of distinct texts trains the model, but no fewer than ``FEWEST`` where there are as many.
-RATE, FEWEST = 64, 20_000
-#: Letters of a piece, about.
-LETTERS = 4
-#: Windows of a cell (at most, about), groups of cells, rounds over the groups, steps of a cell in its round.
+#: Windows of a row of training pieces, as they are scored; without the first one's overlap it holds 32 whole windows.
+RUN = 63
+#: Windows of a cell (about), groups of cells (at least), rounds over the groups, steps of a cell in its round.
 CELL, GROUPS, ROUNDS, LOCAL = 4096, 8, 24, 64
+#: Cells of a file of training pieces, at most, about; windows whose gradients are taken at once.
+FILE_CELLS, AT_ONCE = 64, 32
+#: Keys of training rows that a task remembers, so that it gives copies once.
+_REMEMBERED = 1_000_000
 #: Numbers that stand for what a piece follows.
 _SKETCH = 48
 END = np.uint64(0x656E64)  # stands for the end of a text in word counts
@@ -128,25 +130,31 @@ class Network:
         return z @ w["U"] + w["b"], z, o, s, q, k, v, h
 
     def folded(self) -> dict[str, np.ndarray]:
-        """Weights for scoring: biases, scales and sums are columns of the same products."""
+        """Weights for scoring: biases, scales and sums are columns of the same products.
+
+        What a position gives is a sum of a row by its piece and one by its place: (h, q) and (k, v).
+        """
         w = self.weights
         one = lambda m, right: np.block([[m, np.zeros((DIM, right), np.float32)], [np.zeros((1, m.shape[1]), np.float32), np.ones((1, right), np.float32)]])
+        e, p = np.hstack([w["E"], np.ones((len(w["E"]), 1), np.float32)]), np.hstack([w["P"], np.zeros((WINDOW, 1), np.float32)])
+        hq = np.hstack([np.eye(DIM + 1, dtype=np.float32), one(w["Q"] * np.float32(DIM**-0.5), 0)])
+        kv = np.hstack([one(w["K"], 0), one(w["V"], 1)])
         return {
-            "E": np.hstack([w["E"], np.ones((len(w["E"]), 1), np.float32)]), "P": np.hstack([w["P"], np.zeros((WINDOW, 1), np.float32)]),
-            "Q": one(w["Q"] * np.float32(DIM**-0.5), 0), "K": one(w["K"], 0), "V": one(w["V"], 1), "O": w["O"], "U": np.vstack([w["U"], w["b"]]),
-            "mask": (_mask(WINDOW) == 0).astype(np.float32), "ones": np.ones(w["U"].shape[1], np.float32),
+            "E_hq": e @ hq, "P_hq": p @ hq, "E_kv": e @ kv, "P_kv": p @ kv, "O": w["O"], "U": np.vstack([w["U"], w["b"]]),
+            "mask": _seen(WINDOW), "ones": np.ones(w["U"].shape[1], np.float32),
         }
 
     def chosen(self, w: dict[str, np.ndarray], x: np.ndarray, first: int, group: np.ndarray) -> np.ndarray:
         """ln probability of the classes ``group`` at positions ``first`` on, as by ``forward``."""
-        h = w["E"][x] + w["P"]
-        hq = h[:, first:]
-        s = (hq @ w["Q"]) @ (h @ w["K"]).transpose(0, 2, 1)
+        hq = w["E_hq"].take(x[:, first:], 0)
+        hq += w["P_hq"][first:]
+        kv = w["E_kv"].take(x, 0)
+        kv += w["P_kv"]
+        s = hq[..., DIM + 1 :] @ kv[..., :DIM].transpose(0, 2, 1)
         np.exp(s, out=s)
         s *= w["mask"][first:]
-        o = s @ (h @ w["V"])
-        z = hq.reshape(-1, DIM + 1).copy()
-        o = o.reshape(-1, DIM + 1)
+        o = (s @ kv[..., DIM:]).reshape(-1, DIM + 1)
+        z = hq[..., : DIM + 1].reshape(-1, DIM + 1)
         z[:, :DIM] += (o[:, :DIM] / o[:, DIM:]) @ w["O"]
         logits = z @ w["U"]
         picked = logits[np.arange(len(logits)), group.ravel()]
@@ -158,6 +166,38 @@ class Network:
             out = stable[np.arange(len(out)), group.ravel()] - np.log(np.exp(stable).sum(1))
         return out.reshape(group.shape)
 
+    def gradient(self, x: np.ndarray, y: np.ndarray, share: float) -> dict[str, np.ndarray]:
+        """Of the sum of ``share`` times the class cross-entropies of windows ``x`` with targets ``y`` (-1: none)."""
+        w, (rows, n) = self.weights, x.shape
+        scale, share = np.float32(DIM**-0.5), np.float32(share)
+        into = np.hstack([w["Q"] * scale, w["K"], w["V"]])
+        h = (w["E"].take(x, 0) + w["P"][:n]).reshape(-1, DIM)
+        q, k, v = np.split((h @ into).reshape(rows, n, 3 * DIM), 3, -1)
+        a = _exp(q @ k.transpose(0, 2, 1), _seen(n))
+        a /= a.sum(-1, keepdims=True)
+        o = (a @ v).reshape(-1, DIM)
+        z = o @ w["O"] + h
+        d = _exp(z @ w["U"] + w["b"])
+        goal = y.ravel()
+        at = np.flatnonzero(goal >= 0)
+        d *= ((goal >= 0) * share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
+        d[at, goal[at]] -= share
+        dz = d @ w["U"].T
+        do = dz @ w["O"].T
+        turn = np.einsum("ij,ij->i", do, o).reshape(rows, n, 1)
+        do = do.reshape(rows, n, DIM)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= turn
+        ds *= a
+        back = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], -1).reshape(-1, 3 * DIM)
+        dh = back @ into.T
+        dh += dz
+        gq, gk, gv = np.split(h.T @ back, 3, 1)
+        cells = (x.ravel() * DIM)[:, None] + np.arange(DIM)
+        g = {"U": z.T @ d, "b": d.sum(0), "O": o.T @ dz, "Q": gq * scale, "K": gk, "V": gv, "P": np.zeros_like(w["P"])}
+        g["P"][:n] = dh.reshape(rows, n, DIM).sum(0)
+        return g | {"E": np.bincount(cells.ravel(), dh.ravel(), w["E"].size).reshape(-1, DIM)}
+
     def fit(self, windows: np.ndarray, targets: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 0.01, done: int = 0, total: int | None = None) -> None:
         """Adam on the class cross-entropy of (windows, targets); a target of -1 doesn't count.
 
@@ -170,27 +210,9 @@ class Network:
         order = np.concatenate([r.permutation(len(windows)) for _ in range(passes)]) if len(windows) else np.zeros(0, np.int64)
         for step in range(1, steps + 1 if len(windows) else 1):
             pick = order[(step - 1) * batch : step * batch]
-            x, y = windows[pick], targets[pick]
-            logits, z, o, a, q, k, v, h = self.forward(x, 0)
-            ok = y >= 0
-            d = _softmax(logits)
-            d[np.where(ok)[0], np.where(ok)[1], y[ok]] -= 1
-            d *= (ok / max(1, ok.sum()))[..., None]
-            d = d.astype(np.float32)
-            flat = lambda t: t.reshape(-1, t.shape[-1])
-            g = {"U": flat(z).T @ flat(d), "b": flat(d).sum(0)}
-            dz = d @ w["U"].T
-            g["O"] = flat(o).T @ flat(dz)
-            do = dz @ w["O"].T
-            da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-            ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            g |= {"Q": flat(h).T @ flat(dq), "K": flat(h).T @ flat(dk), "V": flat(h).T @ flat(dv)}
-            dh = dz + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-            g["E"] = np.zeros_like(w["E"])
-            np.add.at(g["E"], x.ravel(), flat(dh))
-            g["P"] = np.zeros_like(w["P"])
-            g["P"][: x.shape[1]] = dh.sum(0)
+            share = 1 / max(1, (targets[pick] >= 0).sum())
+            parts = [self.gradient(windows[p], targets[p], share) for p in (pick[low : low + AT_ONCE] for low in range(0, len(pick), AT_ONCE))]
+            g = {k: sum(p[k] for p in parts).astype(np.float32) for k in w}
             lr = rate * min(1.0, step / 20) * (1 - (done + step) / ((total or steps) + 1))
             for name, grad in g.items():
                 m1[name] += 0.1 * (grad - m1[name])
@@ -231,9 +253,19 @@ def _mask(n: int) -> np.ndarray:
     return np.triu(np.full((n, n), -1e9, np.float32), 1)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+@cache
+def _seen(n: int) -> np.ndarray:
+    return np.tril(np.ones((n, n), np.float32))
+
+
+def _exp(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """exp in place, 0 where not ``seen``; shifted by each row's largest entry where float32 would not hold it."""
+    if x.max() > 60 or x.min() < -60:
+        if seen is not None:
+            x += (seen - 1) * np.float32(1e9)
+        x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    return x if seen is None else np.multiply(x, seen, out=x)
 
 
 def class_of(pieces: np.ndarray, sketches: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -274,7 +306,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-WORD, PIECE, PAIR, DRAWN = range(4)
+WORD, PIECE, PAIR, DRAWN = range(4)  # DRAWN: pieces to train on
 
 
 class Tally:
@@ -300,16 +332,17 @@ class Tally:
         return codes, np.bincount(inverse, np.concatenate([n for _, n in self.fresh])).astype(np.int64)
 
 
-def gathered(docs: DataFrame, share: float, model_path: str) -> DataFrame:
+def gathered(docs: DataFrame, run: float, model_path: str) -> DataFrame:
     """All that is learned from the rows of ``docs`` (text), in one pass: (kind, id, n, before, ns, ids), summed per task.
 
     WORD and PIECE: how often each word (by hash) and subword id occurs, ends included. PAIR: the pieces
-    ``before`` a piece ``id`` and how often (``ns``). DRAWN: windows as they are scored, each drawn with
-    probability ``share`` by the hash ``id`` of its text and place, so copies of a text draw the same;
-    ``ids`` are the piece before (-1 at the start) and the window's pieces.
+    ``before`` a piece ``id`` and how often (``ns``). DRAWN: all pieces of all texts, in rows of ``run``
+    windows as they are scored; ``ids`` are the piece before (-1 at the start) and the row's pieces. The
+    hash ``id`` is of the text and the place in it, so copies of a text have the same, and a task gives
+    them once for each ``_REMEMBERED`` others.
     """
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("before", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))])
-    below = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
+    wide = STRIDE * int(run)
 
     def row(kind: int, key: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
         columns = {"kind": pa.array(np.full(len(key), kind, np.int32)), "id": pa.array(key.astype(np.int64))} | more
@@ -325,7 +358,7 @@ def gathered(docs: DataFrame, share: float, model_path: str) -> DataFrame:
         splitter = Splitter(model_path)
         width = splitter.vocabulary + 1
         pieces = np.zeros(width, np.int64)
-        words, steps = Tally(500_000), Tally(1_500_000)
+        words, steps, given = Tally(500_000), Tally(1_500_000), set()
         for batch, low, high, data, starts, stops, distinct, inverse, bounds in _blocks(batches, 0):
             if len(distinct) and (full := words.add(distinct, np.bincount(inverse, minlength=len(distinct)))):
                 yield row(WORD, full[0].view(np.int64), n=pa.array(full[1]))
@@ -338,18 +371,23 @@ def gathered(docs: DataFrame, share: float, model_path: str) -> DataFrame:
             if full := steps.add(*np.unique(ids[later].astype(np.int64) * width + ids[later - 1], return_counts=True)):
                 yield pairs(*full, width)
             sizes = np.diff(edges)
-            each = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+            each = 1 + np.maximum(0, -(-(sizes - wide - WINDOW + STRIDE) // wide))
             line = np.repeat(np.arange(len(sizes)), each)
             nth = np.arange(len(line)) - np.repeat(np.cumsum(each) - each, each)
             text = batch.column(1).slice(low, high - low).to_numpy(zero_copy_only=False).view(np.uint64)
             key = _mixed(text[line] + _mixed(nth + 1))
-            drawn = np.flatnonzero(key <= below)
-            drawn = drawn[np.unique(key[drawn], return_index=True)[1]]  # once for the copies of this block
-            if len(drawn):
-                start = edges[:-1][line[drawn]] + nth[drawn] * STRIDE
-                over = np.minimum(start + WINDOW, edges[1:][line[drawn]])
-                cuts = [([-1] if a else [int(ids[i - 1])]) + ids[i:j].tolist() for a, i, j in zip((nth[drawn] == 0).tolist(), start.tolist(), over.tolist())]
-                yield row(DRAWN, key[drawn].view(np.int64), ids=pa.array(cuts, pa.list_(pa.int32())))
+            first = np.unique(key, return_index=True)[1]  # once for the copies of this block
+            fresh = np.array([k not in given for k in key[first].tolist()], bool)
+            new = np.sort(first[fresh])
+            given = given if len(given) < _REMEMBERED else set()
+            given.update(key[new].tolist())
+            start = edges[:-1][line[new]] + nth[new] * wide
+            size = np.minimum(start + wide + WINDOW - STRIDE, edges[1:][line[new]]) - start + 1
+            cuts = np.zeros(len(new) + 1, np.int32)
+            np.cumsum(size, out=cuts[1:])
+            got = ids[np.maximum(np.arange(cuts[-1]) + np.repeat(start - 1 - cuts[:-1], size), 0)]
+            got[cuts[:-1][nth[new] == 0]] = -1
+            yield row(DRAWN, key[new].view(np.int64), ids=pa.ListArray.from_arrays(pa.array(cuts), pa.array(got, pa.int32())))
         if words.fresh:
             ids, n = words.merged()
             yield row(WORD, ids.view(np.int64), n=pa.array(n))
@@ -385,19 +423,26 @@ def sketched(found: DataFrame, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array([p for p, _ in got], np.int64), np.array([v for _, v in got], np.float32).reshape(-1, _SKETCH)
 
 
-def fit_on_cluster(net: Network, windows: DataFrame, cells: int) -> int:
-    """Trains ``net`` on all (key, ids) of ``windows``, in rounds; the number of cells that took part.
+def fit_on_cluster(net: Network, rows: DataFrame, cells: int) -> int:
+    """Trains ``net`` on all (key, ids) of ``rows``, in rounds; the number of cells that took part.
 
-    Windows are dealt into ``cells`` by key, so the result does not hang on how rows lie. In a round
-    the cells of one group each take ``LOCAL`` steps from the common weights, over all of their
-    windows; tasks sum the changes of their cells and the driver averages them (an embedding over the
-    cells that hold it). Each cell takes part in ``ROUNDS`` / ``GROUPS`` rounds.
+    ``ids`` are the piece before and the pieces of a row, of any number; copies of a key count once.
+    Rows are dealt into ``cells`` by key, so the result does not hang on how they lie. In a round the
+    cells of one group each go over all of their windows from the common weights (a small one
+    repeatedly, for about ``LOCAL`` steps); tasks sum the changes of their cells and the driver averages
+    them (an embedding over the cells that hold it). With ``ROUNDS`` cells or more each takes part in
+    one round, with fewer in up to ``ROUNDS`` / ``GROUPS``.
     """
-    spark = windows.sparkSession
+    spark = rows.sparkSession
+    groups = min(ROUNDS, max(GROUPS, cells))
+    files = min(-(-cells // groups), max(2 * spark.sparkContext.defaultParallelism, -(-cells // (groups * FILE_CELLS))))
+    cell = F.pmod("key", F.lit(cells)).cast("int")
+    dealt = rows.select(cell.alias("cell"), (cell % groups).alias("part"), (F.floor(cell / groups) % files).alias("file"), "key", "ids")
+    dealt = dealt.repartition(groups * files, "part", "file").sortWithinPartitions("part", "cell", "key").drop("file")
     path = f"{shared_folder(spark)}/lagweave-{uuid.uuid4().hex}"
-    dealt = windows.withColumn("cell", F.pmod("key", F.lit(cells)).cast("int")).withColumn("part", F.col("cell") % GROUPS)
-    dealt.repartition(max(GROUPS, cells), "cell").sortWithinPartitions("part", "cell", "key").write.partitionBy("part").parquet(path)
+    dealt.write.partitionBy("part").parquet(path)
     saved = spark.read.schema("cell int, key long, ids array<int>, part int").parquet(path)
+    saved.written_at = path
     seen = 0
     for n in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net)
@@ -407,50 +452,61 @@ def fit_on_cluster(net: Network, windows: DataFrame, cells: int) -> int:
             rank = np.append(common.rank, 0)  # -1 is the start
             sums = {k: np.zeros(v.shape, np.float64) for k, v in common.weights.items()}
             holding, count = np.zeros(len(sums["E"])), 0
-            cell, held = None, []
+            cell, last, held = None, None, []
 
             def close() -> None:
                 nonlocal count
-                x, y = np.zeros((len(held), WINDOW), np.int64), np.full((len(held), WINDOW), -1, np.int64)
-                for i, ids in enumerate(held):
-                    x[i, : len(ids) - 1], y[i, : len(ids) - 1] = rank[ids[:-1]], common.group[ids[1:]]
+                x, y = (np.concatenate(part) for part in zip(*held))
+                steps = -(-max(1, round(LOCAL * 64 / len(x))) * len(x) // 64)  # whole passes
                 local = Network(common.rank, common.group, common.inside, {k: v.copy() for k, v in common.weights.items()})
-                local.fit(x, y, steps=max(LOCAL, -(-len(held) // 64)), done=n * LOCAL, total=ROUNDS * LOCAL)
+                local.fit(x, y, steps=steps, done=n * steps, total=ROUNDS * steps)
                 for k, v in local.weights.items():
                     sums[k] += v.astype(np.float64) - common.weights[k]
                 holding[np.unique(x)] += 1
                 count += 1
 
             for batch in batches:
-                values, at = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
-                for i, c in enumerate(batch.column(0).to_pylist()):
+                values, at = batch.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+                for i, (c, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                     if c != cell:
                         if held:
                             close()
                         cell, held = c, []
-                    held.append(values[at[i] : at[i + 1]])
+                    elif key == last:
+                        continue
+                    last = key
+                    held.append(consecutive(rank, common.group, values[at[i] : at[i + 1]]))
             if held:
                 close()
             if count:
                 flat = np.concatenate([holding, *(sums[k].ravel() for k in sorted(sums))])
                 yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([count], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["cell", "n", "change"])
 
-        got = saved.where(F.col("part") == n % GROUPS).select("cell", "ids").mapInArrow(change, "cell int, n int, change binary").collect()  # one row a task
+        got = saved.where(F.col("part") == n % groups).select("cell", "key", "ids").mapInArrow(change, "cell int, n int, change binary").collect()  # one row a task
         shared.unpersist()
         if not got:
             continue
-        seen += sum(r["n"] for r in got) if n < GROUPS else 0
+        seen += sum(r["n"] for r in got) if n < groups else 0
         total = sum(np.frombuffer(r["change"], np.float64) for r in sorted(got, key=lambda r: r["cell"]))
         holding, total = total[: len(net.weights["E"])], total[len(net.weights["E"]) :]
         for k in sorted(net.weights):
             v = net.weights[k]
             part, total = total[: v.size].reshape(v.shape), total[v.size :]
             net.weights[k] = (v + part / (np.maximum(holding, 1)[:, None] if k == "E" else sum(r["n"] for r in got))).astype(np.float32)
+    dropped(saved)
     return seen
 
 
+def consecutive(rank: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(embedding rows before, classes) of the pieces ids[1:] in windows one after another; -1 fills the last."""
+    n = len(ids) - 1
+    x, y = np.zeros(-(-n // WINDOW) * WINDOW, np.int32), np.full(-(-n // WINDOW) * WINDOW, -1, np.int8 if CLASSES < 128 else np.int32)
+    x[:n], y[:n] = rank[ids[:-1]], group[ids[1:]]
+    return x.reshape(-1, WINDOW), y.reshape(-1, WINDOW)
+
+
 def train(found: DataFrame, pieces: np.ndarray) -> Network:
-    """A network from what was ``gathered`` and the counts of ``pieces``: classes from all texts, attention from the drawn windows."""
+    """A network from what was ``gathered`` and the counts of ``pieces``: classes from all texts, attention from all pieces of distinct ones."""
     common = np.argsort(-pieces, kind="stable")[:EMBEDDED]
     common = common[pieces[common] > 0]
     rank = np.ones(len(pieces), np.int64)
@@ -459,11 +515,10 @@ def train(found: DataFrame, pieces: np.ndarray) -> Network:
     counts = pieces + 0.5
     net = Network(rank, group, np.log(counts / np.bincount(group, counts, CLASSES)[group]))
     net.start(len(common) + 2, CLASSES)
-    windows = written(found.where(F.col("kind") == DRAWN).select(F.col("id").alias("key"), "ids").dropDuplicates(["key"]))
-    n = windows.count()
+    rows = found.where(F.col("kind") == DRAWN).select(F.col("id").alias("key"), "ids")
+    n = rows.agg(F.sum(F.ceil((F.size("ids") - 1) / WINDOW))).first()[0]
     if n:
-        fit_on_cluster(net, windows, GROUPS * -(-n // (GROUPS * CELL)))
-    dropped(windows)
+        fit_on_cluster(net, rows, GROUPS * -(-n // (GROUPS * CELL)))
     return net
 
 
@@ -494,9 +549,7 @@ def score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     rest = remainder(id_col)
     base = docs.select(F.col(id_col).alias("id"), (rest == 1).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learned = base.where(~F.col("held_out"))
-    texts, letters = learned.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    windows = texts + letters // (LETTERS * STRIDE)  # about
-    found = written(gathered(learned, max(1 / RATE, min(1.0, FEWEST / max(1, windows))), model_path))
+    found = written(gathered(learned, RUN, model_path))
     counts = written(found.where(F.col("kind") <= PIECE).groupBy("kind", "id").agg(F.sum("n").alias("n")))
     splitter = Splitter(model_path)
     pieces = np.zeros(splitter.vocabulary + 1, np.int64)

@@ -571,6 +571,61 @@ def test_model_learns_from_all_texts_and_not_from_copies(spark):
     assert all(np.isfinite(v).all() and (v != before[k]).any() for k, v in net.weights.items())
 
 
+def test_every_piece_of_the_training_texts_is_trained_on(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, n)) for n in [900] * 299 + [40_000]] + [None]
+    splitter = lm._pieces(sp.default_model())
+    ids = [[i for w in (t or "").split() for i in splitter.encode(w)] + [splitter.get_piece_size()] for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string").repartition(3)
+    given = []
+    monkeypatch.setattr(lm, "fit_on_cluster", lambda net, rows, cells: given.extend((x["key"], tuple(x["ids"])) for x in rows.collect()) or cells)
+    lm.score(docs, sp.default_model())
+    learned = {i for i in range(len(docs.collect())) if zlib.crc32(str(i).encode()) % 5 != 1}
+    want = Counter(k for i, p in enumerate(ids) if i in learned or i + len(texts) in learned and i < 50 for k in p)
+    assert sum(want.values()) > 32 * lm.CELL and len({k for k, _ in given}) == len(set(given))
+    got = Counter(k for _, row in set(given) for k in row[1:])
+    assert all(got[k] >= n for k, n in want.items())
+
+
+def test_rows_of_pieces_cover_texts_and_copies_change_nothing(spark):
+    texts = [" ".join(f"w{i * x % 977}" for i in range(n)) for x, n in [(3, 1), (5, 400), (7, 1500)]]
+    splitter = lm._pieces(sp.default_model())
+    ids = [[i for w in t.split() for i in splitter.encode(w)] + [splitter.get_piece_size()] for t in texts]
+    docs = spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(4)
+    rows = lm.gathered(docs, lm.RUN, sp.default_model()).where(F.col("kind") == lm.DRAWN).select(F.col("id").alias("key"), "ids").cache()
+    starts = [(t, a) for t in ids for a in range(0, max(1, len(t) - lm.WINDOW + lm.STRIDE), lm.RUN * lm.STRIDE)]
+    assert {tuple(x["ids"]) for x in rows.collect()} == {tuple(([-1] + t)[a : a + lm.RUN * lm.STRIDE + lm.WINDOW - lm.STRIDE + 1]) for t, a in starts}
+    nets = []
+    for given in (rows.union(rows), rows.dropDuplicates(["key"])):
+        net = lm.Network(np.arange(splitter.get_piece_size() + 1) % 900, np.arange(splitter.get_piece_size() + 1) % lm.CLASSES, np.zeros(splitter.get_piece_size() + 1))
+        net.start(900, lm.CLASSES)
+        lm.fit_on_cluster(net, given, 2)
+        nets.append(net)
+    assert all(np.allclose(nets[0].weights[k], nets[1].weights[k], atol=1e-4) for k in nets[0].weights)
+
+
+def test_gradient_equals_differences():
+    r = np.random.default_rng(5)
+    net = lm.Network(np.arange(30), np.arange(30) % lm.CLASSES, np.zeros(30))
+    net.start(30, lm.CLASSES)
+    x, y = r.integers(0, 30, (3, lm.WINDOW)), r.integers(-1, lm.CLASSES, (3, lm.WINDOW))
+
+    def loss() -> float:
+        logits = net.forward(x, 0)[0].astype(float)
+        p = logits - np.log(np.exp(logits).sum(-1, keepdims=True))
+        return -np.take_along_axis(p, np.maximum(y, 0)[..., None], -1)[..., 0][y >= 0].sum()
+
+    g = net.gradient(x, y, 1.0)
+    for k, w in net.weights.items():
+        at = np.unravel_index(np.argmax(np.abs(g[k])), w.shape)
+        kept, sides = w[at], []
+        for step in (0.01, -0.01):
+            w[at] = kept + step
+            sides.append(loss())
+        w[at] = kept
+        assert g[k][at] == pytest.approx((sides[0] - sides[1]) / 0.02, rel=0.03)
+
+
 def test_training_beats_uniform_classes():
     r = np.random.default_rng(0)
     x = r.integers(2, 22, (64, lm.WINDOW))
