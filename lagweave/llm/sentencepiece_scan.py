@@ -40,6 +40,7 @@ STAND_IN = "\udc00"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNREACHABLE = -(1 << 61)
 _KEPT = 150_000
+_TOGETHER = 2_000_000
 #: A score is so many times the unit of what settles ties.
 _UNIT = 1 << 30
 _PLACES = [int(x) for x in np.random.default_rng(17).integers(0, _UNIT, 1024)]
@@ -146,16 +147,88 @@ class Vocabulary:
         """Best ids of one segment, remembered in two generations of a bounded size."""
         if (got := self.kept.get(segment)) is None:
             if (got := self.older.get(segment)) is None:
-                ids = self.best(segment)[1]
-                got = np.array(ids, np.int32).tobytes()
-                if b"".join(map(self.spelled.__getitem__, ids)) != plain(segment):
-                    self.misspelled.add(segment)
-            if len(segment) < 64:
-                if len(self.kept) > _KEPT:
-                    self.older, self.kept = self.kept, {}
-                self.kept[segment] = got
+                got = self._keep(segment, self.best(segment)[1])
+            elif len(segment) < 64:
+                self._recall(segment, got)
+        return got
+
+    def best_of_sorted(self, segments: list[str]) -> list[list[int]]:
+        """The pieces of ``best`` of whole segments; what a segment shares with the start of the one before is not done again."""
+        out, before = [], ""
+        total, came, used, reach = [0], [0], [0], []
+        tree, longest, places = self.tree, self.longest, _PLACES
+        for s in segments:
+            n, same = len(s), 0
+            for a, b in zip(before, s):
+                if a != b:
+                    break
+                same += 1
+            new = n - same
+            total[same + 1 :], came[same + 1 :], used[same + 1 :] = [UNREACHABLE] * new, [0] * new, [0] * new
+            again = [i for i in range(max(0, same - longest), same) if reach[i] >= same]  # pieces from there may go on otherwise
+            reach[same:] = [0] * new
+            again.extend(range(same, n))
+            for i in again:
+                base, single, at, to, tie = total[i], False, tree, i, places[i & 1023]
+                for c in s[i : i + longest]:
+                    if (hit := at.get(c)) is None:
+                        break
+                    at, score, k, own = hit
+                    to += 1
+                    if score:
+                        if to == i + 1:
+                            single = True
+                        if (value := base + score + (tie ^ own)) > total[to]:
+                            total[to], came[to], used[to] = value, i, k
+                reach[i] = to
+                if not single and (value := base + self.byte_cost * len(_raw(s[i])) * _UNIT + (tie ^ self.own[-1])) > total[i + 1]:
+                    total[i + 1], came[i + 1], used[i + 1] = value, i, -1
+            ids, at = [], n
+            while at:
+                k, at = used[at], came[at]
+                ids.extend([k] if k >= 0 else [self.bytes_at[b] for b in reversed(_raw(s[at]))])
+            out.append(ids[::-1])
+            before = s
+        return out
+
+    def _keep(self, segment: str, ids: list[int]) -> bytes:
+        got = np.array(ids, np.int32).tobytes()
+        if b"".join(map(self.spelled.__getitem__, ids)) != plain(segment):
+            self.misspelled.add(segment)
+        if len(segment) < 64:
+            self._recall(segment, got)
         return got
 
+    def _recall(self, segment: str, got: bytes) -> None:
+        if len(self.kept) > _KEPT:
+            self.older, self.kept = self.kept, {}
+        self.kept[segment] = got
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes | None, bool]]:
+        """``encode`` of each text (a null one: None, True); new short segments of ``_TOGETHER`` characters are cut together."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size > _TOGETHER:
+                out.extend(self._together(held))
+                held, size = [], 0
+        return out + self._together(held)
+
+    def _together(self, texts: list[str | None]) -> list[tuple[bytes | None, bool]]:
+        found = [SEGMENT.findall(marked(t)) if t else [] for t in texts]
+        new = {s for s in set().union(*found) if len(s) < 64 and s not in self.kept and s not in self.older}
+        order = sorted(new)
+        for s, ids in zip(order, self.best_of_sorted(order)):
+            self._keep(s, ids)
+        return [(None, True) if t is None else self._joined(segments) for t, segments in zip(texts, found)]
+
+    def _joined(self, segments: list[str]) -> tuple[bytes, bool]:
+        got = list(map(self.kept.get, segments))
+        if None in got:
+            got = [self.cut(s) if g is None else g for s, g in zip(segments, got)]
+        return b"".join(got), not (self.misspelled and any(s in self.misspelled for s in segments))
+
     def forget(self) -> None:
         """Drops what is remembered of segments."""
         for held in (self.kept, self.older, self.values):
@@ -173,13 +246,7 @@ class Vocabulary:
 
     def encode(self, text: str) -> tuple[bytes, bool]:
         """Piece ids of the whole text as 32-bit integers, and whether they spell it."""
-        if not text:
-            return b"", True
-        segments = SEGMENT.findall(marked(text))
-        got = list(map(self.kept.get, segments))
-        if None in got:
-            got = [self.cut(s) if g is None else g for s, g in zip(segments, got)]
-        return b"".join(got), not (self.misspelled and any(s in self.misspelled for s in segments))
+        return self._joined(SEGMENT.findall(marked(text))) if text else (b"", True)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.spelled.__getitem__, ids.tolist()))[1:].decode(errors="replace")
@@ -327,7 +394,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 texts = part.column(1).to_pylist()
-                got = [(None, True) if t is None else v.encode(t) for t in texts]
+                got = v.encode_all(texts)
                 exact = [ok for _, ok in got]
                 lists = _lists([ids for ids, _ in got])
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64()), pa.array(exact)], names=["id", "pieces", "n_pieces", "exact"])

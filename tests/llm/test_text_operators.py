@@ -306,6 +306,18 @@ def test_chunks_give_the_pieces_of_one_scan(spark, monkeypatch):
 # 4 urls
 
 
+def test_segments_cut_together_equal_each_alone():
+    v, r = sp.vocabulary(sp.default_model()), random.Random(9)
+    word = lambda: "".join(r.choice("aehinrstü9é\U0001f600" + sp.MARK) for _ in range(r.choice([0, 1, 3, 5, 12, 70])))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(60)] + [None, "", "   ", "international internationally internationalization inter"] * 2
+    segments = sorted({s for t in texts if t for s in sp.SEGMENT.findall(sp.marked(t))})
+    assert v.best_of_sorted(segments) == [v.best(s)[1] for s in segments]
+    v.forget()
+    alone = [(None, True) if t is None else v.encode(t) for t in texts]
+    v.forget()
+    assert v.encode_all(texts) == alone == v.encode_all(texts)
+
+
 def test_urls(spark):
     urls = [
         ("http://Example.COM/en/7x?q=1", "example.com", "/en/7x", "example.com/en/7", "allow"), ("https://m.a.com/en/5#t", "m.a.com", "/en/5", "com/en/", "block"),
