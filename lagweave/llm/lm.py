@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ class Splitter:
             got = self.model.encode(text)
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             first = len(self.at)
-            ids = np.fromiter((k for g in got for k in g), np.int32, int(sizes.sum()))
+            ids = np.array(list(chain.from_iterable(got)), np.int32)
             self.begin[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.size[first : first + len(new)] = sizes
             self.used += len(ids)
@@ -167,36 +168,61 @@ class Network:
         return out.reshape(group.shape)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, share: float) -> dict[str, np.ndarray]:
-        """Of the sum of ``share`` times the class cross-entropies of windows ``x`` with targets ``y`` (-1: none)."""
-        w, (rows, n) = self.weights, x.shape
+        """Of the sum of ``share`` times the class cross-entropies of windows ``x`` with targets ``y`` (-1: none).
+
+        As in ``folded``, biases and sums are columns of the products. Attention is not divided by its
+        sums; what goes back to it is. Second factors lie as the products read them.
+        """
+        w, (rows, n), classes = self.weights, x.shape, self.weights["U"].shape[1]
         scale, share = np.float32(DIM**-0.5), np.float32(share)
         into = np.hstack([w["Q"] * scale, w["K"], w["V"]])
-        h = (w["E"].take(x, 0) + w["P"][:n]).reshape(-1, DIM)
-        q, k, v = np.split((h @ into).reshape(rows, n, 3 * DIM), 3, -1)
-        a = _exp(q @ k.transpose(0, 2, 1), _seen(n))
-        a /= a.sum(-1, keepdims=True)
-        o = (a @ v).reshape(-1, DIM)
-        z = o @ w["O"] + h
-        d = _exp(z @ w["U"] + w["b"])
-        goal = y.ravel()
-        at = np.flatnonzero(goal >= 0)
-        d *= ((goal >= 0) * share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
-        d[at, goal[at]] -= share
-        dz = d @ w["U"].T
-        do = dz @ w["O"].T
-        turn = np.einsum("ij,ij->i", do, o).reshape(rows, n, 1)
-        do = do.reshape(rows, n, DIM)
-        ds = do @ v.transpose(0, 2, 1)
-        ds -= turn
-        ds *= a
-        back = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], -1).reshape(-1, 3 * DIM)
-        dh = back @ into.T
-        dh += dz
-        gq, gk, gv = np.split(h.T @ back, 3, 1)
-        cells = (x.ravel() * DIM)[:, None] + np.arange(DIM)
-        g = {"U": z.T @ d, "b": d.sum(0), "O": o.T @ dz, "Q": gq * scale, "K": gk, "V": gv, "P": np.zeros_like(w["P"])}
-        g["P"][:n] = dh.reshape(rows, n, DIM).sum(0)
-        return g | {"E": np.bincount(cells.ravel(), dh.ravel(), w["E"].size).reshape(-1, DIM)}
+        out, seen, ones = np.vstack([w["U"], w["b"]]), _seen(n), np.ones(classes, np.float32)
+        into_t, out_t, o_t = (np.ascontiguousarray(m.T) for m in (into, w["U"], w["O"]))
+        g = {k: np.zeros_like(m) for k, m in (("U", out), ("O", w["O"]), ("Q", into), ("P", w["P"]))}
+        given = np.empty((rows * n, DIM), np.float32)
+        room = lambda name, *shape: _room(name, AT_ONCE, *shape)[:some]
+        for low in range(0, rows, AT_ONCE):
+            part = x[low : low + AT_ONCE]
+            some, goal = len(part), y[low : low + AT_ONCE].ravel()
+            cells = some * n
+            h = w["E"].take(part, 0, out=room("h", n, DIM), mode="clip")
+            h += w["P"][:n]
+            h = h.reshape(cells, DIM)
+            qkv = np.matmul(h, into, out=room("qkv", n, 3 * DIM).reshape(cells, -1)).reshape(some, n, 3 * DIM)
+            q, k, v = qkv[..., :DIM], room("k", DIM, n), room("v", DIM + 1, n)
+            k[:], v[:, :DIM], v[:, DIM] = qkv[..., DIM : 2 * DIM].transpose(0, 2, 1), qkv[..., 2 * DIM :].transpose(0, 2, 1), 1
+            a = _exp(np.matmul(q, k, out=room("a", n, n)), seen)
+            o = np.matmul(a, v.transpose(0, 2, 1), out=room("o", n, DIM + 1)).reshape(cells, DIM + 1)
+            each = 1 / o[:, DIM:]
+            o = np.multiply(o[:, :DIM], each, out=room("o / sum", n, DIM).reshape(cells, DIM))
+            z = room("z", n, DIM + 1).reshape(cells, DIM + 1)
+            np.add(o @ w["O"], h, out=z[:, :DIM])
+            z[:, DIM] = 1
+            d = _exp(np.matmul(z, out, out=room("d", n, classes).reshape(cells, classes)))
+            real = goal >= 0
+            d *= (real * share / (d @ ones))[:, None]
+            at = np.flatnonzero(real)
+            d.reshape(-1)[at * classes + goal[at]] -= share
+            dz = d @ out_t
+            do = room("do", n, DIM + 1).reshape(cells, DIM + 1)
+            np.multiply(dz @ o_t, each, out=do[:, :DIM])
+            np.negative(np.einsum("ij,ij->i", do[:, :DIM], o), out=do[:, DIM])
+            do = do.reshape(some, n, DIM + 1)
+            ds = np.matmul(do, v, out=room("ds", n, n))
+            ds *= a
+            back = room("back", n, 3 * DIM)
+            np.matmul(ds, qkv[..., DIM : 2 * DIM], out=back[..., :DIM])
+            np.matmul(ds.transpose(0, 2, 1), q, out=back[..., DIM : 2 * DIM])
+            np.matmul(a.transpose(0, 2, 1), do[..., :DIM], out=back[..., 2 * DIM :])
+            back = back.reshape(cells, 3 * DIM)
+            dh = np.matmul(back, into_t, out=given[low * n : low * n + cells])
+            dh += dz
+            for name, m in (("U", z.T @ d), ("O", o.T @ dz), ("Q", h.T @ back), ("P", dh.reshape(some, n, DIM).sum(0))):
+                g[name][: len(m)] += m
+        q, k, v = (g["Q"][:, low : low + DIM] for low in range(0, 3 * DIM, DIM))
+        places = _places(len(w["E"])).take(x.ravel(), 0)
+        sums = np.bincount(places.ravel(), given.ravel(), w["E"].size).reshape(-1, DIM)
+        return g | {"U": g["U"][:DIM], "b": g["U"][DIM], "Q": q * scale, "K": k, "V": v, "E": sums.astype(np.float32)}
 
     def fit(self, windows: np.ndarray, targets: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 0.01, done: int = 0, total: int | None = None) -> None:
         """Adam on the class cross-entropy of (windows, targets); a target of -1 doesn't count.
@@ -204,20 +230,30 @@ class Network:
         Each pass takes every window once. The rate falls to 0 over ``total`` steps (``steps`` by
         default), of which ``done`` lie before.
         """
-        w, r = self.weights, np.random.default_rng(5 + done)
-        m1, m2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+        r, names = np.random.default_rng(5 + done), list(self.weights)
+        flat = np.concatenate([self.weights[k].ravel() for k in names])
+        at = np.cumsum([0] + [self.weights[k].size for k in names])
+        self.weights = {k: flat[a:b].reshape(self.weights[k].shape) for k, a, b in zip(names, at, at[1:])}
+        m1, m2 = np.zeros_like(flat), np.zeros_like(flat)  # 10 and 100 times the means of gradients and squares
         passes = -(-steps * batch // max(1, len(windows)))
         order = np.concatenate([r.permutation(len(windows)) for _ in range(passes)]) if len(windows) else np.zeros(0, np.int64)
         for step in range(1, steps + 1 if len(windows) else 1):
             pick = order[(step - 1) * batch : step * batch]
-            share = 1 / max(1, (targets[pick] >= 0).sum())
-            parts = [self.gradient(windows[p], targets[p], share) for p in (pick[low : low + AT_ONCE] for low in range(0, len(pick), AT_ONCE))]
-            g = {k: sum(p[k] for p in parts).astype(np.float32) for k in w}
+            x, y = windows[pick], targets[pick]
+            got = self.gradient(x, y, 1 / max(1, (y >= 0).sum()))
+            g = np.concatenate([got[k].ravel() for k in names], out=_room("gradient", len(flat)))
             lr = rate * min(1.0, step / 20) * (1 - (done + step) / ((total or steps) + 1))
-            for name, grad in g.items():
-                m1[name] += 0.1 * (grad - m1[name])
-                m2[name] += 0.01 * (grad * grad - m2[name])
-                w[name] -= (lr * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            m1 *= 0.9
+            m1 += g
+            m2 *= 0.99
+            g *= g
+            m2 += g
+            np.sqrt(m2, out=g)
+            g *= (0.01 / (1 - 0.99**step)) ** 0.5
+            g += 1e-8
+            np.divide(m1, g, out=g)
+            g *= 0.1 * lr / (1 - 0.9**step)
+            flat -= g
 
     def score(self, ids: np.ndarray, edges: np.ndarray, at_once: int = 128) -> np.ndarray:
         """ln probability of each row's pieces (ids from edges[r] to edges[r + 1])."""
@@ -258,6 +294,18 @@ def _seen(n: int) -> np.ndarray:
     return np.tril(np.ones((n, n), np.float32))
 
 
+@cache
+def _room(name: str, *shape: int) -> np.ndarray:
+    """Memory that is used again; fresh arrays of this size would cost more than what is done with them."""
+    return np.empty(shape, np.float32)
+
+
+@cache
+def _places(rows: int) -> np.ndarray:
+    """Where the numbers of each embedding lie."""
+    return np.arange(rows * DIM).reshape(-1, DIM)
+
+
 def _exp(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
     """exp in place, 0 where not ``seen``; shifted by each row's largest entry where float32 would not hold it."""
     if x.max() > 60 or x.min() < -60:
@@ -294,7 +342,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
         for low, high in row_blocks(offsets):
             part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             starts, ends, hashes, bounds = find_words(part, at, LOWER)
-            distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            order = np.argsort(hashes)  # any occurrence of a word will do, so that no stable sort is needed
+            new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+            where, inverse = order[new], np.empty(len(hashes), np.int64)
+            inverse[order] = np.cumsum(new) - 1
+            distinct = hashes[where]
             yield batch, low, high, part, starts[where], ends[where], distinct, inverse, bounds
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -638,6 +639,21 @@ def test_gradient_equals_differences():
         assert g[k][at] == pytest.approx((sides[0] - sides[1]) / 0.02, rel=0.03)
 
 
+def test_steps_of_training_use_memory_again_and_windows_add_up():
+    r = np.random.default_rng(8)
+    net = lm.Network(np.arange(3000), np.arange(3000) % lm.CLASSES, np.zeros(3000))
+    net.start(2002, lm.CLASSES)
+    x, y = r.integers(0, 2002, (2 * lm.AT_ONCE + 5, lm.WINDOW)), r.integers(-1, lm.CLASSES, (2 * lm.AT_ONCE + 5, lm.WINDOW))
+    whole, each = net.gradient(x, y, 1.0), [net.gradient(x[k : k + 1], y[k : k + 1], 1.0) for k in range(len(x))]
+    for k, m in whole.items():
+        assert np.allclose(m, sum(g[k] for g in each), rtol=1e-3, atol=1e-3), k
+    tracemalloc.start()
+    net.gradient(x[: lm.AT_ONCE], y[: lm.AT_ONCE], 1.0)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 1_200_000
+
+
 def test_training_beats_uniform_classes():
     r = np.random.default_rng(0)
     x = r.integers(2, 22, (64, lm.WINDOW))
