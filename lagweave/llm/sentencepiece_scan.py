@@ -80,6 +80,8 @@ class Vocabulary:
         self.byte_cost = -round(1000 * float(np.log(rank + 2))) - 5000
         self.own = [int(x) for x in np.random.default_rng(23).integers(0, _UNIT, len(self.spelled) + 1)]  # the last is for spelled bytes
         self.tree = self._tree()
+        self._table()
+        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
         self.longest = max(map(len, self.score))
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -99,6 +101,40 @@ class Vocabulary:
                 nodes[name[:-1]][0][name[-1]] = tuple(nodes[name])
         return nodes[""][0]
 
+    def _table(self) -> None:
+        """The tree in arrays: the child of a node by a character is where ``first`` of the node and the character's number add up to, if its ``parent`` is the node."""
+        nodes, edges, found = [self.tree], [], [[0, 0, 0]]  # the first is the root
+        for number, children in enumerate(nodes):
+            for char, (below, *what) in children.items():
+                edges.append((number, char))
+                nodes.append(below)
+                found.append(what)
+        chars = sorted({c for _, c in edges})
+        of = {c: n for n, c in enumerate(chars, 1)}
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        child = np.array([of[c] for _, c in edges])
+        begin = np.searchsorted([a for a, _ in edges], np.arange(len(nodes) + 1))
+        count = np.diff(begin)
+        size = 4 * len(nodes) + 2 * len(chars)
+        first, place, free = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.ones(size, bool)
+        free[: len(chars) + 1] = False
+        r = np.random.default_rng(29)
+        for n in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
+            own = child[begin[n] : begin[n + 1]]
+            while not (fits := free[(tried := r.integers(1, size - len(chars), 16))[:, None] + own].all(1)).any():
+                pass
+            first[n] = tried[np.argmax(fits)]
+            place[begin[n] + 1 : begin[n + 1] + 1] = first[n] + own
+            free[first[n] + own] = False
+        single = np.flatnonzero(count == 1)
+        at = np.flatnonzero(free)[: len(single)]
+        first[single], place[begin[single] + 1] = at - child[begin[single]], at
+        self.first, self.parent = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        self.first[place], self.parent[place[1:]] = first, place[[a for a, _ in edges]]
+        self.worth, self.piece, self.tie = np.zeros(size, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64)
+        self.worth[place], self.piece[place], self.tie[place] = np.array(found, np.int64).T
+
     def pieces_at(self, s: str, i: int, place: int) -> list[tuple[int, int, int]]:
         """(end, value, id) of the pieces that start at ``i``, ``place`` in their word; a byte spelling has the id -1."""
         out, at, tie = [], self.tree, _PLACES[place & 1023]
@@ -153,43 +189,100 @@ class Vocabulary:
         return got
 
     def best_of_sorted(self, segments: list[str]) -> list[list[int]]:
-        """The pieces of ``best`` of whole segments; what a segment shares with the start of the one before is not done again."""
-        out, before = [], ""
-        total, came, used, reach = [0], [0], [0], []
-        tree, longest, places = self.tree, self.longest, _PLACES
-        for s in segments:
-            n, same = len(s), 0
-            for a, b in zip(before, s):
-                if a != b:
+        """The pieces of ``best`` of whole segments, in any order."""
+        ids, edges, _ = self.side_by_side(segments)
+        return [ids[a:b].tolist() for a, b in zip(edges.tolist(), edges[1:].tolist())]
+
+    def side_by_side(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, bounds, values): ``best`` of whole segments, a place of all of them at a time.
+
+        Segments lie by falling length, so that those that reach a place are the first ones.
+        """
+        codes, edges = _codes(segments)
+        size = np.diff(edges)
+        order = np.argsort(-size, kind="stable")
+        start, size = edges[:-1][order], size[order]
+        longest = int(size.max(initial=0))
+        reach = np.searchsorted(-size, -np.arange(longest + 1), side="right")  # how many have so many characters
+        low = np.concatenate([[0], np.cumsum(reach)])
+        total, came, used = np.full(low[-1], UNREACHABLE), np.zeros(low[-1], np.int32), np.zeros(low[-1], np.int32)
+        total[: reach[0]] = 0
+        numbers = self.number[codes]
+        chars = [numbers[start[:n] + i] for i, n in enumerate(reach[1:])]
+        root, spelled = np.int32(0), self.byte_cost * _raw_size(codes) * _UNIT
+        for i, here in enumerate(chars):
+            tie, base = _PLACES[i & 1023], total[low[i] : low[i] + len(here)]
+            at, node, end = np.arange(len(here)), np.full(len(here), root), i
+            single = None
+            while len(at):
+                to = self.first[node] + chars[end][at]
+                known = np.flatnonzero(self.parent[to] == node)
+                at, node, end = at[known], to[known], end + 1
+                worth = self.worth[node]
+                hit = np.flatnonzero(worth)
+                self._better(total, came, used, low[end] + at[hit], base[at[hit]] + worth[hit] + (self.tie[node[hit]] ^ tie), i, self.piece[node[hit]])
+                if single is None:
+                    single = np.ones(len(here), bool)
+                    single[at[hit]] = False
+                    none = np.flatnonzero(single)
+                if end == len(chars):
                     break
-                same += 1
-            new = n - same
-            total[same + 1 :], came[same + 1 :], used[same + 1 :] = [UNREACHABLE] * new, [0] * new, [0] * new
-            again = [i for i in range(max(0, same - longest), same) if reach[i] >= same]  # pieces from there may go on otherwise
-            reach[same:] = [0] * new
-            again.extend(range(same, n))
-            for i in again:
-                base, single, at, to, tie = total[i], False, tree, i, places[i & 1023]
-                for c in s[i : i + longest]:
-                    if (hit := at.get(c)) is None:
-                        break
-                    at, score, k, own = hit
-                    to += 1
-                    if score:
-                        if to == i + 1:
-                            single = True
-                        if (value := base + score + (tie ^ own)) > total[to]:
-                            total[to], came[to], used[to] = value, i, k
-                reach[i] = to
-                if not single and (value := base + self.byte_cost * len(_raw(s[i])) * _UNIT + (tie ^ self.own[-1])) > total[i + 1]:
-                    total[i + 1], came[i + 1], used[i + 1] = value, i, -1
-            ids, at = [], n
-            while at:
-                k, at = used[at], came[at]
-                ids.extend([k] if k >= 0 else [self.bytes_at[b] for b in reversed(_raw(s[at]))])
-            out.append(ids[::-1])
-            before = s
-        return out
+                inside = np.searchsorted(at, reach[end + 1])  # those that have a next character
+                at, node = at[:inside], node[:inside]
+            self._better(total, came, used, low[i + 1] + none, base[none] + spelled[start[none] + i] + (self.own[-1] ^ tie), i, -1)
+        marks, row, place = np.zeros(len(codes), np.int32), np.arange(len(size)), size
+        values = np.empty(len(size), np.int64)
+        values[order] = total[low[size] + row]
+        while len(row):
+            cell = low[place] + row
+            marks[start[row] + place - 1] = used[cell] + 2  # at the last character of the piece
+            place = came[cell]
+            row, place = row[place > 0], place[place > 0]
+        last = np.flatnonzero(marks)
+        ids = marks[last] - 2
+        bounds = np.searchsorted(last, edges)
+        if len(odd := np.flatnonzero(ids < 0)):
+            many, kind = np.ones(len(ids), np.int64), codes[last[odd]]
+            many[odd] = _raw_size(kind)
+            to = np.concatenate([[0], np.cumsum(many)])
+            ids = np.repeat(ids, many)
+            for code in np.unique(kind).tolist():
+                for n, byte in enumerate(_raw(chr(code))):
+                    ids[to[odd[kind == code]] + n] = self.bytes_at[byte]
+            bounds = to[bounds]
+        return ids, bounds, values
+
+    @staticmethod
+    def _better(total: np.ndarray, came: np.ndarray, used: np.ndarray, cell: np.ndarray, value: np.ndarray, i: int, piece) -> None:
+        won = np.flatnonzero(value > total[cell])
+        cell = cell[won]
+        total[cell], came[cell], used[cell] = value[won], i, piece if isinstance(piece, int) else piece[won]
+
+    def learn(self, segments: set[str]) -> None:
+        """Remembers the pieces of short segments, and cuts those that are new side by side."""
+        if len(self.kept) > _KEPT:
+            self.older, self.kept = self.kept, {}
+        new = []
+        for s in segments - self.kept.keys():
+            if (got := self.older.get(s)) is not None:
+                self.kept[s] = got
+            elif len(s) < 64:
+                new.append(s)
+        ids, bounds, values = self.side_by_side(new)
+        codes, edges = _codes(new)
+        size = np.diff(np.concatenate([[0], np.cumsum(self.spelled_size[ids])])[bounds])
+        plain_size = np.diff(np.concatenate([[0], np.cumsum(np.where(codes == ord(MARK), 1, _raw_size(codes)))])[edges])
+        if (size != plain_size).any() or b"".join(map(self.spelled.__getitem__, ids.tolist())) != plain("".join(new)):
+            self.misspelled.update(s for s, a, b in zip(new, bounds, bounds[1:]) if b"".join(map(self.spelled.__getitem__, ids[a:b].tolist())) != plain(s))
+        raw, bounds = ids.astype(np.int32).tobytes(), (4 * bounds).tolist()
+        self.kept.update(zip(new, [raw[a:b] for a, b in zip(bounds, bounds[1:])]))
+
+    def learn_values(self, segments: set[str]) -> None:
+        """As ``learn``, for ``value``."""
+        if len(self.values) > _KEPT:
+            self.values.clear()
+        new = [s for s in segments - self.values.keys() if len(s) < 64]
+        self.values.update(zip(new, self.side_by_side(new)[2].tolist()))
 
     def _keep(self, segment: str, ids: list[int]) -> bytes:
         got = np.array(ids, np.int32).tobytes()
@@ -205,7 +298,7 @@ class Vocabulary:
         self.kept[segment] = got
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[bytes | None, bool]]:
-        """``encode`` of each text (a null one: None, True); new short segments of ``_TOGETHER`` characters are cut together."""
+        """``encode`` of each text (a null one: None, True); new short segments of ``_TOGETHER`` characters are cut side by side."""
         out, held, size = [], [], 0
         for t in texts:
             held.append(t)
@@ -217,10 +310,7 @@ class Vocabulary:
 
     def _together(self, texts: list[str | None]) -> list[tuple[bytes | None, bool]]:
         found = [SEGMENT.findall(marked(t)) if t else [] for t in texts]
-        new = {s for s in set().union(*found) if len(s) < 64 and s not in self.kept and s not in self.older}
-        order = sorted(new)
-        for s, ids in zip(order, self.best_of_sorted(order)):
-            self._keep(s, ids)
+        self.learn(set().union(*found))
         return [(None, True) if t is None else self._joined(segments) for t, segments in zip(texts, found)]
 
     def _joined(self, segments: list[str]) -> tuple[bytes, bool]:
@@ -305,6 +395,17 @@ def _raw(char: str) -> bytes:
     return (MARK if char == STAND_IN else char).encode()
 
 
+def _raw_size(codes: np.ndarray) -> np.ndarray:
+    """Bytes of ``_raw`` by code point; a stand-in has the 3 of a mark."""
+    return 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+
+
+def _codes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points one after another, bounds)."""
+    codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return codes, np.concatenate([[0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))])
+
+
 def plain(segment: str) -> bytes:
     """The bytes that the pieces of a segment should spell."""
     return segment.replace(MARK, " ").replace(STAND_IN, MARK).encode()
@@ -320,6 +421,12 @@ def segment_starts(s: str, begins: bool) -> list[int]:
     return [0, *out] if begins and s else out
 
 
+def inside(s: str, length: int, place: int) -> list[str]:
+    """The whole segments of a chunk, which are cut alone."""
+    starts = segment_starts(s[:length], place == 0)
+    return [s[a:b] for a, b in zip(starts, starts[1:])]
+
+
 @cache
 def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -441,7 +548,11 @@ def encode_giant(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataF
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for batch in batches:
-            got = [settled(v.matrix(marked(s, False), n, p)).tobytes() for s, n, p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            rows = [(marked(s, False), n, p) for s, n, p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            got = []
+            for low in range(0, len(rows), 256):
+                v.learn_values(set().union(*(inside(*row) for row in rows[low : low + 256])))
+                got += [settled(v.matrix(*row)).tobytes() for row in rows[low : low + 256]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["key", "no", "matrix"])
 
     def product(rows: pd.DataFrame) -> pd.DataFrame:
@@ -463,8 +574,11 @@ def encode_giant(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataF
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(2, 7)]
-            ids = [v.trace(marked(s, False), n, p, e, o) for s, n, p, e, o in zip(*cols)]
+            rows = [(marked(s, False), *more) for s, *more in zip(*(batch.column(k).to_pylist() for k in range(2, 7)))]
+            ids = []
+            for low in range(0, len(rows), 256):
+                v.learn(set().union(*(inside(*row[:3]) for row in rows[low : low + 256])))
+                ids += [v.trace(*row) for row in rows[low : low + 256]]
             words = [b"".join(map(v.spelled.__getitem__, np.frombuffer(i, np.int32).tolist())) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids), pa.array(words, pa.binary())], names=["key", "no", "ids", "raw"])
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -319,6 +320,23 @@ def test_segments_cut_together_equal_each_alone():
     assert v.encode_all(texts) == alone == v.encode_all(texts)
 
 
+def test_segments_cut_side_by_side_have_the_best_values_and_cost_less():
+    v, r = sp.vocabulary(sp.default_model()), random.Random(4)
+    word = lambda: "".join(r.choice("aehinrstü9é天😀ࠀ" + sp.MARK + sp.STAND_IN) for _ in range(r.choice([1, 2, 7, 20, 90])))
+    few = [word() for _ in range(2000)] + ["a", "天天"]
+    ids, bounds, values = v.side_by_side(few)
+    assert [(int(x), ids[a:b].tolist()) for x, a, b in zip(values, bounds, bounds[1:])] == [v.best(s) for s in few]
+    assert [len(x) for x in v.side_by_side([])] == [0, 1, 0]
+    texts = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(9)) for _ in range(200)) for _ in range(200)]
+    v.forget()
+    begin = time.process_time()
+    v.encode_all(texts)
+    together = time.process_time() - begin
+    for s in {s for t in texts for s in sp.SEGMENT.findall(sp.marked(t))}:
+        v.best(s)
+    assert together < 0.6 * (time.process_time() - begin - together)
+
+
 def test_urls(spark):
     urls = [
         ("http://Example.COM/en/7x?q=1", "example.com", "/en/7x", "example.com/en/7", "allow"), ("https://m.a.com/en/5#t", "m.a.com", "/en/5", "com/en/", "block"),
