@@ -122,14 +122,19 @@ class Vocabulary:
         r = np.random.default_rng(29)
         for n in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
             own = child[begin[n] : begin[n + 1]]
-            while not (fits := free[(tried := r.integers(1, size - len(chars), 16))[:, None] + own].all(1)).any():
-                pass
-            first[n] = tried[np.argmax(fits)]
+            for _ in range(50):
+                tried = r.integers(1, size - len(chars), 16)
+                if (fits := free[tried[:, None] + own].all(1)).any():
+                    first[n] = tried[np.argmax(fits)]
+                    break
+            else:  # too crowded for so many children
+                first[n], free = len(free), np.concatenate([free, np.ones(len(chars) + 1, bool)])
             place[begin[n] + 1 : begin[n + 1] + 1] = first[n] + own
             free[first[n] + own] = False
         single = np.flatnonzero(count == 1)
         at = np.flatnonzero(free)[: len(single)]
         first[single], place[begin[single] + 1] = at - child[begin[single]], at
+        size = len(free)
         self.first, self.parent = np.zeros(size, np.int32), np.full(size, -1, np.int32)
         self.first[place], self.parent[place[1:]] = first, place[[a for a, _ in edges]]
         self.worth, self.piece, self.tie = np.zeros(size, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64)
