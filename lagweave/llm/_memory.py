@@ -6,8 +6,11 @@ would stay while quite another one runs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch; texts are long, so Spark's default of 10,000 would be tens of megabytes on both sides.
@@ -31,3 +34,11 @@ def only(operator: str) -> None:
     """Drops, at the start of a task, what operators other than this one keep in this worker."""
     for other in [x for x in _LEFT if x != operator]:
         _LEFT.pop(other)()
+    given_back()
+
+
+def given_back() -> None:
+    """Hands freed memory back to the system: an idle worker's counts against its executor as much as a busy one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm._memory import modest_batches, only, remembers
+from lagweave.llm._memory import given_back, modest_batches, only, remembers
 from lagweave.llm._shared import salted_join, written
 
 GIANT, CHUNK = 32_768, 8_192
@@ -39,8 +39,9 @@ STAND_IN = "\udc00"
 #: No piece crosses from a word into the mark of the next, so these are cut independently.
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNREACHABLE = -(1 << 61)
-_KEPT = 150_000
-_TOGETHER = 2_000_000
+#: Segments that a generation remembers, and characters that are cut at once; they bound a worker's memory.
+_KEPT = 75_000
+_TOGETHER = 700_000
 #: A score is so many times the unit of what settles ties.
 _UNIT = 1 << 30
 _PLACES = [int(x) for x in np.random.default_rng(17).integers(0, _UNIT, 1024)]
@@ -488,6 +489,14 @@ def _lists(values: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([v is None for v in values]))
 
 
+def _portions(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many chunks as ``_TOGETHER`` allows."""
+    rows = max(1, _TOGETHER // chunk)
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(id, pieces array<int>, n_pieces, exact) for every row of ``docs``.
 
@@ -510,6 +519,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 exact = [ok for _, ok in got]
                 lists = _lists([ids for ids, _ in got])
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64()), pa.array(exact)], names=["id", "pieces", "n_pieces", "exact"])
+        given_back()
 
     schema = f"id {kind}, pieces array<int>, n_pieces long, exact boolean"
     is_giant = F.coalesce(F.length("text") > giant, F.lit(False))
@@ -552,13 +562,12 @@ def encode_giant(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataF
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
-        for batch in batches:
-            rows = [(marked(s, False), n, p) for s, n, p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            got = []
-            for low in range(0, len(rows), 256):
-                v.learn_values(set().union(*(inside(*row) for row in rows[low : low + 256])))
-                got += [settled(v.matrix(*row)).tobytes() for row in rows[low : low + 256]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["key", "no", "matrix"])
+        for part in _portions(batches, chunk):
+            rows = [(marked(s, False), n, p) for s, n, p in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
+            v.learn_values(set().union(*(inside(*row) for row in rows)))
+            got = [settled(v.matrix(*row)).tobytes() for row in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.binary())], names=["key", "no", "matrix"])
+        given_back()
 
     def product(rows: pd.DataFrame) -> pd.DataFrame:
         found = _squares(rows.sort_values("no")["matrix"])
@@ -578,14 +587,13 @@ def encode_giant(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataF
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
-        for batch in batches:
-            rows = [(marked(s, False), *more) for s, *more in zip(*(batch.column(k).to_pylist() for k in range(2, 7)))]
-            ids = []
-            for low in range(0, len(rows), 256):
-                v.learn(set().union(*(inside(*row[:3]) for row in rows[low : low + 256])))
-                ids += [v.trace(*row) for row in rows[low : low + 256]]
+        for part in _portions(batches, chunk):
+            rows = [(marked(s, False), *more) for s, *more in zip(*(part.column(k).to_pylist() for k in range(2, 7)))]
+            v.learn(set().union(*(inside(*row[:3]) for row in rows)))
+            ids = [v.trace(*row) for row in rows]
             words = [b"".join(map(v.spelled.__getitem__, np.frombuffer(i, np.int32).tolist())) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids), pa.array(words, pa.binary())], names=["key", "no", "ids", "raw"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(ids), pa.array(words, pa.binary())], names=["key", "no", "ids", "raw"])
+        given_back()
 
     kept = written(texts)
     chunks = kept.mapInArrow(split, "key string, no long, s string, length int, place long").repartition("key", "no")

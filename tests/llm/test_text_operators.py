@@ -17,7 +17,7 @@ from compare import connect, same
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lagweave.llm import _words, chat, decontaminate, langid, lm, ngram_join, pii, quality, registry, toxicity, urlfilter
+from lagweave.llm import _memory, _words, chat, decontaminate, langid, lm, ngram_join, pii, quality, registry, toxicity, urlfilter
 from lagweave.llm import sentencepiece_scan as sp
 from lagweave.llm.components import connected
 
@@ -305,6 +305,23 @@ def test_chunks_give_the_pieces_of_one_scan(spark, monkeypatch):
         assert {x["doc_id"]: x["pieces"] for x in got} == want and all(x["exact"] for x in got)
 
 
+def test_cutting_and_what_it_leaves_take_little_memory(monkeypatch):
+    v, r, freed = sp.vocabulary(sp.default_model()), random.Random(6), []
+    texts = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(9)) for _ in range(5000)) for _ in range(30)]
+    v.forget()
+    tracemalloc.start()
+    got = v.encode_all(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(exact and v.decode(np.frombuffer(ids, np.int32)) == t for t, (ids, exact) in zip(texts, got))
+    assert peak < 85_000_000 and len(v.kept) + len(v.older) <= 300_000
+    v.forget()
+    assert [p.num_rows for p in sp._portions(iter([pa.record_batch({"no": range(200)})]), sp.CHUNK)] == [85, 85, 30]
+    monkeypatch.setattr(_memory, "given_back", lambda: freed.append(1))
+    _memory.only("pieces")  # at the start of a task
+    assert freed
+
+
 # 4 urls
 
 
