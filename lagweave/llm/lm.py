@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagweave.llm._memory import only, remembers
 from lagweave.llm._shared import dropped, shared_folder, written
 from lagweave.llm._split import remainder
 from lagweave.llm._words import LOWER, find_words, row_blocks, utf8
@@ -29,7 +30,8 @@ from lagweave.llm.sentencepiece_scan import default_model
 DIM, WINDOW, STRIDE, CLASSES, EMBEDDED = 16, 32, 16, 48, 2000
 #: Words whose counts are shared with every task; the others are joined.
 SHARED_WORDS = 200_000
-_KEPT = 300_000
+#: Words that a worker remembers the pieces of, from one task to the next; about 50 bytes each.
+_KEPT = 1_000_000
 #: Windows of a row of training pieces, as they are scored; without the first one's overlap it holds 32 whole windows.
 RUN = 63
 #: Windows of a cell (about), groups of cells (at least), rounds over the groups, steps of a cell in its round.
@@ -51,41 +53,88 @@ def _pieces(path: str):
 
 
 class Splitter:
-    """Subword ids of lower-cased words, remembered by word hash up to a bound."""
+    """Subword ids of lower-cased words, remembered by word hash up to a bound.
+
+    The hashes lie in an open table of at most half its slots, by their leading bits, so that sorted ones
+    are looked up and put in from its one end to the other, all at once.
+    """
 
     def __init__(self, path: str) -> None:
         self.model = _pieces(path)
         self.vocabulary = self.model.get_piece_size()
         self.end = self.vocabulary  # one id more, for the end of a text
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.begin, self.size, self.used = np.zeros(_KEPT * 2, np.int64), np.zeros(_KEPT * 2, np.int64), 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what is remembered of words."""
+        self.flat, self.edges, self.many, self.used = np.zeros(1 << 16, np.int32), np.zeros((1 << 14) + 1, np.int32), 0, 0
+        self._open(16)
+
+    def _open(self, bits: int) -> None:
+        self.bits, self.key, self.row = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for a new one."""
+        slot, out, left = self._slot(hashes), np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        while len(left):
+            row = self.row[slot]
+            same = self.key[slot] == hashes[left]
+            same &= row >= 0
+            out[left[same]] = row[same]
+            on = (row >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & (len(self.key) - 1)
+        return out
+
+    def _put(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Notes distinct new words."""
+        slot = self._slot(hashes)
+        while len(hashes):
+            free = np.flatnonzero(self.row[slot] < 0)
+            self.row[slot[free]] = rows[free]  # of several for a slot the last stays
+            on = self.row[slot] != rows
+            self.key[slot[~on]] = hashes[~on]
+            hashes, rows, slot = hashes[on], rows[on], (slot[on] + 1) & (len(self.key) - 1)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Cuts distinct new words; their numbers."""
+        size = ends - starts + 1  # with a line feed, which no word holds
+        over = np.cumsum(size)
+        raw = LOWER[data[np.minimum(np.arange(over[-1]) + np.repeat(starts - over + size, size), len(data) - 1)]]
+        raw[over - 1] = 10
+        got = self.model.encode(raw[:-1].tobytes().decode(errors="replace").split("\n"), num_threads=1)  # a task has one core
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))
+        many, used = self.many + len(got), self.used + len(ids)
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(used, np.int32)])
+        if many >= len(self.edges):
+            self.edges = np.concatenate([self.edges, np.zeros(many, np.int32)])
+        self.flat[self.used : used] = ids
+        self.edges[self.many + 1 : many + 1] = self.used + np.cumsum(sizes)
+        rows = np.arange(self.many, many, dtype=np.int32)
+        self.many, self.used = many, used
+        if 2 * many > len(self.key):
+            at = np.flatnonzero(self.row >= 0)
+            kept, old = self.key[at], self.row[at]
+            self._open((2 * many).bit_length())
+            self._put(kept, old)
+        self._put(hashes, rows)
+        return rows
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, begins, sizes) of distinct words, given where each stands once."""
-        if len(self.at) + len(hashes) > _KEPT * 2 or len(self.at) > _KEPT:
-            self._clear()
-        if len(hashes) > _KEPT * 2:
-            self.begin, self.size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        index = np.fromiter((self.at.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
-        new = np.flatnonzero(index < 0)
+        """(flat ids, begins, sizes) of distinct words, given where each stands once; good until the next call."""
+        row = self._find(hashes)
+        new = np.flatnonzero(row < 0)
+        if len(new) and self.many and (self.many + len(new) > _KEPT or self.used > 8 * _KEPT):
+            self.forget()
+            row, new = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
         if len(new):
-            raw = LOWER[data].tobytes()
-            text = [raw[a:b].decode(errors="replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            got = self.model.encode(text)
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            first = len(self.at)
-            ids = np.array(list(chain.from_iterable(got)), np.int32)
-            self.begin[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.size[first : first + len(new)] = sizes
-            self.used += len(ids)
-            self.flat = [np.concatenate([*self.flat, ids])]
-            index[new] = np.arange(first, first + len(new))
-            self.at.update(zip(hashes[new].tolist(), index[new].tolist()))
-        return self.flat[0] if self.flat else np.zeros(0, np.int32), self.begin[index], self.size[index]
+            row[new] = self._learn(data, starts[new], ends[new], hashes[new])
+        begin = self.edges[row].astype(np.int64)
+        return self.flat, begin, self.edges[row + 1] - begin
 
     def sequences(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row bounds): the pieces of each row's words and then the end, ``begin`` and ``size`` by word."""
@@ -100,6 +149,19 @@ class Splitter:
         return out, edges
 
 
+@cache
+def _splitter(path: str) -> Splitter:
+    return Splitter(path)
+
+
+def splitter_of(path: str) -> Splitter:
+    """The splitter of a file, one for all tasks of a worker; other operators' caches there are dropped."""
+    only("words")
+    s = _splitter(path)
+    remembers("words", s.forget)
+    return s
+
+
 @dataclass
 class Network:
     """Embeddings by rank (0: start of text, 1: rare), one attention layer, and class logits."""
@@ -133,32 +195,35 @@ class Network:
     def folded(self) -> dict[str, np.ndarray]:
         """Weights for scoring: biases, scales and sums are columns of the same products.
 
-        What a position gives is a sum of a row by its piece and one by its place: (h, q) and (k, v).
+        What a position gives is a sum of a row by its piece and one by its place: h, q, and (k, v O).
         """
         w = self.weights
         one = lambda m, right: np.block([[m, np.zeros((DIM, right), np.float32)], [np.zeros((1, m.shape[1]), np.float32), np.ones((1, right), np.float32)]])
         e, p = np.hstack([w["E"], np.ones((len(w["E"]), 1), np.float32)]), np.hstack([w["P"], np.zeros((WINDOW, 1), np.float32)])
-        hq = np.hstack([np.eye(DIM + 1, dtype=np.float32), one(w["Q"] * np.float32(DIM**-0.5), 0)])
-        kv = np.hstack([one(w["K"], 0), one(w["V"], 1)])
+        q, kv = one(w["Q"] * np.float32(DIM**-0.5), 0), np.hstack([one(w["K"], 0), one(w["V"] @ w["O"], 1)])
         return {
-            "E_hq": e @ hq, "P_hq": p @ hq, "E_kv": e @ kv, "P_kv": p @ kv, "O": w["O"], "U": np.vstack([w["U"], w["b"]]),
-            "mask": _seen(WINDOW), "ones": np.ones(w["U"].shape[1], np.float32),
+            "E_h": e, "P_h": p, "E_q": e @ q, "P_q": p @ q, "E_kv": e @ kv, "P_kv": p @ kv, "U": np.vstack([w["U"], w["b"]]),
+            "mask": np.ascontiguousarray(_seen(WINDOW).T), "ones": np.ones(w["U"].shape[1], np.float32),
         }
 
     def chosen(self, w: dict[str, np.ndarray], x: np.ndarray, first: int, group: np.ndarray) -> np.ndarray:
         """ln probability of the classes ``group`` at positions ``first`` on, as by ``forward``."""
-        hq = w["E_hq"].take(x[:, first:], 0)
-        hq += w["P_hq"][first:]
+        late = x[:, first:]
+        z = w["E_h"].take(late, 0)
+        z += w["P_h"][first:]
+        q = w["E_q"].take(late, 0)
+        q += w["P_q"][first:]
         kv = w["E_kv"].take(x, 0)
         kv += w["P_kv"]
-        s = hq[..., DIM + 1 :] @ kv[..., :DIM].transpose(0, 2, 1)
+        s = kv[..., :DIM] @ np.ascontiguousarray(q.transpose(0, 2, 1))  # a row for each piece that is seen
         np.exp(s, out=s)
-        s *= w["mask"][first:]
-        o = (s @ kv[..., DIM:]).reshape(-1, DIM + 1)
-        z = hq[..., : DIM + 1].reshape(-1, DIM + 1)
-        z[:, :DIM] += (o[:, :DIM] / o[:, DIM:]) @ w["O"]
-        logits = z @ w["U"]
-        picked = logits[np.arange(len(logits)), group.ravel()]
+        s *= w["mask"] if first == 0 else np.ascontiguousarray(w["mask"][:, first:])
+        o = (s.transpose(0, 2, 1) @ kv[..., DIM:]).reshape(-1, DIM + 1)
+        o /= o[:, DIM:].copy()
+        o[:, DIM] = 0
+        o += z.reshape(-1, DIM + 1)
+        logits = o @ w["U"]
+        picked = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + group.ravel())
         np.exp(logits, out=logits)
         out = picked - np.log(logits @ w["ones"])
         if not np.isfinite(out).all():  # beyond float32 without shifting
@@ -176,7 +241,7 @@ class Network:
         w, (rows, n), classes = self.weights, x.shape, self.weights["U"].shape[1]
         scale, share = np.float32(DIM**-0.5), np.float32(share)
         into = np.hstack([w["Q"] * scale, w["K"], w["V"]])
-        out, seen, ones = np.vstack([w["U"], w["b"]]), _seen(n), np.ones(classes, np.float32)
+        out, seen, ones = np.vstack([w["U"], w["b"]]), _seen(n), np.ones(max(n, classes), np.float32)
         into_t, out_t, o_t = (np.ascontiguousarray(m.T) for m in (into, w["U"], w["O"]))
         g = {k: np.zeros_like(m) for k, m in (("U", out), ("O", w["O"]), ("Q", into), ("P", w["P"]))}
         given = np.empty((rows * n, DIM), np.float32)
@@ -192,15 +257,15 @@ class Network:
             q, k, v = qkv[..., :DIM], room("k", DIM, n), room("v", DIM + 1, n)
             k[:], v[:, :DIM], v[:, DIM] = qkv[..., DIM : 2 * DIM].transpose(0, 2, 1), qkv[..., 2 * DIM :].transpose(0, 2, 1), 1
             a = _exp(np.matmul(q, k, out=room("a", n, n)), seen)
-            o = np.matmul(a, v.transpose(0, 2, 1), out=room("o", n, DIM + 1)).reshape(cells, DIM + 1)
-            each = 1 / o[:, DIM:]
-            o = np.multiply(o[:, :DIM], each, out=room("o / sum", n, DIM).reshape(cells, DIM))
+            o = np.matmul(a, qkv[..., 2 * DIM :], out=room("o", n, DIM)).reshape(cells, DIM)
+            each = 1 / (a.reshape(cells, n) @ ones[:n])[:, None]
+            o *= each
             z = room("z", n, DIM + 1).reshape(cells, DIM + 1)
             np.add(o @ w["O"], h, out=z[:, :DIM])
             z[:, DIM] = 1
             d = _exp(np.matmul(z, out, out=room("d", n, classes).reshape(cells, classes)))
             real = goal >= 0
-            d *= (real * share / (d @ ones))[:, None]
+            d *= (real * share / (d @ ones[:classes]))[:, None]
             at = np.flatnonzero(real)
             d.reshape(-1)[at * classes + goal[at]] -= share
             dz = d @ out_t
@@ -220,9 +285,9 @@ class Network:
             for name, m in (("U", z.T @ d), ("O", o.T @ dz), ("Q", h.T @ back), ("P", dh.reshape(some, n, DIM).sum(0))):
                 g[name][: len(m)] += m
         q, k, v = (g["Q"][:, low : low + DIM] for low in range(0, 3 * DIM, DIM))
-        places = _places(len(w["E"])).take(x.ravel(), 0)
-        sums = np.bincount(places.ravel(), given.ravel(), w["E"].size).reshape(-1, DIM)
-        return g | {"U": g["U"][:DIM], "b": g["U"][DIM], "Q": q * scale, "K": k, "V": v, "E": sums.astype(np.float32)}
+        sums = np.zeros(w["E"].size // 2, np.complex64)  # a complex number adds two at once
+        np.add.at(sums, _places(len(w["E"])).take(x.ravel(), 0).ravel(), given.view(np.complex64).ravel())
+        return g | {"U": g["U"][:DIM], "b": g["U"][DIM], "Q": q * scale, "K": k, "V": v, "E": sums.view(np.float32).reshape(-1, DIM)}
 
     def fit(self, windows: np.ndarray, targets: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 0.01, done: int = 0, total: int | None = None) -> None:
         """Adam on the class cross-entropy of (windows, targets); a target of -1 doesn't count.
@@ -260,27 +325,33 @@ class Network:
         total = np.zeros(len(edges) - 1)
         if not len(ids):
             return total
-        w = self.folded()
-        before = np.zeros(len(ids), np.int64)
-        before[1:] = self.rank[ids[:-1]]
-        before[edges[:-1][edges[:-1] < len(ids)]] = 0
-        group = self.group[ids]
-        gained = self.inside[ids].astype(float)
+        w, padded = self.folded(), len(ids) + WINDOW
+        before, group, gained = np.zeros(padded, np.int64), np.zeros(padded, np.int64), np.zeros(padded)
+        before[1 : len(ids)] = self.rank[ids[:-1]]
+        before[edges[:-1]] = 0
+        group[: len(ids)], gained[: len(ids)] = self.group[ids], self.inside[ids]
         sizes = np.diff(edges)
         later = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
         heads = (edges[:-1], edges[1:])
         tails_row = np.repeat(np.arange(len(sizes)), later)
         nth = np.arange(int(later.sum())) - np.repeat(np.cumsum(later) - later, later) + 1
         tails = (edges[:-1][tails_row] + nth * STRIDE, edges[1:][tails_row])
+        given = np.lib.stride_tricks.sliding_window_view(before, WINDOW)
         for (begin, over), first in ((heads, 0), (tails, WINDOW - STRIDE)):
-            for low in range(0, len(begin), at_once):
-                b, e = begin[low : low + at_once], over[low : low + at_once]
-                at = b[:, None] + np.arange(WINDOW)
-                real = at[:, first:] < e[:, None]
-                at = np.minimum(at, len(ids) - 1)
-                to = at[:, first:]
-                gained[to[real]] += self.chosen(w, before[at], first, group[to])[real]
-        sums = np.concatenate([[0.0], np.cumsum(gained)])
+            goal, taken = (np.lib.stride_tricks.sliding_window_view(m, WINDOW - first, writeable=m is gained) for m in (group, gained))
+            whole = begin + WINDOW <= over
+            for full in (True, False):
+                mine = np.flatnonzero(whole == full)
+                for low in range(0, len(mine), at_once):
+                    b, e = begin[mine[low : low + at_once]], over[mine[low : low + at_once]]
+                    got = self.chosen(w, given[b], first, goal[b + first])
+                    if full:
+                        taken[b + first] += got  # each piece is in one window's
+                    else:
+                        to = b[:, None] + np.arange(first, WINDOW)
+                        real = to < e[:, None]
+                        gained[to[real]] += got[real]
+        sums = np.concatenate([[0.0], np.cumsum(gained[: len(ids)])])
         return sums[edges[1:]] - sums[edges[:-1]]
 
 
@@ -302,8 +373,8 @@ def _room(name: str, *shape: int) -> np.ndarray:
 
 @cache
 def _places(rows: int) -> np.ndarray:
-    """Where the numbers of each embedding lie."""
-    return np.arange(rows * DIM).reshape(-1, DIM)
+    """Where the numbers of each embedding lie, two and two."""
+    return np.arange(rows * DIM // 2).reshape(rows, -1)
 
 
 def _exp(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
@@ -407,7 +478,7 @@ def gathered(docs: DataFrame, run: float, model_path: str) -> DataFrame:
         return row(PAIR, after[at], before=pa.ListArray.from_arrays(edges, pa.array(before.astype(np.int32))), ns=pa.ListArray.from_arrays(edges, pa.array(n)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(model_path)
+        splitter = splitter_of(model_path)
         width = splitter.vocabulary + 1
         pieces = np.zeros(width, np.int64)
         words, steps, given = Tally(500_000), Tally(1_500_000), set()
@@ -618,7 +689,7 @@ def score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast((net, top["id"].to_numpy(), np.log10(top["n"].to_numpy() + 0.5)))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(model_path)
+        splitter = splitter_of(model_path)
         net, known, logs = shared.value
         for batch, low, high, data, starts, stops, distinct, inverse, bounds in _blocks(batches, 2):
             keys = distinct.view(np.int64)

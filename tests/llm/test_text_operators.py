@@ -652,6 +652,49 @@ def test_rows_of_pieces_cover_texts_and_copies_change_nothing(spark):
     assert all(np.allclose(nets[0].weights[k], nets[1].weights[k], atol=1e-4) for k in nets[0].weights)
 
 
+def test_words_are_cut_once_in_a_worker_and_as_the_model_cuts_them(monkeypatch):
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"{x:x}" for x in r.integers(0, 1 << 40, 4000)) for _ in range(100)] + ["\u2581a b\u2581c \x00 ÉÈ \u0085x \ufb01 😀" + "😀" * 300, "", None]
+    cut = []
+
+    class Counting:
+        def __init__(self, path):
+            self.model = sp_model(path)
+
+        def encode(self, words, **more):
+            cut.extend(words)
+            return self.model.encode(words, **more)
+
+        def get_piece_size(self):
+            return self.model.get_piece_size()
+
+    sp_model = lm._pieces
+    monkeypatch.setattr(lm, "_pieces", Counting)
+    model, path = sp_model(sp.default_model()), sp.default_model()
+    lm._splitter.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    want = [[i for w in words(t) for i in model.encode(w)] + [model.get_piece_size()] for t in texts]
+
+    def task() -> list[list[int]]:
+        splitter, got = lm.splitter_of(path), []
+        for *_, data, starts, stops, distinct, inverse, bounds in lm._blocks([batch], 0):
+            flat, begin, size = splitter.words(data, starts, stops, distinct)
+            ids, edges = splitter.sequences(flat, begin[inverse], size[inverse], bounds)
+            got += [ids[a:b].tolist() for a, b in zip(edges, edges[1:])]
+        return got
+
+    assert task() == task() == want
+    assert len(cut) == len(set(cut)) == len({w for t in texts for w in words(t)})  # once for both tasks, however many
+    monkeypatch.setattr(lm, "_KEPT", 50_000)
+    assert task() == want and lm.splitter_of(path).many > 0  # all are still remembered
+    lm.splitter_of(path).forget()
+    assert task() == want and len(cut) <= 3 * len(set(cut))
+    assert lm.splitter_of(path).many <= 100_000  # a block may hold more than are kept
+    _memory.only("another")
+    assert not lm.splitter_of(path).many
+    lm._splitter.cache_clear()
+
+
 def test_gradient_equals_differences():
     r = np.random.default_rng(5)
     net = lm.Network(np.arange(30), np.arange(30) % lm.CLASSES, np.zeros(30))
