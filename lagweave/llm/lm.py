@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.llm._memory import only, remembers
@@ -455,16 +455,60 @@ class Tally:
         return codes, np.bincount(inverse, np.concatenate([n for _, n in self.fresh])).astype(np.int64)
 
 
+def code_of(width: int) -> np.dtype:
+    """How a piece of ``width`` ids, plus 1, is written in a packed row; 0 is the start of a text."""
+    return np.dtype(np.uint16 if width < 1 << 16 else np.uint32)
+
+
+def packed(flat: np.ndarray, edges: np.ndarray, code: np.dtype) -> pa.Array:
+    """A binary for each row of pieces; Spark copies it whole, where it would take a list number by number."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * code.itemsize).astype(np.int32)), pa.py_buffer((flat + 1).astype(code))])
+
+
+def unpacked(column: pa.Array, code: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, edges of the rows) of packed rows."""
+    data, at = utf8(column)
+    return data.view(code).astype(np.int32) - 1, at // code.itemsize
+
+
+def lists_of(name: str, width: int) -> Column:
+    """A column of packed rows as lists of ids."""
+    code = code_of(width)
+
+    @F.arrow_udf("array<int>")
+    def lists(column: pa.Array) -> pa.Array:
+        flat, edges = unpacked(column, code)
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat), mask=column.is_null())
+
+    return lists(name)
+
+
+def packs_of(name: str, width: int) -> Column:
+    """A column of lists of ids as packed rows."""
+    code = code_of(width)
+
+    @F.arrow_udf("binary")
+    def packs(column: pa.Array) -> pa.Array:
+        return packed(column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), code)
+
+    return packs(name)
+
+
 def gathered(docs: DataFrame, run: float, model_path: str) -> DataFrame:
-    """All that is learned from the rows of ``docs`` (text), in one pass: (kind, id, n, before, ns, ids), summed per task.
+    """``gathered_packed`` with lists of pieces, ``ids``, for ``packed``."""
+    return gathered_packed(docs, run, model_path).select("kind", "id", "n", "before", "ns", lists_of("packed", Splitter(model_path).vocabulary + 1).alias("ids"))
+
+
+def gathered_packed(docs: DataFrame, run: float, model_path: str) -> DataFrame:
+    """All that is learned from the rows of ``docs`` (text), in one pass: (kind, id, n, before, ns, packed), summed per task.
 
     WORD and PIECE: how often each word (by hash) and subword id occurs, ends included. PAIR: the pieces
     ``before`` a piece ``id`` and how often (``ns``). DRAWN: all pieces of all texts, in rows of ``run``
-    windows as they are scored; ``ids`` are the piece before (-1 at the start) and the row's pieces. The
+    windows as they are scored; ``packed`` are the piece before (-1 at the start) and the row's pieces. The
     hash ``id`` is of the text and the place in it, so copies of a text have the same, and a task gives
     them once for each ``_REMEMBERED`` others.
     """
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("before", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("before", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())), ("packed", pa.binary())])
     wide = STRIDE * int(run)
 
     def row(kind: int, key: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
@@ -510,7 +554,7 @@ def gathered(docs: DataFrame, run: float, model_path: str) -> DataFrame:
             np.cumsum(size, out=cuts[1:])
             got = ids[np.maximum(np.arange(cuts[-1]) + np.repeat(start - 1 - cuts[:-1], size), 0)]
             got[cuts[:-1][nth[new] == 0]] = -1
-            yield row(DRAWN, key[new].view(np.int64), ids=pa.ListArray.from_arrays(pa.array(cuts), pa.array(got, pa.int32())))
+            yield row(DRAWN, key[new].view(np.int64), packed=packed(got, cuts.astype(np.int64), code_of(width)))
         if words.fresh:
             ids, n = words.merged()
             yield row(WORD, ids.view(np.int64), n=pa.array(n))
@@ -521,7 +565,7 @@ def gathered(docs: DataFrame, run: float, model_path: str) -> DataFrame:
             seen = np.flatnonzero(pieces)
             yield row(PIECE, seen, n=pa.array(pieces[seen]))
 
-    return docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(work, "kind int, id long, n long, before array<int>, ns array<long>, ids array<int>")
+    return docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(work, "kind int, id long, n long, before array<int>, ns array<long>, packed binary")
 
 
 def sketched(found: DataFrame, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -550,6 +594,7 @@ def fit_on_cluster(net: Network, rows: DataFrame, cells: int) -> int:
     """Trains ``net`` on all (key, ids) of ``rows``, in rounds; the number of cells that took part.
 
     ``ids`` are the piece before and the pieces of a row, of any number; copies of a key count once.
+    Where ``rows`` have them ``packed`` too, that is read and the lists are never made.
     Rows are dealt into ``cells`` by key, so the result does not hang on how they lie. In a round the
     cells of one group each go over all of their windows from the common weights (a small one
     repeatedly, for about ``LOCAL`` steps); tasks sum the changes of their cells and the driver averages
@@ -560,11 +605,12 @@ def fit_on_cluster(net: Network, rows: DataFrame, cells: int) -> int:
     groups = min(ROUNDS, max(GROUPS, cells))
     files = min(-(-cells // groups), max(2 * spark.sparkContext.defaultParallelism, -(-cells // (groups * FILE_CELLS))))
     cell = F.pmod("key", F.lit(cells)).cast("int")
-    dealt = rows.select(cell.alias("cell"), (cell % groups).alias("part"), (F.floor(cell / groups) % files).alias("file"), "key", "ids")
+    code, pieces = code_of(len(net.rank)), F.col("packed") if "packed" in rows.columns else packs_of("ids", len(net.rank))
+    dealt = rows.select(cell.alias("cell"), (cell % groups).alias("part"), (F.floor(cell / groups) % files).alias("file"), "key", pieces.alias("packed"))
     dealt = dealt.repartition(groups * files, "part", "file").sortWithinPartitions("part", "cell", "key").drop("file")
     path = f"{shared_folder(spark)}/lagweave-{uuid.uuid4().hex}"
     dealt.write.partitionBy("part").parquet(path)
-    saved = spark.read.schema("cell int, key long, ids array<int>, part int").parquet(path)
+    saved = spark.read.schema("cell int, key long, packed binary, part int").parquet(path)
     saved.written_at = path
     seen = 0
     for n in range(ROUNDS):
@@ -589,7 +635,7 @@ def fit_on_cluster(net: Network, rows: DataFrame, cells: int) -> int:
                 count += 1
 
             for batch in batches:
-                values, at = batch.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+                values, at = unpacked(batch.column(2), code)
                 for i, (c, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                     if c != cell:
                         if held:
@@ -605,7 +651,7 @@ def fit_on_cluster(net: Network, rows: DataFrame, cells: int) -> int:
                 flat = np.concatenate([holding, *(sums[k].ravel() for k in sorted(sums))])
                 yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([count], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["cell", "n", "change"])
 
-        got = saved.where(F.col("part") == n % groups).select("cell", "key", "ids").mapInArrow(change, "cell int, n int, change binary").collect()  # one row a task
+        got = saved.where(F.col("part") == n % groups).select("cell", "key", "packed").mapInArrow(change, "cell int, n int, change binary").collect()  # one row a task
         shared.unpersist()
         if not got:
             continue
@@ -638,8 +684,8 @@ def train(found: DataFrame, pieces: np.ndarray) -> Network:
     counts = pieces + 0.5
     net = Network(rank, group, np.log(counts / np.bincount(group, counts, CLASSES)[group]))
     net.start(len(common) + 2, CLASSES)
-    rows = found.where(F.col("kind") == DRAWN).select(F.col("id").alias("key"), "ids")
-    n = rows.agg(F.sum(F.ceil((F.size("ids") - 1) / WINDOW))).first()[0]
+    rows = found.where(F.col("kind") == DRAWN).select(F.col("id").alias("key"), "packed", lists_of("packed", len(pieces)).alias("ids"))
+    n = rows.agg(F.sum(F.ceil((F.octet_length("packed") / code_of(len(pieces)).itemsize - 1) / WINDOW))).first()[0]
     if n:
         fit_on_cluster(net, rows, GROUPS * -(-n // (GROUPS * CELL)))
     return net
@@ -672,7 +718,7 @@ def score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     rest = remainder(id_col)
     base = docs.select(F.col(id_col).alias("id"), (rest == 1).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learned = base.where(~F.col("held_out"))
-    found = written(gathered(learned, RUN, model_path))
+    found = written(gathered_packed(learned, RUN, model_path))
     counts = written(found.where(F.col("kind") <= PIECE).groupBy("kind", "id").agg(F.sum("n").alias("n")))
     splitter = Splitter(model_path)
     pieces = np.zeros(splitter.vocabulary + 1, np.int64)

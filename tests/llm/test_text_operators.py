@@ -695,6 +695,15 @@ def test_words_are_cut_once_in_a_worker_and_as_the_model_cuts_them(monkeypatch):
     lm._splitter.cache_clear()
 
 
+def test_packed_rows_hold_every_piece(spark):
+    for width in (32_001, 65_535, 65_536, 300_000):
+        rows = [[-1, 0, width - 1], [], [5], [width - 2] * 40]
+        lists = spark.createDataFrame([(i, r) for i, r in enumerate([*rows, None])], "i int, ids array<int>").coalesce(1)
+        back = lists.where("ids is not null").withColumn("packed", lm.packs_of("ids", width)).select("i", F.octet_length("packed").alias("n"), lm.lists_of("packed", width).alias("ids"))
+        got = {r["i"]: r for r in back.collect()}
+        assert [got[i]["ids"] for i in range(4)] == rows and [got[i]["n"] for i in range(4)] == [lm.code_of(width).itemsize * len(r) for r in rows]
+
+
 def test_gradient_equals_differences():
     r = np.random.default_rng(5)
     net = lm.Network(np.arange(30), np.arange(30) % lm.CLASSES, np.zeros(30))
